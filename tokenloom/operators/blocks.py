@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.bytelevel import pack_u32
 from tokenloom.functions.scalars import int_div
-from tokenloom.operators.bpe import bpe_encode
+from tokenloom.operators.bpe import bpe_encode, pack_ids
 from tokenloom.operators.corpus import row_offsets
 from tokenloom.operators.ordered import corpus_path, running_total
 from tokenloom.sources.model import BpeModel
@@ -105,6 +104,6 @@ def block_tokenize(
     out = enc.withColumn("capacity", capacity).withColumn("n_tokens", F.size("_ids"))
     out = out.withColumn("kept", F.least(F.col("n_tokens"), int_div(F.col("capacity"), F.lit(4))).cast("int"))
     out = out.withColumn("dropped", F.col("n_tokens") - F.col("kept"))
-    packed = pack_u32(F.slice("_ids", F.lit(1), F.col("kept")))
+    packed = pack_ids(F.slice("_ids", F.lit(1), F.col("kept")))
     out = out.withColumn("output", F.rpad(packed, F.col("capacity"), F.lit(bytearray(b"\0"))))
     return out.drop("_text", "_ids", "content")

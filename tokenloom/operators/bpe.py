@@ -13,17 +13,21 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tokenloom.functions.bytelevel import _LATIN1, byte_symbols, latin1, pack_u32, pretokenize
+from tokenloom.functions.bytelevel import _LATIN1, byte_symbols, latin1, pretokenize
 from tokenloom.sources.model import BORDER, PRIVATE_BASE, BpeModel, added_names, json_literal
 
 CACHE_WORDS = 1 << 18
 CACHED_WORD_BYTES = 64
+SHORT_PIECE = 48
+NO_RANK = 1 << 62
 
 
 # --------------------------------------------------------------------- fold
@@ -64,7 +68,27 @@ def _fold_ids(words: Column, model: BpeModel) -> Column:
 
 # -------------------------------------------------------------------- arrow
 def merge_piece(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge adjacent pairs, lowest rank first and leftmost first, in O(n log n)."""
+    """Merge adjacent pairs, lowest rank first and leftmost first."""
+    return (_merge_short if len(symbols) <= SHORT_PIECE else _merge_long)(symbols, ranks)
+
+
+def _merge_short(symbols: list[str], ranks) -> list[str]:
+    """Plain lists, for ordinary words."""
+    parts, rank_of = list(symbols), ranks.get
+    waiting = [rank_of(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+    while waiting and (best := min(waiting)) != NO_RANK:
+        i = waiting.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del waiting[i]
+        if i > 0:
+            waiting[i - 1] = rank_of((parts[i - 1], parts[i]), NO_RANK)
+        if i < len(waiting):
+            waiting[i] = rank_of((parts[i], parts[i + 1]), NO_RANK)
+    return parts
+
+
+def _merge_long(symbols: list[str], ranks) -> list[str]:
+    """Linked list and heap: O(n log n) for pieces of any length."""
     n = len(symbols)
     parts: list[str | None] = list(symbols)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -104,9 +128,9 @@ class _PieceEncoder:
         for rank, pair in enumerate(merges):
             self.ranks.setdefault(pair, rank)
         self.vocab, self.added, self.unknown = vocab, added, unknown
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, list[int]] = {}
 
-    def __call__(self, piece: str) -> np.ndarray:
+    def __call__(self, piece: str) -> list[int]:
         hit = self.cache.get(piece)
         if hit is None:
             hit = self._encode(piece)
@@ -116,27 +140,25 @@ class _PieceEncoder:
                 self.cache[piece] = hit
         return hit
 
-    def _encode(self, piece: str) -> np.ndarray:
+    def _encode(self, piece: str) -> list[int]:
         if piece in self.added:
-            return np.array([self.added[piece]], dtype=np.int32)
+            return [self.added[piece]]
         tokens = merge_piece([self.symbols[b] for b in piece.encode("utf-8")], self.ranks)
         ids = [self.vocab.get(t, self.unknown) for t in tokens]
-        return np.array([i for i in ids if i is not None], dtype=np.int32)
+        return [i for i in ids if i is not None]
 
 
 def _encode_batch(words: pa.ListArray, encode: _PieceEncoder) -> pa.ListArray:
     pieces = words.flatten().dictionary_encode()
     table = [encode(p) for p in pieces.dictionary.to_pylist()]
-    lengths = np.array([len(t) for t in table] or [0], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    flat = np.concatenate(table) if table else np.empty(0, np.int32)
+    lengths = np.array([len(t) for t in table], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.fromiter(chain.from_iterable(table), dtype=np.int32, count=int(lengths.sum()))
     use = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # gather the ids of all pieces without a loop over pieces
-    n = lengths[use] if len(use) else np.empty(0, np.int64)
+    n = lengths[use]
     ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    where = np.repeat(starts[use] - (ends - n), n) + np.arange(total) if total else np.empty(0, np.int64)
-    ids = flat[where]
+    ids = flat[np.repeat(starts[use] - (ends - n), n) + np.arange(n.sum())]
     sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     piece_end = np.concatenate([[0], np.cumsum(sizes)])
     id_end = np.concatenate([[0], ends])
@@ -153,7 +175,7 @@ def encode_pieces_udf(spark: SparkSession, model: BpeModel, use_added: bool = Tr
     added = model.added if use_added else {}
     shared = spark.sparkContext.broadcast((model.vocab, model.merges, added, unknown))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = _PieceEncoder(*shared.value)
         for words in batches:
@@ -162,6 +184,28 @@ def encode_pieces_udf(spark: SparkSession, model: BpeModel, use_added: bool = Tr
     return encode_pieces
 
 
+def _pack_batch(ids: pa.ListArray) -> pa.BinaryArray:
+    """The id buffer itself is the packed form; only the offsets grow fourfold."""
+    values = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), dtype="<i4")
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * 4
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("a batch packs to 2 GiB or more: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    validity = None
+    if ids.null_count:
+        validity = pa.array(ids.is_valid()).buffers()[1]
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(ids),
+        [validity, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)], ids.null_count,
+    )
+
+
+@F.arrow_udf(T.BinaryType())
+def pack_ids(ids: pa.Array) -> pa.Array:
+    """Vectorized form of ``pack_u32`` for long id arrays."""
+    return _pack_batch(ids)
+
+
 # ---------------------------------------------------------------------- API
 def choose_strategy(model: BpeModel, strategy: str = "auto") -> str:
     if strategy == "auto":
@@ -222,5 +266,5 @@ def flatten_pack(encoded: DataFrame, ids: str = "ids") -> DataFrame:
             "batch_index",
             F.flatten(F.transform("rows", lambda r: r["ids"])).alias("ids"),
         )
-        .select("shard", "batch_index", F.size("ids").alias("n_tokens"), pack_u32(F.col("ids")).alias("packed"))
+        .select("shard", "batch_index", F.size("ids").alias("n_tokens"), pack_ids("ids").alias("packed"))
     )
