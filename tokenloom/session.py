@@ -46,3 +46,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast hint for a table whose row count is known and bounded."""
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work when the input has fewer partitions.
+
+    A large input has more partitions than cores and passes unchanged, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
