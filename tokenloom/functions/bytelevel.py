@@ -90,17 +90,15 @@ def pack_u32(ids: Column) -> Column:
 
 def unpack_u32(col: Column) -> Column:
     """Little-endian binary -> array of unsigned ids; 1-3 trailing bytes are ignored."""
-    h = F.hex(col)
-    n = F.floor(F.octet_length(col) / 4).cast("int")
+    words = F.filter(
+        F.regexp_extract_all(F.hex(col), F.lit(".{1,8}"), F.lit(0)), lambda h: F.length(h) == 8
+    )
 
-    def at(i: Column) -> Column:
-        start = i * 8
-        word = F.concat(*[F.substr(h, start + p, F.lit(2)) for p in (7, 5, 3, 1)])
-        return F.conv(word, 16, 10).cast("long")
+    def value(h: Column) -> Column:
+        turned = F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)])
+        return F.conv(turned, 16, 10).cast("long")
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    return F.transform(words, value)
 
 
 def frame_u64_count(ids: Column) -> Column:

@@ -128,10 +128,10 @@ def label_runs(records: DataFrame) -> DataFrame:
 
 
 def write_log_runs_csv(records: DataFrame, path: str) -> None:
-    """Run label first, then the record's columns."""
+    """Run label first, then the record's columns; one folder per log file."""
     out = label_runs(records)
-    cols = ["run", *DIFFERENCES, *PLAIN_FIELDS]
-    out.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    cols = ["run", *DIFFERENCES, *PLAIN_FIELDS, "file"]
+    out.select(*cols).write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
 
 
 def parse_request_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

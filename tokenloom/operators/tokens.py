@@ -91,3 +91,15 @@ def token_counts(encoded: DataFrame, by: list[str], ids: str = "ids") -> DataFra
     return encoded.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.size(ids)).alias("tokens")
     )
+
+
+def write_block_bins(tokenized: DataFrame, path: str, block_bytes: int, layout: str = "file") -> None:
+    """Equal-sized output blocks of the block path, one ``.bin`` per shard."""
+    write_positioned(
+        tokenized.select(
+            F.concat(shard_name(F.col("shard")), F.lit(".bin")).alias("file"),
+            (F.col("block_index") * block_bytes).alias("offset"),
+            F.col("output").alias("data"),
+        ),
+        path, layout,
+    )

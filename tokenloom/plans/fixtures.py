@@ -81,8 +81,8 @@ def _cumulate(per_tick: DataFrame, keys: list[str], cols: list[str]) -> DataFram
     return out.select(*keys, "tick", *[F.col(f"c_{c}").alias(c) for c in cols])
 
 
-def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """Cumulative counters per run and hour."""
+def snapshots(spark: SparkSession, sf: str, one_run: bool = False) -> DataFrame:
+    """Cumulative counters per run (or of all runs as one) and hour."""
     q = requests(spark, sf).select(
         "run", _tick(), F.lit(1).alias("req"), F.lit(0).alias("resp"),
         F.col("total_len").alias("bytes_in"), F.lit(0).cast("long").alias("bytes_out"))
@@ -90,12 +90,18 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
         "run", _tick(), F.lit(0).alias("req"), F.lit(1).alias("resp"),
         F.lit(0).cast("long").alias("bytes_in"), F.col("byte_size").alias("bytes_out"))
     cols = ["req", "resp", "bytes_in", "bytes_out"]
-    per = q.unionByName(p).groupBy("run", "tick").agg(*[F.sum(c).alias(c) for c in cols])
+    both = q.unionByName(p)
+    if one_run:
+        both = both.withColumn("run", F.lit(0).cast("long"))
+    per = both.groupBy("run", "tick").agg(*[F.sum(c).alias(c) for c in cols])
     return _cumulate(per, ["run"], cols)
 
 
-def slot_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    per = responses(spark, sf).groupBy("run", "slot", _tick()).agg(F.count(F.lit(1)).alias("resp"))
+def slot_snapshots(spark: SparkSession, sf: str, one_run: bool = False) -> DataFrame:
+    rows = responses(spark, sf)
+    if one_run:
+        rows = rows.withColumn("run", F.lit(0).cast("long"))
+    per = rows.groupBy("run", "slot", _tick()).agg(F.count(F.lit(1)).alias("resp"))
     return _cumulate(per, ["run", "slot"], ["resp"])
 
 

@@ -42,9 +42,15 @@ snapshots as (
   select run, tick, cast(sum(req) over w as bigint) as req, cast(sum(resp) over w as bigint) as resp,
     cast(sum(bytes_in) over w as bigint) as bytes_in, cast(sum(bytes_out) over w as bigint) as bytes_out
   from per_tick window w as (partition by run order by tick))"""
-SLOT_SNAPSHOTS = TRAFFIC + """, slot_snapshots as (
+def one_run(views: str) -> str:
+    """The same views with all runs taken as one."""
+    return views.replace("user_id % 3 as run", "0 as run")
+
+
+SLOT_SNAPSHOTS_ONLY = """slot_snapshots as (
   select run, slot, tick, cast(sum(n) over (partition by run, slot order by tick) as bigint) as resp
   from (select run, slot, ts_us // 3600000000 as tick, count(*) as n from responses group by all))"""
+SLOT_SNAPSHOTS = f"{TRAFFIC}, {SLOT_SNAPSHOTS_ONLY}"
 
 
 def _host(name: str, key: str, cols: dict[str, str]) -> str:
