@@ -44,7 +44,10 @@ def byte_map(col: Column) -> Column:
 
 def byte_unmap(col: Column) -> Column:
     """Inverse of :func:`byte_map`; returns binary."""
-    return F.encode(F.translate(col, "".join(byte_symbols()), _LATIN1), "ISO-8859-1")
+    symbols = byte_symbols()
+    # translate() would delete what maps to NUL, so that byte goes separately
+    plain = F.translate(col, "".join(symbols[1:]), _LATIN1[1:])
+    return F.encode(F.replace(plain, F.lit(symbols[0]), F.lit("\0")), "ISO-8859-1")
 
 
 def _any_of(tokens: list[str]) -> str:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scalars import int_div
 from tokenloom.operators.bpe import bpe_encode, pack_ids
 from tokenloom.operators.corpus import row_offsets
-from tokenloom.operators.ordered import corpus_path, running_total
 from tokenloom.sources.model import BpeModel
 
 BLOCK_BYTES = 131072
@@ -41,8 +41,8 @@ def cut_blocks(
         rows = row_offsets(rows, "_bin", 0, "_off", "_len")
     else:
         rows = rows.withColumn("_len", F.octet_length("_bin").cast("long"))
-        rows, path = corpus_path(rows)
-        rows = running_total(rows, keys, path[2:], ["row_in_batch"], {"_off": F.col("_len")})
+        w = W.partitionBy(*keys).orderBy("row_in_batch").rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("_off", F.coalesce(F.sum("_len").over(w), F.lit(0)))
     b = F.lit(block_bytes).cast("long")
     rows = rows.where(F.col("_len") > 0)
     first, last = int_div(F.col("_off"), b), int_div(F.col("_off") + F.col("_len") - 1, b)

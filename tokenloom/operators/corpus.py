@@ -6,7 +6,7 @@ bigint, text string or binary)``; the first three columns are its order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scalars import unescape_delimiter
@@ -34,14 +34,14 @@ def row_offsets(
     df, path = corpus_path(df)
     return running_total(
         df, ["shard"], path, ["row_in_batch"], {out: F.col(length) + delimiter_bytes}
-    ).drop("_p1", "_p3")
+    ).drop("_p1")
 
 
 def _global_rank(df: DataFrame, out: str) -> DataFrame:
     """0-based position of every row in corpus order, over all shards."""
     df, path = corpus_path(df)
     # the shard is the coarsest step of the path: its windows see one row per shard
-    return running_total(df, [], ["shard", *path], ["row_in_batch"], {out: F.lit(1)}).drop("_p1", "_p3")
+    return running_total(df, [], ["shard", *path], ["row_in_batch"], {out: F.lit(1)}).drop("_p1")
 
 
 def max_rows(df: DataFrame, n: int) -> DataFrame:
@@ -98,14 +98,10 @@ def batch_range_index(df: DataFrame, column: str = "text", rows: int = -1) -> Da
     per_batch, path = corpus_path(per_batch)
     # text never moves: offsets come from the per-batch totals alone
     return running_total(
-        per_batch, ["shard"], path[:2], ["row_in_batch"], {"data_offset": F.col("data_length")}
+        per_batch, ["shard"], path, ["row_in_batch"], {"data_offset": F.col("data_length")}
     ).select("shard", "batch_index", "num_rows", "data_offset", "data_length")
 
 
 def even_shards(df: DataFrame, n: int) -> DataFrame:
     """Deal the rows of a corpus into n even output shards, order kept."""
     return round_robin(df, n, "out_shard")
-
-
-def count_tokens(df: DataFrame, ids: Column) -> DataFrame:
-    return df.withColumn("n_tokens", F.size(ids))

@@ -85,7 +85,7 @@ def _deltas(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str
     ``first_is_zero``: the first tick counts from 0; otherwise its delta is null.
     """
     df, path = with_path(df, time, TICKS_PER_BLOCK)
-    df = previous_row(df, keys, path, [time], columns, "_prev").drop("_p1", "_p2")
+    df = previous_row(df, keys, path, [time], columns, "_prev").drop("_p2")
     start = F.lit(0) if first_is_zero else F.lit(None).cast("long")
     out = df.withColumn("first", F.col("_prev").isNull())
     out = out.withColumns({f"d_{c}": F.col(c) - F.coalesce(F.col(f"_prev.{c}"), start) for c in columns})
@@ -138,26 +138,41 @@ def jain_formula(total: Column, squares: Column, n: int = SLOTS) -> Column:
     return F.when(squares == 0, F.lit(0.0)).otherwise(total * total / (squares * float(n)))
 
 
+def _cpu_deltas(df: DataFrame, time: str, keys: Sequence[str]) -> DataFrame:
+    total = sum((F.col(c) for c in CPU_FIELDS[1:]), F.col(CPU_FIELDS[0]))
+    df = df.withColumn("total", total).withColumn("idle", F.col("idle_t") + F.col("iowait_t"))
+    return _deltas(df, [*keys, "core"], time, ["total", "idle"], False)
+
+
+def _busy(total: Column, idle: Column) -> Column:
+    return F.when(total == 0, F.lit(0.0)).otherwise(100.0 * (total - idle) / total)
+
+
 def cpu_busy(
     df: DataFrame, cores: Sequence[int] | None = None, time: str = "tick", keys: Sequence[str] = ("run",)
 ) -> DataFrame:
     """Busy share per core; 0 at the first tick and where the total stands still."""
     if cores is not None:
         df = df.where(F.col("core").isin(list(cores)))
-    total = sum((F.col(c) for c in CPU_FIELDS[1:]), F.col(CPU_FIELDS[0]))
-    df = df.withColumn("total", total).withColumn("idle", F.col("idle_t") + F.col("iowait_t"))
-    d = _deltas(df, [*keys, "core"], time, ["total", "idle"], False)
-    busy = 100.0 * (F.col("d_total") - F.col("d_idle")) / F.col("d_total")
-    pct = F.when(F.col("first") | (F.col("d_total") == 0), F.lit(0.0)).otherwise(_steady(busy))
+    d = _cpu_deltas(df, time, keys)
+    pct = F.when(F.col("first"), F.lit(0.0)).otherwise(_steady(_busy(F.col("d_total"), F.col("d_idle"))))
     return d.select(*keys, time, "core", pct.alias("busy_pct"), "counter_reset")
 
 
 def cpu_busy_all(df: DataFrame, time: str = "tick", keys: Sequence[str] = ("run",)) -> DataFrame:
-    """True all-core share, beside ``cpu_busy_core0`` (what the CSV column holds)."""
-    summed = df.groupBy(*keys, time).agg(*[F.sum(c).alias(c) for c in CPU_FIELDS]).withColumn("core", F.lit(-1))
-    whole = cpu_busy(summed, None, time, keys).select(*keys, time, F.col("busy_pct").alias("cpu_busy_true_all"))
-    core0 = cpu_busy(df, [0], time, keys).select(*keys, time, F.col("busy_pct").alias("cpu_busy_core0"))
-    return whole.join(core0, [*keys, time], "left")
+    """True all-core share from the summed differences of the cores, beside
+    ``cpu_busy_core0``, which is what the CSV column holds."""
+    d = _cpu_deltas(df, time, keys)
+    total, idle = (F.coalesce(_steady(F.col(c)), F.lit(0)) for c in ("d_total", "d_idle"))
+    first = F.when(F.col("first"), F.lit(0.0)).otherwise(_steady(_busy(F.col("d_total"), F.col("d_idle"))))
+    return (
+        d.groupBy(*keys, time)
+        .agg(
+            F.sum(total).alias("_t"), F.sum(idle).alias("_i"),
+            F.max(F.when(F.col("core") == 0, first)).alias("cpu_busy_core0"),
+        )
+        .select(*keys, time, _busy(F.col("_t"), F.col("_i")).alias("cpu_busy_true_all"), "cpu_busy_core0")
+    )
 
 
 def net_rates(df: DataFrame, interval_ms: int, time: str = "tick", keys: Sequence[str] = ("run", "iface")) -> DataFrame:

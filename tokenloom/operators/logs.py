@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.ordered import last_seen, running_total, with_path
+from tokenloom.session import materialize
 
 DEADLINE_US = 5_000_000
 LOG_BLOCK_BYTES = 1 << 20
@@ -45,9 +46,9 @@ _DOUBLES = ("user_time", "sys_time")
 def log_runs(lines: DataFrame) -> DataFrame:
     """One record per end line of ``(file, byte_offset, value)``.
 
-    The state of the scan is two carried values (the last "before" mark and the
-    stage), then the last value of every field, each tagged with the mark it
-    was set under: a field counts only if that mark is still the current one.
+    First every line gets the last "before" mark and the stage it stands under.
+    Then each end line looks up the last value of every field, which counts only
+    if it was set under the mark that is still the current one.
     """
     line = F.col("line")
     named = F
@@ -82,47 +83,54 @@ def log_runs(lines: DataFrame) -> DataFrame:
         .when(F.col("kind") == "time", F.regexp_extract(line, r"(\d+)", 1))
         .when(F.col("kind") == "size", F.regexp_extract(line, r"byte_size: (\d+)", 1))
     )
-    df = df.withColumn("field", field).withColumn("raw", raw)
-    df, path = with_path(df, "byte_offset", LOG_BLOCK_BYTES)
+    df = df.withColumn("field", field).withColumn("raw", raw).drop("line")
+    # the lines are parsed once; the scans below read the few marked ones again
+    df = materialize(df, "log-lines")
+    df, path = with_path(df, "byte_offset", LOG_BLOCK_BYTES, levels=2)
     df = last_seen(
-        df.drop("line"), ["file"], path, ["byte_offset"],
+        df, ["file"], path, ["byte_offset"],
         {
             "mark": F.when(F.col("kind") == "before", F.col("byte_offset")),
             "stage": F.when(F.col("kind").isin("before", "after"), F.col("kind")),
         },
-    )
-    full = F.when(F.col("kind") == "staged", F.concat_ws("_", "stage", "field")).otherwise(F.col("field"))
-    df = df.withColumn("full", F.when((F.col("kind") != "staged") | F.col("stage").isNotNull(), full))
-    df = df.withColumn("mark", F.coalesce("mark", F.lit(-1)))
+    ).withColumn("mark", F.coalesce("mark", F.lit(-1)))
 
+    # long form: one row per set field, and at each end line one row per field asked for
     names = [f"{s}_{n}" for s in ("before", "after") for _, n in STAGED_FIELDS] + PLAIN_FIELDS
-
-    def typed(name: str) -> Column:
-        kind = "double" if name.endswith(_DOUBLES) else "long"
-        return F.col("raw").try_cast(kind)
-
-    values = {
-        name: F.when((F.col("full") == name) & typed(name).isNotNull(),
-                     F.struct(F.col("mark").alias("m"), typed(name).alias("v")))
-        for name in names
-    }
-    ends = last_seen(df, ["file"], path, ["byte_offset"], values).where("kind = 'end'")
-    now = {n: F.when(F.col(f"{n}.m") == F.col("mark"), F.col(f"{n}.v")) for n in names}
+    kinds = {n: "double" if n.endswith(_DOUBLES) else "long" for n in names}
+    full = F.when(F.col("kind") != "staged", F.col("field")).when(
+        F.col("stage").isNotNull(), F.concat("stage", F.lit("_"), "field")
+    )
+    asked = F.when(F.col("kind") == "end", F.array(*[F.lit(n) for n in names])).otherwise(F.array(full))
+    number = F.when(F.col("field").isin(*_DOUBLES), F.col("raw").try_cast("double").isNotNull()).otherwise(
+        F.col("raw").try_cast("long").isNotNull()
+    )
+    is_set = (F.col("kind") != "end") & number
+    df = df.withColumn("full", F.explode(asked)).where(F.col("full").isin(names) & ((F.col("kind") == "end") | is_set))
+    df = last_seen(
+        df, ["file", "full"], path, ["byte_offset"],
+        {"seen": F.when(is_set, F.struct(F.col("mark").alias("m"), F.col("raw").alias("v")))},
+    ).where("kind = 'end'")
+    current = F.when(F.col("seen.m") == F.col("mark"), F.col("seen.v"))
+    # one entry per field name: a small, bounded map
+    entry = F.struct("full", current.alias("v"))
+    found = df.groupBy("file", "byte_offset").agg(F.map_from_entries(F.collect_list(entry)).alias("now"))
+    wide = found.select("file", "byte_offset", *[F.col("now")[n].try_cast(kinds[n]).alias(n) for n in names])
     zero = F.lit(0)
-    return ends.select(
+    return wide.select(
         "file",
         "byte_offset",
         *[
-            (F.coalesce(now[f"after_{f}"], zero) - F.coalesce(now[f"before_{f}"], zero)).alias(out)
+            (F.coalesce(f"after_{f}", zero) - F.coalesce(f"before_{f}", zero)).alias(out)
             for out, f in DIFFERENCES.items()
         ],
-        *[now[f].alias(f) for f in PLAIN_FIELDS],
+        *PLAIN_FIELDS,
     )
 
 
 def label_runs(records: DataFrame) -> DataFrame:
     """Prefix each record with ``run_1 … run_n`` in log order, per file."""
-    df, path = with_path(records, "byte_offset", LOG_BLOCK_BYTES)
+    df, path = with_path(records, "byte_offset", LOG_BLOCK_BYTES, levels=2)
     df = running_total(df, ["file"], path, ["byte_offset"], {"_n": F.lit(1)}, inclusive=True)
     return df.withColumn("run", F.concat(F.lit("run_"), F.col("_n").cast("string"))).drop("_n", "_p1", "_p2")
 
@@ -177,7 +185,7 @@ def cumulative_time(calls: DataFrame, process: str = "process", time: str = "ts_
     df, path = with_path(calls, time, 3_600_000_000)
     return running_total(
         df, [process], path, [time], {"total_us": F.col(spent)}, inclusive=True
-    ).drop("_p1", "_p2")
+    ).drop("_p2")
 
 
 def parse_call_log(lines: DataFrame) -> DataFrame:

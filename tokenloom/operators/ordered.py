@@ -22,21 +22,20 @@ from tokenloom.functions.scalars import int_div
 FAN = 4096  # summaries folded by one window partition
 
 
-def with_path(
-    df: DataFrame, pos: str, width: int, fan: int = FAN, prefix: str = "_p"
-) -> tuple[DataFrame, list[str]]:
-    """Path of a non-negative integer position: blocks of ``width``, grouped by ``fan``."""
-    fine, coarse = f"{prefix}2", f"{prefix}1"
-    df = df.withColumn(fine, int_div(F.col(pos).cast("long"), F.lit(width).cast("long")))
-    df = df.withColumn(coarse, int_div(F.col(fine), F.lit(fan).cast("long")))
-    return df, [coarse, fine]
+def with_path(df: DataFrame, pos: str, width: int, levels: int = 1) -> tuple[DataFrame, list[str]]:
+    """Path of a non-negative integer position: blocks of ``width`` positions, and
+    with a second level groups of ``FAN`` blocks (where blocks may be many)."""
+    df = df.withColumn("_p2", int_div(F.col(pos).cast("long"), F.lit(width).cast("long")))
+    if levels == 1:
+        return df, ["_p2"]
+    return df.withColumn("_p1", int_div(F.col("_p2"), F.lit(FAN).cast("long"))), ["_p1", "_p2"]
 
 
 def corpus_path(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Path of corpus order inside a shard: batch group, batch, slice of the batch."""
-    df = df.withColumn("_p1", int_div(F.col("batch_index").cast("long"), F.lit(FAN).cast("long")))
-    df = df.withColumn("_p3", int_div(F.col("row_in_batch").cast("long"), F.lit(1 << 16).cast("long")))
-    return df, ["_p1", "batch_index", "_p3"]
+    """Path of corpus order inside a shard: group of batches, batch. A record
+    batch is what a reader holds at once, so its rows are bounded."""
+    group = int_div(F.col("batch_index").cast("long"), F.lit(FAN).cast("long"))
+    return df.withColumn("_p1", group), ["_p1", "batch_index"]
 
 
 _before = (W.unboundedPreceding, -1)

@@ -111,7 +111,7 @@ def segment_align(
 
     def placed(df: DataFrame, name: str) -> DataFrame:
         df = df.where("nblocks > 0").withColumn("nblocks", F.col("nblocks").cast("long"))
-        df, path = with_path(df, order, 1 << 16)
+        df, path = with_path(df, order, 1 << 12, levels=2)
         df = running_total(df, on, path, [order], {"pos": F.col("nblocks")})
         seg = F.struct(
             F.col("pos").alias("begin"), (F.col("pos") + F.col("nblocks")).alias("end"),
@@ -123,7 +123,7 @@ def segment_align(
     starts = a.unionByName(b, allowMissingColumns=True).groupBy(*on, "pos").agg(
         F.max("i").alias("i"), F.max("o").alias("o")
     )
-    starts, path = with_path(starts, "pos", 1 << 16)
+    starts, path = with_path(starts, "pos", 1 << 12, levels=2)
     open_here = last_seen(starts, on, path, ["pos"], {"ic": F.col("i"), "oc": F.col("o")})
     in_len = F.col("ic.end") - F.col("pos")
     out_len = F.col("oc.end") - F.col("pos")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scalars import shard_name
@@ -41,16 +41,9 @@ def write_token_bins(encoded: DataFrame, path: str, ids: str = "ids", layout: st
     write_positioned(placed_tokens(once), path, layout)
 
 
-def plain_path(col: Column) -> Column:
-    return F.regexp_replace(col, "^file:/*", "/")
-
-
 def token_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size_bytes) of every token file; file contents are not read."""
-    return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-        .select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"))
-    )
+    return spark.read.format("token_files").load(path)
 
 
 def token_file_summary(files: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -24,6 +24,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n, kind in df.dtypes if kind == "double"})
 
 
+def missing_as(df: DataFrame, columns: list[str]) -> DataFrame:
+    """-1 for a missing integer, so that no engine turns the column into floats."""
+    return df.withColumns({c: F.coalesce(c, F.lit(-1)) for c in columns})
+
+
 # ------------------------------------------------------------------ counters
 @query("slot_counters", f"""with {ov.requests(70)}, {ov.responses(70)},
 q as (select slot, count(*) as req, sum(total_len) as bi from requests where slot < 64 group by slot),
@@ -90,14 +95,10 @@ def jain_fairness(spark, sf):
 
 
 _CPU = """cpu as (
-  select run, core, tick, case when dt is null or dt = 0 then 0.0::double else 100.0::double * (dt - di) / dt end as busy
+  select run, core, tick, dt, di, case when dt is null or dt = 0 then 0.0::double else 100.0::double * (dt - di) / dt end as busy
   from (select run, core, tick, tot - lag(tot) over w as dt, idl - lag(idl) over w as di
         from (select run, core, tick, user_t + system_t + idle_t + iowait_t as tot, idle_t + iowait_t as idl
               from {source}) window w as (partition by run, core order by tick)))"""
-_CPU_ALL = """host_all as (select run, -1 as core, tick, sum(user_t) as user_t, sum(system_t) as system_t,
-  sum(idle_t) as idle_t, sum(iowait_t) as iowait_t from host_cpu group by run, tick)"""
-
-
 @query("cpu_busy", f"""with {ov.HOST_CPU}, {_CPU.format(source='host_cpu')}
 select run::bigint as run, tick, core, round(busy, 6) as busy_pct, false as counter_reset
 from cpu where core in (0, 1, 2, 3, 5)""")
@@ -105,12 +106,12 @@ def cpu_busy(spark, sf):
     return rounded(counters.cpu_busy(fx.host_cpu(spark, sf), [0, 1, 2, 3, 5]))
 
 
-@query("cpu_busy_all", f"""with {ov.HOST_CPU}, {_CPU_ALL}, {_CPU.format(source='host_cpu')},
-  {_CPU.format(source='host_all').replace('cpu as', 'whole as', 1)}
-select w.run::bigint as run, w.tick, round(w.busy, 6) as cpu_busy_true_all, round(c.busy, 6) as cpu_busy_core0
-from whole w left join cpu c on c.run = w.run and c.tick = w.tick and c.core = 0""")
+@query("cpu_busy_all", f"""with {ov.HOST_CPU}, {_CPU.format(source='host_cpu')}
+select run::bigint as run, tick, round(case when coalesce(sum(dt), 0) = 0 then 0.0::double
+    else 100.0::double * (sum(dt) - sum(di)) / sum(dt) end, 6) as cpu_busy_true_all,
+  round(coalesce(max(case when core = 0 then busy end), -1), 6) as cpu_busy_core0 from cpu group by run, tick""")
 def cpu_busy_all(spark, sf):
-    return rounded(counters.cpu_busy_all(fx.host_cpu(spark, sf)))
+    return missing_as(rounded(counters.cpu_busy_all(fx.host_cpu(spark, sf))), ["cpu_busy_core0"])
 
 
 _NET = f"""net as (
@@ -122,7 +123,8 @@ _BLK = f"""blk as (
   select run, dev, tick, tick % 7 as in_flight,
     coalesce((read_sectors - lag(read_sectors) over w) * 512 / 1048576.0::double * 1000.0::double / {MS}, 0) as rd,
     coalesce((write_sectors - lag(write_sectors) over w) * 512 / 1048576.0::double * 1000.0::double / {MS}, 0) as wr,
-    coalesce(least(100.0::double, (io_ticks_ms - lag(io_ticks_ms) over w) * 100.0::double / {MS}), 0) as util
+    case when lag(io_ticks_ms) over w is null then 0.0::double
+      else least(100.0::double, (io_ticks_ms - lag(io_ticks_ms) over w) * 100.0::double / {MS}) end as util
   from host_block window w as (partition by run, dev order by tick))"""
 
 
@@ -279,12 +281,13 @@ def unescape_delimiter(spark, sf):
 # ---------------------------------------------------------------------- logs
 @query("request_latency", f"""with {ov.TRAFFIC}
 select q.req_id, q.slot, q.ts_us as write_us,
-  case when p.ts_us - q.ts_us <= 5000000 then p.ts_us - q.ts_us end as latency_us,
-  case when p.ts_us - q.ts_us <= 5000000 then p.byte_size end as byte_size,
+  case when p.ts_us - q.ts_us <= 5000000 then p.ts_us - q.ts_us else -1 end as latency_us,
+  case when p.ts_us - q.ts_us <= 5000000 then p.byte_size else -1 end as byte_size,
   not coalesce(p.ts_us - q.ts_us <= 5000000, false) as timed_out
 from requests q left join responses p on p.req_id = q.req_id""")
 def request_latency(spark, sf):
-    return logs.request_latency(*logs.parse_request_log(fx.request_log(spark, sf)))
+    out = logs.request_latency(*logs.parse_request_log(fx.request_log(spark, sf)))
+    return missing_as(out, ["latency_us", "byte_size"])
 
 
 @query("cumulative_time", f"""with {ov.TRAFFIC}
@@ -310,7 +313,8 @@ def _log_runs_sql() -> str:
         f"{n(211 + 2 * i, f)} - coalesce(last_value(b_{f} ignore nulls) over w, 0) as {outs[f]}"
         for i, f in enumerate(staged))
     plain = ", ".join(
-        f"last_value(case when event_id % 11 <> 0 then (event_id * {307 + 2 * i}) % 1000 end ignore nulls) over w as {f}"
+        f"coalesce(last_value(case when event_id % 11 <> 0 then (event_id * {307 + 2 * i}) % 1000 end "
+        f"ignore nulls) over w, -1) as {f}"
         for i, f in enumerate(logs.PLAIN_FIELDS[2:]))
     return f"""blocks as (
   select (user_id % 4)::varchar as file, event_id,
@@ -324,7 +328,7 @@ records as (
 
 @query("log_runs", f"with {_log_runs_sql()} select * from records")
 def log_runs(spark, sf):
-    return logs.log_runs(fx.run_log(spark, sf))
+    return missing_as(logs.log_runs(fx.run_log(spark, sf)), logs.PLAIN_FIELDS)
 
 
 @query("log_runs_csv", f"""with {_log_runs_sql()}
@@ -335,7 +339,7 @@ def log_runs_csv(spark, sf):
     logs.write_log_runs_csv(records, path)
     kinds = dict(records.dtypes)
     ddl = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in ["run", *logs.DIFFERENCES, *logs.PLAIN_FIELDS, "file"])
-    return spark.read.schema(ddl).option("header", True).csv(path)
+    return missing_as(spark.read.schema(ddl).option("header", True).csv(path), logs.PLAIN_FIELDS)
 
 
 @query("log_scan", f"""with {ov.TRAFFIC}, lines as (
@@ -415,7 +419,8 @@ def _latency() -> Column:
 
 
 @query("request_timeout", f"""with {ov.TRAFFIC}
-select q.req_id, q.ts_us, q.slot, p.ts_us - q.ts_us as latency_us, p.byte_size, p.req_id is null as timed_out
+select q.req_id, q.ts_us, q.slot, coalesce(p.ts_us - q.ts_us, -1) as latency_us,
+  coalesce(p.byte_size, -1) as byte_size, p.req_id is null as timed_out
 from requests q left join responses p on p.req_id = q.req_id and p.ts_us between q.ts_us and q.ts_us + 5000000""")
 def request_timeout(spark, sf):
     ev = _event_streams(spark, sf)
@@ -425,7 +430,8 @@ def request_timeout(spark, sf):
         F.timestamp_micros(F.unix_micros("ts") + F.when(F.col("flush"), F.lit(0).cast("long")).otherwise(_latency())).alias("ts"),
         (((F.col("event_id") * 6007) % 32768) * 4).alias("byte_size"))
     out = streams.run_to_table(streams.request_timeout(req, resp), "timeouts")
-    return out.where("slot is not null").withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+    out = out.where("slot is not null").withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+    return missing_as(out, ["latency_us", "byte_size"])
 
 
 @query("windowed_monitor", f"""with {ov.TRAFFIC}, traffic as (

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import io
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tokenloom.sources.files import byte_splits, list_files, resolve
+from tokenloom.sources.files import FileSplit, byte_splits, list_files, resolve
 
 BATCH_ROWS = 1 << 16
 
@@ -76,11 +77,33 @@ class ByteBlockSource(DataSource):
         return ByteBlockReader(self.options)
 
 
-class TokenBinReader(_RangeReader):
-    suffix = ".bin"
+@dataclass
+class TokenSplit(FileSplit):
+    """A range of a token file, or of one part of a token file kept in parts."""
 
-    def unit(self):
-        return 4
+    name: str = ""
+    base: int = 0
+
+
+def token_file_parts(path: str) -> list[tuple[str, int, str, int]]:
+    """(stored path, size, token file, first byte) of everything that holds tokens."""
+    found = []
+    for stored, size in list_files(path):
+        folder, _, leaf = stored.rpartition("/")
+        if leaf.endswith(".bin"):
+            found.append((stored, size, stored, 0))
+        elif folder.endswith(".bin") and leaf.startswith("part-"):
+            found.append((stored, size, folder, int(leaf[len("part-"):])))
+    return found
+
+
+class TokenBinReader(_RangeReader):
+    def partitions(self):
+        return [
+            TokenSplit(s.path, s.start, s.end, s.size, name, base)
+            for stored, size, name, base in token_file_parts(self.path)
+            for s in byte_splits([(stored, size)], 4, self.split_bytes)
+        ] or [None]
 
     def read_range(self, f, split):
         if split.end == split.size and split.size % 4:
@@ -89,11 +112,51 @@ class TokenBinReader(_RangeReader):
         f.seek(split.start)
         for at in range(split.start, end, 4 * BATCH_ROWS):
             ids = np.frombuffer(f.read(min(4 * BATCH_ROWS, end - at)), dtype="<u4").astype(np.int64)
-            pos = np.arange(at // 4, at // 4 + len(ids), dtype=np.int64)
-            paths = pa.array([split.path], pa.string()).take(pa.array(np.zeros(len(ids), np.int32)))
+            pos = np.arange(len(ids), dtype=np.int64) + (split.base + at) // 4
+            paths = pa.array([split.name], pa.string()).take(pa.array(np.zeros(len(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([paths, pa.array(pos), pa.array(ids)], ["path", "pos", "token_id"])
 
 
+class TokenFileReader(DataSourceReader):
+    """Names and sizes only; one small partition per thousand files."""
+
+    def __init__(self, options):
+        self.path = options["path"]
+
+    def partitions(self):
+        sizes: dict[str, int] = {}
+        for _, size, name, _ in token_file_parts(self.path):
+            sizes[name] = sizes.get(name, 0) + size
+        files = sorted(sizes.items())
+        return [FileNames(files[i : i + 1000]) for i in range(0, len(files), 1000)] or [FileNames([])]
+
+    def read(self, split):
+        if split.files:
+            names, sizes = zip(*split.files)
+            yield pa.RecordBatch.from_pydict(
+                {"path": pa.array(names, pa.string()), "size_bytes": pa.array(sizes, pa.int64())}
+            )
+
+
+@dataclass
+class FileNames(InputPartition):
+    files: list
+
+
+class TokenFileSource(DataSource):
+    """``format("token_files")``: (path, size_bytes) of every token file, empty ones too."""
+
+    @classmethod
+    def name(cls):
+        return "token_files"
+
+    def schema(self):
+        return "path string, size_bytes bigint"
+
+    def reader(self, schema):
+        return TokenFileReader(self.options)
+
+
 class TokenBinSource(DataSource):
     """``format("token_bin")``: flat little-endian uint32 files."""
 

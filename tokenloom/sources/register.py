@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tokenloom.sources.arrow_ipc import ArrowIpcSource
-from tokenloom.sources.readers import ByteBlockSource, LogLineSource, TokenBinSource
+from tokenloom.sources.readers import ByteBlockSource, LogLineSource, TokenBinSource, TokenFileSource
 from tokenloom.sources.sinks import PositionedSink
 
 
 def register_sources(spark: SparkSession) -> None:
-    for source in (ArrowIpcSource, ByteBlockSource, TokenBinSource, LogLineSource, PositionedSink):
+    for source in (
+        ArrowIpcSource, ByteBlockSource, TokenBinSource, TokenFileSource, LogLineSource, PositionedSink,
+    ):
         spark.dataSource.register(source)
