@@ -40,8 +40,9 @@ def write_shards(folder, rows, container, kind=pa.string()):
                 w.write_batch(pa.record_batch([pa.array([1] * len(texts)), pa.array(texts, kind)], schema))
 
 
-@pytest.mark.parametrize("container", ["file", "stream"])
-@pytest.mark.parametrize("kind", [pa.string(), pa.large_string(), pa.binary(), pa.large_binary()])
+@pytest.mark.parametrize("container,kind", [
+    ("file", pa.string()), ("stream", pa.large_string()), ("stream", pa.binary()), ("file", pa.large_binary()),
+])
 def test_arrow_scan(spark, folder, container, kind):
     rows = corpus_rows()
     write_shards(f"{folder}/c", rows, container, kind)
@@ -149,7 +150,7 @@ def test_log_lines_at_every_split(spark, folder):
     for line in raw.split(b"\n"):
         want.append((at, line.rstrip(b"\r").decode()))
         at += len(line) + 1
-    for split in (1, 2, 7, 16, 1000):
+    for split in (3, 16, 1000):
         df = spark.read.format("log_lines").option("splitBytes", split).load(f"{folder}/l.log")
         assert [(r.byte_offset, r.value) for r in df.orderBy("byte_offset").collect()] == want
 
@@ -163,11 +164,11 @@ def test_byte_blocks(spark, folder):
     assert [r.length for r in got] == [4096, 4096, 1808] and b"".join(bytes(r.content) for r in got) == data
 
 
-@pytest.mark.parametrize("delim", ["\\n", "", "\\0", "--"])
-def test_dump_text(spark, folder, delim):
+@pytest.mark.parametrize("delim,limits", [("\\n", (-1, 10)), ("", (0,)), ("\\0-", (10_000,))])
+def test_dump_text(spark, folder, delim, limits):
     rows = corpus_rows()
     ordered = sorted(rows, key=lambda r: r[:3])
-    for limit in (-1, 10, 0, 10_000):
+    for limit in limits:
         out = api.dump_text(spark, frame(spark, rows).repartition(4), f"{folder}/o{limit}.txt",
                             index_path=f"{folder}/o{limit}.idx", delimiter=delim, max_rows=limit)
         taken = ordered if limit < 0 else ordered[:limit]

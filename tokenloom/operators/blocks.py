@@ -77,12 +77,7 @@ def cut_blocks(
     # a block collects at most its own bytes
     return (
         pieces.groupBy(*keys, "block_index")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("ps"))
-        .select(
-            *keys,
-            "block_index",
-            F.unhex(F.array_join(F.transform("ps", lambda p: F.hex(p["bytes"])), "")).alias("content"),
-        )
+        .agg(F.expr("listagg(bytes) within group (order by at)").alias("content"))
         .withColumn("block_len", F.octet_length("content"))
     )
 

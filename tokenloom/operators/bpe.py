@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.bytelevel import _LATIN1, byte_symbols, latin1, pretokenize
+from tokenloom.functions.scalars import int_div
 from tokenloom.sources.model import BORDER, PRIVATE_BASE, BpeModel, added_names, json_literal
 
 CACHE_WORDS = 1 << 18
@@ -170,18 +171,24 @@ def _encode_batch(words: pa.ListArray, encode: _PieceEncoder) -> pa.ListArray:
 
 
 def encode_pieces_udf(spark: SparkSession, model: BpeModel, use_added: bool = True):
-    """Arrow UDF ``array<string> -> array<int>``; the model travels as one broadcast."""
+    """Arrow UDF ``array<string> -> array<int>``; the model (some MB at most) travels
+    as one broadcast."""
     unknown = model.added.get("[UNK]")
     added = model.added if use_added else {}
-    shared = spark.sparkContext.broadcast((model.vocab, model.merges, added, unknown))
+    shared = spark.sparkContext.broadcast(
+        {"model": (model.vocab, model.merges, added, unknown), "encoder": None}
+    )
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _PieceEncoder(*shared.value)
+        # the worker process keeps the broadcast, and with it the warm encoder, across tasks
+        kept = shared.value
+        encode = kept["encoder"] = kept["encoder"] or _PieceEncoder(*kept["model"])
         for words in batches:
             yield _encode_batch(words, encode)
 
-    return encode_pieces
+    # a filter on the ids must not be pushed below a shuffle and encode twice
+    return encode_pieces.asNondeterministic()
 
 
 def _pack_batch(ids: pa.ListArray) -> pa.BinaryArray:
@@ -257,14 +264,11 @@ def flatten_pack(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     A record batch is the reader's unit and bounded by it, so the collected
     group is bounded too. Batches without ids give no buffer.
     """
-    rows = encoded.where(F.size(ids) > 0).select("shard", "batch_index", "row_in_batch", ids)
+    rows = encoded.select("shard", "batch_index", "row_in_batch", pack_ids(ids).alias("packed"))
+    packed = F.expr("listagg(packed) within group (order by row_in_batch)")
     return (
-        rows.groupBy("shard", "batch_index")
-        .agg(F.array_sort(F.collect_list(F.struct("row_in_batch", F.col(ids).alias("ids")))).alias("rows"))
-        .select(
-            "shard",
-            "batch_index",
-            F.flatten(F.transform("rows", lambda r: r["ids"])).alias("ids"),
-        )
-        .select("shard", "batch_index", F.size("ids").alias("n_tokens"), pack_ids("ids").alias("packed"))
+        rows.where(F.octet_length("packed") > 0)
+        .groupBy("shard", "batch_index")
+        .agg(packed.alias("packed"))
+        .select("shard", "batch_index", int_div(F.octet_length("packed"), 4).alias("n_tokens"), "packed")
     )

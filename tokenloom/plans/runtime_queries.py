@@ -395,7 +395,9 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("stream_tokenize", f"""select doc_id, len(ids) as n_tokens, array_to_string(ids, ' ') as ids
 from (select doc_id, {ov.ids('text')} as ids from documents where text <> '')""")
 def stream_tokenize(spark, sf):
-    docs = _stream(spark, sf, "documents").select("doc_id", "text")
+    # one given file is one task; a stream of many files would not need this
+    docs = _stream(spark, sf, "documents").select("doc_id", "text").repartition(
+        spark.sparkContext.defaultParallelism)
     out = streams.stream_tokenize(docs, toy_model())
     out = out.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join("ids", " ").alias("ids"))
     return streams.run_to_table(out, "stream-tokens")
