@@ -77,8 +77,8 @@ def tokenize_corpus(
     register_sources(spark)
     pretok = {k: options.pop(k) for k in ("pretokenizer", "use_added") if k in options}
     if mode == "rows":
-        rows = spread(corpus_frame(spark, source, column, shards))
-        rows = rows.withColumn(column, F.col(column).cast("string"))
+        rows = corpus_frame(spark, source, column, shards)
+        rows = (spread(rows) if isinstance(source, str) else rows).withColumn(column, F.col(column).cast("string"))
         encoded = bpe.bpe_encode(rows, model, column, strategy=strategy, **pretok)
         # encoded once; the counts come from the written table
         packed = materialize(tokens.packed_rows(encoded), "packed")
@@ -196,7 +196,7 @@ def summarize_tokens(spark: SparkSession, path: str, limit: int = 64) -> tuple[D
     register_sources(spark)
     files = tokens.token_files(spark, path)
     scan = spark.read.format("token_bin").load(path)
-    return tokens.token_file_summary(files, scan), tokens.head_tail(files, scan, limit)
+    return tokens.token_file_summary(files, scan), tokens.head_tail(spark, path, limit)
 
 
 def parse_cores(spark: SparkSession, spec: str) -> list[int]:

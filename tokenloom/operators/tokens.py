@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.functions.scalars import shard_name
+from tokenloom.functions.scalars import int_div, shard_name
 from tokenloom.operators.bpe import pack_ids
 from tokenloom.operators.corpus import ORDER
 from tokenloom.operators.ordered import corpus_path, running_total
@@ -67,15 +67,19 @@ def token_file_summary(files: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def head_tail(files: DataFrame, tokens: DataFrame, limit: int = 64) -> DataFrame:
-    """First ``limit`` ids of each file, and the last ones only if there are more than that."""
+def head_tail(spark: SparkSession, path: str, limit: int = 64) -> DataFrame:
+    """First ``limit`` ids of each file, and the last ones only if there are more than that.
+
+    Only these ids are read.
+    """
     limit = max(0, limit)
-    counted = files.withColumn("_n", F.floor(F.col("size_bytes") / 4)).select("path", "_n")
-    both = tokens.join(counted, "path")
+    ids = spark.read.format("token_bin").option("ends", limit).load(path)
+    counted = token_files(spark, path).select("path", int_div(F.col("size_bytes"), F.lit(4).cast("long")).alias("_n"))
     head = F.when(F.col("pos") < limit, F.lit("HEAD"))
     tail = F.when((F.col("_n") > limit) & (F.col("pos") >= F.col("_n") - limit), F.lit("TAIL"))
     return (
-        both.withColumn("part", F.explode(F.array_compact(F.array(head, tail))))
+        ids.join(counted, "path")
+        .withColumn("part", F.explode(F.array_compact(F.array(head, tail))))
         .select("path", "part", "pos", "token_id")
     )
 

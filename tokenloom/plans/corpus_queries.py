@@ -318,9 +318,7 @@ def token_bin_scan(spark, sf):
 select file, 'HEAD' as part, pos, token_id from sized where pos < 64
 union all select file, 'TAIL', pos, token_id from sized where n > 64 and pos >= n - 64""")
 def head_tail(spark, sf):
-    path = _bins(spark, sf)
-    out = tokens.head_tail(tokens.token_files(spark, path), spark.read.format("token_bin").load(path), 64)
-    return out.select(_file_name(), "part", "pos", "token_id")
+    return tokens.head_tail(spark, _bins(spark, sf), 64).select(_file_name(), "part", "pos", "token_id")
 
 
 @query("token_file_summary", f"""with {_BLOCK_TOKENS_SQL}, per as (

@@ -19,8 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def us(col: str = "ts") -> Column:
-    return F.unix_micros(F.col(col).cast("timestamp"))
+US = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+
+
+def us() -> Column:
+    """Microseconds of the zone-free column ``ts``, whatever the session's zone."""
+    return F.expr(US)
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,8 +166,7 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
         "event_id as user_data", "case when event_id % 29 = 0 then -5 else 0 end as res",
         "case when event_id % 4 = 0 then (event_id * 40503) % 65536 else 0 end as status_field",
         "concat('out-', user_id % 5, '.bin') as out_path", "event_id % 256 + 1 as nblocks",
-        "unix_micros(cast(ts as timestamp)) as start_us",
-        "unix_micros(cast(ts as timestamp)) + (event_id * 31) % 5000 as end_us",
+        f"{US} as start_us", f"{US} + (event_id * 31) % 5000 as end_us",
     )
 
 

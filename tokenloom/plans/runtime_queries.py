@@ -412,7 +412,7 @@ def _event_streams(spark, sf) -> DataFrame:
     late = spark.readStream.schema(flush.schema).parquet(path)
     events = _stream(spark, sf, "events").select("event_id", "ts", "user_id")
     both = events.withColumn("flush", F.lit(False)).unionByName(late.withColumn("flush", F.lit(True)), allowMissingColumns=True)
-    return both.withColumn("ts", F.col("ts").cast("timestamp"))
+    return both.withColumn("ts", F.timestamp_micros(fx.us()))
 
 
 def _latency() -> Column:

@@ -49,9 +49,11 @@ def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when the input has fewer partitions.
+    """Use all cores for heavy per-row work when a scan has fewer partitions.
 
-    A large input has more partitions than cores and passes unchanged, unshuffled.
+    For plain scans only: counting the partitions of a plan with a shuffle would
+    run that shuffle. A large scan has more partitions than cores and passes
+    unchanged, unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tokenloom.sources.files import FileSplit, byte_splits, list_files, resolve
 
 BATCH_ROWS = 1 << 16
+NOTHING = FileSplit("", 0, 0, 0)  # an empty list would mean one default partition
 
 
 class _RangeReader(DataSourceReader):
@@ -29,11 +30,10 @@ class _RangeReader(DataSourceReader):
         return 1
 
     def partitions(self):
-        # an empty list would mean one default partition, so say "no rows" with a None split
-        return byte_splits(list_files(self.path, self.suffix), self.unit(), self.split_bytes) or [None]
+        return byte_splits(list_files(self.path, self.suffix), self.unit(), self.split_bytes) or [NOTHING]
 
     def read(self, split):
-        if split is None:
+        if split.start >= split.end:
             return
         filesystem, local = resolve(split.path)
         with filesystem.open_input_file(local) as f:
@@ -98,12 +98,32 @@ def token_file_parts(path: str) -> list[tuple[str, int, str, int]]:
 
 
 class TokenBinReader(_RangeReader):
+    def __init__(self, options):
+        super().__init__(options)
+        self.ends = int(options["ends"]) if "ends" in options else None
+
     def partitions(self):
-        return [
-            TokenSplit(s.path, s.start, s.end, s.size, name, base)
-            for stored, size, name, base in token_file_parts(self.path)
-            for s in byte_splits([(stored, size)], 4, self.split_bytes)
-        ] or [None]
+        stored_files = token_file_parts(self.path)
+        wanted = self._ends_of(stored_files) if self.ends is not None else None
+        splits = []
+        for stored, size, name, base in stored_files:
+            for s in byte_splits([(stored, size)], 4, self.split_bytes):
+                ranges = [(s.start, s.end)] if wanted is None else [
+                    (max(s.start, lo - base), min(s.end, hi - base)) for lo, hi in wanted[name]
+                ]
+                splits += [TokenSplit(s.path, lo, hi, size, name, base) for lo, hi in ranges if lo < hi]
+        return splits or [NOTHING]
+
+    def _ends_of(self, stored_files):
+        """Byte ranges of the first and last ``ends`` ids of every token file."""
+        sizes: dict[str, int] = {}
+        for _, size, name, _ in stored_files:
+            sizes[name] = sizes.get(name, 0) + size
+        want = {}
+        for name, size in sizes.items():
+            whole, n = size // 4 * 4, 4 * max(0, self.ends)
+            want[name] = [(0, whole)] if whole <= 2 * n else [(0, n), (whole - n, whole)]
+        return want
 
     def read_range(self, f, split):
         if split.end == split.size and split.size % 4:
@@ -158,7 +178,8 @@ class TokenFileSource(DataSource):
 
 
 class TokenBinSource(DataSource):
-    """``format("token_bin")``: flat little-endian uint32 files."""
+    """``format("token_bin")``: flat little-endian uint32 files; with option ``ends=n``
+    only the first and last n ids of each file are read."""
 
     @classmethod
     def name(cls):

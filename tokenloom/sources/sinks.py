@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from tokenloom.sources.files import resolve
 
 BUFFER_BYTES = 8 << 20
+OPEN_FILES = 64
 
 
 class PositionedWriter(DataSourceArrowWriter):
@@ -43,6 +45,7 @@ class PositionedWriter(DataSourceArrowWriter):
 
         _, temp = resolve(self.temp)
         emit = self._write_at if self.layout == "file" else self._write_part
+        self.open_files: OrderedDict[str, int] = OrderedDict()
         attempt = str(TaskContext.get().taskAttemptId())
         made: dict[str, set[int]] = {}
         run_file, run_at, run = None, 0, bytearray()
@@ -60,23 +63,30 @@ class PositionedWriter(DataSourceArrowWriter):
                 run += data
         if run_file is not None:
             emit(temp, attempt, run_file, run_at, run, made)
+        while self.open_files:
+            self._close_oldest()
         message = WriterCommitMessage()
         message.made = {name: sorted(parts) for name, parts in made.items()}
         message.attempt = attempt
         return message
 
-    @staticmethod
-    def _write_at(temp, attempt, name, at, run, made):
+    def _write_at(self, temp, attempt, name, at, run, made):
         made.setdefault(name, set())
-        fd = os.open(os.path.join(temp, name), os.O_CREAT | os.O_WRONLY, 0o644)
-        try:
-            view = memoryview(run)
-            while view:
-                n = os.pwrite(fd, view, at)
-                at, view = at + n, view[n:]
-            os.fsync(fd)
-        finally:
-            os.close(fd)
+        fd = self.open_files.pop(name, None)
+        if fd is None:
+            if len(self.open_files) >= OPEN_FILES:
+                self._close_oldest()
+            fd = os.open(os.path.join(temp, name), os.O_CREAT | os.O_WRONLY, 0o644)
+        self.open_files[name] = fd
+        view = memoryview(run)
+        while view:
+            n = os.pwrite(fd, view, at)
+            at, view = at + n, view[n:]
+
+    def _close_oldest(self):
+        _, fd = self.open_files.popitem(last=False)
+        os.fsync(fd)
+        os.close(fd)
 
     def _write_part(self, temp, attempt, name, at, run, made):
         made.setdefault(name, set())
