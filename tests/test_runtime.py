@@ -255,6 +255,20 @@ def test_call_log_and_totals(spark):
     assert [(r.time_us, r.logged_total_us) for r in logs.parse_call_log(df).collect()] == [(5, 12)]
 
 
+def test_run_summary_lines(spark):
+    df = spark.createDataFrame([("[INFO] segments=3 total_bytes=1536 errors=0 elapsed_us=77",), ("x",)], "value string")
+    assert [tuple(r) for r in logs.parse_run_summary(df).collect()] == [(3, 1536, 0, 77)]
+
+
+def test_profile_tokenize(spark, model):
+    rows = [(i % 3, 0, i // 3, "the end" if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "shard long, batch_index long, row_in_batch long, text string").repartition(4)
+    got = {r.worker: r for r in api.profile_tokenize(spark, df).collect()}
+    whole = got.pop("ALL")
+    assert whole.tokens == sum(r.tokens for r in got.values()) == 45 * 4
+    assert len(got) > 1 and all(r.total_s > 0 for r in got.values())
+
+
 # ------------------------------------------------------------------- streams
 def test_stream_rates_across_batches(spark):
     streams.use_rocksdb(spark)

@@ -82,7 +82,7 @@ def test_arrow_writer(spark, folder, container):
     assert sorted(os.listdir(f"{folder}/w")) == [f"data-0000{i}-of-00003.arrow" for i in range(3)]
 
 
-def reference_bins(spark, rows, model):
+def expected_bins(spark, rows, model):
     got = bpe.bpe_encode(frame(spark, rows), model).collect()
     out = {}
     for r in sorted(got, key=lambda r: (r.shard, r.batch_index, r.row_in_batch)):
@@ -94,7 +94,7 @@ def reference_bins(spark, rows, model):
 @pytest.mark.parametrize("layout", ["file", "parts"])
 def test_token_bins(spark, folder, model, layout):
     rows = corpus_rows() + [(7, 0, 0, None), (7, 0, 1, "")]  # shard 7 has no usable row
-    want = reference_bins(spark, rows, model)
+    want = expected_bins(spark, rows, model)
     assert want["00007.bin"] == b""
     enc = bpe.bpe_encode(frame(spark, rows).repartition(5), model)
     for _ in range(2):  # a rerun replaces
@@ -116,7 +116,7 @@ def test_rerun_with_less_data_leaves_no_tail(spark, folder, model):
     enc = bpe.bpe_encode(frame(spark, corpus_rows(200, 1)), model)
     tokens.write_token_bins(enc, folder)
     tokens.write_token_bins(enc.where("batch_index < 2"), folder)
-    want = reference_bins(spark, [r for r in corpus_rows(200, 1) if r[1] < 2], model)["00000.bin"]
+    want = expected_bins(spark, [r for r in corpus_rows(200, 1) if r[1] < 2], model)["00000.bin"]
     assert open(f"{folder}/00000.bin", "rb").read() == want
 
 
@@ -204,7 +204,7 @@ def test_tokenize_corpus(spark, folder, model):
     rows = corpus_rows()
     write_shards(f"{folder}/c", rows, "stream")
     stats = api.tokenize_corpus(spark, f"{folder}/c")
-    want = reference_bins(spark, rows, model)
+    want = expected_bins(spark, rows, model)
     assert stats["output"] == f"{folder}/c.bin" and stats["rows"] == len(rows)
     assert stats["tokens"] * 4 == sum(map(len, want.values()))
     assert {n: open(f"{folder}/c.bin/{n}", "rb").read() for n in want} == want

@@ -18,7 +18,7 @@ from tokenloom.sources.sinks import write_positioned
 
 __all__ = [
     "build_range_index", "corpus_frame", "dump_text", "load_model", "monitor", "parse_runtime_log",
-    "register_functions", "register_sources", "summarize_tokens", "tokenize_corpus", "toy_model",
+    "profile_tokenize", "register_functions", "register_sources", "summarize_tokens", "tokenize_corpus", "toy_model",
 ]
 
 
@@ -146,7 +146,7 @@ def dump_text(
         line = F.concat(F.col("offset").cast("string"), F.lit("\t"), F.col("len").cast("string"))
         index = placed.select(*corpus.ORDER, line.alias("text"))
         _write_one(corpus.dump_rows(index).select("offset", "data"), index_path, layout)
-    return corpus.dump_stats(placed).first().asDict()
+    return corpus.dump_stats(rows, column, delimiter, max_rows).first().asDict()
 
 
 def _write_one(placed: DataFrame, path: str, layout: str) -> None:
@@ -199,6 +199,14 @@ def summarize_tokens(spark: SparkSession, path: str, limit: int = 64) -> tuple[D
     return tokens.token_file_summary(files, scan), tokens.head_tail(spark, path, limit)
 
 
+def profile_tokenize(
+    spark: SparkSession, source: DataFrame | str, column: str = "text", model: BpeModel | None = None
+) -> DataFrame:
+    """Stage times of encoding a corpus, per task and for all: the worker report."""
+    rows = corpus.nonempty_rows(corpus_frame(spark, source, column), column)
+    return counters.worker_profile(bpe.stage_times(rows, model or toy_model(), column))
+
+
 def parse_cores(spark: SparkSession, spec: str) -> list[int]:
     return spark.range(1).select(core_list(F.lit(spec)).alias("c")).first()["c"]
 

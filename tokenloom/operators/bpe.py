@@ -246,6 +246,44 @@ def bpe_encode(
     return df.withColumn(out, udf(words))
 
 
+def stage_times(rows: DataFrame, model: BpeModel, text: str = "text") -> DataFrame:
+    """Encode and pack every row, keeping only the times: one record per Arrow batch.
+
+    ``worker`` is the task's partition. Waiting for a batch (scan, filter,
+    pre-tokenization) counts as reading; nothing is written here.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((model.vocab, model.merges, {}, model.added.get("[UNK]")))
+    columns = ["worker", "shards", "tokens", "read_us", "decode_us", "tokenize_us", "pack_us",
+               "write_us", "flush_us", "fsync_us"]
+
+    def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from time import perf_counter_ns
+
+        from pyspark import TaskContext
+
+        encode = _PieceEncoder(*shared.value)
+        worker = f"task-{TaskContext.get().partitionId()}"
+        seen: set[int] = set()
+        marks = [perf_counter_ns()]
+        for batch in batches:
+            marks = [marks[-1], perf_counter_ns()]
+            words = batch.column("words")
+            new = set(batch.column("shard").to_pylist()) - seen
+            seen |= new
+            marks.append(perf_counter_ns())
+            ids = _encode_batch(words, encode)
+            marks.append(perf_counter_ns())
+            _pack_batch(ids)
+            marks.append(perf_counter_ns())
+            spent = [(b - a) // 1000 for a, b in zip(marks, marks[1:])]
+            record = [worker, len(new), len(ids.flatten()), *spent, 0, 0, 0]
+            yield pa.RecordBatch.from_pydict({c: [v] for c, v in zip(columns, record)})
+
+    words = pretokenize(F.col(text)).alias("words")
+    ddl = "worker string, " + ", ".join(f"{c} bigint" for c in columns[1:])
+    return rows.select("shard", words).mapInArrow(timed, ddl)
+
+
 def bpe_decode(ids: Column, model: BpeModel) -> Column:
     """Ids -> text; unknown ids vanish, malformed UTF-8 becomes U+FFFD."""
     table = json_literal(model.decode_table(), "array<string>")

@@ -77,10 +77,12 @@ def dump_rows(df: DataFrame, column: str = "text", delimiter: str = "\n", rows:
     return placed.select(*ORDER, "offset", "len", data.alias("data"))
 
 
-def dump_stats(placed: DataFrame) -> DataFrame:
-    return placed.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("output_bytes"),
+def dump_stats(df: DataFrame, column: str = "text", delimiter: str = "\n", rows: int = -1) -> DataFrame:
+    """Rows and bytes of such a dump; lengths alone decide, nothing is placed."""
+    delim = unescape_delimiter(delimiter).encode("utf-8")
+    size = F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + len(delim)
+    return max_rows(df, rows).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("output_bytes")
     )
 
 

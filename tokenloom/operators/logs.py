@@ -219,3 +219,12 @@ def sweep_summary(lines: DataFrame) -> DataFrame:
         last(whole, 1, "long").alias("tokens"),
         last(whole, 2, "double").alias("throughput"),
     ).withColumn("failed", F.coalesce(F.col("rc") != 0, F.lit(True)))
+
+
+def parse_run_summary(lines: DataFrame) -> DataFrame:
+    """Closing lines of block runs: segments, bytes, errors and elapsed time."""
+    pattern = r"\[INFO\] segments=(\d+) total_bytes=(\d+) errors=(\d+) elapsed_us=(-?\d+)"  # fixed value
+    names = ["segments", "total_bytes", "errors", "elapsed_us"]
+    return lines.where(F.col("value").rlike(pattern)).select(
+        *[F.regexp_extract("value", pattern, i + 1).cast("long").alias(n) for i, n in enumerate(names)]
+    )

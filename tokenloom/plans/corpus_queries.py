@@ -11,7 +11,7 @@ from tokenloom.plans import fixtures as fx
 from tokenloom.plans import oracle_views as ov
 from tokenloom.plans.registry import query
 from tokenloom.session import scratch_path, spread
-from tokenloom.sources.model import added_names, toy_model, vocab_lookup
+from tokenloom.sources.model import toy_model, vocab_lookup
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
 
@@ -65,7 +65,7 @@ def text_dump(spark, sf):
 @query("text_dump_stats", f"""with {ov.CORPUS}
 select count(*) as rows, cast(sum({ov.LEN} + 1) as bigint) as output_bytes from corpus""")
 def text_dump_stats(spark, sf):
-    return corpus.dump_stats(corpus.dump_rows(fx.corpus(spark, sf), delimiter=r"\n"))
+    return corpus.dump_stats(fx.corpus(spark, sf), delimiter=r"\n")
 
 
 @query("max_rows", f"""with {ov.CORPUS}
