@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm.packing import best_two_fit
+from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,49 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_best_two_fit")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"))
+
+
+def _repeated(size: int) -> str:
+    """Places of words that lie in a window of ``size`` words found twice in the text."""
+    return f"""
+    select distinct doc_id, i + unnest(range({size})) as i from (
+        select doc_id, i, count(*) over (partition by doc_id, win) as n from (
+            select doc_id, i, n_words, string_agg(word, ' ') over (
+                partition by doc_id order by i rows between current row and {size - 1} following) as win
+            from place) where i + {size} <= n_words) where n > 1"""
+
+
+@query(
+    "op6_suffix_array_rules",
+    f"""
+    with word as (
+        select doc_id, coalesce(text, '') as text,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+        from documents),
+    place as (
+        select doc_id, len(w) as n_words, unnest(w) as word, unnest(range(len(w))) as i from word),
+    triple as ({_repeated(3)}), six as ({_repeated(6)}), long as ({_repeated(41)}),
+    line as (
+        select doc_id, count(*) - count(distinct line) as dups from (
+            select doc_id, unnest(string_split(text, chr(10))) as line from word)
+        where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
+    counted as (
+        select doc_id, len(w) as n_words,
+            length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+            coalesce(dups, 0) as n_dup_lines,
+            coalesce(a.n, 0) as n_repeat_words, coalesce(b.n, 0) as covered_words, c.n is not null as too_long
+        from word left join line using (doc_id)
+        left join (select doc_id, count(*) as n from triple group by doc_id) a using (doc_id)
+        left join (select doc_id, count(*) as n from six group by doc_id) b using (doc_id)
+        left join (select doc_id, count(*) as n from long group by doc_id) c using (doc_id))
+    select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+        n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+        covered_words::bigint as covered_words,
+        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * covered_words <= 30 * n_words
+            and not too_long as kept
+    from counted""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
