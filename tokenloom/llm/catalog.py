@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenloom.llm.decontaminate import decontaminate
 from tokenloom.llm.packing import best_two_fit
 from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.simhash import near_duplicates
@@ -82,3 +83,8 @@ def _repeated(size: int) -> str:
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+@query("op10_template_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
