@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tokenloom.llm.chat import perspectives
 from tokenloom.llm.decontaminate import decontaminate
 from tokenloom.llm.packing import best_two_fit
 from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.simhash import near_duplicates
+from tokenloom.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +91,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_template_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op2_chat_perspectives",
+    """
+    with turn as (
+        select conv_id, turn, coalesce(role, 'unknown') as role,
+            replace(coalesce(text, ''), '<|im_', '<| im_') as body,
+            row_number() over (partition by conv_id order by turn nulls last, role, text) - 1 as place
+        from conversations),
+    side as (
+        select t.*, s.role as speaker, t.role = s.role as own, t.place // 64 as part,
+            case when t.role = 'system' then '<|im_start|>system' when t.role = s.role then '<|im_start|>assistant'
+                else '<|im_start|>user name=' || t.role end || chr(10) as head
+        from turn t join (select distinct conv_id, role from turn where role <> 'system') s using (conv_id)),
+    placed as (
+        select *, coalesce(sum(length(head) + length(body) + 11) over (
+            partition by conv_id, speaker, part order by place rows between unbounded preceding and 1 preceding), 0)
+            + length(head) as pos
+        from side)
+    select conv_id, speaker, part::bigint as part, count(*) as n_turns, count(*) filter (own) as n_trained,
+        string_agg(head || body || '<|im_end|>' || chr(10), '' order by place) as text,
+        coalesce(string_agg(pos::bigint || '-' || (pos + length(body) + 10)::bigint, ',' order by place)
+            filter (own), '') as mask
+    from placed group by conv_id, speaker, part""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, ","))
+
+
+@query("op9_markov_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
