@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.chat import perspectives
+from tokenloom.llm.cotraining import score_quality
 from tokenloom.llm.decontaminate import decontaminate
+from tokenloom.llm.langid import identify
 from tokenloom.llm.packing import best_two_fit
 from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.simhash import near_duplicates
@@ -125,3 +127,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_markov_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op3_ftrl_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_cotraining_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
