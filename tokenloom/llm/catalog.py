@@ -13,6 +13,7 @@ from tokenloom.llm.decontaminate import decontaminate
 from tokenloom.llm.langid import identify
 from tokenloom.llm.packing import best_two_fit
 from tokenloom.llm.quality_rules import quality_rules
+from tokenloom.llm.repeats import repeat_report
 from tokenloom.llm.simhash import near_duplicates
 from tokenloom.llm.urls import filter_urls
 
@@ -137,3 +138,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_cotraining_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_columnwise_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
