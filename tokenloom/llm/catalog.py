@@ -11,6 +11,7 @@ from tokenloom.llm.chat import perspectives
 from tokenloom.llm.cotraining import score_quality
 from tokenloom.llm.decontaminate import decontaminate
 from tokenloom.llm.langid import identify
+from tokenloom.llm.lm_scoring import lm_scores
 from tokenloom.llm.packing import best_two_fit
 from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.repeats import repeat_report
@@ -143,3 +144,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_columnwise_repeats")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_attention_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
