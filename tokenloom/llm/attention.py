@@ -84,7 +84,7 @@ class Attention:
         }
         self.scale = np.float32(1 / np.sqrt(size))
 
-    def fit(self, texts: list[np.ndarray], class_of: np.ndarray, steps: int = 400, batch: int = 192,
+    def fit(self, texts: list[np.ndarray], class_of: np.ndarray, steps: int = 800, batch: int = 256,
             rate: float = 6e-3, seed: int = 5) -> Attention:
         blocks = to_blocks(texts)
         rng, p = np.random.default_rng(seed), self.p

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The one letter fold of the contracts: ASCII only, as bytes.lower() does it.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,7 +30,7 @@ def is_held_out(doc_id: Column, n: int) -> Column:
 
 
 def map_rows(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType,
     bytes_per_call: int = 4 << 20,
 ) -> DataFrame:
     """``mapInArrow`` in slices of about ``bytes_per_call``, so that memory follows the slice."""

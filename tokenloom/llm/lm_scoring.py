@@ -118,7 +118,7 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 def lm_scores(
-    docs: DataFrame, mod: int = 5, max_train: int = 1500, n_classes: int = 64, vocabulary: str | None = None,
+    docs: DataFrame, mod: int = 5, max_train: int = 1500, n_classes: int = 128, vocabulary: str | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 

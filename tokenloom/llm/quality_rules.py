@@ -129,6 +129,12 @@ def measure(texts: list[bytes], min_words: int) -> dict[str, np.ndarray]:
     }
 
 
+def verdicts(m: dict[str, np.ndarray], max_covered: int, max_repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts fail the base rules, and which are kept."""
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    return failed, ~failed & (100 * m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_repeat)
+
+
 def quality_rules(
     docs: DataFrame, min_words: int = 6, max_covered: int = 30, max_repeat: int = 40,
 ) -> DataFrame:
@@ -142,8 +148,7 @@ def quality_rules(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = measure(texts_of(batch.column(1)), min_words)
-        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-        kept = ~failed & (100 * m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_repeat)
+        failed, kept = verdicts(m, max_covered, max_repeat)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         cols = [batch.column(0), *[pa.array(m[k]) for k in names], pa.array(failed), pa.array(m["covered_words"]),
                 pa.array(m["longest_repeat"]), pa.array(kept)]
@@ -152,3 +157,15 @@ def quality_rules(
         )
 
     return map_rows(plain_columns(docs, doc_id="doc_id", text="text"), run, RULES, 1 << 20)
+
+
+def keep_by_rules(
+    docs: DataFrame, min_words: int = 6, max_covered: int = 30, max_repeat: int = 40,
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(verdicts(measure(texts_of(batch.column(at)), min_words), max_covered, max_repeat)[1]))
+
+    return map_rows(docs, run, docs.schema, 1 << 20)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_rows, plain_columns, texts_of
+from tokenloom.llm.common import map_rows, texts_of
 from tokenloom.llm.graph import components
 from tokenloom.llm.words import split_words, windows, xxh64
 from tokenloom.session import materialize
@@ -52,19 +52,21 @@ def simhash(texts: list[bytes], shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of whole texts; no word gives 0."""
+    """``doc_id, text_key, fp`` (the 64 bits as a signed long) of whole texts; no word gives 0."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = simhash(texts_of(batch.column(1)), shingle)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        fp = simhash(texts_of(batch.column(2)), shingle)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return map_rows(plain_columns(docs, doc_id="doc_id", text="text"), run, "doc_id long, fp long", 2 << 20)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return map_rows(rows, run, "doc_id long, text_key long, fp long", 2 << 20)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """Signed masks of the ``2 ** (radius + 1) - 1`` tables."""
     size = 1 << (radius + 1)
-    vectors = np.random.default_rng(radius).permutation(np.arange(bits) % size)
+    rng = np.random.default_rng(radius)
+    vectors = rng.permutation(np.arange(bits) % size) if size <= bits else rng.choice(size, bits, replace=False)
     masks = []
     for v in range(1, size):
         odd = [i for i in range(bits) if int(vectors[i] & v).bit_count() & 1]
@@ -134,31 +136,54 @@ def _through_middles(hot: DataFrame, radius: int) -> DataFrame:
     return star.distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``.
-
-    ``fingerprint`` is 16 hex digits, ``component_id`` the smallest ``doc_id`` reachable over
-    fingerprints that differ in ``radius`` bits or fewer (an even radius). Null, empty and
-    blank texts have fingerprint zero and are linked like any other. Repeated rows and ids
-    each give a row; a null ``doc_id`` names no component, so one of nulls only is null.
-    """
+def group_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp, component, component_id`` for every fingerprint of a written table: the component's
+    name among fingerprints, and the smallest ``doc_id`` in it."""
     if radius % 2:
         raise ValueError("radius must be even")
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(links_within(nodes, radius))
     grouped = materialize(
-        nodes.join(roots, nodes["fp"] == roots["node"], "left")
-        .select("fp", "rep", "root"), "grouped",
+        nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", "root"), "grouped"
     )
     # a fingerprint without links is its own component, so only linked ones are gathered
-    linked = grouped.filter("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = grouped.filter("root is not null").groupBy("root").agg(
+        F.min("rep").alias("component_id"), F.min("fp").alias("component")
+    )
     linked = materialize(linked, "components")
-    named = materialize(
-        grouped.join(linked, "root", "left")
-        .select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")),
-        "named",
+    alone = F.col("root").isNull()
+    return materialize(
+        grouped.join(linked, "root", "left").select(
+            "fp", F.when(alone, F.col("fp")).otherwise(F.col("component")).alias("component"),
+            F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"),
+        ), "named",
     )
-    return prints.join(named, "fp").select(
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``.
+
+    ``fingerprint`` is 16 hex digits, ``component_id`` the smallest ``doc_id`` reachable over
+    fingerprints that differ in ``radius`` bits or fewer (an even radius). Null, empty and
+    blank texts have fingerprint zero and are linked like any other. Repeated rows and ids
+    each give a row; a null ``doc_id`` names no component, so one of nulls only is null.
+    """
+    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    return prints.join(group_fingerprints(prints, radius), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with all its columns.
+
+    It is the one with the smallest ``doc_id`` (null last, then by a hash of the text); of rows
+    equal in id and text any one stays. Blank and null texts are one group.
+    """
+    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    named = prints.join(group_fingerprints(prints, radius).select("fp", "component"), "fp")
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("b"))
+    best = materialize(best.select(F.col("b.doc_id").alias("_id"), F.col("b.text_key").alias("_key")), "best")
+    rows = docs.withColumn("_text_key", F.xxhash64("text"))
+    kept = rows.join(best, rows["doc_id"].eqNullSafe(best["_id"]) & (rows["_text_key"] == best["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
