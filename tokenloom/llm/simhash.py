@@ -87,7 +87,7 @@ def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while len(front) and len(fresh):
             near_at = np.full(len(fresh), -1)
             for k, x in enumerate(front):
-                near = (near_at < 0) & (np.bitwise_count(fresh ^ x) <= radius)
+                near = (near_at < 0) & (np.bitwise_count((fresh ^ x).view(np.uint64)) <= radius)
                 near_at[near] = k
             hit = near_at >= 0
             links += zip(front[near_at[hit]].tolist(), fresh[hit].tolist(), strict=True)
