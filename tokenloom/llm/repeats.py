@@ -336,22 +336,23 @@ def repeat_report(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of ``text``, and ``n_chars`` counted anew.
+    """``docs`` with the repeated bytes taken out of ``text``, and ``n_chars``, if there, counted anew.
 
     A span that ends inside a character takes the whole character with it. A null text stays
     null; a text of repeats only becomes empty. All other columns pass unchanged.
     """
 
-    @F.udf("string")
-    def rest(text: str | None, pieces: list | None) -> str | None:
-        if text is None or not pieces:
-            return text
-        spans = _spans_of([{"s": p["s"], "e": p["e"]} for p in pieces])
-        return _kept(text.encode(), spans).decode("utf-8", "ignore")
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rest = [
+            text if text is None or not pieces else _kept(text.encode(), _spans_of(pieces)).decode("utf-8", "ignore")
+            for text, pieces in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+        ]
+        cols = list(batch.columns[:-1])
+        cols[at] = pa.array(rest, pa.string())
+        return pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
     rows = _with_spans(docs, length, [F.col(f"`{c}`") for c in docs.columns])
-    rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest("text", "spans")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars"))
-                               .otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+    cut = map_rows(rows.select(*[F.col(f"`{c}`") for c in docs.columns], "spans"), run, docs.schema, 2 << 20)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
