@@ -5,6 +5,7 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from tokenloom.plans.catalog import ORACLES, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -32,13 +33,13 @@ def _rows(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    got = entry.queries()[name](spark, SF)
-    cursor = duck.execute(entry.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(got.columns) == sorted(columns)
     assert _rows(got.columns, got.collect()) == _rows(columns, cursor.fetchall())

@@ -137,9 +137,33 @@ def test_block_capacity_and_loss(spark, model):
     out = blocks.block_tokenize(blocks.cut_blocks(df, block_bytes=1024), model, 1024).orderBy("block_index").collect()
     assert [(r.block_len, r.capacity) for r in out] == [(1024, 1024), (376, 512)]
     for r in out:
-        assert r.kept == min(r.n_tokens, r.capacity // 4) and r.dropped == r.n_tokens - r.kept
-        assert len(r.output) == r.capacity
-    assert out[0].dropped > 0
+        assert r.kept == min(r.n_tokens, r.capacity // 4) and r.dropped == 0
+        assert len(r.output) == r.capacity and len(r.overflow) == 4 * (r.n_tokens - r.kept)
+    assert len(out[0].overflow) > 0
+    cut = blocks.cut_blocks(df, block_bytes=1024)
+    lossy = blocks.block_tokenize(cut, model, 1024, overflow="drop").orderBy("block_index").first()
+    assert lossy.dropped == out[0].n_tokens - out[0].kept and "overflow" not in lossy
+    with pytest.raises(Exception, match="more ids"):
+        blocks.block_tokenize(cut, model, 1024, overflow="error").collect()
+    with pytest.raises(ValueError):
+        blocks.block_tokenize(cut, model, 1000)
+
+
+def test_answers_count_only_after_their_request(spark):
+    writes = spark.createDataFrame([(1, 0, 10_000_000), (2, 0, 0), (3, 0, 0)], "req_id long, slot long, write_us long")
+    reads = spark.createDataFrame(
+        [(1, 5_000_000, 4), (1, 10_500_000, 8), (1, 11_000_000, 12), (2, 5_000_001, 4)], "req_id long, read_us long, byte_size long")
+    out = {r.req_id: (r.latency_us, r.byte_size, r.timed_out) for r in logs.request_latency(writes, reads).collect()}
+    assert out == {1: (500_000, 8, False), 2: (None, None, True), 3: (None, None, True)}
+
+
+def test_slot_reset_has_no_delta_and_high_slots_no_share(spark):
+    snaps = spark.createDataFrame(
+        [(0, 0, 1, 100), (0, 0, 2, 5), (0, 1, 2, 7), (0, 70, 2, 9)], "run long, slot long, tick long, resp long")
+    rates = counters.slot_rates(snaps, 1000)
+    assert {(r.slot, r.tick): r.delta for r in rates.collect()}[0, 2] is None
+    fair = {r.tick: r.fairness for r in counters.jain_fairness(rates, ["run", "tick"]).collect()}
+    assert fair[2] == pytest.approx(1 / 64)
 
 
 # ------------------------------------------------------------------ counters

@@ -114,8 +114,8 @@ def test_token_bins(spark, folder, model, layout):
 
 def test_rerun_with_less_data_leaves_no_tail(spark, folder, model):
     enc = bpe.bpe_encode(frame(spark, corpus_rows(200, 1)), model)
-    tokens.write_token_bins(enc, folder)
-    tokens.write_token_bins(enc.where("batch_index < 2"), folder)
+    tokens.write_token_bins(enc, folder, layout="file")
+    tokens.write_token_bins(enc.where("batch_index < 2"), folder, layout="file")
     want = expected_bins(spark, [r for r in corpus_rows(200, 1) if r[1] < 2], model)["00000.bin"]
     assert open(f"{folder}/00000.bin", "rb").read() == want
 
@@ -169,7 +169,7 @@ def test_dump_text(spark, folder, delim, limits):
     rows = corpus_rows()
     ordered = sorted(rows, key=lambda r: r[:3])
     for limit in limits:
-        out = api.dump_text(spark, frame(spark, rows).repartition(4), f"{folder}/o{limit}.txt",
+        out = api.dump_text(spark, frame(spark, rows).repartition(4), f"{folder}/o{limit}.txt", layout="file",
                             index_path=f"{folder}/o{limit}.idx", delimiter=delim, max_rows=limit)
         taken = ordered if limit < 0 else ordered[:limit]
         d = unescape_delimiter(delim).encode()
@@ -203,25 +203,46 @@ def test_positioned_sink_out_of_order(spark, folder):
 def test_tokenize_corpus(spark, folder, model):
     rows = corpus_rows()
     write_shards(f"{folder}/c", rows, "stream")
-    stats = api.tokenize_corpus(spark, f"{folder}/c")
+    stats = api.tokenize_corpus(spark, f"{folder}/c", layout="file")
     want = expected_bins(spark, rows, model)
     assert stats["output"] == f"{folder}/c.bin" and stats["rows"] == len(rows)
     assert stats["tokens"] * 4 == sum(map(len, want.values()))
     assert {n: open(f"{folder}/c.bin/{n}", "rb").read() for n in want} == want
-    two = api.tokenize_corpus(spark, f"{folder}/c", f"{folder}/two", shards=2)
+    two = api.tokenize_corpus(spark, f"{folder}/c", f"{folder}/two", shards=2, layout="file")
     assert two["shards"] == 2 and sorted(os.listdir(f"{folder}/two")) == ["00000.bin", "00001.bin"]
     with pytest.raises(Exception, match="shards must be"):
         api.tokenize_corpus(spark, f"{folder}/c", f"{folder}/three", shards=9)
     with pytest.raises(ValueError, match="mode"):
         api.tokenize_corpus(spark, f"{folder}/c", mode="pages")
-    blocks = api.tokenize_corpus(spark, f"{folder}/c", f"{folder}/blk", mode="blocks", block_bytes=512)
+    blocks = api.tokenize_corpus(spark, f"{folder}/c", f"{folder}/blk", mode="blocks", block_bytes=512, layout="file")
     assert blocks["total_bytes"] == sum(len((r[3] or "").encode()) for r in rows)
     for name in os.listdir(f"{folder}/blk"):
-        assert os.path.getsize(f"{folder}/blk/{name}") % 512 == 0
+        assert name.endswith(".overflow") or os.path.getsize(f"{folder}/blk/{name}") % 512 == 0
 
 
 def test_tokenize_raw_file(spark, folder):
     open(f"{folder}/raw.txt", "wb").write(b"the end of the " * 1000)
-    stats = api.tokenize_corpus(spark, f"{folder}/raw.txt", mode="blocks", block_bytes=4096)
+    stats = api.tokenize_corpus(spark, f"{folder}/raw.txt", mode="blocks", block_bytes=4096, layout="file")
     assert stats["total_bytes"] == 15_000 and stats["blocks"] == 4
     assert os.path.getsize(f"{folder}/raw.txt.bin/00000.bin") == 4096 * 3 + 3072
+
+
+def test_empty_shards_and_large_numbers_keep_their_names(spark, folder):
+    """In parts: a shard without ids is listed, and six-digit shards stay apart."""
+    rows = [(100_000, 0, 0, [7]), (100_007, 0, 0, [8]), (123_456, 0, 0, None)]
+    df = spark.createDataFrame(rows, "shard long, batch_index long, row_in_batch long, ids array<long>")
+    tokens.write_token_bins(df, f"{folder}/t")
+    files = {r.path.rsplit("/", 1)[1]: r.size_bytes for r in tokens.token_files(spark, f"{folder}/t").collect()}
+    assert files == {"100000.bin": 4, "100007.bin": 4, "123456.bin": 0}
+
+
+def test_shard_numbers_come_from_file_names(spark, folder):
+
+    os.makedirs(f"{folder}/a")
+    for n in (3, 99_999, 100_000):
+        table = pa.table({"text": [str(n)]})
+        with pa.OSFile(f"{folder}/a/data-{n:05d}-of-200000.arrow", "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
+            w.write_table(table)
+    scan = lambda **o: {r.shard: r.text for r in spark.read.format("arrow_ipc").options(column="text", **o).load(f"{folder}/a").collect()}
+    assert scan() == {n: str(n) for n in (3, 99_999, 100_000)}
+    assert scan(shards=2) == {3: "3", 99_999: "99999"}

@@ -57,7 +57,8 @@ def tokenize_corpus(
     block_bytes: int = blocks.BLOCK_BYTES,
     shards: int | None = None,
     strategy: str = "auto",
-    layout: str = "file",
+    layout: str = "parts",
+    partitions: int | None = None,
     **options,
 ) -> dict:
     """Tokenize a corpus into one ``.bin`` token file per shard; return the totals.
@@ -78,7 +79,7 @@ def tokenize_corpus(
     pretok = {k: options.pop(k) for k in ("pretokenizer", "use_added") if k in options}
     if mode == "rows":
         rows = corpus_frame(spark, source, column, shards)
-        rows = (spread(rows) if isinstance(source, str) else rows).withColumn(column, F.col(column).cast("string"))
+        rows = spread(rows, partitions).withColumn(column, F.col(column).cast("string"))
         encoded = bpe.bpe_encode(rows, model, column, strategy=strategy, **pretok)
         # encoded once; the counts come from the written table
         packed = materialize(tokens.packed_rows(encoded), "packed")
@@ -135,7 +136,7 @@ def dump_text(
     index_path: str | None = None,
     delimiter: str = "\n",
     max_rows: int = -1,
-    layout: str = "file",
+    layout: str = "parts",
 ) -> dict:
     """Write each row and the delimiter to the file ``output``; null rows stay as
     empty rows. ``index_path`` names a file of ``offset \\t length`` lines."""

@@ -99,9 +99,9 @@ def status_from_dw3(dw3: Column) -> Column:
 def shard_name(shard: Column, total: Column | int | None = None) -> Column:
     """Zero-padded shard label; with a total, the corpus file name of the shard."""
     if total is None:
-        return F.lpad(shard.cast("string"), 5, "0")
+        return F.format_string("%05d", shard.cast("long"))
     total = F.lit(total) if isinstance(total, int) else total
-    return F.format_string("data-%05d-of-%05d.arrow", shard.cast("int"), total.cast("int"))
+    return F.format_string("data-%05d-of-%05d.arrow", shard.cast("long"), total.cast("long"))
 
 
 def tokens_per_hour(tokens: Column, seconds: Column) -> Column:

@@ -83,13 +83,20 @@ def cut_blocks(
 
 
 def block_tokenize(
-    blocks: DataFrame, model: BpeModel, block_bytes: int = BLOCK_BYTES, strategy: str = "auto", **options
+    blocks: DataFrame, model: BpeModel, block_bytes: int = BLOCK_BYTES, strategy: str = "auto",
+    overflow: str = "keep", **options
 ) -> DataFrame:
     """Encode each block; output is the block's capacity in bytes: ids, then zeros.
 
     A full block holds ``block_bytes / 4`` ids, a shorter one its length rounded
-    up to whole sectors; ids beyond that are dropped, and counted.
+    up to whole sectors. Ids beyond that are kept as a second packed column
+    ``overflow``, so output and overflow together are all ids. ``overflow='error'``
+    fails instead, ``'drop'`` leaves them out and counts them in ``dropped``.
     """
+    if overflow not in ("keep", "error", "drop"):
+        raise ValueError("overflow is 'keep', 'error' or 'drop'")
+    if block_bytes % SECTOR:
+        raise ValueError(f"block_bytes is a multiple of {SECTOR}")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     enc = bpe_encode(blocks.withColumn("_text", text), model, "_text", "_ids", strategy, **options)
     sector = F.lit(SECTOR)
@@ -98,7 +105,12 @@ def block_tokenize(
     ).cast("int")
     out = enc.withColumn("capacity", capacity).withColumn("n_tokens", F.size("_ids"))
     out = out.withColumn("kept", F.least(F.col("n_tokens"), int_div(F.col("capacity"), F.lit(4))).cast("int"))
-    out = out.withColumn("dropped", F.col("n_tokens") - F.col("kept"))
+    beyond = F.col("n_tokens") - F.col("kept")
+    out = out.withColumn("dropped", beyond if overflow == "drop" else F.lit(0))
+    if overflow == "error":
+        out = out.where(F.when(beyond > 0, F.raise_error(F.lit("a block has more ids than it can hold"))).otherwise(True))
+    elif overflow == "keep":
+        out = out.withColumn("overflow", pack_ids(F.slice("_ids", F.col("kept") + 1, F.greatest(beyond, F.lit(0)))))
     packed = pack_ids(F.slice("_ids", F.lit(1), F.col("kept")))
     out = out.withColumn("output", F.rpad(packed, F.col("capacity"), F.lit(bytearray(b"\0"))))
     return out.drop("_text", "_ids", "content")

@@ -122,13 +122,16 @@ def slot_rates(df: DataFrame, interval_ms: int, time: str = "tick", keys: Sequen
     per_s = 1000.0 / nominal_interval(interval_ms)
     d = _deltas(df, [*keys, "slot"], time, ["resp"], True)
     return d.select(
-        *keys, time, "slot", "resp", F.col("d_resp").alias("delta"),
+        *keys, time, "slot", "resp", _steady(F.col("d_resp")).alias("delta"),
         _steady(F.col("d_resp") * per_s).alias("resp_per_s"), "counter_reset",
     )
 
 
 def jain_fairness(deltas: DataFrame, by: Sequence[str], value: str = "delta", n: int = SLOTS) -> DataFrame:
-    """(sum x)^2 / (n * sum x^2) with fixed n: idle slots count as 0, no row needed."""
+    """(sum x)^2 / (n * sum x^2) with fixed n: idle slots count as 0, no row needed;
+    slots from ``n`` on do not count."""
+    if "slot" in deltas.columns:
+        deltas = deltas.where(F.col("slot") < n)
     x = F.coalesce(F.col(value), F.lit(0)).cast("double")
     s = deltas.groupBy(*by).agg(F.sum(x).alias("_s"), F.sum(x * x).alias("_q"))
     return s.withColumn("fairness", jain_formula(F.col("_s"), F.col("_q"), n)).drop("_s", "_q")

@@ -161,17 +161,20 @@ def parse_request_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def request_latency(writes: DataFrame, reads: DataFrame, deadline_us: int = DEADLINE_US) -> DataFrame:
-    """First answer of every request; none, or one after the deadline, is a timeout.
+    """First answer between every request and its deadline; none is a timeout.
 
-    Answers are reduced to one per id before the join (a partial aggregate), so
-    repeated answers never multiply rows.
+    An answer before its request belongs to an earlier use of the id. Answers are
+    reduced to one per request (a partial aggregate), so repeated answers never
+    multiply rows.
     """
-    first = reads.groupBy("req_id").agg(
+    asked = writes.select("req_id", "write_us").distinct()
+    after = F.col("read_us") - F.col("write_us")
+    first = asked.join(reads, "req_id").where((after >= 0) & (after <= deadline_us)).groupBy("req_id", "write_us").agg(
         F.min(F.struct("read_us", "byte_size")).alias("_r")
-    ).select("req_id", "_r.*")
-    j = writes.join(first, "req_id", "left")
+    ).select("req_id", "write_us", "_r.*")
+    j = writes.join(first, ["req_id", "write_us"], "left")
     latency = F.col("read_us") - F.col("write_us")
-    in_time = F.coalesce(latency <= deadline_us, F.lit(False))
+    in_time = F.col("read_us").isNotNull()
     return j.select(
         "req_id", "slot", "write_us",
         F.when(in_time, latency).alias("latency_us"),

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tokenloom.functions.scalars import int_div, shard_name
 from tokenloom.operators.bpe import pack_ids
 from tokenloom.operators.corpus import ORDER
-from tokenloom.operators.ordered import corpus_path, running_total
+from tokenloom.operators.ordered import corpus_path, running_total, with_path
 from tokenloom.session import materialize
 from tokenloom.sources.sinks import write_positioned
 
+BLOCKS_PER_GROUP = 1024
+
 
 def packed_rows(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     """Corpus order columns and the packed ids of each row (empty for null ids)."""
@@ -31,7 +33,7 @@ def placed_tokens(packed: DataFrame) -> DataFrame:
     )
 
 
-def write_token_bins(encoded: DataFrame, path: str, ids: str = "ids", layout: str = "file") -> None:
+def write_token_bins(encoded: DataFrame, path: str, ids: str = "ids", layout: str = "parts") -> None:
     """One ``{shard:05d}.bin`` per shard, ids in row order; an empty shard gives an empty file.
 
     Rows are encoded once into a table in the shared folder; from its sizes every
@@ -90,8 +92,20 @@ def token_counts(encoded: DataFrame, by: list[str], ids: str = "ids") -> DataFra
     )
 
 
-def write_block_bins(tokenized: DataFrame, path: str, block_bytes: int, layout: str = "file") -> None:
-    """Equal-sized output blocks of the block path, one ``.bin`` per shard."""
+def write_block_bins(tokenized: DataFrame, path: str, block_bytes: int, layout: str = "parts") -> None:
+    """Equal-sized output blocks of the block path, one ``.bin`` per shard; ids beyond a
+    block's capacity go to the shard's ``.overflow`` in block order. ``tokenized`` is read
+    twice: pass a written table."""
+    if "overflow" in tokenized.columns:
+        more = tokenized.where(F.octet_length("overflow") > 0).select(
+            "shard", "block_index", F.col("overflow").alias("packed"))
+        more, levels = with_path(more, "block_index", BLOCKS_PER_GROUP)
+        placed = running_total(more, ["shard"], levels, ["block_index"], {"offset": F.octet_length("packed")})
+        write_positioned(
+            placed.select(F.concat(shard_name(F.col("shard")), F.lit(".overflow")).alias("file"),
+                          "offset", F.col("packed").alias("data")),
+            path, layout,
+        )
     write_positioned(
         tokenized.select(
             F.concat(shard_name(F.col("shard")), F.lit(".bin")).alias("file"),

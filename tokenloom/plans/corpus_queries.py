@@ -10,7 +10,7 @@ from tokenloom.operators import blocks, bpe, corpus, ranges, tokens
 from tokenloom.plans import fixtures as fx
 from tokenloom.plans import oracle_views as ov
 from tokenloom.plans.registry import query
-from tokenloom.session import scratch_path, spread
+from tokenloom.session import materialize, scratch_path
 from tokenloom.sources.model import toy_model, vocab_lookup
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
@@ -24,7 +24,7 @@ def text_ids(ids: Column) -> Column:
 
 
 def encoded(spark: SparkSession, sf: str, strategy: str = "arrow") -> DataFrame:
-    rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf)))
+    rows = corpus.nonempty_rows(fx.corpus(spark, sf))
     return bpe.bpe_encode(rows, toy_model(), strategy=strategy)
 
 
@@ -83,7 +83,7 @@ def round_robin(spark, sf):
 
 @query("shard_name", f"""with {ov.CORPUS}
 select shard, printf('data-%05d-of-%05d.arrow', shard, 8) as shard_file,
-  lpad(cast(shard as varchar), 5, '0') || '.bin' as token_file, count(*) as rows
+  printf('%05d.bin', shard) as token_file, count(*) as rows
 from corpus group by all""")
 def shard_name(spark, sf):
     return fx.corpus(spark, sf).groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).select(
@@ -149,7 +149,7 @@ select doc_id, len(ids) as n_tokens, {ids_text_sql()} as ids
 from (select doc_id, {ov.ids('t', True)} as ids
       from (select doc_id, {_TAGGED_SQL} as t from corpus where text <> ''))""")
 def added_tokens(spark, sf):
-    rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf)))
+    rows = corpus.nonempty_rows(fx.corpus(spark, sf))
     tagged = F.concat(F.lit("[CLS]"), F.replace("text", F.lit(" the "), F.lit(" [MASK]")), F.lit("[SEP]"))
     enc = bpe.bpe_encode(rows.withColumn("text", tagged), toy_model(), strategy="fold")
     return enc.select("doc_id", F.size("ids").alias("n_tokens"), text_ids("ids").alias("ids"))
@@ -181,7 +181,7 @@ select doc_id // 8 as batch_index, shard, cast(sum(len(ids)) as bigint) as n_tok
 from encoded group by all having sum(len(ids)) > 0""")
 def skip_empty_batches(spark, sf):
     """One-row batches: those of null and empty rows must give no buffer."""
-    rows = spread(fx.corpus(spark, sf)).withColumn(
+    rows = fx.corpus(spark, sf).withColumn(
         "batch_index", F.expr(f"doc_id div {fx.SHARDS}")).withColumn("row_in_batch", F.lit(0))
     enc = bpe.bpe_encode(rows, toy_model())
     return bpe.flatten_pack(enc).select("batch_index", "shard", "n_tokens")
@@ -234,12 +234,53 @@ def cut_blocks(spark, sf):
 
 @query("block_tokenize", f"""with {_BLOCK_TOKENS_SQL}
 select shard, block_index, block_len, cast(capacity as bigint) as capacity, len(ids) as n_tokens,
-  cast(kept as bigint) as kept, cast(len(ids) - kept as bigint) as dropped,
-  md5(output_hex) as output_md5 from output""")
+  cast(kept as bigint) as kept, 0 as dropped, md5(output_hex) as output_md5,
+  md5({ov.hex_u32('ids[kept + 1:len(ids)]')}) as overflow_md5 from output""")
 def block_tokenize(spark, sf):
     out = blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK)
     return out.select("shard", "block_index", "block_len", "capacity", "n_tokens", "kept", "dropped",
-                      F.md5(F.hex("output")).alias("output_md5"))
+                      F.md5(F.hex("output")).alias("output_md5"), F.md5(F.hex("overflow")).alias("overflow_md5"))
+
+
+@query("block_tokenize_all", f"""with {_BLOCK_TOKENS_SQL}
+select shard, cast(sum(len(ids)) as bigint) as n_ids, cast(sum(kept) as bigint) as kept,
+  cast(sum(list_sum(ids)) as bigint) as id_sum, cast(sum(len(ids) - kept) as bigint) as overflow from output group by shard""")
+def block_tokenize_all(spark, sf):
+    """Written and read back: the ids of both files of a shard are all ids of its blocks."""
+    register_sources(spark)
+    path = scratch_path(spark, "block-bins")
+    out = materialize(blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK), "blocks")
+    tokens.write_block_bins(out, path, BLOCK)
+
+    def read(suffix):
+        ids = spark.read.format("token_bin").option("suffix", suffix).load(path)
+        name = F.element_at(F.split("path", "/"), -1)
+        return ids.select(F.regexp_extract(name, r"^(\d+)", 1).cast("long").alias("shard"), "token_id",
+                          F.lit(suffix).alias("kind"))
+
+    # padding zeros add nothing to the sum; the ids themselves are counted from the table
+    sums = read(".bin").union(read(".overflow")).groupBy("shard").agg(
+        F.sum("token_id").alias("id_sum"), F.sum(F.when(F.col("kind") == ".overflow", 1).otherwise(0)).alias("overflow"))
+    counts = out.groupBy("shard").agg(F.sum("n_tokens").alias("n_ids"), F.sum("kept").alias("kept"))
+    return sums.join(counts, "shard").select("shard", "n_ids", "kept", "id_sum", "overflow")
+
+
+@query("shard_identity", f"""with {ov.CORPUS}
+select 99990 + 7 * shard as shard, printf('%05d.bin', 99990 + 7 * shard) as file,
+  cast(sum({ov.LEN}) as bigint) as size_bytes, count(*) as rows from corpus group by shard""")
+def shard_identity(spark, sf):
+    """Shards numbered past 99,999 with gaps, written as Arrow and as positioned files, and read back."""
+    register_sources(spark)
+    shards, bins = scratch_path(spark, "shards"), scratch_path(spark, "bins")
+    rows = fx.corpus(spark, sf).withColumn("shard", 99990 + 7 * F.col("shard"))
+    ordered = rows.select("shard", "batch_index", "row_in_batch", "text").repartition("shard").sortWithinPartitions(*corpus.ORDER)
+    ordered.write.format("arrow_ipc").mode("append").option("total", 999999).save(shards)
+    back = spark.read.format("arrow_ipc").option("column", "text").load(shards)
+    packed = back.select(*corpus.ORDER, F.coalesce(F.encode("text", "UTF-8"), F.lit(bytearray())).alias("packed"))
+    write_positioned(tokens.placed_tokens(materialize(packed, "packed")), bins)
+    sizes = tokens.token_files(spark, bins).select(_file_name(), "size_bytes")
+    counts = back.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.withColumn("file", F.concat(scalars.shard_name(F.col("shard")), F.lit(".bin"))).join(sizes, "file")
 
 
 # ------------------------------------------------------- files and round trips
@@ -262,16 +303,16 @@ def byte_block_scan(spark, sf):
     register_sources(spark)
     path = scratch_path(spark, "dump")
     placed = corpus.dump_rows(fx.ascii_corpus(spark, sf))
-    write_positioned(placed.withColumn("file", F.lit("corpus.txt")), path)
+    write_positioned(placed.withColumn("file", F.lit("corpus.txt")), path, "file")
     scan = spark.read.format("byte_blocks").option("blockBytes", BLOCK).load(path)
     return scan.select("block_index", "offset", "length", F.md5("content").alias("content_md5"))
 
 
-def _bins(spark, sf) -> str:
+def _bins(spark, sf, layout: str = "parts") -> str:
     register_sources(spark)
     path = scratch_path(spark, "bins")
-    rows = spread(fx.corpus(spark, sf))
-    tokens.write_token_bins(bpe.bpe_encode(rows, toy_model()), path)
+    rows = fx.corpus(spark, sf)
+    tokens.write_token_bins(bpe.bpe_encode(rows, toy_model()), path, layout=layout)
     return path
 
 
@@ -282,7 +323,7 @@ def _file_name(path: str = "path") -> Column:
 _SHARD_HEX = f"""{ov.ENCODED}, bins as (
   select shard, string_agg({ov.hex_u32('ids')}, '' order by batch_index, row_in_batch) as h
   from encoded group by shard)"""
-_FILE_SQL = "lpad(cast(shard as varchar), 5, '0') || '.bin'"
+_FILE_SQL = "printf('%05d.bin', shard)"
 
 
 @query("token_bin_write", f"""with {_SHARD_HEX}
@@ -290,7 +331,7 @@ select {_FILE_SQL} as file, k as block_index, length(substr(h, k * 131072 + 1, 1
   md5(unhex(substr(h, k * 131072 + 1, 131072))) as content_md5
 from (select shard, h, unnest(range(0, (length(h) - 1) // 131072 + 1)) as k from bins)""")
 def token_bin_write(spark, sf):
-    scan = spark.read.format("byte_blocks").option("blockBytes", 65536).load(_bins(spark, sf))
+    scan = spark.read.format("byte_blocks").option("blockBytes", 65536).load(_bins(spark, sf, "file"))
     return scan.select(_file_name(), "block_index", "length", F.md5("content").alias("content_md5"))
 
 
@@ -333,7 +374,7 @@ def token_file_summary(spark, sf):
     """Files of the block path: their zero padding counts as zeros."""
     register_sources(spark)
     path = scratch_path(spark, "block-bins")
-    out = blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK)
+    out = materialize(blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK), "blocks")
     tokens.write_block_bins(out, path, BLOCK)
     summary = tokens.token_file_summary(
         tokens.token_files(spark, path), spark.read.format("token_bin").load(path))
@@ -376,7 +417,7 @@ select cast(coalesce(v.id, -1) as bigint) as found_id, count(*) as pieces, cast(
 from pieces p left join vocab v on v.token = p.token group by all""")
 def vocab_lookup_query(spark, sf):
     """Which whole pieces are tokens of their own (-1: none)."""
-    rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf)))
+    rows = corpus.nonempty_rows(fx.corpus(spark, sf))
     pieces = rows.select(F.explode(bytelevel.pretokenize(F.col("text"))).alias("w"))
     counted = pieces.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     found = vocab_lookup(counted.withColumn("token", bytelevel.byte_map(F.col("w"))), toy_model(), token="token")

@@ -28,13 +28,28 @@ def us() -> Column:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Sharded corpus with null and empty rows; places follow from the unique id."""
-    return table(spark, sf, "documents").selectExpr(
+    """Sharded corpus: every document, then added null and empty rows under further ids.
+
+    Places follow from the unique id. About every 17th document brings a null row
+    and every 19th an empty one; no text is lost.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    n = docs.count()
+    nulls = (n + 13) // 17
+    added = docs.select(
+        F.explode(F.array_compact(F.array(
+            F.when(F.expr("doc_id % 17 = 3"), F.struct(
+                F.expr(f"{n}L + doc_id div 17").alias("doc_id"), F.lit(None).cast("string").alias("text"))),
+            F.when(F.expr("doc_id % 19 = 5"), F.struct(
+                F.expr(f"{n + nulls}L + doc_id div 19").alias("doc_id"), F.lit("").alias("text"))),
+        ))).alias("a"), "source", "lang",
+    ).select("a.doc_id", "source", "lang", "a.text")
+    return docs.unionByName(added).selectExpr(
         "doc_id", "source", "lang",
         f"doc_id % {SHARDS} as shard",
         f"(doc_id div {SHARDS}) div 50 as batch_index",
         f"(doc_id div {SHARDS}) % 50 as row_in_batch",
-        "case when doc_id % 17 = 3 then null when doc_id % 19 = 5 then '' else text end as text",
+        "text",
     )
 
 

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from tokenloom.sources.model import ADDED_TOKENS, BORDER, PRIVATE_BASE, BpeModel, toy_model
 
-CORPUS = """corpus as (
+CORPUS = """doc_count as (select count(*) as n from documents),
+all_rows as (
+  select doc_id, source, lang, text from documents
+  union all
+  select n + doc_id // 17, source, lang, null from documents, doc_count where doc_id % 17 = 3
+  union all
+  select n + (n + 13) // 17 + doc_id // 19, source, lang, '' from documents, doc_count where doc_id % 19 = 5),
+corpus as (
   select doc_id, source, lang, doc_id % 8 as shard, (doc_id // 8) // 50 as batch_index,
-    (doc_id // 8) % 50 as row_in_batch,
-    case when doc_id % 17 = 3 then null when doc_id % 19 = 5 then '' else text end as text
-  from documents)"""
+    (doc_id // 8) % 50 as row_in_batch, text
+  from all_rows)"""
 ASCII = CORPUS + """, ascii as (
   select * replace (regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as text) from corpus)"""
 BOUNDED = CORPUS + """, bounded as (

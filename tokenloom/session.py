@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch folders and size-checked broadcasts."""
+"""Session helpers: shared scratch folders and tables that cut a plan."""
 
 from __future__ import annotations
 
@@ -7,12 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A table goes out as a broadcast only below this row count; beyond it the
-# caller's join stays a shuffled one.
-BROADCAST_ROWS = 1_000_000
-
 
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -43,19 +37,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
-    """Broadcast hint for a table whose row count is known and bounded."""
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when a scan has fewer partitions.
+def spread(df: DataFrame, partitions: int | None = None, key: str | None = None) -> DataFrame:
+    """The rows in ``partitions`` tasks, dealt by a hash of ``key``; unchanged without a number.
 
-    For plain scans only: counting the partitions of a plan with a shuffle would
-    run that shuffle. A large scan has more partitions than cores and passes
-    unchanged, unshuffled.
+    For heavy work on a table of few files. How many tasks is the caller's choice, so a plan
+    does not depend on the machine it is made on.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if partitions is None:
         return df
-    return df.repartition(cores)
+    return df.repartition(partitions, key) if key else df.repartition(partitions)

@@ -6,6 +6,7 @@ taking its share of the record batches.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -61,7 +62,8 @@ class ArrowIpcReader(DataSourceReader):
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def files(self):
-        found = list_files(self.path, ".arrow")
+        # numbers decide the order, so 99999 comes before 100000
+        found = sorted(list_files(self.path, ".arrow"), key=lambda f: (self.shard_number(f[0]) or 0, f[0]))
         if not found:
             raise FileNotFoundError(f"no .arrow shards in {self.path}")
         if self.shards is not None:
@@ -70,9 +72,17 @@ class ArrowIpcReader(DataSourceReader):
             found = found[: self.shards]
         return found
 
+    @staticmethod
+    def shard_number(path: str) -> int | None:
+        """The number in ``…-<number>[-of-<total>].arrow``; None for other names."""
+        m = re.search(r"-(\d+)(?:-of-\d+)?\.arrow$", path)
+        return int(m[1]) if m else None
+
     def partitions(self):
         splits = []
-        for shard, (path, size) in enumerate(self.files()):
+        for place, (path, size) in enumerate(self.files()):
+            number = self.shard_number(path)
+            shard = place if number is None else number
             parts = max(1, -(-size // self.split_bytes))
             splits += [ShardSplit(shard, path, part, parts) for part in range(parts)]
         return splits

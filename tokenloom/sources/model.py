@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.bytelevel import byte_symbols
-from tokenloom.session import broadcast_if_small
 
 # The five added tokens and their reserved ids.
 ADDED_TOKENS = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "[MASK]": 4}
@@ -150,11 +149,11 @@ def vocab_lookup(df: DataFrame, model: BpeModel, token: str | None = None,
     table = spark.createDataFrame(list(entries.items()), "_t string, _i int")
     out = df
     if token is not None:
-        side = broadcast_if_small(table, len(entries))
+        side = table
         out = (out.join(side, F.col(token) == F.col("_t"), "left")
                .withColumn("found_id", F.coalesce("_i", F.lit(-1))).drop("_t", "_i"))
     if id is not None:
-        side = broadcast_if_small(table, len(entries))
+        side = table
         out = (out.join(side, F.col(id) == F.col("_i"), "left")
                .withColumn("found_token", F.coalesce("_t", F.lit(""))).drop("_t", "_i"))
     return out.withColumn("vocab_size", F.lit(len(entries)))

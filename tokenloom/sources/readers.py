@@ -85,14 +85,14 @@ class TokenSplit(FileSplit):
     base: int = 0
 
 
-def token_file_parts(path: str) -> list[tuple[str, int, str, int]]:
+def token_file_parts(path: str, suffix: str = ".bin") -> list[tuple[str, int, str, int]]:
     """(stored path, size, token file, first byte) of everything that holds tokens."""
     found = []
     for stored, size in list_files(path):
         folder, _, leaf = stored.rpartition("/")
-        if leaf.endswith(".bin"):
+        if leaf.endswith(suffix):
             found.append((stored, size, stored, 0))
-        elif folder.endswith(".bin") and leaf.startswith("part-"):
+        elif folder.endswith(suffix) and leaf.startswith("part-"):
             found.append((stored, size, folder, int(leaf[len("part-"):])))
     return found
 
@@ -101,9 +101,10 @@ class TokenBinReader(_RangeReader):
     def __init__(self, options):
         super().__init__(options)
         self.ends = int(options["ends"]) if "ends" in options else None
+        self.suffix = options.get("suffix", ".bin")
 
     def partitions(self):
-        stored_files = token_file_parts(self.path)
+        stored_files = token_file_parts(self.path, self.suffix)
         wanted = self._ends_of(stored_files) if self.ends is not None else None
         splits = []
         for stored, size, name, base in stored_files:
