@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_rows, plain_columns, texts_of
+from tokenloom.llm.common import lowest, map_rows, plain_columns, texts_of
 from tokenloom.llm.linear import Ftrl, Sparse
 from tokenloom.llm.urls import calibrate
 from tokenloom.llm.words import split_words, xxh64
@@ -128,8 +128,10 @@ def score_quality(
     # the ids of the sample first, so that only its texts are joined and moved
     turn = F.xxhash64(F.lit(29), "doc_id")
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    chosen = ids.join(marks, "doc_id").orderBy(turn, "doc_id").limit(max_labelled)
-    others = ids.join(marks, "doc_id", "left_anti").orderBy(turn, "doc_id").limit(max_pool).withColumn("good", F.lit(-1))
+    marked, blank = ids.join(marks, "doc_id"), ids.join(marks, "doc_id", "left_anti")
+    n_marked = marked.count()
+    chosen = lowest(marked, turn, max_labelled, n_marked)
+    others = lowest(blank, turn, max_pool, ids.count() - n_marked).withColumn("good", F.lit(-1))
     picked = F.broadcast(chosen.union(others))
     sample = rows.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy(turn, "doc_id").collect()
     known = examples([r for r in sample if r["good"] >= 0])

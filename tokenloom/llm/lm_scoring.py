@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.attention import BOUND, N_IDS, Attention, classes_by_mass, log10_probability
-from tokenloom.llm.common import is_held_out, slices
+from tokenloom.llm.common import is_held_out, lowest, slices
 from tokenloom.llm.encode import encode, encoder
 from tokenloom.llm.words import split_words, xxh64
 from tokenloom.session import materialize
@@ -132,7 +132,8 @@ def lm_scores(
     rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id"), mod).alias("held"))
     train = rows.filter(~F.col("held"))
     turn = F.xxhash64(F.lit(31), "doc_id")
-    picked = train.select("doc_id").filter("doc_id is not null").distinct().orderBy(turn, "doc_id").limit(max_train)
+    named = train.select("doc_id").filter("doc_id is not null")
+    picked = lowest(named.distinct(), turn, max_train, named.count())
     sample = train.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy(turn, "doc_id").collect()
     counts = id_counts(train, vocabulary)
     pieces = [encoder(vocabulary).decode_single_token_bytes(i) for i in range(BOUND)] + [b""]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import LOWER, UPPER, map_rows, texts_of
+from tokenloom.llm.common import LOWER, UPPER, lowest, map_rows, texts_of
 
 # The rules of the query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -147,10 +147,11 @@ def filter_urls(
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
     name, says = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "says": says})
+    counts = {r["says"]: r["n"] for r in rows.groupBy("says").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = {}
     for verdict in ("allow", "block"):
         some = rows.filter(F.col("says") == verdict).select(F.concat("host", "path").alias("u"))
-        some = some.orderBy(F.xxhash64("u"), "u").limit(max_train)
+        some = lowest(some, F.xxhash64("u"), max_train, counts.get(verdict, 0))
         sample[verdict] = [r["u"].encode() for r in some.collect()]
     model = None
     if all(sample.values()):
