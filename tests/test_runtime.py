@@ -321,3 +321,13 @@ def test_request_timeout_edges(spark):
         spark.readStream.schema(qs).parquet(qp), spark.readStream.schema(ps).parquet(pp)), "t")
     got = {r.req_id: (r.latency_us, r.timed_out) for r in out.collect()}
     assert got == {1: (5_000_000, False), 2: (None, True), 3: (None, True), 9: (0, False)}
+
+
+def test_late_snapshot_is_no_reset(spark, folder):
+    schema = "run long, tick long, req long, resp long, bytes_in long, bytes_out long"
+    for k, row in enumerate([(0, 1, 10, 5, 0, 0), (0, 3, 30, 9, 0, 0), (0, 2, 20, 7, 0, 0), (0, 4, 50, 11, 0, 0)]):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{folder}/in/{k}")
+    streams.use_rocksdb(spark)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in/*")
+    out = {r.tick: (r.req_per_s, r.counter_reset) for r in streams.run_to_table(streams.stream_counter_rates(files, 1000), "late").collect()}
+    assert out == {1: (10.0, False), 3: (20.0, False), 2: (None, False), 4: (20.0, False)}

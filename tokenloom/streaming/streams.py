@@ -109,19 +109,22 @@ def _make_rates(per_s: float) -> StatefulProcessor:
     counters = list(COUNTERS)
 
     class Rates(StatefulProcessor):
-        """Keeps the previous snapshot of one run."""
+        """Keeps the newest snapshot of one run; one that comes after a newer has no rates."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.prev = handle.getValueState("prev", ", ".join(f"{c} bigint" for c in counters))
+            self.prev = handle.getValueState("prev", ", ".join(f"{c} bigint" for c in ["tick", *counters]))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             # one run's snapshots of one micro-batch
             snaps = pd.concat(list(rows), ignore_index=True).sort_values("tick", ignore_index=True)
-            before = self.prev.get() if self.prev.exists() else (0,) * len(counters)
+            newest, *before = self.prev.get() if self.prev.exists() else (None, *[0] * len(counters))
+            late = snaps["tick"] <= newest if newest is not None else snaps["tick"] != snaps["tick"]
+            n_late = int(late.sum())
             delta = snaps[counters].diff()
-            delta.iloc[0] = snaps[counters].iloc[0] - list(map(int, before))
-            self.prev.update(tuple(int(v) for v in snaps[counters].iloc[-1]))
-            reset = (delta < 0).any(axis=1)
+            if n_late < len(snaps):
+                delta.iloc[n_late] = snaps[counters].iloc[n_late] - list(map(int, before))
+                self.prev.update(tuple(int(v) for v in snaps[["tick", *counters]].iloc[-1]))
+            reset = (delta < 0).any(axis=1) & ~late
             out = snaps[["run", "tick", *counters]].copy()
             out["outstanding"] = (snaps["req"] - snaps["resp"]).clip(lower=0)
             rates = {
@@ -131,7 +134,7 @@ def _make_rates(per_s: float) -> StatefulProcessor:
                 "out_mbps": delta["bytes_out"] / 1048576.0 * per_s,
             }
             for name, values in rates.items():
-                out[name] = values.astype("float64").where(~reset)
+                out[name] = values.astype("float64").where(~(reset | late))
             out["counter_reset"] = reset
             yield out
 
