@@ -218,14 +218,9 @@ def monitor(
 ) -> DataFrame:
     """Rates of cumulative snapshots; ``kind`` is requests, slots, cpu, net or block.
 
-    A stream of request snapshots gives a stream.
+    A stream of snapshots gives a stream (with the RocksDB state store, see
+    ``streams.use_rocksdb``).
     """
-    if snapshots.isStreaming:
-        if kind != "requests":
-            raise ValueError("streaming snapshots are supported for kind='requests'")
-        from tokenloom.streaming.streams import stream_counter_rates
-
-        return stream_counter_rates(snapshots, interval_ms)
     if kind == "cpu":
         chosen = parse_cores(snapshots.sparkSession, cores) if isinstance(cores, str) else list(cores)
         return counters.cpu_busy(snapshots, chosen, time)

@@ -83,7 +83,12 @@ def _deltas(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str
     """Add ``d_<column>``, ``first`` and ``counter_reset``.
 
     ``first_is_zero``: the first tick counts from 0; otherwise its delta is null.
+    On a stream the previous row is kept as state.
     """
+    if df.isStreaming:
+        from tokenloom.streaming.streams import stream_deltas
+
+        return stream_deltas(df, keys, time, columns, first_is_zero)
     df, path = with_path(df, time, TICKS_PER_BLOCK)
     df = previous_row(df, keys, path, [time], columns, "_prev").drop("_p2")
     start = F.lit(0) if first_is_zero else F.lit(None).cast("long")

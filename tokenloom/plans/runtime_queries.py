@@ -10,7 +10,7 @@ from tokenloom.operators import counters, logs
 from tokenloom.operators.corpus import dump_rows
 from tokenloom.plans import fixtures as fx
 from tokenloom.plans import oracle_views as ov
-from tokenloom.plans.registry import query
+from tokenloom.plans.registry import ORACLES, query
 from tokenloom.session import scratch_path
 from tokenloom.sources.model import toy_model
 from tokenloom.sources.register import register_sources
@@ -460,11 +460,37 @@ def windowed_monitor(spark, sf):
     return rounded(out.withColumn("start_us", F.unix_micros("start")).drop("start"))
 
 
-@query("stream_counter_rates", f"with {ov.SNAPSHOTS} {_RATES}")
-def stream_counter_rates(spark, sf):
+def arriving(spark: SparkSession, snaps: DataFrame) -> DataFrame:
+    """The snapshots as a stream of files, a few per micro-batch."""
     streams.use_rocksdb(spark)
     path = scratch_path(spark, "snapshots")
-    snaps = fx.snapshots(spark, sf)
-    snaps.write.parquet(path)
-    arriving = spark.readStream.schema(snaps.schema).parquet(path)
-    return rounded(streams.run_to_table(streams.stream_counter_rates(arriving, MS), "stream-rates"))
+    snaps.repartitionByRange(4, "tick").write.parquet(path)
+    return spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+@query("stream_counter_rates", f"with {ov.SNAPSHOTS} {_RATES}")
+def stream_counter_rates(spark, sf):
+    stream = streams.stream_counter_rates(arriving(spark, fx.snapshots(spark, sf)), MS)
+    return rounded(streams.run_to_table(stream, "stream-rates"))
+
+
+@query("stream_slot_rates", ORACLES["slot_rates"])
+def stream_slot_rates(spark, sf):
+    stream = counters.slot_rates(arriving(spark, fx.slot_snapshots(spark, sf)), MS)
+    return rounded(streams.run_to_table(stream, "stream-slots"))
+
+
+@query("stream_cpu_busy", ORACLES["cpu_busy"])
+def stream_cpu_busy(spark, sf):
+    stream = counters.cpu_busy(arriving(spark, fx.host_cpu(spark, sf)), [0, 1, 2, 3, 5])
+    return rounded(streams.run_to_table(stream, "stream-cpu"))
+
+
+@query("stream_net_rates", ORACLES["net_rates"])
+def stream_net_rates(spark, sf):
+    return rounded(streams.run_to_table(counters.net_rates(arriving(spark, fx.host_net(spark, sf)), MS), "stream-net"))
+
+
+@query("stream_block_rates", ORACLES["block_rates"])
+def stream_block_rates(spark, sf):
+    return rounded(streams.run_to_table(counters.block_rates(arriving(spark, fx.host_block(spark, sf)), MS), "stream-block"))

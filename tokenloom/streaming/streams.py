@@ -3,7 +3,7 @@ snapshot monitoring."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokenloom.operators.bpe import bpe_encode
 from tokenloom.operators.corpus import nonempty_rows
-from tokenloom.operators.counters import jain_formula, nominal_interval
+from tokenloom.operators.counters import counter_rates, jain_formula
 from tokenloom.session import scratch_path
 from tokenloom.sources.model import BpeModel
 
@@ -102,64 +102,64 @@ def windowed_monitor(events: DataFrame, interval_s: int, lateness: str = "10 sec
     )
 
 
-COUNTERS = ["req", "resp", "bytes_in", "bytes_out"]
+def _make_deltas(time: str, columns: list[str], first_is_zero: bool) -> StatefulProcessor:
+    names = list(columns)
 
-
-def _make_rates(per_s: float) -> StatefulProcessor:
-    counters = list(COUNTERS)
-
-    class Rates(StatefulProcessor):
-        """Keeps the newest snapshot of one run; one that comes after a newer has no rates."""
+    class Deltas(StatefulProcessor):
+        """Keeps the newest snapshot of one key; one that comes after a newer has no differences."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.prev = handle.getValueState("prev", ", ".join(f"{c} bigint" for c in ["tick", *counters]))
+            self.newest = handle.getValueState("newest", ", ".join(f"{c} bigint" for c in [time, *names]))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            # one run's snapshots of one micro-batch
-            snaps = pd.concat(list(rows), ignore_index=True).sort_values("tick", ignore_index=True)
-            newest, *before = self.prev.get() if self.prev.exists() else (None, *[0] * len(counters))
-            late = snaps["tick"] <= newest if newest is not None else snaps["tick"] != snaps["tick"]
+            # one key's snapshots of one micro-batch; the source's maxFilesPerTrigger bounds them
+            snaps = pd.concat(list(rows), ignore_index=True).sort_values(time, ignore_index=True)
+            newest, *before = self.newest.get() if self.newest.exists() else (None, *[None] * len(names))
+            late = snaps[time] <= newest if newest is not None else pd.Series(False, index=snaps.index)
             n_late = int(late.sum())
-            delta = snaps[counters].diff()
+            delta = snaps[names].astype("Int64").diff()
+            delta.iloc[:n_late] = pd.NA
+            first = pd.Series(False, index=snaps.index)
             if n_late < len(snaps):
-                delta.iloc[n_late] = snaps[counters].iloc[n_late] - list(map(int, before))
-                self.prev.update(tuple(int(v) for v in snaps[["tick", *counters]].iloc[-1]))
-            reset = (delta < 0).any(axis=1) & ~late
-            out = snaps[["run", "tick", *counters]].copy()
-            out["outstanding"] = (snaps["req"] - snaps["resp"]).clip(lower=0)
-            rates = {
-                "req_per_s": delta["req"] * per_s,
-                "resp_per_s": delta["resp"] * per_s,
-                "in_mbps": delta["bytes_in"] / 1048576.0 * per_s,
-                "out_mbps": delta["bytes_out"] / 1048576.0 * per_s,
-            }
-            for name, values in rates.items():
-                out[name] = values.astype("float64").where(~(reset | late))
-            out["counter_reset"] = reset
-            yield out
+                if newest is not None:
+                    delta.iloc[n_late] = [int(v) - int(w) for v, w in zip(snaps[names].iloc[n_late], before, strict=True)]
+                else:
+                    first.iloc[0] = True
+                    delta.iloc[0] = [int(v) if first_is_zero else pd.NA for v in snaps[names].iloc[0]]
+                self.newest.update(tuple(int(v) for v in snaps[[time, *names]].iloc[-1]))
+            for c in names:
+                snaps[f"d_{c}"] = delta[c]
+            snaps["first"] = first
+            snaps["counter_reset"] = (delta < 0).fillna(False).any(axis=1).astype(bool)
+            yield snaps
 
         def close(self) -> None:
             pass
 
-    return Rates()
+    return Deltas()
 
 
-def stream_counter_rates(snapshots: DataFrame, interval_ms: int) -> DataFrame:
-    """Counter rates on an endless stream ``(run, tick, req, resp, bytes_in, bytes_out)``.
+def stream_deltas(
+    snapshots: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], first_is_zero: bool
+) -> DataFrame:
+    """The snapshots with ``d_<column>``, ``first`` and ``counter_reset``, on an endless stream.
 
-    State is one snapshot per run. Needs the RocksDB state store
-    (:func:`use_rocksdb`).
+    State is the newest snapshot of every key. A late one gets null differences
+    and changes no state. Needs the RocksDB state store (:func:`use_rocksdb`).
     """
-    schema = (
-        "run bigint, tick bigint, req bigint, resp bigint, bytes_in bigint, bytes_out bigint, "
-        "outstanding bigint, req_per_s double, resp_per_s double, in_mbps double, out_mbps double, "
-        "counter_reset boolean"
-    )
-    return snapshots.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=_make_rates(1000.0 / nominal_interval(interval_ms)),
-        outputStructType=schema, outputMode="Append", timeMode="None",
+    longs = snapshots.select(*[F.col(n).cast("long").alias(n) if n in columns or n == time else n for n in snapshots.columns])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in longs.schema.fields]
+    fields += [f"`d_{c}` bigint" for c in columns] + ["first boolean", "counter_reset boolean"]
+    return longs.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_make_deltas(time, list(columns), first_is_zero),
+        outputStructType=", ".join(fields), outputMode="Append", timeMode="None",
     )
 
 
+def stream_counter_rates(snapshots: DataFrame, interval_ms: int) -> DataFrame:
+    """Counter rates on an endless stream ``(run, tick, req, resp, bytes_in, bytes_out)``."""
+    return counter_rates(snapshots, interval_ms)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
