@@ -336,14 +336,14 @@ def test_attention_is_causal_and_scores_each_id_once():
     share = np.log(1 / np.bincount(class_of))[class_of].astype(np.float32)
     ids = np.random.default_rng(6).integers(0, 50_000, 75)
     score = lambda xs: attention.log10_probability(xs, model.tables(), class_of, share)
-    p, t = model.p, model.tables()
+    p = model.p
     inputs, total = np.concatenate([[attention.BOUND], ids]), 0.0
     for i, target in enumerate([*ids, attention.BOUND]):
         lo = max(0, i - i % 16 - 16)
         x = inputs[lo : i + 1]
-        w = t["k"][x] @ t["q"][inputs[i]] + p["rel"][i - np.arange(lo, i + 1)]
+        w = (p["emb"][x] @ p["k"]) @ (p["emb"][inputs[i]] @ p["q"]) / 4 + p["rel"][i - np.arange(lo, i + 1)]
         w = np.exp(w - w.max())
-        h = p["emb"][inputs[i]] + (w / w.sum()) @ t["v"][x]
+        h = p["emb"][inputs[i]] + (w / w.sum()) @ (p["emb"][x] @ p["v"])
         z = (h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]) @ p["u"] + p["c"]
         total += z[class_of[target]] - np.log(np.exp(z).sum()) + share[target]
     assert score([ids])[0] == pytest.approx(total / np.log(10), rel=1e-4)

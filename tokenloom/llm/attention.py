@@ -158,31 +158,35 @@ class Attention:
     def tables(self) -> dict[str, np.ndarray]:
         """All that scoring gathers per id; some MB, whatever the corpus."""
         p = self.p
+        parts = [p["emb"], p["emb"] @ p["q"] * self.scale, p["emb"] @ p["k"], p["emb"] @ p["v"]]
         return {
-            "e": p["emb"], "q": p["emb"] @ p["q"] * self.scale, "k": p["emb"] @ p["k"], "v": p["emb"] @ p["v"],
+            "all": np.concatenate(parts, axis=1), "size": p["emb"].shape[1],
             "rel": p["rel"][_DELTA_AT], **{n: p[n] for n in ("w1", "b1", "w2", "u", "c")},
         }
 
 
-def log10_probability(texts: list[np.ndarray], t: dict, class_of: np.ndarray, in_class: np.ndarray, step: int = 1024) -> np.ndarray:
+def log10_probability(texts: list[np.ndarray], t: dict, class_of: np.ndarray, in_class: np.ndarray, step: int = 256) -> np.ndarray:
     """log10 of every text's probability, its end included. ``in_class``: natural log of an id's share."""
-    blocks = to_blocks(texts)
+    blocks, size = to_blocks(texts), t["size"]
     n = len(blocks.inputs)
     per_block = np.zeros(n)
     for a in range(0, n, step):
         b = min(n, a + step)
-        x, same = blocks.inputs[a:b], blocks.same[a:b]
-        ids = blocks.inputs[max(a - 1, 0) : b]
-        k, v = t["k"][ids], t["v"][ids]
-        if not a:
-            k, v = np.concatenate([k[:1], k]), np.concatenate([v[:1], v])
-        w = Attention._weights(
-            t["q"][x], np.concatenate([k[:-1], k[1:]], axis=1), t["rel"], same
-        )
-        h = t["e"][x] + np.matmul(w, np.concatenate([v[:-1], v[1:]], axis=1))
-        h = h.reshape(-1, h.shape[2])
-        h = h + np.maximum(h @ t["w1"] + t["b1"], 0) @ t["w2"]
-        z = h @ t["u"] + t["c"]
+        same = blocks.same[a:b]
+        # all of an id with one look-up; the first block of all stands in for the one before it
+        ids = np.concatenate([blocks.inputs[max(a - 1, 0)][None], blocks.inputs[a:b]])
+        rows = t["all"][ids]
+        e, q = rows[1:, :, :size], rows[1:, :, size : 2 * size]
+        kv = np.concatenate([rows[:-1, :, 2 * size :], rows[1:, :, 2 * size :]], axis=1)
+        w = Attention._weights(q, kv[:, :, :size], t["rel"], same)
+        h = np.matmul(w, kv[:, :, size:])
+        h += e
+        h = h.reshape(-1, size)
+        act = h @ t["w1"]
+        act += t["b1"]
+        h += np.maximum(act, 0, out=act) @ t["w2"]
+        z = h @ t["u"]
+        z += t["c"]
         target = blocks.targets[a:b].ravel()
         own = z[np.arange(len(z)), class_of[target]]
         z -= (top := z.max(axis=1))[:, None]

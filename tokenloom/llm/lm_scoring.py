@@ -59,7 +59,7 @@ def _requests(number: int, texts: list[bytes], held: np.ndarray, n_buckets: int)
     if not len(words.starts):
         return []
     h = xxh64(words.buffer, words.starts, words.ends - words.starts)
-    by = np.lexsort((words.doc, h))
+    by = np.argsort(h, kind="stable")  # words come text by text, so a word's texts stay in order
     h, doc = h[by], words.doc[by]
     pair = np.flatnonzero((np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0) | (np.diff(doc, prepend=-1) != 0))
     times = np.diff(np.append(pair, len(h)))
