@@ -10,7 +10,7 @@ from tokenloom.operators import blocks, bpe, corpus, ranges, tokens
 from tokenloom.plans import fixtures as fx
 from tokenloom.plans import oracle_views as ov
 from tokenloom.plans.registry import query
-from tokenloom.session import materialize, scratch_path
+from tokenloom.session import materialize, scratch_path, spread
 from tokenloom.sources.model import toy_model, vocab_lookup
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
@@ -24,7 +24,7 @@ def text_ids(ids: Column) -> Column:
 
 
 def encoded(spark: SparkSession, sf: str, strategy: str = "arrow") -> DataFrame:
-    rows = corpus.nonempty_rows(fx.corpus(spark, sf))
+    rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf), key="doc_id"))
     return bpe.bpe_encode(rows, toy_model(), strategy=strategy)
 
 
@@ -99,7 +99,7 @@ def shard_name(spark, sf):
 select doc_id, len(w) as n_pieces, md5(array_to_string(w, chr(31))) as pieces_md5
 from (select doc_id, {ov.words('text')} as w from corpus where text <> '')""")
 def pretokenize(spark, sf):
-    rows = corpus.nonempty_rows(fx.corpus(spark, sf))
+    rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf), key="doc_id"))
     w = bytelevel.pretokenize(F.col("text"))
     return rows.select("doc_id", w.alias("w")).select(
         "doc_id", F.size("w").alias("n_pieces"), F.md5(F.array_join("w", "\x1f")).alias("pieces_md5")
@@ -149,7 +149,7 @@ select doc_id, len(ids) as n_tokens, {ids_text_sql()} as ids
 from (select doc_id, {ov.ids('t', True)} as ids
       from (select doc_id, {_TAGGED_SQL} as t from corpus where text <> ''))""")
 def added_tokens(spark, sf):
-    rows = corpus.nonempty_rows(fx.corpus(spark, sf))
+    rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf), key="doc_id"))
     tagged = F.concat(F.lit("[CLS]"), F.replace("text", F.lit(" the "), F.lit(" [MASK]")), F.lit("[SEP]"))
     enc = bpe.bpe_encode(rows.withColumn("text", tagged), toy_model(), strategy="fold")
     return enc.select("doc_id", F.size("ids").alias("n_tokens"), text_ids("ids").alias("ids"))
@@ -181,7 +181,7 @@ select doc_id // 8 as batch_index, shard, cast(sum(len(ids)) as bigint) as n_tok
 from encoded group by all having sum(len(ids)) > 0""")
 def skip_empty_batches(spark, sf):
     """One-row batches: those of null and empty rows must give no buffer."""
-    rows = fx.corpus(spark, sf).withColumn(
+    rows = spread(fx.corpus(spark, sf), key="doc_id").withColumn(
         "batch_index", F.expr(f"doc_id div {fx.SHARDS}")).withColumn("row_in_batch", F.lit(0))
     enc = bpe.bpe_encode(rows, toy_model())
     return bpe.flatten_pack(enc).select("batch_index", "shard", "n_tokens")
@@ -311,7 +311,7 @@ def byte_block_scan(spark, sf):
 def _bins(spark, sf, layout: str = "parts") -> str:
     register_sources(spark)
     path = scratch_path(spark, "bins")
-    rows = fx.corpus(spark, sf)
+    rows = spread(fx.corpus(spark, sf), key="doc_id")
     tokens.write_token_bins(bpe.bpe_encode(rows, toy_model()), path, layout=layout)
     return path
 
@@ -417,7 +417,7 @@ select cast(coalesce(v.id, -1) as bigint) as found_id, count(*) as pieces, cast(
 from pieces p left join vocab v on v.token = p.token group by all""")
 def vocab_lookup_query(spark, sf):
     """Which whole pieces are tokens of their own (-1: none)."""
-    rows = corpus.nonempty_rows(fx.corpus(spark, sf))
+    rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf), key="doc_id"))
     pieces = rows.select(F.explode(bytelevel.pretokenize(F.col("text"))).alias("w"))
     counted = pieces.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     found = vocab_lookup(counted.withColumn("token", bytelevel.byte_map(F.col("w"))), toy_model(), token="token")

@@ -38,11 +38,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, partitions: int | None = None, key: str | None = None) -> DataFrame:
-    """The rows in ``partitions`` tasks, dealt by a hash of ``key``; unchanged without a number.
+    """The rows dealt anew for heavy work on a table of few files; unchanged without arguments.
 
-    For heavy work on a table of few files. How many tasks is the caller's choice, so a plan
-    does not depend on the machine it is made on.
+    By a hash of ``key`` into the session's shuffle partitions, or into ``partitions``. It is
+    the caller's choice, never a guess from the machine that makes the plan.
     """
-    if partitions is None:
+    if partitions is None and key is None:
         return df
-    return df.repartition(partitions, key) if key else df.repartition(partitions)
+    by = [key] if key else []
+    return df.repartition(*([partitions] if partitions else []), *by)
