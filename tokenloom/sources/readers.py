@@ -5,17 +5,18 @@ All of them cut files into byte ranges, so one huge file is read by many tasks.
 
 from __future__ import annotations
 
-import io
 import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tokenloom.sources.files import FileSplit, byte_splits, list_files, resolve
 
 BATCH_ROWS = 1 << 16
+LOG_CHUNK = 1 << 20
 NOTHING = FileSplit("", 0, 0, 0)  # an empty list would mean one default partition
 
 
@@ -196,34 +197,45 @@ class TokenBinSource(DataSource):
 class LogLineReader(_RangeReader):
     def read_range(self, f, split):
         # a line belongs to the range its first byte lies in
-        f = io.BufferedReader(f, 1 << 20)
-        at = split.start
+        at, held = split.start, b""
         if at > 0:
             f.seek(at - 1)
-            at += len(f.readline()) - 1
-        offsets, lines = [], []
+            at -= 1
+            while (cut := held.find(b"\n")) < 0:
+                at += len(held)
+                held = f.read(LOG_CHUNK)
+                if not held:
+                    return
+            at, held = at + cut + 1, held[cut + 1:]
         while at < split.end:
-            line = f.readline()
-            if not line:
-                break
-            offsets.append(at)
-            lines.append(line.rstrip(b"\n").rstrip(b"\r").decode("utf-8", "replace"))
-            at += len(line)
-            if len(lines) == 8192:
-                yield self._batch(split.path, offsets, lines)
-                offsets, lines = [], []
-        if lines:
-            yield self._batch(split.path, offsets, lines)
-
-    @staticmethod
-    def _batch(path, offsets, lines):
-        return pa.RecordBatch.from_pydict(
-            {
-                "file": pa.array([path] * len(lines), pa.string()),
-                "byte_offset": pa.array(offsets, pa.int64()),
-                "value": pa.array(lines, pa.string()),
-            }
-        )
+            more = f.read(LOG_CHUNK)
+            data = held + more
+            whole = len(data) if not more else data.rfind(b"\n") + 1
+            if whole:
+                yield from self._batches(split, at, data[:whole])
+                at, data = at + whole, data[whole:]
+            held = data
+            if not more:
+                return
+
+    def _batches(self, split, at, data):
+        """Whole lines as Arrow arrays over the bytes just read."""
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+        if not len(ends) or ends[-1] < len(data):
+            ends = np.append(ends, len(data))
+        starts = np.concatenate([[0], ends[:-1]])
+        n = int(np.searchsorted(at + starts, split.end))
+        if not n:
+            return
+        offsets = np.append(starts[:n], ends[n - 1]).astype(np.int32)
+        try:
+            data.decode()
+            lines = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data))
+        except UnicodeDecodeError:
+            lines = pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(starts[:n], ends[:n])], pa.string())
+        lines = pc.utf8_rtrim(pc.utf8_rtrim(lines, "\n"), "\r")
+        file = pa.array([split.path], pa.string()).take(pa.array(np.zeros(n, np.int32)))
+        yield pa.RecordBatch.from_arrays([file, pa.array(at + starts[:n]), lines], ["file", "byte_offset", "value"])
 
 
 class LogLineSource(DataSource):
