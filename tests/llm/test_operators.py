@@ -351,6 +351,27 @@ def test_attention_is_causal_and_scores_each_id_once():
     assert both[1] == pytest.approx(score([ids])[0], rel=1e-5) and len(both) == 3
 
 
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_every_training_text_fits_the_weights(spark, monkeypatch, tasks):
+    """More texts than any sample, one id of its own in each: the context row of every id moves."""
+    from tokenloom.llm import attention
+
+    monkeypatch.setattr(lm_scoring, "TASK_BLOCKS", 2000 // tasks)
+    monkeypatch.setattr(lm_scoring, "LEAST_BLOCKS", 2000)
+    own = np.arange(1000, 3000)
+    rng = np.random.default_rng(7)
+    data = [(float(t), np.array([5, i, 6], "<u2").tobytes()) for i, t in zip(own.tolist(), rng.random(len(own)), strict=True)]
+    ids = spark.createDataFrame(data, "turn double, ids binary").repartition(4)
+    counts, n_blocks = lm_scoring.id_counts(ids)
+    assert n_blocks == 2000 and counts[attention.BOUND] == 2000 and (counts[own] == 1).all()
+    class_of = np.arange(attention.N_IDS) % 128
+    fresh = attention.Attention(128).p["emb"]
+    model = lm_scoring.fit(ids, attention.Attention(128), class_of, n_blocks)
+    moved = (model.p["emb"] != fresh).any(axis=1)
+    assert moved[own].all() and moved[[5, 6]].all() and not moved[:5].any()
+    assert all(np.isfinite(v).all() for v in model.p.values())
+
+
 def test_lm_odd(odd, none):
     out = lm_scoring.lm_scores(odd).collect()
     assert len(out) == len(ODD) and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in out)

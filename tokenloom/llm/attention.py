@@ -84,26 +84,59 @@ class Attention:
         }
         self.scale = np.float32(1 / np.sqrt(size))
 
-    def fit(self, texts: list[np.ndarray], class_of: np.ndarray, steps: int = 800, batch: int = 256,
-            rate: float = 6e-3, seed: int = 5) -> Attention:
-        blocks = to_blocks(texts)
-        rng, p = np.random.default_rng(seed), self.p
-        n_classes = len(p["c"])
-        first_class = np.bincount(class_of[blocks.targets[blocks.real]], minlength=n_classes) + 0.5
-        p["c"] = np.log(first_class / first_class.sum()).astype(np.float32)
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        s = {k: np.zeros_like(v) for k, v in p.items()}
-        for t in range(1, steps + 1):
-            at = rng.integers(0, len(blocks.inputs), batch)
-            grads, ids, rows = self._gradients(blocks, at, class_of)
-            lr = np.float32(rate * min(1, t / 30) * (1 - 0.9 * t / steps))
-            for k, g in grads.items():
-                m[k] += np.float32(0.1) * (g - m[k])
-                s[k] += np.float32(0.01) * (g * g - s[k])
-                p[k] -= lr * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.99**t)) + np.float32(1e-8))
-            # rows of the embedding move only when they are used
-            s["emb"][ids] += np.float32(0.05) * (rows * rows - s["emb"][ids])
-            p["emb"][ids] -= lr * rows / (np.sqrt(s["emb"][ids]) + np.float32(1e-7)) * np.float32(0.3)
+    def start(self, class_mass: np.ndarray) -> Attention:
+        """Begins with the shares of the classes, given their counts."""
+        mass = class_mass + 0.5
+        self.p["c"] = np.log(mass / mass.sum()).astype(np.float32)
+        return self
+
+    def fit_blocks(self, blocks: Blocks, class_of: np.ndarray, state: dict, rates, rng: np.random.Generator,
+                   passes: int = 1, batch: int = 256) -> Attention:
+        """Steps over all ``blocks``, ``passes`` times in a new order each. ``state`` (empty at first) goes
+        on between calls; ``rates(n)`` is the learning rate after ``n`` blocks of this state.
+        """
+        p = self.p
+        if not state:
+            state |= {"m": {k: np.zeros_like(v) for k, v in p.items()}, "s": {k: np.zeros_like(v) for k, v in p.items()},
+                      "t": 0, "blocks": 0, "used": np.zeros(N_IDS, dtype=np.float32)}
+        m, s, n = state["m"], state["s"], len(blocks.inputs)
+        for _ in range(passes):
+            order = rng.permutation(n)
+            for a in range(0, n, batch):
+                at = order[a : a + batch]
+                grads, ids, rows = self._gradients(blocks, at, class_of)
+                state["t"] += 1
+                t, lr = state["t"], np.float32(rates(state["blocks"]) * min(1, state["t"] / 30))
+                for k, g in grads.items():
+                    m[k] += np.float32(0.1) * (g - m[k])
+                    s[k] += np.float32(0.01) * (g * g - s[k])
+                    p[k] -= lr * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.99**t)) + np.float32(1e-8))
+                # rows of the embedding move only when they are used
+                s["emb"][ids] += np.float32(0.05) * (rows * rows - s["emb"][ids])
+                p["emb"][ids] -= lr * rows / (np.sqrt(s["emb"][ids]) + np.float32(1e-7)) * np.float32(0.3)
+                state["blocks"] += len(at)
+                state["used"][ids] += 1
+        return self
+
+    def weighted(self, state: dict) -> tuple[np.ndarray, np.ndarray]:
+        """What workers add up to average their weights: ``(embedding, all other weights)``.
+
+        An id's row counts by the steps that used it, so that workers without it do not hold it
+        back; the other weights count by blocks. The last column or number is the weight.
+        """
+        used, blocks = state["used"][:, None], np.float32(state["blocks"])
+        rest = np.concatenate([self.p[k].ravel() for k in self.p if k != "emb"])
+        return np.concatenate([self.p["emb"] * used, used], axis=1), np.append(rest * blocks, blocks)
+
+    def average(self, emb: np.ndarray, rest: np.ndarray) -> Attention:
+        """Takes the weights of summed :meth:`weighted`; what nobody used stays."""
+        used = emb[:, -1] > 0
+        self.p["emb"][used] = emb[used, :-1] / emb[used, -1:]
+        at = 0
+        for k, v in self.p.items():
+            if k != "emb" and rest[-1] > 0:
+                self.p[k] = (rest[at : at + v.size] / rest[-1]).reshape(v.shape).astype(np.float32)
+                at += v.size
         return self
 
     def _gradients(self, blocks: Blocks, at: np.ndarray, class_of: np.ndarray):
@@ -141,8 +174,9 @@ class Attention:
         d_e = flat(d_h + d_q @ p["q"].T)
         d_ek = flat(d_k @ p["k"].T + d_v @ p["v"].T)
         ids, inverse = np.unique(np.concatenate([x.ravel(), keys.ravel()]), return_inverse=True)
-        rows = np.zeros((len(ids), e.shape[2]), dtype=np.float32)
-        np.add.at(rows, inverse, np.concatenate([d_e, d_ek]))
+        order = np.argsort(inverse, kind="stable")
+        first = np.flatnonzero(np.diff(inverse[order], prepend=-1))
+        rows = np.add.reduceat(np.concatenate([d_e, d_ek])[order], first, axis=0)
         return g, ids, rows
 
     @staticmethod

@@ -9,6 +9,7 @@ corpus needs to keep each one small.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.attention import BOUND, N_IDS, Attention, classes_by_mass, log10_probability
-from tokenloom.llm.common import is_held_out, lowest, slices
+from tokenloom.llm.attention import BOUND, N_IDS, STRIDE, Attention, classes_by_mass, log10_probability, to_blocks
+from tokenloom.llm.common import is_held_out, slices
 from tokenloom.llm.encode import encode, encoder
 from tokenloom.llm.words import split_words, xxh64
 from tokenloom.session import materialize
@@ -26,6 +27,10 @@ SLICE_BYTES = 6 << 20
 SLICE_ROWS = 50_000  # a text's place in its slice fits 16 bits
 # subword ids of the training texts per bucket
 BUCKET_IDS = 12_000_000
+# fitting: blocks of a task at least, blocks that a task holds at once, steps of a small corpus in blocks
+TASK_BLOCKS, SLICE_BLOCKS, LEAST_BLOCKS = 1 << 16, 1 << 16, 800 * 256
+# shares of the texts after which the tasks' weights are averaged, and pieces of the embedding for the sums
+ROUNDS, PARTS = (0.0, 1 / 16, 1 / 4, 5 / 8, 1.0), 64
 
 MESSAGES = (
     "slice long, bucket int, n_docs int, words binary, train binary, spread binary, doc binary, times binary, "
@@ -34,23 +39,107 @@ MESSAGES = (
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def id_counts(texts: DataFrame, vocabulary: str | None) -> np.ndarray:
-    """How often every subword id occurs in the column ``text``, and the number of texts at ``BOUND``."""
+def encoded(texts: DataFrame, vocabulary: str | None) -> DataFrame:
+    """The column ``text`` as subword ids of 16 bits, written once; ``turn`` deals the texts to rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(N_IDS, dtype=np.int64)
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        for batch in batches:
+            for part in slices(batch, SLICE_BYTES):
+                ids = [encode(t or "", vocabulary).astype("<u2").tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rng.random(len(ids))), pa.array(ids, pa.binary())], names=["turn", "ids"]
+                )
+
+    return materialize(texts.select("text").mapInArrow(run, "turn double, ids binary"), "ids")
+
+
+def id_counts(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """How often every subword id occurs, with the number of texts at ``BOUND``, and the number of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(N_IDS + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts += np.bincount(encode(text or "", vocabulary), minlength=N_IDS)
+            for raw in batch.column(0).to_pylist():
+                counts[:N_IDS] += np.bincount(np.frombuffer(raw, "<u2"), minlength=N_IDS)
                 counts[BOUND] += 1
+                counts[N_IDS] += len(raw) // 2 // STRIDE + 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["id", "n"])
 
-    out = np.zeros(N_IDS, dtype=np.int64)
+    out = np.zeros(N_IDS + 1, dtype=np.int64)
     # one row per id of the vocabulary at most
-    for r in texts.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
-    return out
+    return out[:N_IDS], int(out[N_IDS])
+
+
+def fit(ids: DataFrame, model: Attention, class_of: np.ndarray, n_blocks: int) -> Attention:
+    """Fits ``model`` on every text of the table ``ids``, all tasks at once.
+
+    In each round a task goes on from the common weights over its own texts of that round, and the
+    weights are averaged: steps follow the number of blocks, and each text is used in one
+    round. A small corpus is passed over often enough for ``LEAST_BLOCKS`` in one task.
+    """
+    if not n_blocks:
+        return model
+    passes = max(1, round(LEAST_BLOCKS / n_blocks))
+    n_tasks = max(1, n_blocks // TASK_BLOCKS)
+    edges = ROUNDS if n_tasks > 1 else (0.0, 1.0)
+    spark, per_part = ids.sparkSession, -(-N_IDS // PARTS)
+    for low, high in zip(edges, edges[1:], strict=False):
+        rows = ids.filter((F.col("turn") >= low) & (F.col("turn") < high)).select("ids").coalesce(n_tasks)
+        n_parts = max(1, rows.rdd.getNumPartitions())  # coalescing only lowers it
+        shared = spark.sparkContext.broadcast((model, class_of))
+
+        def work(batches: Iterator[pa.RecordBatch], low=low, high=high, n_parts=n_parts, shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            given, classes = shared.value
+            mine, state = copy.deepcopy(given), {}
+            worker = TaskContext.get().partitionId()
+            rng = np.random.default_rng(worker)
+            share = passes * n_blocks / n_parts
+
+            def rate(n: int) -> float:
+                return 6e-3 * (1 - 0.9 * min(high, low + n / share))
+
+            def train(texts: list[np.ndarray]) -> None:
+                mine.fit_blocks(to_blocks(texts), classes, state, rate, rng, passes)
+
+            texts, held = [], 0
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    texts.append(np.frombuffer(raw, "<u2").astype(np.int32))
+                    held += len(raw) // 2 // STRIDE + 1
+                    if held >= SLICE_BLOCKS:
+                        train(texts)
+                        texts, held = [], 0
+            if texts:
+                train(texts)
+            if state:
+                emb, rest = mine.weighted(state)
+                vecs = [v.tobytes() for v in [*(emb[a : a + per_part] for a in range(0, N_IDS, per_part)), rest]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(vecs)), pa.int32()), pa.array([worker] * len(vecs), pa.int32()),
+                     pa.array(vecs, pa.binary())], names=["part", "worker", "vec"],
+                )
+
+        def add(table: pa.Table) -> pa.Table:
+            one = table.sort_by("worker")
+            total = sum(np.frombuffer(v, "<f4").astype(np.float64) for v in one["vec"].to_pylist())
+            return pa.table({"part": one["part"][:1], "vec": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+        # the driver takes one sum of every part, at any number of tasks
+        sums = rows.mapInArrow(work, "part int, worker int, vec binary").groupBy("part").applyInArrow(
+            add, "part int, vec binary").collect()
+        vecs = [np.frombuffer(r["vec"], "<f4") for r in sorted(sums, key=lambda r: r["part"])]
+        if vecs:
+            model.average(np.concatenate([v.reshape(-1, model.p["emb"].shape[1] + 1) for v in vecs[:-1]]), vecs[-1])
+        shared.unpersist()
+    return model
 
 
 def _requests(number: int, texts: list[bytes], held: np.ndarray, n_buckets: int) -> list[dict]:
@@ -118,30 +207,24 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 def lm_scores(
-    docs: DataFrame, mod: int = 5, max_train: int = 1500, n_classes: int = 128, vocabulary: str | None = None,
+    docs: DataFrame, mod: int = 5, n_classes: int = 128, vocabulary: str | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Texts whose crc32 of the id is 1 modulo ``mod`` are held out, all others train: word and
-    subword counts cover them all, the attention weights are fitted on the ``max_train`` with
-    the smallest hash of their id (a documented bound). ``score`` is the model's log10
-    probability of the whole text and its end. A null text is empty, a null id trains but is
-    not sampled; repeated rows count each time. With nothing to train on, the base score
+    subword counts and the attention weights cover them all. ``score`` is the model's log10
+    probability of the whole text and its end. A null text is empty, a null id trains;
+    repeated rows count each time. With nothing to train on, the base score
     is 0 and the model gives each id its untrained share.
     """
     rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id"), mod).alias("held"))
-    train = rows.filter(~F.col("held"))
-    turn = F.xxhash64(F.lit(31), "doc_id")
-    named = train.select("doc_id").filter("doc_id is not null")
-    picked = lowest(named.distinct(), turn, max_train, named.count())
-    sample = train.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy(turn, "doc_id").collect()
-    counts = id_counts(train, vocabulary)
+    ids = encoded(rows.filter(~F.col("held")), vocabulary)
+    counts, n_blocks = id_counts(ids)
     pieces = [encoder(vocabulary).decode_single_token_bytes(i) for i in range(BOUND)] + [b""]
     class_of = classes_by_mass(counts, pieces, n_classes)
     share = np.log((counts + 0.5) / np.bincount(class_of, weights=counts + 0.5)[class_of]).astype(np.float32)
-    model = Attention(n_classes)
-    if sample:
-        model.fit([encode(r["text"] or "", vocabulary).astype(np.int64) for r in sample], class_of)
+    mass = np.bincount(class_of, weights=counts, minlength=n_classes)
+    model = fit(ids, Attention(n_classes).start(mass), class_of, n_blocks)
     shared = docs.sparkSession.sparkContext.broadcast((model.tables(), class_of, share))
     n_buckets = max(12, int(counts.sum()) // BUCKET_IDS)
 
