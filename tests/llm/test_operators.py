@@ -243,6 +243,26 @@ def test_packing_round_trip(spark, odd):
     assert set(pieces) == set(ids) and len(places) <= 1.02 * sum(map(len, ids.values())) / 2048 + 1
 
 
+def test_packing_ids_of_the_added_token(spark):
+    """The library's defaults, with texts that hold the string of the added token."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"x{mark}{mark}  y", f"é  {mark}\n\n 日本", "<|endoftext", f"{mark} don't " * 900, "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [np.array([*exact.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert ids[0].tolist() == [64, 220, 50256, 275, 0]
+    packed = packing.best_two_fit(docs)
+    out = packed.collect()
+    for r in out:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"]
+    assert sum(r["length"] for r in out) == sum(map(len, ids))
+    assert sum(r["ids"].count(50256) for r in packing.sequence_ids(docs, packed).collect()) == sum(t.count(mark) for t in texts)
+
+
 def test_plan_matches_bin_by_bin():
     """The histogram plan is what packing one bin after the other gives."""
     rng = np.random.default_rng(4)

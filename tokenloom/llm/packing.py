@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import map_rows, plain_columns
-from tokenloom.llm.encode import encode
+from tokenloom.llm.encode import encode_added
 from tokenloom.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabul
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            ids = np.append(encode(text or "", vocabulary), np.uint32(end_id)).astype("<u4")
+            ids = np.append(encode_added(text or "", vocabulary), np.uint32(end_id)).astype("<u4")
             starts = cut_points(len(ids), capacity)
             for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                 rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
@@ -182,7 +182,7 @@ def sequence_ids(docs: DataFrame, packed: DataFrame, end_id: int = 0, vocabulary
         cols = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
         out = []
         for text, a, n in zip(cols["text"], cols["start"], cols["length"], strict=True):
-            out.append(np.append(encode(text or "", vocabulary), np.uint32(end_id))[a : a + n].astype(np.int32))
+            out.append(np.append(encode_added(text or "", vocabulary), np.uint32(end_id))[a : a + n].astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [pa.array(cols["sequence_id"], pa.int64()), pa.array(cols["offset"], pa.int64()),
              pa.array(out, pa.list_(pa.int32()))], names=["sequence_id", "offset", "ids"],
