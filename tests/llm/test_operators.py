@@ -462,6 +462,17 @@ def test_templates_and_slots(spark):
     assert out == {1: True, 2: True, 3: False, 4: False, 5: False, None: False}
 
 
+def test_whole_copies_are_found(spark):
+    """Items of one window after a heading, of few words, and of numbers and names."""
+    items = ["What is the capital of France?", "Name the author", "Sum 1 2 3 4 5 6 7 8 9 10", "two words"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(0, f"Some questions\n{items[0]} Paris"), (1, "Please name the author, now"), (2, f"so {items[2].lower()} ok"),
+            (3, "here are two words"), (4, "Sum 1 2 3 4 5 6 7 8 and 9 10"), (5, "the author name")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["contaminated"] for r in decontaminate.decontaminate(df, bench).collect()}
+    assert out == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
+
+
 def test_planted_items_are_found(spark):
     docs, bench = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     flat = lambda t: " ".join((t or "").lower().split())

@@ -4,6 +4,7 @@ Numbers, names and units become typed placeholders, so a question with other nam
 keeps its template. Windows of template words are hashed; document windows that a bit filter of
 the benchmark's windows lets through are hash-joined with them, and a joined pair counts only if
 its slots are filled consistently: the same benchmark value always by the same document value.
+Beside these, windows of the words themselves find whole copies of an item, whatever its slots.
 """
 
 from __future__ import annotations
@@ -43,7 +44,12 @@ _FOLD[0x41:0x5B] += 32
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that windows can be shifted to a common origin
 NUM, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
 
-WINDOWS = "id long, text_key long, at int, size int, win long, slots array<long>"
+# a whole copy of fewer words can't be told from chance
+LEAST_WORDS = 3
+_LITERAL = np.uint64(0xA5A5_5A5A_C3C3_3C3C)  # keeps the hashes of literal windows apart
+
+# need: 0 for a template window, else the literal windows that a whole copy of the item holds
+WINDOWS = "id long, text_key long, at int, size int, win long, need int, slots array<long>"
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -107,20 +113,27 @@ def template_windows(
     return at, total ^ (total >> np.uint64(29))
 
 
+def literal_windows(words: Words, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(first word, hash)`` of all windows of bare, letter-folded words inside one text."""
+    at, win = template_windows(words, own, size, 0)
+    return at, win ^ _LITERAL
+
+
 def _rows(batch: pa.RecordBatch, words: Words, symbol: np.ndarray, own: np.ndarray, found: list) -> pa.RecordBatch:
     at = np.concatenate([f[0] for f in found])
     size = np.concatenate([np.full(len(f[0]), s) for s, f in zip([f[2] for f in found], found, strict=True)])
     win = np.concatenate([f[1] for f in found])
+    need = np.concatenate([np.broadcast_to(f[3], len(f[0])) for f in found])
     slots = []
-    for a, s in zip(at, size, strict=True):
-        inside = symbol[a : a + s] <= UNIT
+    for a, s, n in zip(at, size, need, strict=True):
+        inside = symbol[a : a + s] <= (0 if n else UNIT)
         slots.append(own[a : a + s][inside].view(np.int64) if inside.any() else [])
     doc = words.doc[at]
     return pa.RecordBatch.from_arrays(
         [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)),
          pa.array(at - words.first[doc], pa.int32()), pa.array(size, pa.int32()), pa.array(win.view(np.int64)),
-         pa.array(slots, pa.list_(pa.int64()))],
-        names=["id", "text_key", "at", "size", "win", "slots"],
+         pa.array(need, pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
+        names=["id", "text_key", "at", "size", "win", "need", "slots"],
     )
 
 
@@ -139,7 +152,12 @@ def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, size: int, m
             if s < size:
                 whole = words.counts[words.doc[at]] == s
                 at, win = at[whole], win[whole]
-            found.append((at, win, s))
+            found.append((at, win, s, 0))
+        for s in range(LEAST_WORDS, size + 1):
+            at, win = literal_windows(words, own, s)
+            n = words.counts[words.doc[at]]
+            mine = (n == s) | (s == size)
+            found.append((at[mine], win[mine], s, (n - s + 1)[mine]))
         return _rows(batch, words, symbol, own, found)
 
     rows = bench.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("text_key"),
@@ -166,31 +184,34 @@ def contamination(
     """``doc_id, text_key, item_id, n_windows``: documents and the items whose windows they hold.
 
     A window has ``size`` template words, ``min_literals`` of them literal. Items with fewer
-    than ``size`` words are looked for whole, those with fewer than ``min_literals`` literal
-    words (null and empty ones too) can't be told from chance and match nothing.
+    than ``size`` words are looked for whole. Copies of a whole item, letter case and punctuation
+    at the ends of words aside, are found whatever they are made of, from ``LEAST_WORDS`` words on;
+    shorter items (null and empty ones too) match nothing.
     ``text_key`` with ``doc_id`` names a row; rows equal in both share their verdict.
     The filter has a fixed size; a large benchmark fills it, which costs time but no result.
     """
     bench = materialize(benchmark_windows(benchmark, item_id, item_text, size, min_literals), "benchmark")
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
+    kinds = sorted((r["size"], r["literal"]) for r in bench.select("size", (F.col("need") > 0).alias("literal")).distinct().collect())
     passes = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_filter(bench, filter_bits)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         bits = np.unpackbits(passes.value).astype(bool)
         words, symbol, own = templates(texts_of(batch.column(2)))
         found = []
-        for s in sizes:
-            at, win = template_windows(words, symbol, s, min_literals)
+        for s, literal in kinds:
+            at, win = literal_windows(words, own, s) if literal else template_windows(words, symbol, s, min_literals)
             ok = bits[(win.view(np.int64) % filter_bits)]
-            found.append((at[ok], win[ok], s))
+            found.append((at[ok], win[ok], s, int(literal)))
         return _rows(batch, words, symbol, own, found) if found else None
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{doc_text}`")).alias("text_key"),
                        F.col(f"`{doc_text}`").alias("text"))
     near = map_rows(rows, run, WINDOWS, 2 << 20)
-    items = bench.select("win", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    items = bench.select("win", "need", F.col("text_key").alias("item_key"), F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     # one diagonal is one placement of the item in the document
-    met = near.join(items, "win").select(
+    both = near.withColumnRenamed("need", "literal").join(items, "win").filter((F.col("need") > 0) == (F.col("literal") > 0))
+    both = materialize(both, "met")  # two branches read it, and the texts are read once
+    met = both.filter("need = 0").select(
         "id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at",
         F.arrays_zip("item_slots", "slots").alias("slots"),
     )
@@ -198,7 +219,12 @@ def contamination(
         F.count_distinct("at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     same = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == F.size("slots")
-    return placed.filter(same).groupBy("id", "text_key", "item_id").agg(F.max("n_windows").alias("n_windows")).select(
+    # all literal windows of an item on one diagonal are a copy of it; its slots need no check
+    copied = both.filter("need > 0").groupBy(
+        "id", "text_key", "item_id", "item_key", "need", (F.col("at") - F.col("item_at")).alias("diagonal")
+    ).agg(F.count_distinct("at").alias("n_windows")).filter("n_windows = need")
+    columns = ["id", "text_key", "item_id", "n_windows"]
+    return placed.filter(same).select(columns).unionByName(copied.select(columns)).groupBy("id", "text_key", "item_id").agg(F.max("n_windows").alias("n_windows")).select(
         F.col("id").alias("doc_id"), "text_key", "item_id", "n_windows"
     )
 
