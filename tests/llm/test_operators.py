@@ -515,3 +515,66 @@ def test_sql(spark, name):
     got = [r.asDict() for r in entry.queries()[name](spark, SF).collect()]
     order = lambda xs: sorted(repr(sorted(x.items())) for x in xs)
     assert order(got) == order(want)
+
+
+# ---- long white space, odd column names
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \n\t "])
+def test_long_white_space_encodes_as_the_json_form(blank):
+    import public_tokenizers
+    import tokenizers
+
+    from tokenloom.llm.encode import encode, encode_added
+
+    json_form = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    run = blank * (1_000_000 // len(blank))
+    for text in (run, run + "end", f"a{run}b {run}!", f"x{run}<|endoftext|>{run}y"):
+        want = json_form.encode(text, add_special_tokens=False).ids
+        assert encode_added(text).tolist() == want
+        if "<|" not in text:
+            assert encode(text).tolist() == want
+
+
+def test_long_white_space_is_packed_and_scored(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n\t" * 500_000 + "end"), (3, "word")], "doc_id long, text string")
+    assert {r[0] for r in packing.best_two_fit(docs).select("doc_id").distinct().collect()} == {1, 2, 3}
+    assert lm_scoring.lm_scores(docs).count() == 3
+
+
+CLASH = "doc_id long, text string, k long, n long, spans string, _text_key long, `a.b` string, h long, row string, n_chars int"
+
+
+def test_clashing_and_dotted_names_pass_every_stage(spark):
+    words = " ".join(f"w{i % 97}x{i}" for i in range(120))
+    docs = spark.createDataFrame(
+        [(i, f"{words if i < 2 else ''} " + " ".join(f"u{i}v{j}" for j in range(80)), 1, 2, "s", 7, "dot", 3, "r", 5) for i in range(4)], CLASH,
+    )
+    assert quality_rules.keep_by_rules(docs).columns == docs.columns
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and {r["_text_key"] for r in kept.collect()} == {7}
+    cut = repeats.remove_repeats(docs, 200)
+    assert cut.columns == docs.columns
+    got = {r["doc_id"]: r for r in cut.collect()}
+    assert words not in got[0]["text"] and got[2]["a.b"] == "dot" and got[3]["k"] == 1
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    items = spark.createDataFrame([(1, "u2v3 u2v4 u2v5 u2v6 u2v7 u2v8 u2v9 u2v10 u2v11")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {0, 1, 3}
+
+
+def test_roles_that_look_alike_stay_apart(spark):
+    talk = spark.createDataFrame([(1, 0, "a|b", "one"), (1, 1, "a b", "two")], "conv_id long, turn long, role string, text string")
+    got = {r["speaker"]: r["n_trained"] for r in chat.perspectives(talk).collect()}
+    assert got == {"a|b": 1, "a b": 1}
+
+
+def test_passages_of_51_words_leave_the_stage(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"wo{i % 7}r{i}" for i in range(51))  # some 300 bytes
+    docs = spark.createDataFrame(
+        [(i, f"own{i}a own{i}b {passage} own{i}c" if i < 2 else f"alone{i} " * 9) for i in range(4)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    assert len(passage.encode()) < 400 and passage not in got[0] and passage not in got[1]
+    assert got[0].startswith("own0a own0") and got[2] == "alone2 " * 9

@@ -103,12 +103,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     with turn as (
         select conv_id, turn, coalesce(role, 'unknown') as role,
             replace(coalesce(text, ''), '<|im_', '<| im_') as body,
-            row_number() over (partition by conv_id order by turn nulls last, role, text) - 1 as place
+            row_number() over (partition by conv_id order by turn nulls last, role, md5(body)) - 1 as place
         from conversations),
     side as (
         select t.*, s.role as speaker, t.role = s.role as own, t.place // 64 as part,
             case when t.role = 'system' then '<|im_start|>system' when t.role = s.role then '<|im_start|>assistant'
-                else '<|im_start|>user name=' || t.role end || chr(10) as head
+                else '<|im_start|>user name=' || regexp_replace(t.role, '[\\r\\n<>|]', ' ', 'g') end || chr(10) as head
         from turn t join (select distinct conv_id, role from turn where role <> 'system') s using (conv_id)),
     placed as (
         select *, coalesce(sum(length(head) + length(body) + 11) over (

@@ -24,14 +24,14 @@ def _numbered(turns: DataFrame) -> DataFrame:
     per file, which bounds the broadcast by the number of files.
     """
     order = ["conv_id", F.col("turn").isNull(), "turn", "role", "tie"]
-    dealt = turns.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order)
+    dealt = turns.withColumn("tie", F.md5("text")).repartitionByRange(*order)
     dealt = materialize(dealt.withColumn("file", F.spark_partition_id()), "turns")
     counts = dealt.groupBy("conv_id", "file").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     goes_on = counts.withColumn("before", F.sum("n").over(earlier)).filter("before > 0").select(
         F.col("conv_id").alias("_conv"), F.col("file").alias("_file"), "before"
     )
-    inside = Window.partitionBy("file", "conv_id").orderBy(F.col("turn").isNull(), "turn", "role", "tie")
+    inside = Window.partitionBy("file", "conv_id").orderBy(*order[1:])
     ranked = dealt.withColumn("within", F.row_number().over(inside) - 1)
     ranked = ranked.join(
         F.broadcast(goes_on), ranked["conv_id"].eqNullSafe(goes_on["_conv"]) & (ranked["file"] == goes_on["_file"]), "left"
@@ -50,15 +50,16 @@ def perspectives(
     it. ``narrators`` speak as ``system`` on every side and are no participants; a dialogue of
     narrators only gives no row.
 
-    Turns go by number, those without one last, ties by role and text; repeated rows are
+    Turns go by number, those without one last, ties by role and the text's md5; repeated rows are
     repeated turns. A null role speaks as ``unknown``, a null text is empty, and rows with a
     null ``conv_id`` are one conversation. Marks inside a text are broken by a space, so no
-    text can end its own turn.
+    text can end its own turn. A role is shown with blanks for line breaks and ``<>|``; roles that
+    differ only there stay speakers of their own.
     """
     body = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
-    who = F.regexp_replace(F.coalesce("role", F.lit("unknown")), r"[\r\n<>|]", " ")
     turns = conversations.select(
-        F.col("conv_id"), F.col("turn").cast("long").alias("turn"), who.alias("role"), body.alias("text")
+        F.col("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("unknown")).alias("role"), body.alias("text"),
     )
     part = F.floor(F.col("place") / turns_per_part).cast("long")
     parts = _numbered(turns).groupBy("conv_id", part.alias("part")).agg(
@@ -69,11 +70,14 @@ def perspectives(
     ).distinct()
     sides = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")
 
+    def shown(role: Column) -> Column:
+        return F.regexp_replace(role, r"[\r\n<>|]", " ")
+
     def head(turn: Column) -> Column:
         return (
             F.when(turn["role"].isin(*narrators), F.lit(f"{START}system\n"))
             .when(turn["role"] == F.col("speaker"), F.lit(f"{START}assistant\n"))
-            .otherwise(F.concat(F.lit(f"{START}user name="), turn["role"], F.lit("\n")))
+            .otherwise(F.concat(F.lit(f"{START}user name="), shown(turn["role"]), F.lit("\n")))
         )
 
     pieces = F.transform(

@@ -19,6 +19,12 @@ def plain_columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in wanted.items()])
 
 
+def place_names(df: DataFrame) -> DataFrame:
+    """The same columns named ``c0, c1, ...`` by place: no name of the caller's can clash with an
+    operator's own or trouble Spark (dots). ``toDF`` with the old names turns it back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """``crc32(doc_id as text) mod n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -38,11 +39,37 @@ def encoder(path: str | None = None, added: bool = False):
     )
 
 
+# Runs of white space (the pattern's class) that the pattern's look-ahead, which backtracks one
+# character at a time, is spared from.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def _ordinary(text: str, path: str | None) -> list[int]:
+    """Ids of a text without special strings.
+
+    The pattern makes one piece of a run of white space, up to its last character where a word
+    follows; a long run is cut out by hand in the same way.
+    """
+    enc, out, done = encoder(path), [], 0
+    for run in _LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc.encode_ordinary(text[done : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end])
+        done = end
+    return out + enc.encode_ordinary(text[done:])
+
+
 def encode(text: str, path: str | None = None) -> np.ndarray:
     """Ids of one text as little-endian unsigned 32-bit integers; no string is special."""
-    return np.array(encoder(path).encode_ordinary(text), dtype="<u4")
+    return np.array(_ordinary(text, path), dtype="<u4")
 
 
 def encode_added(text: str, path: str | None = None) -> np.ndarray:
     """Like :func:`encode`, with the added token where its string stands, as the JSON form has it."""
-    return np.array(encoder(path, True).encode(text, allowed_special="all"), dtype="<u4")
+    added = encoder(path, True)
+    if not _LONG_BLANK.search(text):
+        return np.array(added.encode(text, allowed_special="all"), dtype="<u4")
+    out: list[int] = []
+    for k, part in enumerate(text.split("<|endoftext|>") if added.special_tokens_set else [text]):
+        out += [ADDED["<|endoftext|>"]] * (k > 0) + _ordinary(part, path)
+    return np.array(out, dtype="<u4")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tokenloom.llm.common import map_rows, plain_columns, texts_of
+from tokenloom.llm.common import map_rows, place_names, plain_columns, texts_of
 from tokenloom.llm.words import Words, split_words, xxh64
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -168,4 +168,5 @@ def keep_by_rules(
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(verdicts(measure(texts_of(batch.column(at)), min_words), max_covered, max_repeat)[1]))
 
-    return map_rows(docs, run, docs.schema, 1 << 20)
+    plain = place_names(docs)
+    return map_rows(plain, run, plain.schema, 1 << 20).toDF(*docs.columns)

@@ -11,9 +11,11 @@ columns are taken from the right, each round inserts one symbol per context in f
 suffix, the order of all suffixes is updated by a stable sort on (symbol, old order) -- the
 column of symbols in the old order is that round's part of the Burrows-Wheeler transform -- and
 the common prefixes of neighbours follow as one plus the minimum between their old places.
-A suffix whose neighbour shares ``length`` bytes starts a repeat. The state of a round is two
-sequences read and written front to back; documents of any length take ``length`` plus the
-widest ownership rounds, not one round per byte of the longest text.
+A suffix whose neighbour shares ``length`` bytes starts a repeat. Documents of any length take
+``length`` plus the widest ownership rounds, not one round per byte of the longest text. The
+method's sequential external files are left out: a batch of ``ROUND_SIZE`` contexts is bounded,
+so its two sequences (order and common prefixes) stay in memory from round to round, while
+Spark's shuffles and written tables hold what grows with the corpus.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_rows, texts_of
+from tokenloom.llm.common import map_rows, place_names, texts_of
 from tokenloom.session import materialize
 
 GRAM = 32
@@ -302,11 +304,12 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_spans(docs: DataFrame, length: int, columns: list[Column]) -> DataFrame:
-    k, n = text_keys(F.coalesce("text", F.lit("")))
-    texts = docs.select(k.alias("k"), n.alias("n"), F.col("text"))
+def _with_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """Rows of ``docs``, whose columns are named by place, with ``spans`` of the column ``text``."""
+    k, n = text_keys(F.coalesce(text, F.lit("")))
+    texts = docs.select(k.alias("k"), n.alias("n"), F.col(text).alias("text"))
     spans = repeated_spans(texts, length)
-    rows = docs.select(*columns, k.alias("_k"), n.alias("_n"))
+    rows = docs.select(*docs.columns, k.alias("_k"), n.alias("_n"))
     return rows.join(spans, (rows["_k"] == spans["k"]) & (rows["_n"] == spans["n"]), "left").drop("k", "n", "_k", "_n")
 
 
@@ -330,8 +333,8 @@ def repeat_report(docs: DataFrame, length: int = 400) -> DataFrame:
             [batch.column(0), *cols, pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         )
 
-    rows = _with_spans(docs, length, [F.col("doc_id"), F.col("text")])
-    return map_rows(rows.select("doc_id", "text", "spans"), run,
+    rows = _with_spans(place_names(docs.select("doc_id", "text")), "c1", length)
+    return map_rows(rows.select("c0", "c1", "spans"), run,
                     "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", 2 << 20)
 
 
@@ -353,6 +356,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         cols[at] = pa.array(rest, pa.string())
         return pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    rows = _with_spans(docs, length, [F.col(f"`{c}`") for c in docs.columns])
-    cut = map_rows(rows.select(*[F.col(f"`{c}`") for c in docs.columns], "spans"), run, docs.schema, 2 << 20)
-    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+    plain = place_names(docs)
+    rows = _with_spans(plain, f"c{at}", length)
+    cut = map_rows(rows.select(*plain.columns, "spans"), run, plain.schema, 2 << 20)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn(f"c{docs.columns.index('n_chars')}", F.length(f"c{at}").cast("long"))
+    return cut.toDF(*docs.columns)

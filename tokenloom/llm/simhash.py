@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import map_rows, texts_of
+from tokenloom.llm.common import map_rows, place_names, texts_of
 from tokenloom.llm.graph import components
 from tokenloom.llm.words import split_words, windows, xxh64
 from tokenloom.session import materialize
@@ -184,6 +184,8 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4) -> Data
     named = prints.join(group_fingerprints(prints, radius).select("fp", "component"), "fp")
     best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("b"))
     best = materialize(best.select(F.col("b.doc_id").alias("_id"), F.col("b.text_key").alias("_key")), "best")
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    kept = rows.join(best, rows["doc_id"].eqNullSafe(best["_id"]) & (rows["_text_key"] == best["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    plain = place_names(docs)
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = plain.withColumn("text_key", F.xxhash64(text))
+    kept = rows.join(best, rows[doc_id].eqNullSafe(best["_id"]) & (rows["text_key"] == best["_key"]), "left_semi")
+    return kept.dropDuplicates([doc_id, "text_key"]).select(*plain.columns).toDF(*docs.columns)
