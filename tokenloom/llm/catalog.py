@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.chat import perspectives
+from tokenloom.llm.common import LOWER, UPPER
 from tokenloom.llm.cotraining import score_quality
 from tokenloom.llm.decontaminate import decontaminate
 from tokenloom.llm.langid import identify
 from tokenloom.llm.lm_scoring import lm_scores
 from tokenloom.llm.packing import best_two_fit
 from tokenloom.llm.quality_rules import quality_rules
+from tokenloom.llm.ranked_search import ranked_search
 from tokenloom.llm.repeats import repeat_report
 from tokenloom.llm.simhash import near_duplicates
 from tokenloom.llm.urls import filter_urls
@@ -149,3 +151,33 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_attention_lm")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op11_best_position_search",
+    f"""
+    with doc as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}') as t
+        from documents),
+    sized as (select doc_id, len(t) as n from doc where len(t) > 0),
+    whole as (select count(*) as n_docs, coalesce(sum(n), 0)::bigint as n_terms from sized),
+    posting as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from doc) group by all),
+    asked as (
+        select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}')) as term
+        from benchmark),
+    weighted as (
+        select term, floor(1000 * ln((2.0::double * n_docs + 2) / (2.0::double * df + 1)))::bigint as w
+        from (select term, count(*) as df from posting group by term), whole),
+    scored as (
+        select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * n_docs) // n_terms)))))::bigint as score
+        from asked join weighted using (term) join posting using (term) join sized using (doc_id), whole
+        group by item_id, doc_id)
+    select item_id, rank::int as rank, doc_id, score from (
+        select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+    where rank <= 50""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -8,6 +8,9 @@ import numpy as np
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# what ends a term of ranked search: ASCII but for letters and digits
+TERM_GAPS = np.zeros(256, dtype=bool)
+TERM_GAPS[:128] = [not chr(c).isalnum() for c in range(128)]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 
@@ -37,9 +40,10 @@ class Words:
         return np.diff(self.first)
 
 
-def split_words(texts: list[bytes], fold: bool = True) -> Words:
+def split_words(texts: list[bytes], fold: bool = True, gaps: np.ndarray = _SPACE) -> Words:
+    """Words of ``texts``: runs of bytes that are no ``gaps`` (a table of 256)."""
     raw = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"", dtype=np.uint8)
-    space = _SPACE[raw]
+    space = gaps[raw]
     before = np.empty_like(space)
     if len(space):
         before[0], before[1:] = True, space[:-1]
