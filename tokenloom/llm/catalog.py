@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.chat import perspectives
 from tokenloom.llm.common import LOWER, UPPER
+from tokenloom.llm.conversation_repair import repair_report
 from tokenloom.llm.cotraining import score_quality
 from tokenloom.llm.decontaminate import decontaminate
 from tokenloom.llm.langid import identify
@@ -181,3 +182,8 @@ _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
