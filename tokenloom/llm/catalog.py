@@ -12,6 +12,7 @@ from tokenloom.llm.common import LOWER, UPPER
 from tokenloom.llm.conversation_repair import repair_report
 from tokenloom.llm.cotraining import score_quality
 from tokenloom.llm.decontaminate import decontaminate
+from tokenloom.llm.html_text import extract
 from tokenloom.llm.langid import identify
 from tokenloom.llm.lm_scoring import lm_scores
 from tokenloom.llm.packing import best_two_fit
@@ -187,3 +188,21 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
+
+
+# the given pages hold their text in one article of headings and paragraphs
+@query(
+    "op13_line_block_text",
+    """
+    with block as (
+        select page_id, url, list_transform(
+            string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>'),
+            lambda b: trim(regexp_replace(replace(replace(replace(replace(replace(
+                regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', chr(39)),
+                '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))) as b
+        from pages),
+    joined as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) as text from block)
+    select page_id, url, text, length(text) as n_chars from joined""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
