@@ -59,7 +59,7 @@ def test_blocks_and_references():
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (None, "u", "just words"), (3, "u", "<p>"), (3, "u", "<p>"), (4, "u", "<" * 50_000),
              (5, "u", "<p a='" * 20_000), (6, "u", "<div>" * 20_000 + "deep"), (7, "u", "<article>" + "<p>word " * 50_000), (8, "u", "<a>only a link</a>"),
-             (9, "u", "<script>" + "x" * 10_000)]
+             (10, "u", "<b>" * 20_000 + "</i>" * 20_000), (9, "u", "<script>" + "x" * 10_000)]
     df = spark.createDataFrame([(*p, 1, "c") for p in pages], "page_id long, url string, html string, n_chars int, `te.xt` string")
     got = sorted((tuple(r) for r in ht.extract(df).collect()), key=repr)
     assert len(got) == len(pages)

@@ -27,6 +27,7 @@ from tokenloom.llm.common import map_rows
 
 WINDOW = 3
 SURGE = 80
+DEPTH = 512  # open elements; deeper ones count as text of the one around them, as in browsers
 
 # Element and name lists of HTML and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,6 +191,8 @@ class Page:
                 if stop:
                     done = source.find(">", done) + 1 or len(source)
                 continue
+            if len(stack) >= DEPTH:
+                continue
             holder = article = None
             if tag in HOLDERS:
                 self.parents.append(top.holder if top else 0)
