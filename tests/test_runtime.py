@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom import api
 from tokenloom.functions.scalars import core_list, decode_status, status_from_dw3, unescape_delimiter_col
 from tokenloom.operators import blocks, corpus, counters, logs, ranges
-from tokenloom.operators.ordered import last_seen, previous_row, running_total, with_path
+from tokenloom.operators.ordered import last_seen, previous_row, running_total, with_path, with_row_blocks
 from tokenloom.session import scratch_path
 from tokenloom.streaming import streams
 
@@ -331,3 +331,111 @@ def test_late_snapshot_is_no_reset(spark, folder):
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in/*")
     out = {r.tick: (r.req_per_s, r.counter_reset) for r in streams.run_to_table(streams.stream_counter_rates(files, 1000), "late").collect()}
     assert out == {1: (10.0, False), 3: (20.0, False), 2: (None, False), 4: (20.0, False)}
+
+
+def test_answers_are_taken_once(spark):
+    base, us = 1_700_000_000, 1_000_000
+    q = [(1, 0, 0), (1, 2 * us, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (4, 6 * us, 4), (9, 9_000 * us, 9)]
+    p = [
+        (1, 3 * us, 10), (1, 4 * us, 11), (1, 4 * us + 1, 12),  # two open requests of one id, a third answer is too many
+        (2, -us, 20), (2, us, 21), (2, us, 22),  # a stale answer before a valid one that comes twice
+        (3, -us, 30), (3, 5 * us + 1, 31),  # only stale and late ones
+        (4, 6 * us, 40), (9, 9_000 * us, 90),  # the id's second use has the answer
+    ]
+    qp, pp = scratch_path(spark, "q"), scratch_path(spark, "p")
+    at = f"timestamp_micros({base * us} + t) as ts"
+    for k in (0, 1):  # answers may arrive before their requests, in other batches
+        spark.createDataFrame(p[k::2], "req_id long, t long, byte_size long").selectExpr("req_id", at, "byte_size").coalesce(1).write.mode("append").parquet(pp)
+        spark.createDataFrame(q[1 - k :: 2], "req_id long, t long, slot long").selectExpr("req_id", at, "slot").coalesce(1).write.mode("append").parquet(qp)
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    qs, ps = "req_id long, ts timestamp, slot long", "req_id long, ts timestamp, byte_size long"
+    read = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = streams.request_timeout(read(qs, qp), read(ps, pp), lateness="1 hour", buckets=2, wait=True)
+    got = streams.run_available(stream, out, state)
+    # a further request of a new id moves the watermark past everything, after a restart
+    spark.createDataFrame([(8, 99_000 * us, 0)], "req_id long, t long, slot long").selectExpr("req_id", at, "slot").coalesce(1).write.mode("append").parquet(qp)
+    spark.createDataFrame([(8, 99_000 * us, 0)], "req_id long, t long, byte_size long").selectExpr("req_id", at, "byte_size").coalesce(1).write.mode("append").parquet(pp)
+    got = streams.run_available(stream, out, state)
+    rows = sorted(((r.req_id, r.slot, r.latency_us, r.timed_out) for r in got.where("req_id < 8").collect()), key=repr)
+    assert rows == sorted([
+        (1, 0, 3 * us, False), (1, 1, 2 * us, False), (2, 2, us, False), (3, 3, None, True), (4, 4, None, True), (4, 4, 0, False),
+    ], key=repr)
+
+
+def test_take_once_waits_for_the_watermark():
+    rows = [(1, 0, True, 5, None), (1, 30, False, None, 7), (2, 0, True, 6, None), (3, 10, False, None, 1)]
+    done, kept = streams.take_once(list(rows), 50, 20)
+    assert done == [] and sorted(kept, key=repr) == sorted(rows[:3], key=repr)  # the answer of 3 has no request to come
+    done, kept = streams.take_once(kept, 50, 30)
+    assert done == [(1, 0, 5, 30, 7, False)] and kept == [rows[2]]
+    assert streams.take_once(kept, 50, 50) == ([(2, 0, 6, None, None, True)], [])
+
+
+def test_log_runs_over_segment_borders(spark, monkeypatch):
+    """Segments of a few lines give the records of one walk over the file."""
+    import random
+
+    rng = random.Random(4)
+    names = [m for m, _ in logs.STAGED_FIELDS]
+    lines = []
+    for _ in range(900):
+        pick = rng.randrange(14)
+        lines.append(
+            logs.BEFORE_MARK if pick == 0 else logs.AFTER_MARK if pick == 1 else logs.END_MARK if pick < 4
+            else f"  {rng.choice(names)} {rng.choice(['7', '12', 'x', '3.5', ''])} KB" if pick < 9
+            else f"[PERF] {rng.choice(['CPU Cycles', 'L1D Miss', 'Other', 'a: b'])}: {rng.randrange(99)}" if pick < 12
+            else f"{logs.TIME_MARK} {rng.randrange(99)} us" if pick == 12 else f"byte_size: {rng.randrange(99)}")
+    want, now, stage = [], {}, None
+    for i, line in enumerate(lines):
+        line = line.strip(" ")
+        named = next((f for m, f in logs.STAGED_FIELDS if m in line), None)
+        if logs.BEFORE_MARK in line:
+            now, stage = {}, "before"
+        elif logs.AFTER_MARK in line:
+            stage = "after"
+        elif named:
+            raw = (line.split(":")[1].split() or [""])[0]
+            digits = raw.replace(".", "", 1) if named.endswith("_time") else raw
+            number = float(raw) if digits.isdigit() else None
+            if stage and number is not None:
+                now[f"{stage}_{named}"] = number
+        elif "[PERF]" in line:
+            parts = line.replace("[PERF]", "").split(":")
+            if len(parts) == 2:
+                now[parts[0].strip().lower().replace(" ", "_")] = int(parts[1])
+        elif logs.TIME_MARK in line:
+            now["bpe_time_us"] = int(line.split()[-2])
+        elif "byte_size" in line:
+            now["output_size_bytes"] = int(line.split()[-1])
+        elif logs.END_MARK in line:
+            want.append((i, *[now.get(f"after_{f}", 0) - now.get(f"before_{f}", 0) for f in logs.DIFFERENCES.values()],
+                         *[now.get(f) for f in logs.PLAIN_FIELDS]))
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "file string, byte_offset long, value string").repartition(3)
+    for size in (1, 3, 17, 5000):
+        monkeypatch.setattr(logs, "LOG_BLOCK_BYTES", size)
+        got = sorted(tuple(r)[1:] for r in logs.log_runs(df).collect())
+        assert got == want
+
+
+def test_cumulative_time_of_a_busy_hour(spark):
+    """A third of a million calls inside one hour of one process: many blocks, ties in one order."""
+    n = 300_000
+    df = spark.range(n).selectExpr(
+        "if(id % 3 < 2, 0, id % 50) as process", "1700000000000000 + (id * 7919) % 3600000000 div 40 * 40 as ts_us", "id % 97 as time_us", "id")
+    out = logs.cumulative_time(df, ties=["id"])
+    w = F.expr("sum(time_us) over (partition by process order by ts_us, id rows unbounded preceding)")
+    wrong = out.join(df.select("id", w.alias("want")), "id").where("total_us <> want")
+    assert out.count() == n and wrong.count() == 0
+    blocks = with_row_blocks(df.repartition(8), ["process", "ts_us", "id"]).where("process = 0").groupBy("_block").count().collect()
+    assert len(blocks) > 1 and max(r["count"] for r in blocks) < n / 2
+
+
+def test_max_rows_reads_no_text_behind_the_cut(spark, folder):
+    rows = [(s, b, r, f"{s}/{b}/{r}") for s in range(4) for b in range(5) for r in range(s + b)]
+    df = spark.createDataFrame(rows, "shard long, batch_index long, row_in_batch long, text string")
+    df.sortWithinPartitions("shard", "batch_index").write.parquet(folder + "/c")
+    table = spark.read.parquet(folder + "/c")
+    for n in (0, 1, 7, 23, len(rows) - 1, len(rows), len(rows) + 5):
+        assert sorted(map(tuple, corpus.max_rows(table, n).collect())) == sorted(rows)[:n]
+    plan = corpus.max_rows(table, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [IsNotNull(shard)") == 3 and "LessThan(shard" in plan and "LessThan(batch_index" in plan

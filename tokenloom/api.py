@@ -195,9 +195,7 @@ def build_range_index(
 def summarize_tokens(spark: SparkSession, path: str, limit: int = 64) -> tuple[DataFrame, DataFrame]:
     """Per-file summary, and the first and last ``limit`` ids of each file."""
     register_sources(spark)
-    files = tokens.token_files(spark, path)
-    scan = spark.read.format("token_bin").load(path)
-    return tokens.token_file_summary(files, scan), tokens.head_tail(spark, path, limit)
+    return tokens.token_file_summary(spark, path), tokens.head_tail(spark, path, limit)
 
 
 def profile_tokenize(

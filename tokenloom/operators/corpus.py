@@ -7,6 +7,7 @@ bigint, text string or binary)``; the first three columns are its order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scalars import unescape_delimiter
@@ -44,14 +45,41 @@ def _global_rank(df: DataFrame, out: str) -> DataFrame:
     return running_total(df, [], ["shard", *path], ["row_in_batch"], {out: F.lit(1)}).drop("_p1")
 
 
+def row_cut(df: DataFrame, n: int) -> tuple[int, int, int] | None:
+    """``(shard, batch, rows)``: the batch in which the n-th row in corpus order lies, and how many of
+    its rows belong to the first n; None if there are not that many rows.
+
+    Only the order columns are read, and one row per batch is folded; one row comes to the driver.
+    """
+    per = df.groupBy("shard", "batch_index").agg(F.count(F.lit(1)).alias("rows"))
+    per, path = corpus_path(per)
+    placed = running_total(per, [], ["shard", *path], ["batch_index"], {"before": F.col("rows")})
+    hit = placed.where((F.col("before") < n) & (F.col("before") + F.col("rows") >= n)).select(
+        "shard", "batch_index", (F.lit(n) - F.col("before")).alias("take")).first()
+    return tuple(hit) if hit else None
+
+
 def max_rows(df: DataFrame, n: int) -> DataFrame:
     """The first n rows in corpus order; negative keeps all.
 
-    A rank filter instead of ``limit``: any n stays distributed.
+    The batch in which the n-th row lies is found from the batches' row counts. The rows are
+    then asked for by plain comparisons of shard and batch, which a source can use to skip
+    files, row groups or batches: texts behind the cut are never read. Only the cut batch, which is
+    bounded, is ranked. Any n stays distributed.
     """
     if n < 0:
         return df
-    return _global_rank(df, "_rank").where(F.col("_rank") < n).drop("_rank")
+    if n == 0:
+        return df.where(F.lit(False))
+    cut = row_cut(df, n)
+    if cut is None:
+        return df
+    shard, batch, take = cut
+    last = df.where((F.col("shard") == shard) & (F.col("batch_index") == batch))
+    order = W.partitionBy("shard", "batch_index").orderBy("row_in_batch")
+    last = last.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= take).drop("_rank")
+    whole = df.where(F.col("shard") < shard)
+    return whole.unionByName(df.where((F.col("shard") == shard) & (F.col("batch_index") < batch))).unionByName(last)
 
 
 def round_robin(df: DataFrame, slots: int, out: str = "slot") -> DataFrame:

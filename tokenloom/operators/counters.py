@@ -229,31 +229,99 @@ METRICS_COLUMNS = [
 
 def metrics_table(
     rates: DataFrame, fairness: DataFrame, cpu: DataFrame, net: DataFrame, blk: DataFrame,
-    latest: DataFrame, time: str = "tick",
+    latest: DataFrame, time: str = "tick", keys: Sequence[str] = ("run",),
 ) -> DataFrame:
-    """The monitor's 19 columns per tick; families without a row at a tick show 0."""
-    f = fairness.select(time, F.col("fairness").alias("fairness_resp"))
-    c = cpu.select(time, F.col("cpu_busy_core0").alias("cpu_busy_all"))
+    """The monitor's 19 columns per run and tick; families without a row at a tick show 0.
+
+    Every table has the key columns, and one row per key and tick (one interface, one device), so
+    that no row is multiplied.
+    """
+    by = [*keys, time]
+    f = fairness.select(*by, F.col("fairness").alias("fairness_resp"))
+    c = cpu.select(*by, F.col("cpu_busy_core0").alias("cpu_busy_all"))
     n = net.select(
-        time, F.col("rx_mbps").alias("net_rx_MBps"), F.col("tx_mbps").alias("net_tx_MBps"),
+        *by, F.col("rx_mbps").alias("net_rx_MBps"), F.col("tx_mbps").alias("net_tx_MBps"),
         F.col("rx_drop_delta").alias("net_rx_drop_delta"), F.col("tx_drop_delta").alias("net_tx_drop_delta"),
     )
     b = blk.select(
-        time, F.col("read_mbps").alias("blk_read_MBps"), F.col("write_mbps").alias("blk_write_MBps"),
+        *by, F.col("read_mbps").alias("blk_read_MBps"), F.col("write_mbps").alias("blk_write_MBps"),
         F.col("util_pct").alias("blk_util_pct"), F.col("in_flight").alias("blk_in_flight"),
     )
     wide = rates.select(
-        time, F.col("req").alias("req_total"), F.col("resp").alias("resp_total"), "outstanding",
+        *by, F.col("req").alias("req_total"), F.col("resp").alias("resp_total"), "outstanding",
         "req_per_s", "resp_per_s", F.col("in_mbps").alias("in_MBps"), F.col("out_mbps").alias("out_MBps"),
     )
-    for side in (f, c, n, b, latest.select(time, "ts_us", "last_latency_us")):
-        wide = wide.join(side, time, "left")
+    for side in (f, c, n, b, latest.select(*by, "ts_us", "last_latency_us")):
+        wide = wide.join(side, by, "left")
+    return _csv_columns(wide)
+
+
+def _csv_columns(wide: DataFrame) -> DataFrame:
     doubles = [name for name, kind in wide.dtypes if kind == "double"]
     wide = wide.withColumns({d: F.round(F.coalesce(d, F.lit(0.0)), 3) for d in doubles})
     ints = [name for name in METRICS_COLUMNS if name not in doubles]
     return wide.withColumns({i: F.coalesce(i, F.lit(0)).cast("long") for i in ints}).select(*METRICS_COLUMNS)
 
 
+SLOT_COLUMNS = [f"slot_{i}" for i in range(SLOTS)]
+_HOST = {
+    "cpu": ["cpu_total", "cpu_idle"], "net": ["rx_bytes", "tx_bytes", "rx_drop", "tx_drop"],
+    "blk": ["read_sectors", "write_sectors", "io_ticks_ms"],
+}
+_GLOBAL = ["req", "resp", "bytes_in", "bytes_out"]
+# one row of everything the monitor samples at a tick, cumulative; -1: that family is not there (yet)
+MONITOR_COLUMNS = [*_GLOBAL, *SLOT_COLUMNS, *[c for names in _HOST.values() for c in names]]
+
+
+def monitor_rows(snapshots: DataFrame, interval_ms: int, time: str = "tick", keys: Sequence[str] = ("run",)) -> DataFrame:
+    """The monitor's 19 columns from whole snapshots, of a table or an endless stream.
+
+    A snapshot holds ``MONITOR_COLUMNS`` with ``ts_us``, ``last_latency_us`` and ``in_flight``. All its
+    families come in one row, so nothing is joined and a stream keeps one row of state per key.
+    Request and slot rates count from 0 at the first tick; host families show 0 there and at a reset.
+    """
+    ms = nominal_interval(interval_ms)
+    per_s = 1000.0 / ms
+    d = _deltas(snapshots, list(keys), time, MONITOR_COLUMNS, True)
+
+    def delta(c: str) -> Column:
+        return F.col(f"d_{c}")
+
+    def family(names: list[str], host: bool) -> Column:
+        """Whether the differences of these columns count."""
+        falls = F.lit(False)
+        for c in names:
+            falls = falls | F.coalesce(delta(c) < 0, F.lit(True))
+        fresh = F.col("first") | (F.col(names[0]) - delta(names[0]) < 0) | (F.col(names[0]) < 0)
+        return ~falls & ~fresh if host else ~falls
+
+    def shown(names: list[str], host: bool, value: Column) -> Column:
+        return F.when(family(names, host), value)
+
+    slots = F.array(*[F.when(delta(c) > 0, delta(c)).otherwise(0).cast("double") for c in SLOT_COLUMNS])
+    add = lambda a, x: a + x
+    d = d.withColumn("_s", F.aggregate(slots, F.lit(0.0), add)).withColumn(
+        "_q", F.aggregate(F.transform(slots, lambda x: x * x), F.lit(0.0), add))
+    rates = lambda c: shown(_GLOBAL, False, delta(c) * per_s)
+    host = lambda kind, value: shown(_HOST[kind], True, value)
+    return _csv_columns(d.select(
+        *keys, time, "ts_us", "last_latency_us", F.col("req").alias("req_total"), F.col("resp").alias("resp_total"),
+        outstanding(F.col("req"), F.col("resp")).alias("outstanding"),
+        rates("req").alias("req_per_s"), rates("resp").alias("resp_per_s"),
+        shown(_GLOBAL, False, bytes_to_mb(delta("bytes_in")) * per_s).alias("in_MBps"),
+        shown(_GLOBAL, False, bytes_to_mb(delta("bytes_out")) * per_s).alias("out_MBps"),
+        jain_formula(F.col("_s"), F.col("_q")).alias("fairness_resp"),
+        host("cpu", _busy(delta("cpu_total"), delta("cpu_idle"))).alias("cpu_busy_all"),
+        host("net", bytes_to_mb(delta("rx_bytes")) * per_s).alias("net_rx_MBps"),
+        host("net", bytes_to_mb(delta("tx_bytes")) * per_s).alias("net_tx_MBps"),
+        host("net", delta("rx_drop")).alias("net_rx_drop_delta"), host("net", delta("tx_drop")).alias("net_tx_drop_delta"),
+        host("blk", bytes_to_mb(delta("read_sectors") * SECTOR) * per_s).alias("blk_read_MBps"),
+        host("blk", bytes_to_mb(delta("write_sectors") * SECTOR) * per_s).alias("blk_write_MBps"),
+        host("blk", F.least(F.lit(100.0), delta("io_ticks_ms") * (100.0 / ms))).alias("blk_util_pct"),
+        F.col("in_flight").alias("blk_in_flight"),
+    ))
+
+
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
     """Truncate and write; doubles always show three decimals."""
     shown = [

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scalars import int_div
+from tokenloom.session import materialize
 
 FAN = 4096  # summaries folded by one window partition
 
@@ -38,6 +39,18 @@ def corpus_path(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_p1", group), ["_p1", "batch_index"]
 
 
+def with_row_blocks(df: DataFrame, order: Sequence[str], out: str = "_block") -> DataFrame:
+    """The rows written in the order of ``order`` with the number of the block each lies in.
+
+    Block borders are quantiles of the rows, from Spark's own sample of the range partitioning, so
+    blocks hold about as many rows each however the values are spread, and one hour or key
+    with a third of all rows is many blocks. ``order`` must tell all rows apart. The numbers
+    rise with the order and are data of a written table, so they are a path for the scans below.
+    """
+    dealt = df.repartitionByRange(*[F.col(c) for c in order])
+    return materialize(dealt.withColumn(out, F.spark_partition_id()), "blocks")
+
+
 _before = (W.unboundedPreceding, -1)
 _upto = (W.unboundedPreceding, W.currentRow)
 
@@ -69,6 +82,9 @@ def running_total(
 def _offsets(totals_by, reset, path, outs) -> DataFrame:
     """(reset, path) -> total of everything before that path."""
     finest = totals_by([*reset, *path])
+    if len(path) > 1:
+        # every level is folded from these few rows, so the source is read once for them
+        finest = materialize(finest, "totals")
     levels = [finest]
     for depth in range(len(path) - 1, 0, -1):
         levels.insert(
@@ -114,6 +130,8 @@ def last_seen(
         return F.max(F.when(value.isNotNull(), key))["_value"].alias(f"_t_{o}")
 
     finest = df.groupBy(*reset, *path).agg(*[newest(o) for o in outs])
+    if len(path) > 1:
+        finest = materialize(finest, "newest")
     levels = [finest]
     for depth in range(len(path) - 1, 0, -1):
         step = path[depth]

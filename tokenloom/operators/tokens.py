@@ -22,13 +22,18 @@ def packed_rows(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     )
 
 
-def placed_tokens(packed: DataFrame) -> DataFrame:
-    """Packed rows at their byte offset in the shard's token file."""
+def placed_tokens(packed: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Packed rows at their byte offset in the shard's token file, which may begin at the
+    ``base`` bytes of a row ``shard, base``."""
     rows, path = corpus_path(packed)
     placed = running_total(rows, ["shard"], path, ["row_in_batch"], {"offset": F.octet_length("packed")})
+    offset = F.col("offset")
+    if base is not None:
+        placed = placed.join(base, "shard", "left")
+        offset = offset + F.coalesce("base", F.lit(0))
     return placed.select(
         F.concat(shard_name(F.col("shard")), F.lit(".bin")).alias("file"),
-        "offset",
+        offset.alias("offset"),
         F.col("packed").alias("data"),
     )
 
@@ -48,14 +53,16 @@ def token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("token_files").load(path)
 
 
-def token_file_summary(files: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Per file: counts, zero ratio, min and max; files without tokens show only their size."""
-    zero = F.when(F.col("token_id") == 0, 1).otherwise(0)
-    per = tokens.groupBy("path").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        F.sum(zero).alias("zeros"),
-        F.min("token_id").alias("min_id"),
-        F.max("token_id").alias("max_id"),
+def token_file_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: counts, zero ratio, min and max; files without tokens show only their size.
+
+    The source sums every range of a file while it reads it, so a row stands for a range and
+    never for a token.
+    """
+    files = token_files(spark, path)
+    per = spark.read.format("token_stats").load(path).groupBy("path").agg(
+        F.sum("tokens").alias("tokens"), F.sum("zeros").alias("zeros"),
+        F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"),
     )
     return files.join(per, "path", "left").select(
         "path",

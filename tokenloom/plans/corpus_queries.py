@@ -9,11 +9,12 @@ from tokenloom.functions import bytelevel, scalars
 from tokenloom.operators import blocks, bpe, corpus, ranges, tokens
 from tokenloom.plans import fixtures as fx
 from tokenloom.plans import oracle_views as ov
-from tokenloom.plans.registry import query
+from tokenloom.plans.registry import ORACLES, query
 from tokenloom.session import materialize, scratch_path, spread
 from tokenloom.sources.model import toy_model, vocab_lookup
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
+from tokenloom.streaming import streams
 
 CHUNK = 4096
 BLOCK = 16384
@@ -354,6 +355,26 @@ def token_bin_scan(spark, sf):
         F.sum(F.col("token_id") * (F.col("pos") % CHUNK + 1)).alias("placed_sum"))
 
 
+@query("stream_token_bins", ORACLES["token_bin_scan"])
+def stream_token_bins(spark, sf):
+    """The corpus arrives in three parts, each a run of its own that goes on from the checkpoint."""
+    register_sources(spark)
+    rows = fx.corpus(spark, sf).select(*corpus.ORDER, "text")
+    last = rows.agg(F.max("batch_index")).first()[0]
+    source, out, state = (scratch_path(spark, n) for n in ("texts", "stream-bins", "stream-bins-state"))
+    for k in range(3):
+        low, high = (last + 1) * k // 3, (last + 1) * (k + 1) // 3
+        part = rows.where((F.col("batch_index") >= low) & (F.col("batch_index") < high))
+        spread(part, fx.tasks(spark), "batch_index").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        streams.write_token_stream(stream, toy_model(), out, state).awaitTermination()
+    scan = spark.read.format("token_bin").load(out)
+    chunk = scalars.int_div(F.col("pos"), F.lit(CHUNK).cast("long"))
+    return scan.groupBy(_file_name(), chunk.alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("id_sum"),
+        F.sum(F.col("token_id") * (F.col("pos") % CHUNK + 1)).alias("placed_sum"))
+
+
 @query("head_tail", f"""with {_TOKEN_ROWS}, sized as (
   select *, count(*) over (partition by file) as n from tokens)
 select file, 'HEAD' as part, pos, token_id from sized where pos < 64
@@ -376,8 +397,7 @@ def token_file_summary(spark, sf):
     path = scratch_path(spark, "block-bins")
     out = materialize(blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK), "blocks")
     tokens.write_block_bins(out, path, BLOCK)
-    summary = tokens.token_file_summary(
-        tokens.token_files(spark, path), spark.read.format("token_bin").load(path))
+    summary = tokens.token_file_summary(spark, path)
     return summary.withColumn("zero_ratio", F.round("zero_ratio", 6)).select(
         _file_name(), *[c for c in summary.columns if c != "path"])
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.logs import AFTER_MARK, BEFORE_MARK, END_MARK, TIME_MARK
-from tokenloom.operators.ordered import running_total, with_path
+from tokenloom.operators.counters import CPU_FIELDS, MONITOR_COLUMNS, SLOT_COLUMNS, SLOTS
+from tokenloom.operators.ordered import last_seen, running_total, with_path
+from tokenloom.session import materialize, spread
 
 SHARDS = 8
 HOUR_US = 3_600_000_000
@@ -27,6 +29,11 @@ def us() -> Column:
     return F.expr(US)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks that the queries deal heavy rows of one small file to: the session's own number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Sharded corpus: every document, then added null and empty rows under further ids.
 
@@ -194,7 +201,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
-    """One block of lines per purchase event, in four files; ``byte_offset`` gives the order."""
+    """One block of lines per event, in four files; ``byte_offset`` gives the order."""
     e = F.col("event_id")
 
     def n(k: int) -> Column:
@@ -226,7 +233,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit(END_MARK + ": "), n(419), F.lit(" us")),
     ]
     return (
-        table(spark, sf, "events").where("event_type = 'purchase'")
+        spread(table(spark, sf, "events").select("event_id", "user_id"), tasks(spark), "event_id")  # one small file, many lines
         .select((F.col("user_id") % 4).cast("string").alias("file"), e, F.posexplode(F.array(*lines)).alias("k", "value"))
         .where("value is not null")
         .select("file", (e * 64 + F.col("k")).alias("byte_offset"), "value")
@@ -244,3 +251,31 @@ def sweep_lines(spark: SparkSession, sf: str) -> DataFrame:
                           F.when(F.col("thread") == 10, 1).otherwise(0),
                           F.call_function("div", ms, F.lit(1000)), ms % 1000)
     return per.select("thread", F.explode(F.array(whole, end)).alias("value"))
+
+
+def monitor_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything the monitor samples, one row per hour: core 0, eth0 and nvme0 beside all requests.
+
+    A family without a row in an hour keeps its last values; -1 until it has one.
+    """
+    base = snapshots(spark, sf, one_run=True)
+    slots = slot_snapshots(spark, sf, one_run=True).where(f"slot < {SLOTS}").groupBy("run", "tick").pivot("slot", list(range(SLOTS))).agg(
+        F.max("resp")).toDF("run", "tick", *SLOT_COLUMNS)
+    cpu = host_cpu(spark, sf).where("core = 0")
+    cpu = cpu.select("run", "tick", sum((F.col(c) for c in CPU_FIELDS[1:]), F.col(CPU_FIELDS[0])).alias("cpu_total"),
+                     (F.col("idle_t") + F.col("iowait_t")).alias("cpu_idle"))
+    net = host_net(spark, sf).where("iface = 'eth0'").drop("iface")
+    blk = host_block(spark, sf).where("dev = 'nvme0'").drop("dev")
+    last = responses(spark, sf).groupBy(F.lit(0).cast("long").alias("run"), _tick()).agg(
+        F.max("ts_us").alias("ts_us"), F.max_by("latency_us", F.struct("ts_us", "req_id")).alias("last_latency_us"))
+    wide = base
+    for side in (slots, cpu, net, blk, last):
+        wide = wide.join(side, ["run", "tick"], "left")
+    df, path = with_path(materialize(wide, "wide"), "tick", 4096)
+    names = [c for c in MONITOR_COLUMNS if c not in base.columns]
+    filled = last_seen(df, ["run"], path, ["tick"], {f"l_{c}": F.col(c) for c in names})
+    nothing = {c: 0 if c in SLOT_COLUMNS else -1 for c in names}
+    return filled.select(
+        "run", "tick", "ts_us", "last_latency_us", "in_flight", *[c for c in MONITOR_COLUMNS if c in base.columns],
+        *[F.coalesce(f"l_{c}", F.lit(nothing[c])).cast("long").alias(c) for c in names],
+    )

@@ -11,7 +11,7 @@ from tokenloom.operators.corpus import dump_rows
 from tokenloom.plans import fixtures as fx
 from tokenloom.plans import oracle_views as ov
 from tokenloom.plans.registry import ORACLES, query
-from tokenloom.session import scratch_path
+from tokenloom.session import materialize, scratch_path
 from tokenloom.sources.model import toy_model
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
@@ -145,9 +145,9 @@ def block_rates(spark, sf):
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
     """All runs as one process: eth0, nvme0 and core 0 beside its request counters."""
     fairness = counters.jain_fairness(
-        counters.slot_rates(fx.slot_snapshots(spark, sf, one_run=True), MS), ["tick"])
+        counters.slot_rates(fx.slot_snapshots(spark, sf, one_run=True), MS), ["run", "tick"])
     tick = scalars.int_div(F.col("ts_us"), F.lit(fx.HOUR_US))
-    last = fx.responses(spark, sf).groupBy(tick.alias("tick")).agg(
+    last = fx.responses(spark, sf).groupBy(F.lit(0).cast("long").alias("run"), tick.alias("tick")).agg(
         F.max("ts_us").alias("ts_us"), F.max_by("latency_us", F.struct("ts_us", "req_id")).alias("last_latency_us"))
     return counters.metrics_table(
         counters.counter_rates(fx.snapshots(spark, sf, one_run=True), MS),
@@ -319,7 +319,7 @@ def _log_runs_sql() -> str:
     return f"""blocks as (
   select (user_id % 4)::varchar as file, event_id,
     sum(case when event_id % 7 <> 0 then 1 else 0 end) over (partition by user_id % 4 order by event_id) as mark,
-    {before} from events where event_type = 'purchase'),
+    {before} from events),
 records as (
   select file, event_id * 64 + 26 as byte_offset, {diffs},
     (event_id * 401) % 1000 as bpe_time_us, (event_id * 409) % 1000 as output_size_bytes, {plain}
@@ -420,17 +420,29 @@ def _latency() -> Column:
         (F.col("event_id") * 104729) % 6_000_000)
 
 
-@query("request_timeout", f"""with {ov.TRAFFIC}
+@query("request_timeout", f"""with {ov.TRAFFIC}, answers as (
+  select req_id, ts_us, byte_size from responses
+  union all select req_id, ts_us + 1000, byte_size + 4 from responses where req_id % 7 = 0
+  union all select req_id, ts_us - latency_us - 2000000, 1 from responses where req_id % 13 = 0),
+taken as (
+  select q.req_id, min(p.ts_us) as ts_us, arg_min(p.byte_size, p.ts_us) as byte_size
+  from requests q join answers p on p.req_id = q.req_id and p.ts_us between q.ts_us and q.ts_us + 5000000 group by q.req_id)
 select q.req_id, q.ts_us, q.slot, coalesce(p.ts_us - q.ts_us, -1) as latency_us,
   coalesce(p.byte_size, -1) as byte_size, p.req_id is null as timed_out
-from requests q left join responses p on p.req_id = q.req_id and p.ts_us between q.ts_us and q.ts_us + 5000000""")
+from requests q left join taken p on p.req_id = q.req_id""")
 def request_timeout(spark, sf):
+    """Every seventh answer comes twice, and every 13th request has a stale one from before it."""
     ev = _event_streams(spark, sf)
     req = ev.select(F.col("event_id").alias("req_id"), "ts", (F.col("user_id") % 64).alias("slot"))
+    size = ((F.col("event_id") * 6007) % 32768) * 4
     resp = _event_streams(spark, sf).where("event_id % 10 <> 0 or flush").select(
         F.col("event_id").alias("req_id"),
-        F.timestamp_micros(F.unix_micros("ts") + F.when(F.col("flush"), F.lit(0).cast("long")).otherwise(_latency())).alias("ts"),
-        (((F.col("event_id") * 6007) % 32768) * 4).alias("byte_size"))
+        F.explode(F.array_compact(F.array(
+            F.struct(F.when(F.col("flush"), F.lit(0).cast("long")).otherwise(_latency()).alias("after"), size.alias("byte_size")),
+            F.when((F.col("event_id") % 7 == 0) & ~F.col("flush"), F.struct((_latency() + 1000).alias("after"), (size + 4).alias("byte_size"))),
+            F.when((F.col("event_id") % 13 == 0) & ~F.col("flush"), F.struct(F.lit(-2_000_000).cast("long").alias("after"), F.lit(1).cast("long").alias("byte_size"))),
+        ))).alias("a"), "ts",
+    ).select("req_id", F.timestamp_micros(F.unix_micros("ts") + F.col("a.after")).alias("ts"), "a.byte_size")
     out = streams.run_to_table(streams.request_timeout(req, resp), "timeouts")
     out = out.where("slot is not null").withColumn("ts_us", F.unix_micros("ts")).drop("ts")
     return missing_as(out, ["latency_us", "byte_size"])
@@ -494,3 +506,18 @@ def stream_net_rates(spark, sf):
 @query("stream_block_rates", ORACLES["block_rates"])
 def stream_block_rates(spark, sf):
     return rounded(streams.run_to_table(counters.block_rates(arriving(spark, fx.host_block(spark, sf)), MS), "stream-block"))
+
+
+@query("stream_metrics_csv", ORACLES["metrics_csv"])
+def stream_metrics_csv(spark, sf):
+    """Whole snapshots arrive in three parts; the stream is started anew for each and writes CSV."""
+    streams.use_rocksdb(spark)
+    snaps = materialize(fx.monitor_snapshots(spark, sf), "monitor")
+    low, high = snaps.agg(F.min("tick"), F.max("tick")).first()
+    source, out, state = (scratch_path(spark, n) for n in ("monitor-in", "monitor-csv", "monitor-state"))
+    step = (high - low) // 3 + 1
+    for k in range(3):
+        snaps.where((F.col("tick") >= low + k * step) & (F.col("tick") < low + (k + 1) * step)).write.mode("append").parquet(source)
+        stream = counters.monitor_rows(spark.readStream.schema(snaps.schema).parquet(source), MS)
+        streams.write_metrics_stream(stream, out, state).awaitTermination()
+    return streams.read_metrics(spark, out, stream.schema)

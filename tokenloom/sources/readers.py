@@ -17,6 +17,7 @@ from tokenloom.sources.files import FileSplit, byte_splits, list_files, resolve
 
 BATCH_ROWS = 1 << 16
 LOG_CHUNK = 1 << 20
+STATS_BYTES = 8 << 20
 NOTHING = FileSplit("", 0, 0, 0)  # an empty list would mean one default partition
 
 
@@ -139,6 +140,43 @@ class TokenBinReader(_RangeReader):
             yield pa.RecordBatch.from_arrays([paths, pa.array(pos), pa.array(ids)], ["path", "pos", "token_id"])
 
 
+class TokenStatsReader(TokenBinReader):
+    """One row per range: what it holds, summed while it is read."""
+
+    def read_range(self, f, split):
+        if split.end == split.size and split.size % 4:
+            warnings.warn(f"{split.path}: {split.size % 4} trailing bytes ignored")
+        end = split.end // 4 * 4
+        f.seek(split.start)
+        count = zeros = 0
+        low = high = None
+        for at in range(split.start, end, STATS_BYTES):
+            ids = np.frombuffer(f.read(min(STATS_BYTES, end - at)), dtype="<u4")
+            count, zeros = count + len(ids), zeros + len(ids) - int(np.count_nonzero(ids))
+            low = min(int(ids.min()), low) if low is not None else int(ids.min())
+            high = max(int(ids.max()), high) if high is not None else int(ids.max())
+        if count:
+            yield pa.RecordBatch.from_pydict({
+                "path": [split.name], "tokens": pa.array([count], pa.int64()), "zeros": pa.array([zeros], pa.int64()),
+                "min_id": pa.array([low], pa.int64()), "max_id": pa.array([high], pa.int64()),
+            })
+
+
+class TokenStatsSource(DataSource):
+    """``format("token_stats")``: counts, zeros, least and greatest id of every range of flat
+    token files, summed inside the scan; add the rows of a path up for the whole file."""
+
+    @classmethod
+    def name(cls):
+        return "token_stats"
+
+    def schema(self):
+        return "path string, tokens bigint, zeros bigint, min_id bigint, max_id bigint"
+
+    def reader(self, schema):
+        return TokenStatsReader(self.options)
+
+
 class TokenFileReader(DataSourceReader):
     """Names and sizes only; one small partition per thousand files."""
 

@@ -38,8 +38,11 @@ class PositionedWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite):
         self.root = options["path"]
         self.layout = options.get("layout", "parts")
+        self.append = options.get("append", "false") == "true"
         if self.layout not in ("file", "parts"):
             raise ValueError("layout is 'file' or 'parts'")
+        if self.append and self.layout == "file":
+            raise ValueError("only layout 'parts' can be appended to")
         self.temp = f"{self.root}/_temporary-{uuid.uuid4().hex}"
         filesystem, temp = resolve(self.temp)
         if self.layout == "file" and not isinstance(filesystem, pafs.LocalFileSystem):
@@ -133,6 +136,13 @@ class PositionedWriter(DataSourceArrowWriter):
 
         def place(name):
             info = filesystem.get_file_info(f"{root}/{name}")
+            if self.append and info.type == pafs.FileType.Directory:
+                # what an earlier attempt of the same rows, or of later ones, left from here on
+                first = min((at for m in messages for at in m.made.get(name, ())), default=None)
+                for part in filesystem.get_file_info(pafs.FileSelector(info.path)) if first is not None else ():
+                    if int(part.base_name.removeprefix("part-")) >= first:
+                        filesystem.delete_file(part.path)
+                return
             if info.type == pafs.FileType.Directory:
                 filesystem.delete_dir(info.path)
             if self.layout == "file":
@@ -169,11 +179,15 @@ class PositionedSink(DataSource):
         return PositionedWriter(self.options, overwrite)
 
 
-def write_positioned(df: DataFrame, path: str, layout: str = "parts") -> None:
-    """Write ``(file string, offset bigint, data binary)``; names already there are replaced."""
+def write_positioned(df: DataFrame, path: str, layout: str = "parts", append: bool = False) -> None:
+    """Write ``(file string, offset bigint, data binary)``; names already there are replaced.
+
+    With ``append`` (layout ``parts``) a name keeps what stands before the first offset written now;
+    parts from there on are replaced, so a repeated write adds nothing.
+    """
     df = df.select(
         F.col("file").cast("string").alias("file"), F.col("offset").cast("long").alias("offset"), "data"
     )
     if layout == "parts":
         df = df.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    df.write.format("positioned_bytes").mode("append").option("layout", layout).save(path)
+    df.write.format("positioned_bytes").mode("append").option("layout", layout).option("append", str(append).lower()).save(path)
