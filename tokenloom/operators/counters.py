@@ -298,10 +298,9 @@ def monitor_rows(snapshots: DataFrame, interval_ms: int, time: str = "tick", key
     def shown(names: list[str], host: bool, value: Column) -> Column:
         return F.when(family(names, host), value)
 
-    slots = F.array(*[F.when(delta(c) > 0, delta(c)).otherwise(0).cast("double") for c in SLOT_COLUMNS])
-    add = lambda a, x: a + x
-    d = d.withColumn("_s", F.aggregate(slots, F.lit(0.0), add)).withColumn(
-        "_q", F.aggregate(F.transform(slots, lambda x: x * x), F.lit(0.0), add))
+    slots = ", ".join(f"double(greatest(coalesce(d_{c}, 0), 0))" for c in SLOT_COLUMNS)
+    d = d.withColumn("_x", F.expr(f"array({slots})")).withColumns({
+        "_s": F.expr("aggregate(_x, 0D, (a, x) -> a + x)"), "_q": F.expr("aggregate(_x, 0D, (a, x) -> a + x * x)")})
     rates = lambda c: shown(_GLOBAL, False, delta(c) * per_s)
     host = lambda kind, value: shown(_HOST[kind], True, value)
     return _csv_columns(d.select(

@@ -259,8 +259,12 @@ def monitor_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     A family without a row in an hour keeps its last values; -1 until it has one.
     """
     base = snapshots(spark, sf, one_run=True)
-    slots = slot_snapshots(spark, sf, one_run=True).where(f"slot < {SLOTS}").groupBy("run", "tick").pivot("slot", list(range(SLOTS))).agg(
-        F.max("resp")).toDF("run", "tick", *SLOT_COLUMNS)
+    counts = responses(spark, sf).where(f"slot < {SLOTS}").groupBy("slot", _tick()).agg(F.count(F.lit(1)).alias("resp"))
+    grid = base.select("run", "tick", F.explode(F.expr(f"sequence(0L, {SLOTS - 1}L)")).alias("slot"))
+    grid = grid.join(counts, ["slot", "tick"], "left").select("run", "slot", "tick", F.coalesce("resp", F.lit(0)).alias("resp"))
+    # one bounded list of a number per slot
+    slots = _cumulate(grid, ["run", "slot"], ["resp"]).groupBy("run", "tick").agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", "resp"))).alias("slots"))
     cpu = host_cpu(spark, sf).where("core = 0")
     cpu = cpu.select("run", "tick", sum((F.col(c) for c in CPU_FIELDS[1:]), F.col(CPU_FIELDS[0])).alias("cpu_total"),
                      (F.col("idle_t") + F.col("iowait_t")).alias("cpu_idle"))
@@ -268,14 +272,16 @@ def monitor_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     blk = host_block(spark, sf).where("dev = 'nvme0'").drop("dev")
     last = responses(spark, sf).groupBy(F.lit(0).cast("long").alias("run"), _tick()).agg(
         F.max("ts_us").alias("ts_us"), F.max_by("latency_us", F.struct("ts_us", "req_id")).alias("last_latency_us"))
-    wide = base
-    for side in (slots, cpu, net, blk, last):
-        wide = wide.join(side, ["run", "tick"], "left")
+    wide = base.join(slots, ["run", "tick"], "left").join(last, ["run", "tick"], "left")
+    families = {"cpu": cpu, "net": net, "blk": blk}
+    for name, side in families.items():
+        own = [c for c in side.columns if c in MONITOR_COLUMNS]
+        more = [c for c in side.columns if c == "in_flight"]
+        wide = wide.join(side.select("run", "tick", F.struct(*own).alias(name), *more), ["run", "tick"], "left")
     df, path = with_path(materialize(wide, "wide"), "tick", 4096)
-    names = [c for c in MONITOR_COLUMNS if c not in base.columns]
-    filled = last_seen(df, ["run"], path, ["tick"], {f"l_{c}": F.col(c) for c in names})
-    nothing = {c: 0 if c in SLOT_COLUMNS else -1 for c in names}
-    return filled.select(
-        "run", "tick", "ts_us", "last_latency_us", "in_flight", *[c for c in MONITOR_COLUMNS if c in base.columns],
-        *[F.coalesce(f"l_{c}", F.lit(nothing[c])).cast("long").alias(c) for c in names],
+    filled = last_seen(df, ["run"], path, ["tick"], {f"l_{n}": F.col(n) for n in families})
+    shown = [f"coalesce(l_{n}.{c}, -1) as {c}" for n, side in families.items() for c in side.columns if c in MONITOR_COLUMNS]
+    return filled.selectExpr(
+        "run", "tick", "ts_us", "last_latency_us", "in_flight", *[c for c in base.columns if c in MONITOR_COLUMNS],
+        *[f"slots[{i}L] as {c}" for i, c in enumerate(SLOT_COLUMNS)], *shown,
     )
