@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tokenloom import api
 from tokenloom.functions.scalars import unescape_delimiter
-from tokenloom.operators import bpe, corpus, tokens
+from tokenloom.streaming import streams
+from tokenloom.operators import bpe, corpus, counters, tokens
 from tokenloom.sources.sinks import write_positioned
 
 
@@ -246,3 +247,42 @@ def test_shard_numbers_come_from_file_names(spark, folder):
     scan = lambda **o: {r.shard: r.text for r in spark.read.format("arrow_ipc").options(column="text", **o).load(f"{folder}/a").collect()}
     assert scan() == {n: str(n) for n in (3, 99_999, 100_000)}
     assert scan(shards=2) == {3: "3", 99_999: "99999"}
+
+
+def test_token_stream_is_exactly_once(spark, folder, model):
+    """A repeated epoch, also one that stopped before its lengths were kept, adds nothing."""
+    import shutil
+
+    rows = corpus_rows(90, 3)
+    df = spark.createDataFrame(rows, "shard long, batch_index long, row_in_batch long, text string")
+    enc = bpe.bpe_encode(df, model)
+    half = max(r[1] for r in rows) // 2
+    streams.append_token_bins(enc.where(f"batch_index <= {half}"), folder, 0)
+    for _ in range(2):
+        streams.append_token_bins(enc.where(f"batch_index > {half}"), folder, 4)
+    shutil.move(f"{folder}/_lengths/epoch={4:012d}", f"{folder}/_lengths-lost")
+    streams.append_token_bins(enc.where(f"batch_index > {half}").repartition(5), folder, 4)
+    got = {n: b"".join(open(f"{folder}/{n}/{p}", "rb").read() for p in sorted(os.listdir(f"{folder}/{n}")) if p.startswith("part-"))
+           for n in os.listdir(folder) if n.endswith(".bin")}
+    assert got == expected_bins(spark, rows, model)
+
+
+def test_metrics_stream_after_a_restart(spark, folder):
+    """Two runs with their own counters at the same ticks; the second start repeats no row."""
+    streams.use_rocksdb(spark)
+    names = ["run", "tick", "ts_us", "last_latency_us", "in_flight", *counters.MONITOR_COLUMNS]
+    ddl = ", ".join(f"{n} long" for n in names)
+
+    def row(run, tick, **more):
+        return tuple({"run": run, "tick": tick, "ts_us": tick * 10, "last_latency_us": 3, "in_flight": 1, **more}.get(n, -1 if n[:2] in ("cp", "rx", "tx") else 0) for n in names)
+
+    parts = [[row(0, 1, req=10, slot_0=4), row(1, 1, req=5, cpu_total=100, cpu_idle=50)],
+             [row(0, 2, req=30, slot_0=6, slot_1=2), row(1, 2, req=4, cpu_total=200, cpu_idle=50)]]
+    for part in parts:
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows = counters.monitor_rows(spark.readStream.schema(ddl).parquet(f"{folder}/in"), 1000)
+        streams.write_metrics_stream(rows, f"{folder}/csv", f"{folder}/state").awaitTermination()
+    got = streams.read_metrics(spark, f"{folder}/csv", rows.schema)
+    shown = sorted((r.ts_us, r.req_total, r.req_per_s, r.fairness_resp, r.cpu_busy_all) for r in got.collect())
+    # one slot alone has a share of 1/64; a falling counter shows 0; a family's first tick shows 0
+    assert shown == [(10, 5, 5.0, 0.0, 0.0), (10, 10, 10.0, 0.016, 0.0), (20, 4, 0.0, 0.0, 100.0), (20, 30, 20.0, 0.031, 0.0)]
