@@ -15,7 +15,7 @@ from tokenloom.operators.bpe import bpe_encode
 from tokenloom.operators.corpus import nonempty_rows
 from tokenloom.operators.counters import counter_rates, jain_formula, write_metrics_csv
 from tokenloom.operators.tokens import packed_rows, placed_tokens
-from tokenloom.session import materialize, scratch_path
+from tokenloom.session import scratch_path
 from tokenloom.sources.files import resolve
 from tokenloom.sources.model import BpeModel
 from tokenloom.sources.sinks import write_positioned
@@ -293,13 +293,19 @@ def append_token_bins(encoded: DataFrame, path: str, epoch: int) -> None:
     epoch rows go in corpus order, and epochs follow each other.
     """
     spark = encoded.sparkSession
-    once = materialize(packed_rows(encoded), "packed")
+    # the rows of this epoch, encoded once; dropped when the epoch is done
+    scratch = scratch_path(spark, "packed")
+    rows = packed_rows(encoded)
+    rows.write.parquet(scratch)
+    once = spark.read.schema(rows.schema).parquet(scratch)
     base = lengths_before(spark, path, epoch)
     placed = placed_tokens(once, base)
     write_positioned(placed, path, append=True)
     own = once.groupBy("shard").agg(F.sum(F.octet_length("packed")).cast("long").alias("own"))
     total = base.join(own, "shard", "full").select("shard", (F.coalesce("base", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("base"))
     total.write.mode("overwrite").parquet(f"{path}/_lengths/epoch={epoch:012d}")
+    filesystem, place = resolve(scratch)
+    filesystem.delete_dir(place)
 
 
 def write_token_stream(texts: DataFrame, model: BpeModel, path: str, checkpoint: str, text: str = "text", **trigger) -> StreamingQuery:
