@@ -75,24 +75,19 @@ def test_overlap_join_against_brute_force(spark):
     assert len(cover) == 300 and all(cover[i] == (sum(w[3] for w in want if w[0] == i) >= n) for i, _, n in R)
 
 
-def test_segment_align_against_a_walk(spark):
+def test_segment_align_against_single_blocks(spark):
+    """Both lists spelled out block by block; blocks at equal positions belong together."""
     rng = random.Random(2)
     A = [(k, i, rng.randrange(1 << 30), rng.choice([0, 1, 7, 256])) for k in range(2) for i in range(200)]
     B = [(k, i, rng.randrange(1 << 30), rng.choice([3, 64, 500])) for k in range(2) for i in range(400)]
     want = []
     for k in range(2):
-        ins = [[x[2], x[3]] for x in A if x[0] == k and x[3]]
-        outs = [[x[2], x[3]] for x in B if x[0] == k]
-        pos = 0
-        while ins:
-            n = min(ins[0][1], outs[0][1])
-            want.append((k, pos, ins[0][0], outs[0][0], n))
-            pos += n
-            for q in (ins, outs):
-                q[0][0] += n
-                q[0][1] -= n
-                if not q[0][1]:
-                    q.pop(0)
+        blocks_in = [(i, slba + j) for key, i, slba, n in A if key == k for j in range(n)]
+        blocks_out = [(i, slba + j) for key, i, slba, n in B if key == k for j in range(n)]
+        pieces = {}
+        for pos, ((i, x), (o, y)) in enumerate(zip(blocks_in, blocks_out)):
+            pieces.setdefault((i, o), []).append((pos, x, y))
+        want += [(k, *at[0], len(at)) for at in pieces.values()]
     ddl = "k long, seq long, slba long, nblocks long"
     a, b = spark.createDataFrame(A, ddl), spark.createDataFrame(B, ddl)
     got = ranges.segment_align(a, b, ["k"]).select("k", "pos", "in_slba", "out_slba", "nblocks").collect()
