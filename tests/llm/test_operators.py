@@ -351,8 +351,8 @@ def test_base_score_and_model(spark):
 def test_attention_is_causal_and_scores_each_id_once():
     from tokenloom.llm import attention
 
-    model = attention.Attention(4)
-    class_of = np.arange(attention.N_IDS) % 4
+    model = attention.Attention(40).start(np.arange(40))
+    class_of = np.arange(attention.N_IDS) % 40
     share = np.log(1 / np.bincount(class_of))[class_of].astype(np.float32)
     ids = np.random.default_rng(6).integers(0, 50_000, 75)
     score = lambda xs: attention.log10_probability(xs, model.tables(), class_of, share)
@@ -361,11 +361,15 @@ def test_attention_is_causal_and_scores_each_id_once():
     for i, target in enumerate([*ids, attention.BOUND]):
         lo = max(0, i - i % 16 - 16)
         x = inputs[lo : i + 1]
-        w = (p["emb"][x] @ p["k"]) @ (p["emb"][inputs[i]] @ p["q"]) / 4 + p["rel"][i - np.arange(lo, i + 1)]
+        wq, wk, wv = p["qkv"][:, :16], p["qkv"][:, 16:32], p["qkv"][:, 32:]
+        w = (p["emb"][x] @ wk) @ (p["emb"][inputs[i]] @ wq) + p["rel"][i - np.arange(lo, i + 1)]
         w = np.exp(w - w.max())
-        h = p["emb"][inputs[i]] + (w / w.sum()) @ (p["emb"][x] @ p["v"])
-        z = (h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]) @ p["u"] + p["c"]
-        total += z[class_of[target]] - np.log(np.exp(z).sum()) + share[target]
+        h = p["emb"][inputs[i]] + (w / w.sum()) @ (p["emb"][x] @ wv)
+        h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+        group, member = divmod(int(class_of[target]), attention.GROUP)
+        for z, own in ((h @ p["u"] + p["c"], group), (h @ p["ug"][group] + p["cg"][group], member)):
+            total += z[own] - np.log(np.exp(z).sum())
+        total += share[target]
     assert score([ids])[0] == pytest.approx(total / np.log(10), rel=1e-4)
     both = score([ids[:3], ids, ids[:0]])
     assert both[1] == pytest.approx(score([ids])[0], rel=1e-5) and len(both) == 3
@@ -392,6 +396,32 @@ def test_every_training_text_fits_the_weights(spark, monkeypatch, tasks):
     assert all(np.isfinite(v).all() for v in model.p.values())
 
 
+def test_attention_gradients():
+    """Against differences of the loss, for weights of every kind."""
+    from tokenloom.llm import attention
+
+    rng = np.random.default_rng(8)
+    model = attention.Attention(40, seed=2).start(np.arange(40))
+    class_of, share = np.arange(attention.N_IDS) % 40, np.zeros(attention.N_IDS, np.float32)
+    texts = [rng.integers(0, 50, n) for n in (3, 40, 16, 0)]
+    n_ids = sum(len(t) + 1 for t in texts)
+    blocks = attention.to_blocks(texts)
+    grads, ids, rows = model._gradients(blocks, 0, len(blocks.inputs), class_of)
+    emb = np.zeros_like(model.p["emb"])
+    emb[ids] = rows
+    loss = lambda: -attention.log10_probability(texts, model.tables(), class_of, share).sum() * np.log(10) / n_ids
+    for name, g in {**grads, "emb": emb}.items():
+        flat, want = model.p[name].reshape(-1), g.reshape(-1)
+        for i in np.argsort(-np.abs(want))[:3]:
+            old, step = flat[i], np.float32(1e-2)
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert (up - down) / (2 * float(step)) == pytest.approx(want[i], rel=0.05, abs=2e-4), name
+
+
 def test_lm_odd(odd, none):
     out = lm_scoring.lm_scores(odd).collect()
     assert len(out) == len(ODD) and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in out)

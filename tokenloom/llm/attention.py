@@ -1,9 +1,10 @@
 """A small causal self-attention model of subword ids, trained and run in NumPy.
 
 One attention layer with learned relative positions and one hidden layer predict the class of
-the next id; an id's share of its class comes from corpus counts. Ids are read in blocks of
-``STRIDE``; a block attends to itself and the block before it, so windows of ``2 * STRIDE`` ids
-overlap by half and each id is scored once.
+the next id in two steps, its group of classes and the class within the group; an id's share of
+its class comes from corpus counts. Ids are read in blocks of ``STRIDE``; a block attends to
+itself and the block before it, so windows of ``2 * STRIDE`` ids overlap by half and each id is
+scored once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 STRIDE = 16
 BOUND = 50_256  # free id of the vocabulary: starts and ends every text
 N_IDS = BOUND + 1
+GROUP = 16  # classes of a group
+_CLIP = np.float32(30)  # logits stay within, so that their exponentials need no maximum
 _DELTA = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
 _MASK = np.where(_DELTA < 0, np.float32(-1e9), np.float32(0))
 _DELTA_AT = np.maximum(_DELTA, 0)
@@ -69,31 +72,84 @@ def classes_by_mass(counts: np.ndarray, pieces: list[bytes], n_classes: int) ->
     return out
 
 
+def _windows(rows: np.ndarray) -> np.ndarray:
+    """Every block's rows with those of the block before it, as a view: ``(blocks, 2 * STRIDE, columns)``."""
+    n, columns = len(rows) // STRIDE - 1, rows.shape[1]
+    step, one = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (n, 2 * STRIDE, columns), (STRIDE * step, step, one), writeable=False)
+
+
+def _with_block_before(blocks: Blocks, a: int, b: int) -> np.ndarray:
+    """Inputs of the blocks ``a`` to ``b`` and the one before them (the first stands in for its own)."""
+    return np.concatenate([blocks.inputs[max(a - 1, 0)], blocks.inputs[a:b].ravel()])
+
+
+def _exponentials(z: np.ndarray) -> np.ndarray:
+    """Turns the bounded logits ``z`` into their exponentials, in place; gives each row's sum."""
+    np.exp(z, out=z)
+    # a product sums short rows several times faster than a reduction
+    return z @ np.ones(z.shape[-1], np.float32)
+
+
+def _bound(z: np.ndarray) -> np.ndarray:
+    np.minimum(z, _CLIP, out=z)
+    return np.maximum(z, -_CLIP, out=z)
+
+
+class _ByGroup:
+    """Places of blocks in the order of their targets' groups, for one product per group."""
+
+    def __init__(self, at: np.ndarray, cls: np.ndarray, n_groups: int):
+        group = (cls // GROUP).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        self.at, self.group, self.member = at[order], group[order], cls[order] % GROUP
+        edges = np.searchsorted(self.group, np.arange(n_groups + 1))
+        self.runs = [(g, slice(edges[g], edges[g + 1])) for g in range(n_groups) if edges[g] < edges[g + 1]]
+
+    def members(self, out: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Logits of the classes of each place's own group."""
+        z = np.empty((len(out), GROUP), np.float32)
+        for g, run in self.runs:
+            np.matmul(out[run], u[g], out=z[run])
+            z[run] += c[g]
+        return z
+
+
 class Attention:
-    """Parameters of the model, and what scoring needs of them as tables per id."""
+    """Parameters of the model, and what scoring needs of them as tables per id.
+
+    ``qkv`` holds the projections to queries (scaled), keys and values side by side; ``u``, ``c``
+    give the group of the next class, ``ug``, ``cg`` the class within each group. At most 4,096 classes.
+    """
 
     def __init__(self, n_classes: int, size: int = 16, hidden: int = 32, seed: int = 11):
         rng = np.random.default_rng(seed)
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
+        self.n_groups = -(-n_classes // GROUP)
         self.p = {
             "emb": (rng.standard_normal((N_IDS, size)) * 0.3).astype(np.float32),
-            "q": init(size, size), "k": init(size, size), "v": init(size, size), "w1": init(size, hidden),
-            "b1": np.zeros(hidden, np.float32), "w2": init(hidden, size) * np.float32(0.5),
-            "u": init(size, n_classes) * np.float32(0.3), "c": np.zeros(n_classes, np.float32),
-            "rel": np.zeros(2 * STRIDE, np.float32),
+            "qkv": np.concatenate([init(size, size) / np.float32(np.sqrt(size)), init(size, size), init(size, size)], axis=1),
+            "w1": init(size, hidden), "b1": np.zeros(hidden, np.float32), "w2": init(hidden, size) * np.float32(0.5),
+            "u": init(size, self.n_groups) * np.float32(0.3), "c": np.zeros(self.n_groups, np.float32),
+            "ug": (rng.standard_normal((self.n_groups, size, GROUP)) * 0.3 / np.sqrt(size)).astype(np.float32),
+            "cg": np.zeros((self.n_groups, GROUP), np.float32), "rel": np.zeros(2 * STRIDE, np.float32),
         }
-        self.scale = np.float32(1 / np.sqrt(size))
+        # places of the last group that are no class
+        self.p["cg"].ravel()[n_classes:] = -1e9
 
     def start(self, class_mass: np.ndarray) -> Attention:
         """Begins with the shares of the classes, given their counts."""
-        mass = class_mass + 0.5
-        self.p["c"] = np.log(mass / mass.sum()).astype(np.float32)
+        cg = self.p["cg"].ravel()
+        cg[: len(class_mass)] = np.log(class_mass + 0.5)
+        by_group = np.exp(self.p["cg"].astype(np.float64)).sum(axis=1)
+        self.p["cg"] -= np.log(by_group)[:, None].astype(np.float32)
+        self.p["c"] = np.log(by_group / by_group.sum()).astype(np.float32)
         return self
 
     def fit_blocks(self, blocks: Blocks, class_of: np.ndarray, state: dict, rates, rng: np.random.Generator,
                    passes: int = 1, batch: int = 256) -> Attention:
-        """Steps over all ``blocks``, ``passes`` times in a new order each. ``state`` (empty at first) goes
-        on between calls; ``rates(n)`` is the learning rate after ``n`` blocks of this state.
+        """Steps over all ``blocks``, ``passes`` times: runs of ``batch`` blocks in a new order each.
+        ``state`` (empty at first) goes on between calls; ``rates(n)`` is the learning rate after ``n`` blocks of it.
         """
         p = self.p
         if not state:
@@ -101,10 +157,9 @@ class Attention:
                       "t": 0, "blocks": 0, "used": np.zeros(N_IDS, dtype=np.float32)}
         m, s, n = state["m"], state["s"], len(blocks.inputs)
         for _ in range(passes):
-            order = rng.permutation(n)
-            for a in range(0, n, batch):
-                at = order[a : a + batch]
-                grads, ids, rows = self._gradients(blocks, at, class_of)
+            for a in rng.permutation(np.arange(0, n, batch)):
+                b = min(n, a + batch)
+                grads, ids, rows = self._gradients(blocks, a, b, class_of)
                 state["t"] += 1
                 t, lr = state["t"], np.float32(rates(state["blocks"]) * min(1, state["t"] / 30))
                 for k, g in grads.items():
@@ -112,9 +167,11 @@ class Attention:
                     s[k] += np.float32(0.01) * (g * g - s[k])
                     p[k] -= lr * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.99**t)) + np.float32(1e-8))
                 # rows of the embedding move only when they are used
-                s["emb"][ids] += np.float32(0.05) * (rows * rows - s["emb"][ids])
-                p["emb"][ids] -= lr * rows / (np.sqrt(s["emb"][ids]) + np.float32(1e-7)) * np.float32(0.3)
-                state["blocks"] += len(at)
+                seen = s["emb"][ids]
+                seen += np.float32(0.05) * (rows * rows - seen)
+                s["emb"][ids] = seen
+                p["emb"][ids] -= (lr * np.float32(0.3)) * rows / (np.sqrt(seen) + np.float32(1e-7))
+                state["blocks"] += b - a
                 state["used"][ids] += 1
         return self
 
@@ -139,91 +196,111 @@ class Attention:
                 at += v.size
         return self
 
-    def _gradients(self, blocks: Blocks, at: np.ndarray, class_of: np.ndarray):
-        p = self.p
-        x, before = blocks.inputs[at], blocks.inputs[at - 1]
-        keys = np.concatenate([before, x], axis=1)
-        e, ek = p["emb"][x], p["emb"][keys]
-        q, k, v = e @ p["q"], ek @ p["k"], ek @ p["v"]
-        a = self._weights(q * self.scale, k, p["rel"][_DELTA_AT], blocks.same[at])
-        h = e + a @ v
-        pre = h @ p["w1"] + p["b1"]
-        act = np.maximum(pre, 0)
-        out = h + act @ p["w2"]
-        z = out @ p["u"] + p["c"]
-        z -= z.max(axis=2, keepdims=True)
-        prob = np.exp(z)
-        prob /= prob.sum(axis=2, keepdims=True)
-        real = blocks.real[at]
-        i, j = np.nonzero(real)
-        prob[i, j, class_of[blocks.targets[at]][i, j]] -= 1
-        d = prob * (real / np.float32(real.sum()))[:, :, None].astype(np.float32)
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"u": flat(out).T @ flat(d), "c": flat(d).sum(0)}
-        d_out = d @ p["u"].T
-        g["w2"] = flat(act).T @ flat(d_out)
-        d_act = (d_out @ p["w2"].T) * (pre > 0)
-        g["w1"], g["b1"] = flat(h).T @ flat(d_act), flat(d_act).sum(0)
+    def _gradients(self, blocks: Blocks, a: int, b: int, class_of: np.ndarray):
+        p, size = self.p, self.p["emb"].shape[1]
+        ids = _with_block_before(blocks, a, b)
+        e = p["emb"][ids]
+        qkv = e @ p["qkv"]
+        q = qkv[STRIDE:, :size].reshape(-1, STRIDE, size)
+        k, v = _windows(qkv[:, size : 2 * size]), _windows(qkv[:, 2 * size :])
+        w = attend(q, k, p["rel"][_DELTA_AT] + _MASK, blocks.same[a:b])
+        w /= (w @ np.ones(2 * STRIDE, np.float32))[:, :, None]
+        mixed = np.matmul(w, v).reshape(-1, size)
+        h = e[STRIDE:] + mixed
+        act = h @ p["w1"]
+        act += p["b1"]
+        np.maximum(act, 0, out=act)
+        at = np.flatnonzero(blocks.real[a:b])
+        by = _ByGroup(at, class_of[blocks.targets[a:b].ravel()[at]], self.n_groups)
+        out = (h + act @ p["w2"])[by.at]
+        d1 = out @ p["u"]
+        d1 += p["c"]
+        d2 = by.members(out, p["ug"], p["cg"])
+        row = np.arange(len(at))
+        for d, own in ((d1, by.group), (d2, by.member)):
+            total = _exponentials(_bound(d))
+            d /= total[:, None]
+            d[row, own] -= 1
+            d *= np.float32(1 / len(at))
+        g = {"u": out.T @ d1, "c": d1.sum(0), "ug": np.zeros_like(p["ug"]), "cg": np.zeros_like(p["cg"])}
+        d_rows = d1 @ p["u"].T
+        for n, run in by.runs:
+            g["ug"][n], g["cg"][n] = out[run].T @ d2[run], d2[run].sum(0)
+            d_rows[run] += d2[run] @ p["ug"][n].T
+        d_out = np.zeros_like(h)
+        d_out[by.at] = d_rows
+        g["w2"] = act.T @ d_out
+        d_act = d_out @ p["w2"].T
+        d_act *= act > 0
+        g["w1"], g["b1"] = h.T @ d_act, d_act.sum(0)
         d_h = d_out + d_act @ p["w1"].T
-        d_v = a.transpose(0, 2, 1) @ d_h
-        d_a = d_h @ v.transpose(0, 2, 1)
-        d_s = a * (d_a - (a * d_a).sum(axis=2, keepdims=True))
+        d_mixed = d_h.reshape(-1, STRIDE, size)
+        d_v = w.transpose(0, 2, 1) @ d_mixed
+        d_s = np.matmul(d_mixed, v.transpose(0, 2, 1))
+        d_s -= np.einsum("ij,ij->i", d_h, mixed).reshape(-1, STRIDE, 1)
+        d_s *= w
         g["rel"] = np.bincount(_DELTA_AT.ravel(), weights=d_s.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-        d_q, d_k = (d_s @ k) * self.scale, (d_s.transpose(0, 2, 1) @ q) * self.scale
-        g["q"], g["k"], g["v"] = flat(e).T @ flat(d_q), flat(ek).T @ flat(d_k), flat(ek).T @ flat(d_v)
-        d_e = flat(d_h + d_q @ p["q"].T)
-        d_ek = flat(d_k @ p["k"].T + d_v @ p["v"].T)
-        ids, inverse = np.unique(np.concatenate([x.ravel(), keys.ravel()]), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        first = np.flatnonzero(np.diff(inverse[order], prepend=-1))
-        rows = np.add.reduceat(np.concatenate([d_e, d_ek])[order], first, axis=0)
-        return g, ids, rows
-
-    @staticmethod
-    def _weights(q: np.ndarray, k: np.ndarray, bias: np.ndarray, same: np.ndarray) -> np.ndarray:
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += bias + _MASK
-        s[~same, :, :STRIDE] = -1e9
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        return s
+        d_k = d_s.transpose(0, 2, 1) @ q
+        d_qkv = np.zeros_like(qkv)
+        blocked = d_qkv.reshape(-1, STRIDE, 3 * size)
+        blocked[1:, :, :size] = d_s @ k
+        for place, d in ((size, d_k), (2 * size, d_v)):
+            blocked[:-1, :, place : place + size] += d[:, :STRIDE]
+            blocked[1:, :, place : place + size] += d[:, STRIDE:]
+        g["qkv"] = e.T @ d_qkv
+        d_e = d_qkv @ p["qkv"].T
+        d_e[STRIDE:] += d_h
+        short = ids.astype(np.uint16)  # short keys are sorted in linear time
+        order = np.argsort(short, kind="stable")
+        short = short[order]
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+        return g, short[first].astype(np.int64), np.add.reduceat(d_e[order], first, axis=0)
 
     def tables(self) -> dict[str, np.ndarray]:
         """All that scoring gathers per id; some MB, whatever the corpus."""
         p = self.p
-        parts = [p["emb"], p["emb"] @ p["q"] * self.scale, p["emb"] @ p["k"], p["emb"] @ p["v"]]
         return {
-            "all": np.concatenate(parts, axis=1), "size": p["emb"].shape[1],
-            "rel": p["rel"][_DELTA_AT], **{n: p[n] for n in ("w1", "b1", "w2", "u", "c")},
+            "all": np.concatenate([p["emb"], p["emb"] @ p["qkv"]], axis=1), "size": p["emb"].shape[1],
+            "rel": p["rel"][_DELTA_AT] + _MASK, **{n: p[n] for n in ("w1", "b1", "w2", "u", "c", "ug", "cg")},
         }
 
 
+def attend(q: np.ndarray, k: np.ndarray, mask: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Unnormalised attention of every id to its window; ``mask`` holds positions and what is ahead."""
+    w = np.matmul(q, k.transpose(0, 2, 1))
+    _bound(w)
+    w += mask
+    np.exp(w, out=w)
+    w[~same, :, :STRIDE] = 0
+    return w
+
+
 def log10_probability(texts: list[np.ndarray], t: dict, class_of: np.ndarray, in_class: np.ndarray, step: int = 256) -> np.ndarray:
     """log10 of every text's probability, its end included. ``in_class``: natural log of an id's share."""
     blocks, size = to_blocks(texts), t["size"]
     n = len(blocks.inputs)
-    per_block = np.zeros(n)
+    per_id = np.zeros(n * STRIDE)
     for a in range(0, n, step):
         b = min(n, a + step)
-        same = blocks.same[a:b]
-        # all of an id with one look-up; the first block of all stands in for the one before it
-        ids = np.concatenate([blocks.inputs[max(a - 1, 0)][None], blocks.inputs[a:b]])
-        rows = t["all"][ids]
-        e, q = rows[1:, :, :size], rows[1:, :, size : 2 * size]
-        kv = np.concatenate([rows[:-1, :, 2 * size :], rows[1:, :, 2 * size :]], axis=1)
-        w = Attention._weights(q, kv[:, :, :size], t["rel"], same)
-        h = np.matmul(w, kv[:, :, size:])
-        h += e
-        h = h.reshape(-1, size)
+        rows = t["all"][_with_block_before(blocks, a, b)]
+        q = rows[STRIDE:, size : 2 * size].reshape(-1, STRIDE, size)
+        w = attend(q, _windows(rows[:, 2 * size : 3 * size]), t["rel"], blocks.same[a:b])
+        h = np.matmul(w, _windows(rows[:, 3 * size :])).reshape(-1, size)
+        h /= (w.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, np.float32))[:, None]
+        h += rows[STRIDE:, :size]
+        at = np.flatnonzero(blocks.real[a:b])
+        target = blocks.targets[a:b].ravel()[at]
+        by = _ByGroup(at, class_of[target], len(t["c"]))
+        h = h[by.at]
         act = h @ t["w1"]
         act += t["b1"]
         h += np.maximum(act, 0, out=act) @ t["w2"]
-        z = h @ t["u"]
-        z += t["c"]
-        target = blocks.targets[a:b].ravel()
-        own = z[np.arange(len(z)), class_of[target]]
-        z -= (top := z.max(axis=1))[:, None]
-        lp = own - top - np.log(np.exp(z, out=z).sum(axis=1)) + in_class[target]
-        per_block[a:b] = (lp.reshape(-1, STRIDE) * blocks.real[a:b]).sum(axis=1)
-    return np.add.reduceat(per_block, blocks.first) / np.log(10) if n else np.zeros(0)
+        z1 = h @ t["u"]
+        z1 += t["c"]
+        z2, row = by.members(h, t["ug"], t["cg"]), np.arange(len(at))
+        lp = _bound(z1)[row, by.group] + _bound(z2)[row, by.member]
+        lp -= np.log(_exponentials(z1) * _exponentials(z2))
+        here = per_id[a * STRIDE : b * STRIDE]
+        here[by.at] = lp
+        here[at] += in_class[target]
+    return np.add.reduceat(per_id, blocks.first * STRIDE) / np.log(10) if n else np.zeros(0)

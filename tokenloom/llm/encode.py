@@ -61,6 +61,8 @@ def _ordinary(text: str, path: str | None) -> list[int]:
 
 def encode(text: str, path: str | None = None) -> np.ndarray:
     """Ids of one text as little-endian unsigned 32-bit integers; no string is special."""
+    if not _LONG_BLANK.search(text):
+        return encoder(path).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
     return np.array(_ordinary(text, path), dtype="<u4")
 
 

@@ -4,7 +4,8 @@ The unigram counts cover every word of every training text, and a text needs the
 its words, so words and texts meet in a shuffle. Texts go in slices of some MB: a slice sends
 each of its words once, with the texts it is in, to the word's bucket; a bucket knows all
 counts of its words and answers with one partial sum per text. Buckets are as many as the
-corpus needs to keep each one small.
+corpus needs to keep each one small. The same pass writes every text's subword ids, which both
+the fit and the scores of the attention model read from there.
 """
 
 from __future__ import annotations
@@ -18,42 +19,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.attention import BOUND, N_IDS, STRIDE, Attention, classes_by_mass, log10_probability, to_blocks
-from tokenloom.llm.common import is_held_out, slices
+from tokenloom.llm.common import is_held_out, slices, texts_of
 from tokenloom.llm.encode import encode, encoder
 from tokenloom.llm.words import split_words, xxh64
 from tokenloom.session import materialize
 
 SLICE_BYTES = 6 << 20
 SLICE_ROWS = 50_000  # a text's place in its slice fits 16 bits
-# subword ids of the training texts per bucket
-BUCKET_IDS = 12_000_000
+# bytes of text per bucket
+BUCKET_BYTES = 32 << 20
 # fitting: blocks of a task at least, blocks that a task holds at once, steps of a small corpus in blocks
 TASK_BLOCKS, SLICE_BLOCKS, LEAST_BLOCKS = 1 << 16, 1 << 16, 800 * 256
 # shares of the texts after which the tasks' weights are averaged, and pieces of the embedding for the sums
 ROUNDS, PARTS = (0.0, 1 / 16, 1 / 4, 5 / 8, 1.0), 64
 
 MESSAGES = (
-    "slice long, bucket int, n_docs int, words binary, train binary, spread binary, doc binary, times binary, "
-    "ids array<long>, held array<boolean>, n_words array<int>, score array<double>"
+    "slice long, bucket int, words binary, train binary, spread binary, doc binary, times binary, "
+    "place int, doc_id long, held boolean, n_words int, turn double, ids binary"
 )
+MESSAGE_FIELDS = pa.schema([
+    ("slice", pa.int64()), ("bucket", pa.int32()), *[(n, pa.binary()) for n in ("words", "train", "spread", "doc", "times")],
+    ("place", pa.int32()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_words", pa.int32()),
+    ("turn", pa.float64()), ("ids", pa.binary()),
+])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def encoded(texts: DataFrame, vocabulary: str | None) -> DataFrame:
-    """The column ``text`` as subword ids of 16 bits, written once; ``turn`` deals the texts to rounds."""
+def read_texts(rows: DataFrame, n_buckets: int, vocabulary: str | None) -> DataFrame:
+    """The one pass over ``doc_id, text, held``, written: a row per text with its subword ids of 16 bits
+    (``bucket`` is -1, ``turn`` deals it to a round of the fit), and a slice's words for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+        task = TaskContext.get().partitionId()
+        rng, number = np.random.default_rng(task), task << 32
         for batch in batches:
-            for part in slices(batch, SLICE_BYTES):
-                ids = [encode(t or "", vocabulary).astype("<u2").tobytes() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rng.random(len(ids))), pa.array(ids, pa.binary())], names=["turn", "ids"]
-                )
+            for big in slices(batch, SLICE_BYTES):
+                for a in range(0, big.num_rows, SLICE_ROWS):
+                    part = big.slice(a, SLICE_ROWS)
+                    n, number = part.num_rows, number + 1
+                    raw = texts_of(part.column(1))
+                    held = part.column(2).to_numpy(zero_copy_only=False)
+                    requests, n_words = _requests(number, raw, held, n_buckets)
+                    texts = {
+                        "slice": pa.array(np.full(n, number)), "bucket": pa.array(np.full(n, -1, np.int32)),
+                        "place": pa.array(np.arange(n, dtype=np.int32)), "doc_id": part.column(0), "held": part.column(2),
+                        "n_words": pa.array(n_words.astype(np.int32)), "turn": pa.array(rng.random(n)),
+                        "ids": pa.array([encode(t or "", vocabulary).astype("<u2").tobytes()
+                                         for t in part.column(1).to_pylist()], pa.binary()),
+                    }
+                    yield pa.RecordBatch.from_arrays(
+                        [texts.get(f.name, pa.nulls(n, f.type)) for f in MESSAGE_FIELDS], schema=MESSAGE_FIELDS)
+                    if requests:
+                        yield pa.RecordBatch.from_pylist(requests, schema=MESSAGE_FIELDS)
 
-    return materialize(texts.select("text").mapInArrow(run, "turn double, ids binary"), "ids")
+    return materialize(rows.mapInArrow(run, MESSAGES), "messages")
 
 
 def id_counts(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -62,10 +83,11 @@ def id_counts(ids: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(N_IDS + 1, dtype=np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                counts[:N_IDS] += np.bincount(np.frombuffer(raw, "<u2"), minlength=N_IDS)
-                counts[BOUND] += 1
-                counts[N_IDS] += len(raw) // 2 // STRIDE + 1
+            for part in slices(batch, SLICE_BYTES):
+                raws = part.column(0).to_pylist()
+                counts[:N_IDS] += np.bincount(np.frombuffer(b"".join(raws), "<u2"), minlength=N_IDS)
+                counts[BOUND] += len(raws)
+                counts[N_IDS] += sum(len(raw) // 2 // STRIDE + 1 for raw in raws)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["id", "n"])
 
@@ -81,15 +103,14 @@ def fit(ids: DataFrame, model: Attention, class_of: np.ndarray, n_blocks: int) -
 
     In each round a task goes on from the common weights over its own texts of that round, and the
     weights are averaged: steps follow the number of blocks, and each text is used in one
-    round. A small corpus is passed over often enough for ``LEAST_BLOCKS`` in one task.
+    round. A small corpus is passed over often enough for ``LEAST_BLOCKS`` in all.
     """
     if not n_blocks:
         return model
     passes = max(1, round(LEAST_BLOCKS / n_blocks))
     n_tasks = max(1, n_blocks // TASK_BLOCKS)
-    edges = ROUNDS if n_tasks > 1 else (0.0, 1.0)
     spark, per_part = ids.sparkSession, -(-N_IDS // PARTS)
-    for low, high in zip(edges, edges[1:], strict=False):
+    for low, high in zip(ROUNDS, ROUNDS[1:], strict=False):
         rows = ids.filter((F.col("turn") >= low) & (F.col("turn") < high)).select("ids").coalesce(n_tasks)
         n_parts = max(1, rows.rdd.getNumPartitions())  # coalescing only lowers it
         shared = spark.sparkContext.broadcast((model, class_of))
@@ -142,11 +163,12 @@ def fit(ids: DataFrame, model: Attention, class_of: np.ndarray, n_blocks: int) -
     return model
 
 
-def _requests(number: int, texts: list[bytes], held: np.ndarray, n_buckets: int) -> list[dict]:
-    """A slice's words by bucket: each word once, with its training count and the texts it is in."""
+def _requests(number: int, texts: list[bytes], held: np.ndarray, n_buckets: int) -> tuple[list[dict], np.ndarray]:
+    """A slice's words by bucket, each word once, with its training count and the texts it is in;
+    and the number of words of each text."""
     words = split_words(texts)
     if not len(words.starts):
-        return []
+        return [], words.counts
     h = xxh64(words.buffer, words.starts, words.ends - words.starts)
     by = np.argsort(h, kind="stable")  # words come text by text, so a word's texts stay in order
     h, doc = h[by], words.doc[by]
@@ -170,11 +192,11 @@ def _requests(number: int, texts: list[bytes], held: np.ndarray, n_buckets: int)
         if i < j:
             p, q = pairs[i], pairs[j]
             out.append({
-                "slice": number, "bucket": b, "n_docs": len(texts), "words": word[i:j].tobytes(),
+                "slice": number, "bucket": b, "words": word[i:j].tobytes(),
                 "train": train[i:j].astype("<u4").tobytes(), "spread": spread[i:j].astype("<u2").tobytes(),
                 "doc": doc[p:q].astype("<u2").tobytes(), "times": times[p:q].astype("<u4").tobytes(),
             })
-    return out
+    return out, words.counts
 
 
 def _answers(table: pa.Table) -> pa.Table:
@@ -207,7 +229,7 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 def lm_scores(
-    docs: DataFrame, mod: int = 5, n_classes: int = 128, vocabulary: str | None = None,
+    docs: DataFrame, mod: int = 5, n_classes: int = 256, vocabulary: str | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -218,7 +240,10 @@ def lm_scores(
     is 0 and the model gives each id its untrained share.
     """
     rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id"), mod).alias("held"))
-    ids = encoded(rows.filter(~F.col("held")), vocabulary)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    messages = read_texts(rows, max(12, size // BUCKET_BYTES), vocabulary)
+    texts = messages.filter("bucket = -1")
+    ids = texts.filter("not held").select("turn", "ids")
     counts, n_blocks = id_counts(ids)
     pieces = [encoder(vocabulary).decode_single_token_bytes(i) for i in range(BOUND)] + [b""]
     class_of = classes_by_mass(counts, pieces, n_classes)
@@ -226,50 +251,31 @@ def lm_scores(
     mass = np.bincount(class_of, weights=counts, minlength=n_classes)
     model = fit(ids, Attention(n_classes).start(mass), class_of, n_blocks)
     shared = docs.sparkSession.sparkContext.broadcast((model.tables(), class_of, share))
-    n_buckets = max(12, int(counts.sum()) // BUCKET_IDS)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, classes, in_class = shared.value
-        schema = pa.schema([
-            ("slice", pa.int64()), ("bucket", pa.int32()), ("n_docs", pa.int32()),
-            *[(n, pa.binary()) for n in ("words", "train", "spread", "doc", "times")],
-            ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int32())),
-            ("score", pa.list_(pa.float64())),
-        ])
-        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for big in slices(batch, SLICE_BYTES):
-                for a in range(0, big.num_rows, SLICE_ROWS):
-                    part = big.slice(a, SLICE_ROWS)
-                    number += 1
-                    texts = [t or "" for t in part.column(1).to_pylist()]
-                    held = part.column(2).to_numpy(zero_copy_only=False)
-                    raw = [t.encode() for t in texts]
-                    score = log10_probability([encode(t, vocabulary) for t in texts], tables, classes, in_class)
-                    head = {
-                        "slice": number, "bucket": -1, "n_docs": len(texts), "ids": part.column(0).to_pylist(),
-                        "held": held.tolist(), "n_words": [len(t.split()) for t in raw], "score": score.tolist(),
-                    }
-                    yield pa.RecordBatch.from_pylist([head, *_requests(number, raw, held, n_buckets)], schema=schema)
+            for part in slices(batch, SLICE_BYTES // 4):
+                own = [np.frombuffer(raw, "<u2").astype(np.int32) for raw in part.column("ids").to_pylist()]
+                done = pa.array(log10_probability(own, tables, classes, in_class))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], done], names=[*part.schema.names[:-1], "score"])
 
-    messages = materialize(rows.mapInArrow(send, MESSAGES), "messages")
-    answers = messages.filter("bucket >= 0").groupBy("bucket").applyInArrow(
+    answers = messages.filter("bucket >= 0").select("slice", "bucket", "words", "train", "spread", "doc", "times")
+    answers = materialize(answers.groupBy("bucket").applyInArrow(
         _answers, "slice long, known long, doc binary, total binary, missing binary"
-    )
-    answers = materialize(answers, "answers")
-    heads = messages.filter("bucket = -1").select("slice", "ids", "held", "n_words", "score")
-    sizes = heads.select(F.explode(F.arrays_zip("held", "n_words")).alias("d")).filter("not d.held").agg(
-        F.coalesce(F.sum(F.col("d.n_words") + 1), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("texts")
+    ), "answers")
+    scored = texts.select("slice", "place", "doc_id", "held", "n_words", "ids").mapInArrow(
+        score, "slice long, place int, doc_id long, held boolean, n_words int, score double")
+    sizes = texts.filter("not held").agg(
+        F.coalesce(F.sum(F.col("n_words") + F.lit(1).cast("long")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("texts")
     ).first()
     known = answers.filter("slice = -1").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()["v"]
     n_train, ends = sizes["n"], sizes["texts"]
     distinct = known + (ends > 0)
 
-    def gather(head: pa.Table, parts: pa.Table) -> pa.Table:
-        row = head.to_pylist()[0]
-        n_tokens = np.array(row["n_words"], dtype=np.int64) + 1
+    def gather(own: pa.Table, parts: pa.Table) -> pa.Table:
+        own = own.sort_by("place")
+        n_tokens = own["n_words"].to_numpy().astype(np.int64) + 1
         total, unknown = np.full(len(n_tokens), np.log10(ends + 0.5)), np.full(len(n_tokens), int(ends == 0))
         for p in parts.select(["doc", "total", "missing"]).to_pylist():
             who = np.frombuffer(p["doc"], "<u2")
@@ -277,9 +283,9 @@ def lm_scores(
             unknown[who] += np.frombuffer(p["missing"], "<u4").astype(np.int64)
         base = total - n_tokens * np.log10(n_train + 0.5 * (distinct + 1))
         return pa.table({
-            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"]), "n_tokens": pa.array(n_tokens),
+            "doc_id": own["doc_id"], "held_out": own["held"], "n_tokens": pa.array(n_tokens),
             "n_known": pa.array(n_tokens - unknown), "train_tokens": pa.array(np.full(len(n_tokens), n_train)),
-            "base_score": pa.array(base + 0.0), "score": pa.array(row["score"], pa.float64()),
+            "base_score": pa.array(base + 0.0), "score": own["score"],
         })
 
-    return heads.groupBy("slice").cogroup(answers.filter("slice >= 0").groupBy("slice")).applyInArrow(gather, SCORES)
+    return scored.groupBy("slice").cogroup(answers.filter("slice >= 0").groupBy("slice")).applyInArrow(gather, SCORES)
