@@ -361,7 +361,7 @@ def test_attention_is_causal_and_scores_each_id_once():
     for i, target in enumerate([*ids, attention.BOUND]):
         lo = max(0, i - i % 16 - 16)
         x = inputs[lo : i + 1]
-        wq, wk, wv = p["qkv"][:, :16], p["qkv"][:, 16:32], p["qkv"][:, 32:]
+        wq, wk, wv = np.split(p["qkv"], 3, axis=1)
         w = (p["emb"][x] @ wk) @ (p["emb"][inputs[i]] @ wq) + p["rel"][i - np.arange(lo, i + 1)]
         w = np.exp(w - w.max())
         h = p["emb"][inputs[i]] + (w / w.sum()) @ (p["emb"][x] @ wv)
@@ -413,7 +413,7 @@ def test_attention_gradients():
     for name, g in {**grads, "emb": emb}.items():
         flat, want = model.p[name].reshape(-1), g.reshape(-1)
         for i in np.argsort(-np.abs(want))[:3]:
-            old, step = flat[i], np.float32(1e-2)
+            old, step = flat[i], np.float32(2e-3)
             flat[i] = old + step
             up = loss()
             flat[i] = old - step

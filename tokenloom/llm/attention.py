@@ -39,12 +39,17 @@ def to_blocks(texts: list[np.ndarray]) -> Blocks:
     n_blocks = -(-sizes // STRIDE)
     total = int(n_blocks.sum()) * STRIDE
     first = np.cumsum(n_blocks) - n_blocks
-    begin = np.repeat(first * STRIDE, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ids = np.concatenate([np.append(t, BOUND) for t in texts]) if texts else np.zeros(0, dtype=np.int64)
-    targets, real = np.full(total, BOUND, dtype=np.int32), np.zeros(total, dtype=bool)
-    targets[begin], real[begin] = ids, True
-    inputs = np.concatenate([[BOUND], targets[:-1]]).astype(np.int32)[:total]
+    # every text, its end and what fills its last block, in one run; ends and filling are BOUND
+    fill = n_blocks * STRIDE - sizes + 1
+    end = np.full(STRIDE, BOUND, dtype=np.int32)
+    runs = [part for t, n in zip(texts, fill.tolist(), strict=True) for part in (t, end[:n])]
+    targets = np.concatenate(runs).astype(np.int32, copy=False) if runs else np.zeros(0, dtype=np.int32)
+    inputs = np.empty(total, dtype=np.int32)
+    inputs[1:] = targets[:-1]
     inputs[first * STRIDE] = BOUND
+    real = np.ones(total, dtype=bool)
+    for n in range(1, STRIDE):
+        real[((first + n_blocks) * STRIDE - n)[fill > n]] = False
     same = np.ones(total // STRIDE, dtype=bool)
     same[first] = False
     shape = (-1, STRIDE)
@@ -100,9 +105,9 @@ class _ByGroup:
     """Places of blocks in the order of their targets' groups, for one product per group."""
 
     def __init__(self, at: np.ndarray, cls: np.ndarray, n_groups: int):
-        group = (cls // GROUP).astype(np.uint8)
-        order = np.argsort(group, kind="stable")
-        self.at, self.group, self.member = at[order], group[order], cls[order] % GROUP
+        order = np.argsort((cls // GROUP).astype(np.uint8), kind="stable")
+        cls = cls[order]
+        self.at, self.group, self.member = at[order], cls // GROUP, cls % GROUP
         edges = np.searchsorted(self.group, np.arange(n_groups + 1))
         self.runs = [(g, slice(edges[g], edges[g + 1])) for g in range(n_groups) if edges[g] < edges[g + 1]]
 
@@ -122,7 +127,7 @@ class Attention:
     give the group of the next class, ``ug``, ``cg`` the class within each group. At most 4,096 classes.
     """
 
-    def __init__(self, n_classes: int, size: int = 16, hidden: int = 32, seed: int = 11):
+    def __init__(self, n_classes: int, size: int = 8, hidden: int = 16, seed: int = 11):
         rng = np.random.default_rng(seed)
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.n_groups = -(-n_classes // GROUP)
@@ -219,9 +224,8 @@ class Attention:
         row = np.arange(len(at))
         for d, own in ((d1, by.group), (d2, by.member)):
             total = _exponentials(_bound(d))
-            d /= total[:, None]
-            d[row, own] -= 1
-            d *= np.float32(1 / len(at))
+            d *= (1 / (total * len(at)))[:, None].astype(np.float32)
+            d[row, own] -= np.float32(1 / len(at))
         g = {"u": out.T @ d1, "c": d1.sum(0), "ug": np.zeros_like(p["ug"]), "cg": np.zeros_like(p["cg"])}
         d_rows = d1 @ p["u"].T
         for n, run in by.runs:

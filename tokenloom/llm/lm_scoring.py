@@ -30,6 +30,7 @@ SLICE_ROWS = 50_000  # a text's place in its slice fits 16 bits
 BUCKET_BYTES = 32 << 20
 # fitting: blocks of a task at least, blocks that a task holds at once, steps of a small corpus in blocks
 TASK_BLOCKS, SLICE_BLOCKS, LEAST_BLOCKS = 1 << 16, 1 << 16, 800 * 256
+RATE = 0.03  # of learning, at first
 # shares of the texts after which the tasks' weights are averaged, and pieces of the embedding for the sums
 ROUNDS, PARTS = (0.0, 1 / 16, 1 / 4, 5 / 8, 1.0), 64
 
@@ -125,7 +126,7 @@ def fit(ids: DataFrame, model: Attention, class_of: np.ndarray, n_blocks: int) -
             share = passes * n_blocks / n_parts
 
             def rate(n: int) -> float:
-                return 6e-3 * (1 - 0.9 * min(high, low + n / share))
+                return RATE * (1 - 0.9 * min(high, low + n / share))
 
             def train(texts: list[np.ndarray]) -> None:
                 mine.fit_blocks(to_blocks(texts), classes, state, rate, rng, passes)
