@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import bytelevel
 from tokenloom.operators import bpe
-from tokenloom.sources.model import BpeModel, load_model, model_from_merges, save_model
+from tokenloom.sources.model import (
+    BpeModel, load_model, model_from_merges, model_relations, save_model, toy_model, unordered_merges, write_model,
+)
 
 EDGE = [
     "", " ", "a", "two  blanks", "three   blanks at end   ", "tab\tand\nnewline \n x", "no break",
@@ -180,3 +182,25 @@ def test_sql_functions(spark, model):
     assert r.d == text and bytes(r.p) == (1).to_bytes(4, "little") + (70000).to_bytes(4, "little")
     assert r.u == [1, 70000]
     assert list(r.e) == outside(model, False).encode(text).ids
+
+
+@pytest.mark.parametrize("as_lists", [True, False])
+def test_model_file_as_relations(spark, tmp_path, as_lists):
+    model = toy_model()
+    path = write_model(spark, model, str(tmp_path / "model"), as_lists)
+    rows = [sorted(tuple(r) for r in df.collect()) for df in model_relations(spark, path)]
+    assert rows == [sorted(tuple(r) for r in df.collect()) for df in model.relations(spark)]
+    assert load_model(spark, path) == model
+
+
+def test_model_file_faults(spark, tmp_path):
+    sound = model_from_merges([("a", "b"), ("ab", "c")])
+    vocab, merges, _ = sound.relations(spark)
+    assert unordered_merges(vocab, merges).count() == 0
+    # the parts of the first merge are made by the second, and "zz" has no id
+    late = BpeModel(sound.vocab, (("ab", "c"), ("a", "b"), ("z", "z")), {})
+    vocab, merges, _ = late.relations(spark)
+    assert sorted(tuple(r) for r in unordered_merges(vocab, merges).collect()) == [(0, "ab"), (2, "zz")]
+    bad = BpeModel(sound.vocab, (("a", "b", "c"),), {})
+    with pytest.raises(Exception, match="two parts"):
+        model_relations(spark, write_model(spark, bad, str(tmp_path / "bad")))[1].collect()

@@ -11,7 +11,7 @@ from tokenloom.plans import fixtures as fx
 from tokenloom.plans import oracle_views as ov
 from tokenloom.plans.registry import ORACLES, query
 from tokenloom.session import materialize, scratch_path, spread
-from tokenloom.sources.model import toy_model, vocab_lookup
+from tokenloom.sources.model import model_relations, toy_model, vocab_lookup, write_model
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
 from tokenloom.streaming import streams
@@ -145,17 +145,26 @@ def bpe_encode_fold(spark, sf):
 _TAGGED_SQL = "'[CLS]' || replace(text, ' the ', ' [MASK]') || '[SEP]'"
 
 
-@query("added_tokens", f"""with {ov.CORPUS}
+_ADDED_SQL = f"""with {ov.CORPUS}
 select doc_id, len(ids) as n_tokens, {ids_text_sql()} as ids
 from (select doc_id, {ov.ids('t', True)} as ids
-      from (select doc_id, {_TAGGED_SQL} as t from corpus where text <> ''))""")
-def added_tokens(spark, sf):
+      from (select doc_id, {_TAGGED_SQL} as t from corpus where text <> ''))"""
+
+
+@query("added_tokens", _ADDED_SQL)
+def added_tokens(spark, sf, strategy="fold"):
     rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf), key="doc_id"))
     tagged = F.concat(F.lit("[CLS]"), F.replace("text", F.lit(" the "), F.lit(" [MASK]")), F.lit("[SEP]"))
-    enc = bpe.bpe_encode(rows.withColumn("text", tagged), toy_model(), strategy="fold")
+    enc = bpe.bpe_encode(rows.withColumn("text", tagged), toy_model(), strategy=strategy)
     return enc.select("doc_id", F.size("ids").alias("n_tokens"), text_ids("ids").alias("ids"))
 
 
+@query("added_tokens_arrow", _ADDED_SQL)
+def added_tokens_arrow(spark, sf):
+    """The same ids from the Arrow way of encoding."""
+    return added_tokens(spark, sf, "arrow")
+
+
 @query("token_counts", f"""with {ov.ENCODED}
 select shard, count(*) as rows, cast(sum(len(ids)) as bigint) as tokens from encoded group by shard""")
 def token_counts(spark, sf):
@@ -203,34 +212,58 @@ def token_text_write(spark, sf):
 
 
 # ----------------------------------------------------------------- blocks
-_BLOCKS_SQL = f"""{ov.ASCII}, placed as (
-  select shard, text, length(text) as n, cast(coalesce(sum(length(text)) over (partition by shard
+# Two hex digits are a byte. ``{cut}`` turns a byte's place in the text into the place where the block starts.
+_PLACED_SQL = f"""{ov.CORPUS}, placed as (
+  select shard, x, n, cast(coalesce(sum(n) over (partition by shard
     order by batch_index, row_in_batch rows between unbounded preceding and 1 preceding), 0) as bigint) as o
-  from ascii where text <> ''),
-pieces as (
-  select shard, k as block_index, o,
-    substr(text, cast(greatest(k * {BLOCK} - o, 0) + 1 as bigint),
-      cast(least((k + 1) * {BLOCK} - o, n) - greatest(k * {BLOCK} - o, 0) as bigint)) as t
+  from (select *, hex(encode(text)) as x, octet_length(encode(text)) as n from corpus where text <> ''))"""
+
+
+def _blocks_sql(cut: str) -> str:
+    return f"""{_PLACED_SQL}, borders as (
+  select *, greatest(k * {BLOCK} - o, 0) as lo, least((k + 1) * {BLOCK} - o, n) as hi
   from (select *, unnest(range(o // {BLOCK}, (o + n - 1) // {BLOCK} + 1)) as k from placed)),
+pieces as (
+  select shard, k as block_index, o, substr(x, cast(2 * a + 1 as bigint), cast(2 * (b - a) as bigint)) as h
+  from (select *, {cut.format(at='lo')} as a, {cut.format(at='hi')} as b from borders)),
 blocks as (
-  select shard, block_index, string_agg(t, '' order by o) as content from pieces group by all)"""
-_BLOCK_TOKENS_SQL = f"""{_BLOCKS_SQL}, tokenized as (
+  select shard, block_index, string_agg(h, '' order by o) as content from pieces where h <> '' group by all)"""
+
+
+def _tail(at: str) -> str:
+    return f"substr(x, cast(2 * ({at}) + 1 as bigint), 1) in ('8', '9', 'A', 'B')"
+
+
+_CHAR_START = (
+    "case when {at} <= 0 or {at} >= n then {at} when not " + _tail("{at}") + " then {at} when not " + _tail("{at} - 1")
+    + " then {at} - 1 when not " + _tail("{at} - 2") + " then {at} - 2 else {at} - 3 end"
+)
+_RAW_BLOCKS_SQL, _CHAR_BLOCKS_SQL = _blocks_sql("{at}"), _blocks_sql(_CHAR_START)
+_BLOCK_TOKENS_SQL = f"""{_CHAR_BLOCKS_SQL}, tokenized as (
   select *, least(len(ids), capacity // 4) as kept
-  from (select shard, block_index, length(content) as block_len,
-          case when length(content) >= {BLOCK} then {BLOCK} else (length(content) + 511) // 512 * 512 end as capacity,
-          {ov.ids('content')} as ids from blocks)),
+  from (select shard, block_index, n as block_len,
+          case when n >= {BLOCK} then {BLOCK} else (n + 511) // 512 * 512 end as capacity, {ov.ids('t')} as ids
+        from (select shard, block_index, length(content) // 2 as n, decode(unhex(content)) as t from blocks))),
 output as (
   select *, rpad({ov.hex_u32('ids[1:kept]')}, cast(2 * capacity as int), '0') as output_hex from tokenized)"""
 
 
-def ascii_blocks(spark, sf) -> DataFrame:
-    return blocks.cut_blocks(fx.ascii_corpus(spark, sf), block_bytes=BLOCK)
+def char_blocks(spark, sf) -> DataFrame:
+    """Blocks whose borders leave characters whole."""
+    return blocks.cut_blocks(fx.corpus(spark, sf), block_bytes=BLOCK, boundary="char")
 
 
-@query("cut_blocks", f"""with {_BLOCKS_SQL}
-select shard, block_index, length(content) as block_len, md5(content) as content_md5 from blocks""")
+@query("cut_blocks", f"""with {_RAW_BLOCKS_SQL}
+select shard, block_index, length(content) // 2 as block_len, md5(unhex(content)) as content_md5 from blocks""")
 def cut_blocks(spark, sf):
-    return ascii_blocks(spark, sf).select("shard", "block_index", "block_len", F.md5("content").alias("content_md5"))
+    out = blocks.cut_blocks(fx.corpus(spark, sf), block_bytes=BLOCK)
+    return out.select("shard", "block_index", "block_len", F.md5("content").alias("content_md5"))
+
+
+@query("cut_blocks_char", f"""with {_CHAR_BLOCKS_SQL}
+select shard, block_index, length(content) // 2 as block_len, md5(unhex(content)) as content_md5 from blocks""")
+def cut_blocks_char(spark, sf):
+    return char_blocks(spark, sf).select("shard", "block_index", "block_len", F.md5("content").alias("content_md5"))
 
 
 @query("block_tokenize", f"""with {_BLOCK_TOKENS_SQL}
@@ -238,7 +271,7 @@ select shard, block_index, block_len, cast(capacity as bigint) as capacity, len(
   cast(kept as bigint) as kept, 0 as dropped, md5(output_hex) as output_md5,
   md5({ov.hex_u32('ids[kept + 1:len(ids)]')}) as overflow_md5 from output""")
 def block_tokenize(spark, sf):
-    out = blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK)
+    out = blocks.block_tokenize(char_blocks(spark, sf), toy_model(), BLOCK)
     return out.select("shard", "block_index", "block_len", "capacity", "n_tokens", "kept", "dropped",
                       F.md5(F.hex("output")).alias("output_md5"), F.md5(F.hex("overflow")).alias("overflow_md5"))
 
@@ -250,7 +283,7 @@ def block_tokenize_all(spark, sf):
     """Written and read back: the ids of both files of a shard are all ids of its blocks."""
     register_sources(spark)
     path = scratch_path(spark, "block-bins")
-    out = materialize(blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK), "blocks")
+    out = materialize(blocks.block_tokenize(char_blocks(spark, sf), toy_model(), BLOCK), "blocks")
     tokens.write_block_bins(out, path, BLOCK)
 
     def read(suffix):
@@ -295,15 +328,16 @@ def arrow_scan(spark, sf):
     return spark.read.format("arrow_ipc").option("column", "text").load(path)
 
 
-@query("byte_block_scan", f"""with {ov.ASCII}, whole as (
-  select string_agg(coalesce(text, '') || chr(10), '' order by shard, batch_index, row_in_batch) as t from ascii)
-select k as block_index, k * {BLOCK} as "offset", length(substr(t, k * {BLOCK} + 1, {BLOCK})) as length,
-  md5(substr(t, k * {BLOCK} + 1, {BLOCK})) as content_md5
-from (select t, unnest(range(0, (length(t) - 1) // {BLOCK} + 1)) as k from whole)""")
+@query("byte_block_scan", f"""with {ov.CORPUS}, whole as (
+  select string_agg(hex(encode(coalesce(text, '') || chr(10))), '' order by shard, batch_index, row_in_batch) as x from corpus),
+cut as (
+  select k, substr(x, k * {2 * BLOCK} + 1, {2 * BLOCK}) as h
+  from (select x, unnest(range(0, (length(x) - 1) // {2 * BLOCK} + 1)) as k from whole))
+select k as block_index, k * {BLOCK} as "offset", length(h) // 2 as length, md5(unhex(h)) as content_md5 from cut""")
 def byte_block_scan(spark, sf):
     register_sources(spark)
     path = scratch_path(spark, "dump")
-    placed = corpus.dump_rows(fx.ascii_corpus(spark, sf))
+    placed = corpus.dump_rows(fx.corpus(spark, sf))
     write_positioned(placed.withColumn("file", F.lit("corpus.txt")), path, "file")
     scan = spark.read.format("byte_blocks").option("blockBytes", BLOCK).load(path)
     return scan.select("block_index", "offset", "length", F.md5("content").alias("content_md5"))
@@ -395,7 +429,7 @@ def token_file_summary(spark, sf):
     """Files of the block path: their zero padding counts as zeros."""
     register_sources(spark)
     path = scratch_path(spark, "block-bins")
-    out = materialize(blocks.block_tokenize(ascii_blocks(spark, sf), toy_model(), BLOCK), "blocks")
+    out = materialize(blocks.block_tokenize(char_blocks(spark, sf), toy_model(), BLOCK), "blocks")
     tokens.write_block_bins(out, path, BLOCK)
     summary = tokens.token_file_summary(spark, path)
     return summary.withColumn("zero_ratio", F.round("zero_ratio", 6)).select(
@@ -419,8 +453,12 @@ uses as (select id, count(*) as n from (select unnest(ids) as id from encoded) g
 select cast(v.id as bigint) as id, v.token, cast(coalesce(m.rank, -1) as bigint) as merge_rank, coalesce(u.n, 0) as uses
 from vocab v left join merges m on m.token = v.token left join uses u on u.id = v.id""")
 def bpe_model_load(spark, sf):
-    """The model as relations, with how often the corpus uses each entry."""
-    vocab, merges, added = toy_model().relations(spark)
+    """A model's file as relations, with how often the corpus uses each entry; both notations of
+    the merges are written and read, and only merges that both give take part."""
+    folder = scratch_path(spark, "model")
+    vocab, merges, added = model_relations(spark, write_model(spark, toy_model(), f"{folder}/lists"))
+    _, again, _ = model_relations(spark, write_model(spark, toy_model(), f"{folder}/text", merges_as_lists=False))
+    merges = merges.join(again, ["rank", "left", "right"])
     uses = encoded(spark, sf).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("uses"))
     made = merges.select(F.concat("left", "right").alias("token"), F.col("rank").alias("merge_rank"))
     return (

@@ -60,11 +60,6 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ascii_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus with every non-ASCII character as '?', so that bytes are characters."""
-    return corpus(spark, sf).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
-
-
 def bounded_shards(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus in shards of 256 rows: what a task can write as one Arrow file."""
     return corpus(spark, sf).selectExpr(

@@ -15,8 +15,6 @@ corpus as (
   select doc_id, source, lang, doc_id % 8 as shard, (doc_id // 8) // 50 as batch_index,
     (doc_id // 8) % 50 as row_in_batch, text
   from all_rows)"""
-ASCII = CORPUS + """, ascii as (
-  select * replace (regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as text) from corpus)"""
 BOUNDED = CORPUS + """, bounded as (
   select doc_id // 256 as shard, (doc_id % 256) // 50 as batch_index,
     (doc_id % 256) % 50 as row_in_batch, text, doc_id from corpus)"""

@@ -125,6 +125,52 @@ def save_model(model: BpeModel, folder: str, merges_as_lists: bool = True) -> tu
     return as_json, as_text
 
 
+def write_model(spark: SparkSession, model: BpeModel, path: str, merges_as_lists: bool = True) -> str:
+    """The model's JSON as one file in the folder ``path``, written by Spark to any store."""
+    merges = [list(m) if merges_as_lists else " ".join(m) for m in model.merges]
+    body = json.dumps({"model": {"vocab": {**model.added, **model.vocab}, "merges": merges}}, ensure_ascii=False)
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def model_relations(
+    spark: SparkSession, model_json: str, added: dict[str, int] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:meth:`BpeModel.relations` straight from a model file, without a model in Python.
+
+    Merges are pairs or strings ``left right``; a merge of other than two parts is an error.
+    """
+    names = ADDED_TOKENS if added is None else added
+    text = spark.read.text(model_json, wholetext=True)
+
+    def body(merges: str) -> Column:
+        return F.from_json("value", f"model struct<vocab:map<string,int>,merges:array<{merges}>>")["model"]
+
+    entries = text.select(F.explode(body("string")["vocab"]).alias("token", "id"))
+    is_added = F.col("token").isin(list(names))
+    pairs, strings = body("array<string>")["merges"], body("string")["merges"]
+    in_pairs = F.exists(pairs, lambda m: m.isNotNull())
+    parts = F.when(in_pairs, pairs).otherwise(F.transform(strings, lambda m: F.split(m, " ", -1)))
+    merges = text.select(F.posexplode(parts).alias("rank", "parts")).select(
+        "rank", F.when(F.size("parts") == 2, F.col("parts")).otherwise(
+            F.raise_error(F.concat(F.lit("a merge needs two parts: "), F.to_json("parts")))).alias("parts"),
+    ).select("rank", F.col("parts")[0].alias("left"), F.col("parts")[1].alias("right"))
+    return entries.where(~is_added), merges, entries.where(is_added)
+
+
+def unordered_merges(vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    """Merges ``(rank, part)`` that use a part which is neither a byte symbol nor made by an earlier merge,
+    or whose product (``part``) has no id: one row per fault, none for a sound model."""
+    spark = merges.sparkSession
+    symbols = spark.createDataFrame([(c, -1) for c in byte_symbols()], "part string, made int")
+    product = F.concat("left", "right")
+    made = merges.groupBy(product.alias("part")).agg(F.min("rank").alias("made")).unionByName(symbols)
+    uses = merges.select("rank", F.explode(F.array("left", "right")).alias("part"))
+    early = uses.join(made, "part", "left").where("made is null or made >= rank").select("rank", "part")
+    nameless = merges.select("rank", product.alias("part")).join(vocab, F.col("part") == vocab["token"], "left_anti")
+    return early.unionByName(nameless)
+
+
 def model_from_merges(merges, added: dict[str, int] | None = None) -> BpeModel:
     """Vocab by rule: added tokens, then the 256 byte symbols, then merge products."""
     added = dict(ADDED_TOKENS if added is None else added)
