@@ -437,6 +437,38 @@ def test_quality_held_out(spark):
     assert np.mean([r["kept"] == (r["quality"] == 1 and r["toxic"] == 0) for r in out]) > 0.85
 
 
+def test_quality_of_unseen_labels(spark):
+    """Only labels of documents that neither the fit nor the calibration has seen are judged."""
+    docs, marks = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
+    away = "pmod(xxhash64(doc_id), 3) = 0"
+    out = cotraining.score_quality(docs, marks.filter(f"not {away}")).join(marks.filter(away), "doc_id").collect()
+    assert len(out) > 1000
+    assert np.mean([r["kept"] == (r["quality"] == 1 and r["toxic"] == 0) for r in out]) > 0.9
+
+
+def test_quality_names_from_all_unlabelled(spark, monkeypatch):
+    """Each round's named documents are the surest of all unlabelled rows, by a plain sort."""
+    seen = []
+    plain = cotraining.view_odds
+    monkeypatch.setattr(cotraining, "view_odds", lambda *a: seen.append(plain(*a)) or seen[-1])
+    named = []
+    made = cotraining.features
+    monkeypatch.setattr(cotraining, "features", lambda rows: named.append(rows) or made(rows))
+    docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.union(docs.limit(20))
+    cotraining.score_quality(docs, marks, rounds=1, per_round=10, sure=0.1)
+    labelled = {r["doc_id"] for r in marks.collect()}
+    odds = {r["doc_id"]: r for r in seen[0].collect() if r["doc_id"] not in labelled}
+    assert len(odds) == docs.select("doc_id").distinct().count() - len(labelled & {r["doc_id"] for r in docs.collect()})
+    got = {r["doc_id"] for r in named[1].collect()}
+    assert got and got <= set(odds)
+    for by in ("by_text", "by_meta"):
+        for sign in (1, -1):
+            z = sorted(sign * r[by] for r in odds.values())
+            if z[0] <= -0.1:
+                assert any(sign * odds[i][by] == z[0] for i in got)
+
+
 def test_quality_odd(odd, none, labels):
     out = cotraining.score_quality(odd, labels).collect()
     assert len(out) == len(ODD) and all(r["kept"] for r in out)

@@ -1,10 +1,11 @@
 """Document quality by co-training two views that see different things.
 
 One classifier reads the words of the text, the other what is known around it: language,
-source, length and layout figures. Each round both are fitted, and each names the unlabelled
-documents it is surest of; these become labels of the *other* view. Both are then calibrated on
-labels that no round has seen, and a last regression over the two calibrated log-odds scores
-every document.
+source, length and layout figures. Each round both are fitted, score every unlabelled document
+on the executors, and each names those it is surest of among all; these become labels of the
+*other* view. Both are then calibrated on labels that no round has seen, and a last regression
+over the two calibrated log-odds scores every document. The driver sees the features of labelled
+and named documents only, as sparse vectors.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tokenloom.llm.common import lowest, map_rows, plain_columns, texts_of
 from tokenloom.llm.linear import Ftrl, Sparse
 from tokenloom.llm.urls import calibrate
 from tokenloom.llm.words import split_words, xxh64
+from tokenloom.session import materialize
 
 WORD_BUCKETS = 1 << 17
 META_BUCKETS = 1 << 12
@@ -67,15 +69,35 @@ class Example:
     label: int  # -1: none
 
 
+FEATURES = "doc_id long, good int, words binary, times binary, n_words long, meta binary"
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """Both views of ``doc_id, good, text, lang, source, n_chars`` as sparse vectors, made by the executors."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(batch.column("text"))
+        at, first = word_features(texts)
+        facts = zip(texts, *[batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")], strict=True)
+        found = [np.unique(at[i:j], return_counts=True) for i, j in zip(first, first[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), batch.column("good"),
+            pa.array([w.astype("<i4").tobytes() for w, _ in found], pa.binary()),
+            pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary()), pa.array(np.diff(first).astype(np.int64)),
+            pa.array([meta_features(*f).astype("<i4").tobytes() for f in facts], pa.binary()),
+        ], names=["doc_id", "good", "words", "times", "n_words", "meta"])
+
+    return map_rows(rows.select("doc_id", "good", "text", "lang", "source", "n_chars"), make, FEATURES, 1 << 20)
+
+
 def examples(rows: list) -> list[Example]:
+    """Collected :func:`features` by ascending id hash of the caller; one example per row."""
     out = []
     for r in rows:
-        text = (r["text"] or "").encode()
-        at, _ = word_features([text])
-        words, n = np.unique(at, return_counts=True)
-        meta = meta_features(text, r["lang"], r["source"], r["n_chars"])
+        words, n = np.frombuffer(r["words"], "<i4").astype(np.int64), np.frombuffer(r["times"], "<i4")
+        meta = np.frombuffer(r["meta"], "<i4").astype(np.int64)
         out.append(Example(
-            Sparse(words, _WORD_SCALE * np.sqrt(n / max(len(at), 1))), Sparse(meta, np.ones(len(meta))), r["good"]
+            Sparse(words, _WORD_SCALE * np.sqrt(n / max(r["n_words"], 1))), Sparse(meta, np.ones(len(meta))), r["good"]
         ))
     return out
 
@@ -85,39 +107,83 @@ def log_odds(model: Ftrl, xs: list[Sparse]) -> np.ndarray:
     return z[:, 1] - z[:, 0]
 
 
-def co_train(labelled: list[Example], pool: list[Example], rounds: int, per_round: int, sure: float) -> tuple[Ftrl, Ftrl]:
-    """The text and the metadata model after the rounds; ``sure`` is the least log-odds to pass on."""
+def _fit(n: int, data: list[tuple[Sparse, int]]) -> Ftrl:
+    return Ftrl(n, 2, alpha=0.2, l1=0.01).fit([x for x, _ in data], [y for _, y in data])
+
+
+def difference(model: Ftrl) -> np.ndarray:
+    """Weights of the log-odds of good, the bias last."""
+    w = model.weights()
+    return (w[:, 1] - w[:, 0]).astype(np.float32)
+
+
+def view_odds(rows: DataFrame, word_weights: np.ndarray, meta_weights: np.ndarray) -> DataFrame:
+    """``doc_id, by_text, by_meta``: log-odds of both views for every row, whole texts."""
+    shared = rows.sparkSession.sparkContext.broadcast((word_weights, meta_weights))
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        zt, zm = odds_of(batch, *shared.value)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(zt), pa.array(zm)], names=["doc_id", "by_text", "by_meta"])
+
+    return map_rows(rows, judge, "doc_id long, by_text double, by_meta double", 1 << 20)
+
+
+def odds_of(batch: pa.RecordBatch, word_weights: np.ndarray, meta_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' log-odds of a batch ``doc_id, text, lang, source, n_chars``."""
+    texts = texts_of(batch.column(1))
+    at, first = word_features(texts)
+    zm = np.full(batch.num_rows, float(meta_weights[-1]))
+    for i, fact in enumerate(zip(texts, *[c.to_pylist() for c in batch.columns[2:5]], strict=True)):
+        zm[i] += meta_weights[meta_features(*fact)].sum()
+    return text_log_odds(at, first, word_weights), zm
+
+
+def co_train(
+    labelled: list[Example], rows: DataFrame, marked: DataFrame, rounds: int, per_round: int, sure: float
+) -> tuple[Ftrl, Ftrl]:
+    """The text and the metadata model after the rounds; ``sure`` is the least log-odds to pass on.
+
+    Every round scores all ``rows`` whose id is not ``marked``. A document passes on once; the
+    ``rounds * 2 * (per_round + 1)`` documents named at most are all that is collected.
+    """
     ys = [e.label for e in labelled]
     text, meta = [(e.text, y) for e, y in zip(labelled, ys, strict=True)], [(e.meta, y) for e, y in zip(labelled, ys, strict=True)]
-    fit = lambda n, data: Ftrl(n, 2, alpha=0.2, l1=0.01).fit([x for x, _ in data], [y for _, y in data])
     share = sum(ys) / max(len(ys), 1)
     quota = (max(1, round(per_round * (1 - share))), max(1, round(per_round * share)))
+    used: set[int] = set()
     for _ in range(rounds):
-        if not pool:
+        odds = view_odds(rows.filter("doc_id is not null"), difference(_fit(WORD_BUCKETS, text)), difference(_fit(META_BUCKETS, meta)))
+        odds = materialize(odds.join(marked, "doc_id", "left_anti"), "odds")
+        if used:
+            odds = odds.filter(~F.col("doc_id").isin(list(used)))
+        named: dict[tuple[str, int], list[int]] = {}
+        for by, view in (("by_text", "meta"), ("by_meta", "text")):
+            for label, order in ((0, F.col(by)), (1, -F.col(by))):
+                # a repeated row counts once
+                top = odds.filter(order <= -sure).groupBy("doc_id").agg(F.min(order).alias("z")).orderBy("z", F.xxhash64("doc_id"), "doc_id")
+                named[view, label] = [r["doc_id"] for r in top.limit(quota[label]).collect()]
+        picked = sorted({i for found in named.values() for i in found})
+        if not picked:
             break
-        by_text, by_meta = fit(WORD_BUCKETS, text), fit(META_BUCKETS, meta)
-        used: set[int] = set()
-        for odds, give, view in (
-            (log_odds(by_text, [e.text for e in pool]), meta, "meta"),
-            (log_odds(by_meta, [e.meta for e in pool]), text, "text"),
-        ):
-            for label, order in ((0, np.argsort(odds)), (1, np.argsort(-odds))):
-                picked = [i for i in order[: quota[label]] if abs(odds[i]) >= sure and (odds[i] > 0) == bool(label)]
-                give += [(getattr(pool[i], view), label) for i in picked]
-                used.update(picked)
-        pool = [e for i, e in enumerate(pool) if i not in used]
-    return fit(WORD_BUCKETS, text), fit(META_BUCKETS, meta)
+        kept = rows.filter(F.col("doc_id").isin(picked)).withColumn("good", F.lit(-1))
+        got = sorted(features(kept).collect(), key=lambda r: (r["doc_id"], r["words"], r["times"], r["meta"]))
+        by_id = dict(zip([r["doc_id"] for r in got], examples(got), strict=True))
+        for (view, label), found in named.items():
+            (meta if view == "meta" else text).extend((getattr(by_id[i], view), label) for i in found)
+        used.update(picked)
+    return _fit(WORD_BUCKETS, text), _fit(META_BUCKETS, meta)
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 4000,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 8000,
     rounds: int = 4, per_round: int = 200, sure: float = 2.0, keep_from: float = 0.5,
 ) -> DataFrame:
     """``doc_id, text_score, meta_score, score, kept`` for every row of ``docs``.
 
     A document is good if its label has quality 1 and is not toxic; a null quality is no label,
-    a null toxicity is none. ``max_labelled`` and ``max_pool`` bound what the two models are
-    fitted on (rows with the smallest hash of the id); all documents are scored, whole. Texts
+    a null toxicity is none. ``max_labelled`` bounds the labelled documents that the models are
+    fitted on (those with the smallest hash of the id); the unlabelled ones are all scored in each
+    of the ``rounds``, which names ``per_round`` of them per view. All documents are scored, whole. Texts
     that are null score as empty ones, unknown metadata as a value of its own. Repeated rows
     give equal rows; of repeated labels any bad one counts. Without labels of both kinds all
     scores are null and every document is kept.
@@ -128,23 +194,19 @@ def score_quality(
     # the ids of the sample first, so that only its texts are joined and moved
     turn = F.xxhash64(F.lit(29), "doc_id")
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    marked, blank = ids.join(marks, "doc_id"), ids.join(marks, "doc_id", "left_anti")
-    n_marked = marked.count()
-    chosen = lowest(marked, turn, max_labelled, n_marked)
-    others = lowest(blank, turn, max_pool, ids.count() - n_marked).withColumn("good", F.lit(-1))
-    picked = F.broadcast(chosen.union(others))
-    sample = rows.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy(turn, "doc_id").collect()
-    known = examples([r for r in sample if r["good"] >= 0])
+    marked = ids.join(marks, "doc_id")
+    picked = F.broadcast(lowest(marked, turn, max_labelled, marked.count()))
+    sample = rows.join(picked, "doc_id").dropDuplicates(["doc_id"])
+    known = examples(features(sample).orderBy(turn, "doc_id").collect())
     back, fit_on = known[::4], [e for i, e in enumerate(known) if i % 4]
     model = None
     if len({e.label for e in fit_on}) == 2 and len({e.label for e in back}) == 2:
-        by_text, by_meta = co_train(fit_on, examples([r for r in sample if r["good"] < 0]), rounds, per_round, sure)
+        by_text, by_meta = co_train(fit_on, rows, marks.select("doc_id"), rounds, per_round, sure)
         y = np.array([float(e.label) for e in back])
         zt, zm = log_odds(by_text, [e.text for e in back]), log_odds(by_meta, [e.meta for e in back])
         ct, cm = calibrate(zt, y), calibrate(zm, y)
         joint = joint_weights(np.stack([ct[0] * zt + ct[1], cm[0] * zm + cm[1], np.ones(len(y))], axis=1), y)
-        wt, wm = by_text.weights(), by_meta.weights()
-        model = ((wt[:, 1] - wt[:, 0]).astype(np.float32), wm[:, 1] - wm[:, 0], ct, cm, joint)
+        model = (difference(by_text), difference(by_meta), ct, cm, joint)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -153,12 +215,7 @@ def score_quality(
             none = pa.nulls(n, pa.float64())
             return pa.RecordBatch.from_arrays([batch.column(0), none, none, none, pa.array([True] * n)], names=names)
         word_weights, meta_weights, ct, cm, joint = shared.value
-        texts = texts_of(batch.column(1))
-        at, first = word_features(texts)
-        zt = text_log_odds(at, first, word_weights)
-        zm = np.full(n, meta_weights[-1])
-        for i, fact in enumerate(zip(texts, *[c.to_pylist() for c in batch.columns[2:]], strict=True)):
-            zm[i] += meta_weights[meta_features(*fact)].sum()
+        zt, zm = odds_of(batch, word_weights, meta_weights)
         a, b = ct[0] * zt + ct[1], cm[0] * zm + cm[1]
         score = _sigmoid(joint[0] * a + joint[1] * b + joint[2])
         cols = [pa.array(_sigmoid(a)), pa.array(_sigmoid(b)), pa.array(score), pa.array(score >= keep_from)]
