@@ -55,6 +55,64 @@ def test_arrow_scan(spark, folder, container, kind):
     assert sorted(got, key=repr) == sorted(rows, key=repr)
 
 
+def _write_stream(path, batches, schema, legacy=False):
+    options = pa.ipc.IpcWriteOptions(use_legacy_format=legacy)
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_stream(sink, schema, options=options) as w:
+        for b in batches:
+            w.write_batch(b)
+
+
+@pytest.mark.parametrize("legacy", [False, True])
+def test_messages_of_a_stream(folder, legacy):
+    """Headers alone give the batches that the library's own reader finds, with dictionaries between them."""
+    from tokenloom.sources import arrow_stream as stream
+
+    schema = pa.schema([("tag", pa.dictionary(pa.int32(), pa.string())), ("text", pa.large_string()), ("n", pa.int64())])
+    batches = [
+        pa.record_batch([
+            pa.array([f"t{i}", "u"] * (k + 1)).dictionary_encode(),
+            pa.array([None if j % 3 == 2 else f"{i} {j} é" * (i % 7) for j in range(2 * (k + 1))], pa.large_string()),
+            pa.array(range(2 * (k + 1))),
+        ], schema)
+        for i, k in enumerate([0, 4, 0, 300, 1, 2000, 3, 3])
+    ]
+    _write_stream(f"{folder}/s.arrow", batches, schema, legacy)
+    whole = list(pa.ipc.open_stream(f"{folder}/s.arrow"))
+    size = os.path.getsize(f"{folder}/s.arrow")
+    with pa.OSFile(f"{folder}/s.arrow") as f:
+        assert sum(is_batch for is_batch, _, _ in stream.messages(f, size)) == len(batches)
+        for step in (1, 500, 20_000, size):
+            got = [x for r in stream.cut_ranges(f, size, step) for x in stream.range_batches(f, r, 1)]
+            assert [i for i, _ in got] == list(range(len(batches)))
+            assert [b.column(0).to_pylist() for _, b in got] == [b.column("text").to_pylist() for b in whole]
+        for parts in (1, 2, 5, 50):
+            cuts = [size * p // parts for p in range(parts + 1)]
+            found = [stream.find_range(f, size, lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+            got = [i for r in found if r for i, _ in stream.range_batches(f, r, 1)]
+            assert got == list(range(len(batches)))
+    content = open(f"{folder}/s.arrow", "rb").read()
+    with pytest.raises(ValueError, match="cut at byte"):
+        list(stream.messages(pa.BufferReader(content[: size // 2]), size // 2))
+
+
+def test_one_stream_is_read_by_several_tasks(spark, folder):
+    rows = corpus_rows(400, 1)
+    write_shards(f"{folder}/c", rows, "stream")
+    os.makedirs(f"{folder}/e")
+    _write_stream(f"{folder}/e/none.arrow", [], pa.schema([("text", pa.string())]))
+    index = api.index_streams(spark, f"{folder}/c", f"{folder}/index", 4000)
+    plain = spark.read.format("arrow_ipc").option("splitBytes", 4000).load(f"{folder}/c")
+    for df in (plain, api.corpus_frame(spark, f"{folder}/c", ranges=f"{folder}/index")):
+        tasks = df.withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in tasks}) > 3
+        assert sorted((tuple(r)[:4] for r in tasks), key=repr) == sorted(rows, key=repr)
+    assert index.count() > 3 and api.index_streams(spark, f"{folder}/e", f"{folder}/none").count() == 0
+    assert spark.read.format("arrow_ipc").load(f"{folder}/e").count() == 0
+    write_shards(f"{folder}/c", corpus_rows(300, 1), "stream")
+    with pytest.raises(Exception, match="its ranges were made"):
+        api.corpus_frame(spark, f"{folder}/c", ranges=f"{folder}/index").count()
+
+
 def test_arrow_scan_errors_and_shards(spark, folder):
     rows = corpus_rows()
     write_shards(f"{folder}/c", rows, "file")

@@ -12,22 +12,25 @@ from tokenloom.functions.registry import register_functions
 from tokenloom.functions.scalars import core_list, shard_name
 from tokenloom.operators import blocks, bpe, corpus, counters, logs, ranges, tokens
 from tokenloom.session import materialize, spread
+from tokenloom.sources.files import SPLIT_BYTES
 from tokenloom.sources.model import BpeModel, load_model, toy_model
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
 
 __all__ = [
-    "build_range_index", "corpus_frame", "dump_text", "load_model", "monitor", "parse_runtime_log",
+    "build_range_index", "corpus_frame", "dump_text", "index_streams", "load_model", "monitor", "parse_runtime_log",
     "profile_tokenize", "register_functions", "register_sources", "summarize_tokens", "tokenize_corpus", "toy_model",
 ]
 
 
 def corpus_frame(
-    spark: SparkSession, source: DataFrame | str, column: str = "text", shards: int | None = None
+    spark: SparkSession, source: DataFrame | str, column: str = "text", shards: int | None = None,
+    ranges: str | None = None,
 ) -> DataFrame:
     """A corpus from a DataFrame or from a file or folder of Arrow IPC shards.
 
-    ``shards=n`` takes the first n shards; n must be 1 up to their number.
+    ``shards=n`` takes the first n shards; n must be 1 up to their number. ``ranges`` is an index
+    of raw streams by :func:`index_streams`.
     """
     if isinstance(source, DataFrame):
         if column not in source.columns:
@@ -44,9 +47,22 @@ def corpus_frame(
     reader = spark.read.format("arrow_ipc").option("column", column)
     if shards is not None:
         reader = reader.option("shards", shards)
+    if ranges is not None:
+        reader = reader.option("ranges", ranges)
     return reader.load(source)
 
 
+def index_streams(spark: SparkSession, source: str, output: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Write the ranges of all raw Arrow streams of a folder, found by their headers, and return them.
+
+    Worth it for streams of many gigabytes: without it each task looks at the headers before its share.
+    """
+    register_sources(spark)
+    found = spark.read.format("arrow_stream_ranges").option("splitBytes", split_bytes).load(source)
+    found.write.mode("overwrite").parquet(output)
+    return spark.read.schema(found.schema).parquet(output)
+
+
 def tokenize_corpus(
     spark: SparkSession,
     source: DataFrame | str,

@@ -328,6 +328,18 @@ def arrow_scan(spark, sf):
     return spark.read.format("arrow_ipc").option("column", "text").load(path)
 
 
+@query("arrow_stream_scan", f"""with {ov.BOUNDED}
+select shard, batch_index, row_in_batch, text from bounded""")
+def arrow_stream_scan(spark, sf):
+    """The shards as raw streams, indexed by their headers and read in ranges."""
+    register_sources(spark)
+    path, index = scratch_path(spark, "streams"), scratch_path(spark, "ranges")
+    rows = fx.bounded_shards(spark, sf).repartition("shard").sortWithinPartitions(*corpus.ORDER)
+    rows.write.format("arrow_ipc").mode("append").options(total=99999, container="stream").save(path)
+    spark.read.format("arrow_stream_ranges").option("splitBytes", 4 << 20).load(path).write.parquet(index)
+    return spark.read.format("arrow_ipc").options(column="text", ranges=index).load(path)
+
+
 @query("byte_block_scan", f"""with {ov.CORPUS}, whole as (
   select string_agg(hex(encode(coalesce(text, '') || chr(10))), '' order by shard, batch_index, row_in_batch) as x from corpus),
 cut as (

@@ -1,7 +1,7 @@
 """Arrow IPC corpus shards as a Spark source, and a shard writer.
 
 Reading projects one text column. Large shards are read by several tasks, each
-taking its share of the record batches.
+taking its share of the record batches, in either container format.
 """
 
 from __future__ import annotations
@@ -20,21 +20,22 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from tokenloom.sources.arrow_stream import Range, find_range, load_ranges, range_batches
 from tokenloom.sources.files import SPLIT_BYTES, list_files, resolve
 
 TEXT_TYPES = (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)
 
 
 def _open(path: str):
-    """(reader, is_file_format, is_local) for either container format."""
+    """(reader, is_file_format, source) for either container format."""
     filesystem, local = resolve(path)
     is_local = isinstance(filesystem, pafs.LocalFileSystem)
     source = pa.memory_map(local) if is_local else filesystem.open_input_file(local)
     head = source.read(6)
     source.seek(0)
     if head == b"ARROW1":
-        return pa.ipc.open_file(source), True, is_local
-    return pa.ipc.open_stream(source), False, is_local
+        return pa.ipc.open_file(source), True, source
+    return pa.ipc.open_stream(source), False, source
 
 
 def _column_type(schema: pa.Schema, column: str) -> pa.DataType:
@@ -50,8 +51,10 @@ def _column_type(schema: pa.Schema, column: str) -> pa.DataType:
 class ShardSplit(InputPartition):
     shard: int
     path: str
+    size: int
     part: int
     parts: int
+    range: Range | None = None
 
 
 class ArrowIpcReader(DataSourceReader):
@@ -60,6 +63,7 @@ class ArrowIpcReader(DataSourceReader):
         self.column = options.get("column", "text")
         self.shards = int(options["shards"]) if "shards" in options else None
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.ranges = options.get("ranges")
 
     def files(self):
         # numbers decide the order, so 99999 comes before 100000
@@ -80,18 +84,25 @@ class ArrowIpcReader(DataSourceReader):
 
     def partitions(self):
         splits = []
+        known = load_ranges(self.ranges) if self.ranges else {}
         for place, (path, size) in enumerate(self.files()):
             number = self.shard_number(path)
             shard = place if number is None else number
+            if path in known:
+                indexed, ranges = known[path]
+                if indexed != size:
+                    raise ValueError(f"{path} has {size} bytes, its ranges were made at {indexed}")
+                splits += [ShardSplit(shard, path, size, i, len(ranges), r) for i, r in enumerate(ranges)]
+                continue
             parts = max(1, -(-size // self.split_bytes))
-            splits += [ShardSplit(shard, path, part, parts) for part in range(parts)]
+            splits += [ShardSplit(shard, path, size, part, parts) for part in range(parts)]
         return splits
 
     def read(self, split):
-        reader, is_file, is_local = _open(split.path)
+        reader, is_file, source = _open(split.path)
         kind = _column_type(reader.schema, self.column)
         target = pa.string() if pa.types.is_string(kind) or pa.types.is_large_string(kind) else pa.binary()
-        for index, batch in self._batches(reader, is_file, is_local, split):
+        for index, batch in self._batches(reader, is_file, source, split):
             n = batch.num_rows
             if n == 0:
                 continue
@@ -105,20 +116,18 @@ class ArrowIpcReader(DataSourceReader):
                 ["shard", "batch_index", "row_in_batch", self.column],
             )
 
-    @staticmethod
-    def _batches(reader, is_file, is_local, split):
+    def _batches(self, reader, is_file, source, split):
         if is_file:
             n = reader.num_record_batches
             for i in range(n * split.part // split.parts, n * (split.part + 1) // split.parts):
                 yield i, reader.get_batch(i)
-        elif is_local:
-            # memory-mapped: passing over another task's batches costs no reading
-            for i, batch in enumerate(reader):
-                if i % split.parts == split.part:
-                    yield i, batch
-        elif split.part == 0:
-            # a remote stream cannot be entered in the middle
+        elif split.parts == 1:
             yield from enumerate(reader)
+        else:
+            lo, hi = (split.size * p // split.parts for p in (split.part, split.part + 1))
+            own = split.range or find_range(source, split.size, lo, hi)
+            if own is not None:
+                yield from range_batches(source, own, reader.schema.names.index(self.column))
 
 
 class ArrowIpcWriter(DataSourceArrowWriter):
@@ -193,7 +202,11 @@ class ArrowIpcWriter(DataSourceArrowWriter):
 
 
 class ArrowIpcSource(DataSource):
-    """``format("arrow_ipc")`` with options ``column``, ``shards``, ``splitBytes``."""
+    """``format("arrow_ipc")`` with options ``column``, ``shards``, ``splitBytes``, ``ranges``.
+
+    A task of a raw stream looks at the headers before its share. ``ranges``, a folder with the
+    Parquet table of ``arrow_stream_ranges``, spares that: every task begins at its own place.
+    """
 
     @classmethod
     def name(cls):
