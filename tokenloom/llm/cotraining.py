@@ -1,8 +1,9 @@
 """Document quality by co-training two views that see different things.
 
 One classifier reads the words of the text, the other what is known around it: language,
-source, length and layout figures. Each round both are fitted, score every unlabelled document
-on the executors, and each names those it is surest of among all; these become labels of the
+source, length and layout figures. Every text is read once, into a written table of both views as
+sparse vectors. Each round both classifiers are fitted, score every unlabelled document's views on
+the executors, and each names those it is surest of among all; these become labels of the
 *other* view. Both are then calibrated on labels that no round has seen, and a last regression
 over the two calibrated log-odds scores every document. The driver sees the features of labelled
 and named documents only, as sparse vectors.
@@ -69,25 +70,50 @@ class Example:
     label: int  # -1: none
 
 
-FEATURES = "doc_id long, good int, words binary, times binary, n_words long, meta binary"
+VIEWS = "doc_id long, words binary, times binary, n_words long, meta binary"
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Both views of ``doc_id, good, text, lang, source, n_chars`` as sparse vectors, made by the executors."""
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A binary value of 32-bit integers per run; ``first`` holds the runs' borders."""
+    edges = pa.py_buffer(np.ascontiguousarray(first * 4, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, edges, pa.py_buffer(values.astype("<i4"))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of a column of :func:`_packed`, and the row of each."""
+    n = len(column)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int32)
+    if edges[0] == edges[-1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    values = np.frombuffer(column.buffers()[2], "u1")[edges[0] : edges[-1]].view("<i4")
+    return values, np.repeat(np.arange(n), np.diff(edges) // 4)
+
+
+def both_views(rows: DataFrame) -> DataFrame:
+    """Both views of every row ``doc_id, text, lang, source, n_chars`` as sparse vectors, whole texts.
+
+    Hashed words with how often each occurs, and the places of the metadata: at most ``WORD_BUCKETS``
+    pairs of numbers for a text of any length.
+    """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch.column("text"))
+        n, texts = batch.num_rows, texts_of(batch.column("text"))
         at, first = word_features(texts)
+        pair, times = np.unique(np.repeat(np.arange(n), np.diff(first)) * WORD_BUCKETS + at, return_counts=True)
+        borders = np.searchsorted(pair, np.arange(n + 1) * WORD_BUCKETS)
         facts = zip(texts, *[batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")], strict=True)
-        found = [np.unique(at[i:j], return_counts=True) for i, j in zip(first, first[1:], strict=False)]
         return pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("good"),
-            pa.array([w.astype("<i4").tobytes() for w, _ in found], pa.binary()),
-            pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary()), pa.array(np.diff(first).astype(np.int64)),
+            batch.column("doc_id"), _packed(pair % WORD_BUCKETS, borders), _packed(times, borders),
+            pa.array(np.diff(first).astype(np.int64)),
             pa.array([meta_features(*f).astype("<i4").tobytes() for f in facts], pa.binary()),
-        ], names=["doc_id", "good", "words", "times", "n_words", "meta"])
+        ], names=["doc_id", "words", "times", "n_words", "meta"])
 
-    return map_rows(rows.select("doc_id", "good", "text", "lang", "source", "n_chars"), make, FEATURES, 1 << 20)
+    return map_rows(rows.select("doc_id", "text", "lang", "source", "n_chars"), make, VIEWS, 1 << 20)
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """What the driver needs of labelled or named rows of the written views."""
+    return rows.select("doc_id", "good", "words", "times", "n_words", "meta")
 
 
 def examples(rows: list) -> list[Example]:
@@ -117,33 +143,37 @@ def difference(model: Ftrl) -> np.ndarray:
     return (w[:, 1] - w[:, 0]).astype(np.float32)
 
 
-def view_odds(rows: DataFrame, word_weights: np.ndarray, meta_weights: np.ndarray) -> DataFrame:
-    """``doc_id, by_text, by_meta``: log-odds of both views for every row, whole texts."""
-    shared = rows.sparkSession.sparkContext.broadcast((word_weights, meta_weights))
+def view_odds(views: DataFrame, word_weights: np.ndarray, meta_weights: np.ndarray) -> DataFrame:
+    """``doc_id, by_text, by_meta``: log-odds of both views for every row of :func:`both_views`."""
+    shared = views.sparkSession.sparkContext.broadcast((word_weights, meta_weights))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         zt, zm = odds_of(batch, *shared.value)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(zt), pa.array(zm)], names=["doc_id", "by_text", "by_meta"])
 
-    return map_rows(rows, judge, "doc_id long, by_text double, by_meta double", 1 << 20)
+    return map_rows(views, judge, "doc_id long, by_text double, by_meta double")
 
 
 def odds_of(batch: pa.RecordBatch, word_weights: np.ndarray, meta_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both views' log-odds of a batch ``doc_id, text, lang, source, n_chars``."""
-    texts = texts_of(batch.column(1))
-    at, first = word_features(texts)
-    zm = np.full(batch.num_rows, float(meta_weights[-1]))
-    for i, fact in enumerate(zip(texts, *[c.to_pylist() for c in batch.columns[2:5]], strict=True)):
-        zm[i] += meta_weights[meta_features(*fact)].sum()
-    return text_log_odds(at, first, word_weights), zm
+    """Both views' log-odds of a batch of :func:`both_views`."""
+    n = batch.num_rows
+    words, doc = _unpacked(batch.column("words"))
+    times, _ = _unpacked(batch.column("times"))
+    # only words with a weight matter: l1 leaves few
+    on = np.flatnonzero(word_weights[words] != 0)
+    who, n_words = doc[on], np.maximum(batch.column("n_words").to_numpy(), 1)
+    value = _WORD_SCALE * np.sqrt(times[on] / n_words[who])
+    zt = float(word_weights[-1]) + np.bincount(who, weights=value * word_weights[words[on]], minlength=n)
+    meta, doc = _unpacked(batch.column("meta"))
+    return zt, float(meta_weights[-1]) + np.bincount(doc, weights=meta_weights[meta], minlength=n)
 
 
 def co_train(
-    labelled: list[Example], rows: DataFrame, marked: DataFrame, rounds: int, per_round: int, sure: float
+    labelled: list[Example], views: DataFrame, marked: DataFrame, rounds: int, per_round: int, sure: float
 ) -> tuple[Ftrl, Ftrl]:
     """The text and the metadata model after the rounds; ``sure`` is the least log-odds to pass on.
 
-    Every round scores all ``rows`` whose id is not ``marked``. A document passes on once; the
+    Every round scores all ``views`` whose id is not ``marked``. A document passes on once; the
     ``rounds * 2 * (per_round + 1)`` documents named at most are all that is collected.
     """
     ys = [e.label for e in labelled]
@@ -152,7 +182,7 @@ def co_train(
     quota = (max(1, round(per_round * (1 - share))), max(1, round(per_round * share)))
     used: set[int] = set()
     for _ in range(rounds):
-        odds = view_odds(rows.filter("doc_id is not null"), difference(_fit(WORD_BUCKETS, text)), difference(_fit(META_BUCKETS, meta)))
+        odds = view_odds(views.filter("doc_id is not null"), difference(_fit(WORD_BUCKETS, text)), difference(_fit(META_BUCKETS, meta)))
         odds = materialize(odds.join(marked, "doc_id", "left_anti"), "odds")
         if used:
             odds = odds.filter(~F.col("doc_id").isin(list(used)))
@@ -165,7 +195,7 @@ def co_train(
         picked = sorted({i for found in named.values() for i in found})
         if not picked:
             break
-        kept = rows.filter(F.col("doc_id").isin(picked)).withColumn("good", F.lit(-1))
+        kept = views.filter(F.col("doc_id").isin(picked)).withColumn("good", F.lit(-1))
         got = sorted(features(kept).collect(), key=lambda r: (r["doc_id"], r["words"], r["times"], r["meta"]))
         by_id = dict(zip([r["doc_id"] for r in got], examples(got), strict=True))
         for (view, label), found in named.items():
@@ -183,25 +213,27 @@ def score_quality(
     A document is good if its label has quality 1 and is not toxic; a null quality is no label,
     a null toxicity is none. ``max_labelled`` bounds the labelled documents that the models are
     fitted on (those with the smallest hash of the id); the unlabelled ones are all scored in each
-    of the ``rounds``, which names ``per_round`` of them per view. All documents are scored, whole. Texts
+    of the ``rounds``, which names ``per_round`` of them per view. All documents are scored, whole, from
+    views written once in the shared folder. Texts
     that are null score as empty ones, unknown metadata as a value of its own. Repeated rows
     give equal rows; of repeated labels any bad one counts. Without labels of both kinds all
     scores are null and every document is kept.
     """
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(good)
-    rows = plain_columns(docs, doc_id="doc_id", text="text", lang="lang", source="source", n_chars="n_chars")
-    # the ids of the sample first, so that only its texts are joined and moved
+    views = materialize(both_views(
+        plain_columns(docs, doc_id="doc_id", text="text", lang="lang", source="source", n_chars="n_chars")), "views")
+    # the ids of the sample first, so that only its vectors are joined and moved
     turn = F.xxhash64(F.lit(29), "doc_id")
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
+    ids = views.select("doc_id").filter("doc_id is not null").distinct()
     marked = ids.join(marks, "doc_id")
     picked = F.broadcast(lowest(marked, turn, max_labelled, marked.count()))
-    sample = rows.join(picked, "doc_id").dropDuplicates(["doc_id"])
+    sample = views.join(picked, "doc_id").dropDuplicates(["doc_id"])
     known = examples(features(sample).orderBy(turn, "doc_id").collect())
     back, fit_on = known[::4], [e for i, e in enumerate(known) if i % 4]
     model = None
     if len({e.label for e in fit_on}) == 2 and len({e.label for e in back}) == 2:
-        by_text, by_meta = co_train(fit_on, rows, marks.select("doc_id"), rounds, per_round, sure)
+        by_text, by_meta = co_train(fit_on, views, marks.select("doc_id"), rounds, per_round, sure)
         y = np.array([float(e.label) for e in back])
         zt, zm = log_odds(by_text, [e.text for e in back]), log_odds(by_meta, [e.meta for e in back])
         ct, cm = calibrate(zt, y), calibrate(zm, y)
@@ -221,20 +253,7 @@ def score_quality(
         cols = [pa.array(_sigmoid(a)), pa.array(_sigmoid(b)), pa.array(score), pa.array(score >= keep_from)]
         return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
-    return map_rows(rows, judge, SCORES, 1 << 20)
-
-
-def text_log_odds(at: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sum over a text's distinct words of weight times scaled root frequency, plus the bias."""
-    n = len(first) - 1
-    out = np.full(n, float(weights[-1]))
-    doc = np.repeat(np.arange(n), np.diff(first))
-    # only words with a weight matter: l1 leaves few
-    on = np.flatnonzero(weights[at] != 0)
-    pair, count = np.unique(doc[on] * WORD_BUCKETS + at[on], return_counts=True)
-    who, word = pair // WORD_BUCKETS, pair % WORD_BUCKETS
-    value = _WORD_SCALE * np.sqrt(count / np.maximum(np.diff(first), 1)[who])
-    return out + np.bincount(who, weights=value * weights[word], minlength=n)
+    return map_rows(views, judge, SCORES)
 
 
 def joint_weights(design: np.ndarray, y: np.ndarray) -> np.ndarray:
