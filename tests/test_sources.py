@@ -344,3 +344,27 @@ def test_metrics_stream_after_a_restart(spark, folder):
     shown = sorted((r.ts_us, r.req_total, r.req_per_s, r.fairness_resp, r.cpu_busy_all) for r in got.collect())
     # one slot alone has a share of 1/64; a falling counter shows 0; a family's first tick shows 0
     assert shown == [(10, 5, 5.0, 0.0, 0.0), (10, 10, 10.0, 0.016, 0.0), (20, 4, 0.0, 0.0, 100.0), (20, 30, 20.0, 0.031, 0.0)]
+
+
+def test_monitor_csv_of_tables_and_streams(spark, folder):
+    """The same snapshots as a table and as a stream give the same CSV rows; a second start adds none."""
+    streams.use_rocksdb(spark)
+    names = ["run", "tick", "ts_us", "last_latency_us", "in_flight", *counters.MONITOR_COLUMNS]
+    ddl = ", ".join(f"{n} long" for n in names)
+    rows = [tuple({"run": run, "tick": t, "ts_us": 100 * t + run}.get(n, (t * (i + 2) + run) * 1000 + t * t) for i, n in enumerate(names))
+            for run in (0, 1) for t in range(1, 6)]
+    table = spark.createDataFrame(rows, ddl)
+    table.coalesce(1).write.parquet(f"{folder}/in")
+    shown = api.monitor(table, 1000, kind="all", csv=f"{folder}/table")
+    assert shown.columns == counters.METRICS_COLUMNS
+    written = spark.read.schema(shown.schema).option("header", True).csv(f"{folder}/table").collect()
+    assert sorted(map(tuple, written)) == sorted(map(tuple, shown.collect())) and len(written) == 10
+    for _ in range(2):
+        endless = spark.readStream.schema(ddl).parquet(f"{folder}/in")
+        api.monitor(endless, 1000, kind="all", csv=f"{folder}/stream", checkpoint=f"{folder}/state").awaitTermination()
+    got = streams.read_metrics(spark, f"{folder}/stream", shown.schema).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, written))
+    with pytest.raises(ValueError, match="checkpoint"):
+        api.monitor(endless, 1000, kind="all", csv=f"{folder}/more")
+    with pytest.raises(ValueError, match="kind 'all'"):
+        api.monitor(table, 1000, csv=f"{folder}/more")

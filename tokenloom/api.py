@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tokenloom.functions.registry import register_functions
 from tokenloom.functions.scalars import core_list, shard_name
@@ -16,6 +17,7 @@ from tokenloom.sources.files import SPLIT_BYTES
 from tokenloom.sources.model import BpeModel, load_model, toy_model
 from tokenloom.sources.register import register_sources
 from tokenloom.sources.sinks import write_positioned
+from tokenloom.streaming import streams
 
 __all__ = [
     "build_range_index", "corpus_frame", "dump_text", "index_streams", "load_model", "monitor", "parse_runtime_log",
@@ -228,13 +230,28 @@ def parse_cores(spark: SparkSession, spec: str) -> list[int]:
 
 def monitor(
     snapshots: DataFrame, interval_ms: int = 1000, cores: str | Sequence[int] = "0-5",
-    kind: str = "requests", time: str = "tick",
-) -> DataFrame:
-    """Rates of cumulative snapshots; ``kind`` is requests, slots, cpu, net or block.
+    kind: str = "requests", time: str = "tick", csv: str | None = None, checkpoint: str | None = None, **trigger,
+) -> DataFrame | StreamingQuery:
+    """Rates of cumulative snapshots; ``kind`` is requests, slots, cpu, net, block or all.
 
     A stream of snapshots gives a stream (with the RocksDB state store, see
-    ``streams.use_rocksdb``).
+    ``streams.use_rocksdb``). ``all`` gives the monitor's 19 columns from whole snapshots
+    (:func:`counters.monitor_rows`), and ``csv`` writes them: a table's into that folder, in place of what
+    was there, and returned as well; a stream's batch by batch, each row once after any restart with the
+    same ``checkpoint``, as the started query. ``trigger`` is the stream's (default: what is there now).
     """
+    if csv is not None and kind != "all":
+        raise ValueError("the CSV holds the columns of kind 'all'")
+    if kind == "all":
+        rows = counters.monitor_rows(snapshots, interval_ms, time)
+        if csv is None:
+            return rows
+        if not snapshots.isStreaming:
+            counters.write_metrics_csv(rows, csv)
+            return rows
+        if checkpoint is None:
+            raise ValueError("a stream's CSV needs a checkpoint folder")
+        return streams.write_metrics_stream(rows, csv, checkpoint, **trigger)
     if kind == "cpu":
         chosen = parse_cores(snapshots.sparkSession, cores) if isinstance(cores, str) else list(cores)
         return counters.cpu_busy(snapshots, chosen, time)
