@@ -204,3 +204,13 @@ def test_model_file_faults(spark, tmp_path):
     bad = BpeModel(sound.vocab, (("a", "b", "c"),), {})
     with pytest.raises(Exception, match="two parts"):
         model_relations(spark, write_model(spark, bad, str(tmp_path / "bad")))[1].collect()
+
+
+def test_packed_encoding_equals_packed_ids(spark, model):
+    texts = [None, "", "the end", "é の the\n", "a" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for strategy in ("arrow", "fold"):
+        lists = bpe.bpe_encode(df, model, strategy=strategy).select("doc_id", bpe.pack_ids("ids").alias("want"))
+        both = bpe.bpe_encode(df, model, out="got", strategy=strategy, packed=True).join(lists, "doc_id").collect()
+        assert len(both) == len(texts) and all(r.got == r.want for r in both)
+        assert [r.got for r in both if r.doc_id == 0] == [None]

@@ -98,7 +98,7 @@ def tokenize_corpus(
     if mode == "rows":
         rows = corpus_frame(spark, source, column, shards)
         rows = spread(rows, partitions).withColumn(column, F.col(column).cast("string"))
-        encoded = bpe.bpe_encode(rows, model, column, strategy=strategy, **pretok)
+        encoded = bpe.bpe_encode(rows, model, column, strategy=strategy, packed=True, **pretok)
         # encoded once; the counts come from the written table
         packed = materialize(tokens.packed_rows(encoded), "packed")
         write_positioned(tokens.placed_tokens(packed), output, layout)

@@ -170,22 +170,23 @@ def _encode_batch(words: pa.ListArray, encode: _PieceEncoder) -> pa.ListArray:
     )
 
 
-def encode_pieces_udf(spark: SparkSession, model: BpeModel, use_added: bool = True):
-    """Arrow UDF ``array<string> -> array<int>``; the model (some MB at most) travels
-    as one broadcast."""
+def encode_pieces_udf(spark: SparkSession, model: BpeModel, use_added: bool = True, packed: bool = False):
+    """Arrow UDF ``array<string> -> array<int>``, or packed ids; the model (some MB at most)
+    travels as one broadcast."""
     unknown = model.added.get("[UNK]")
     added = model.added if use_added else {}
     shared = spark.sparkContext.broadcast(
         {"model": (model.vocab, model.merges, added, unknown), "encoder": None}
     )
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(T.BinaryType() if packed else T.ArrayType(T.IntegerType()))
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # the worker process keeps the broadcast, and with it the warm encoder, across tasks
         kept = shared.value
         encode = kept["encoder"] = kept["encoder"] or _PieceEncoder(*kept["model"])
         for words in batches:
-            yield _encode_batch(words, encode)
+            ids = _encode_batch(words, encode)
+            yield _pack_batch(ids) if packed else ids
 
     # a filter on the ids must not be pushed below a shuffle and encode twice
     return encode_pieces.asNondeterministic()
@@ -213,6 +214,11 @@ def pack_ids(ids: pa.Array) -> pa.Array:
     return _pack_batch(ids)
 
 
+def packed_column(encoded: DataFrame, ids: str = "ids") -> Column:
+    """The packed ids of a column of id arrays or of packed ids."""
+    return F.col(ids) if isinstance(encoded.schema[ids].dataType, T.BinaryType) else pack_ids(ids)
+
+
 # ---------------------------------------------------------------------- API
 def choose_strategy(model: BpeModel, strategy: str = "auto") -> str:
     if strategy == "auto":
@@ -233,16 +239,22 @@ def bpe_encode(
     strategy: str = "auto",
     pretokenizer: str = "gpt2",
     use_added: bool = True,
+    packed: bool = False,
 ) -> DataFrame:
-    """Add the id array of every row; null text gives a null array, '' an empty one."""
+    """Add the id array of every row; null text gives a null array, '' an empty one.
+
+    With ``packed`` the column holds the ids' 32-bit little-endian form instead, made where
+    they are encoded, so that no list of ids travels between Python and the JVM.
+    """
     strategy = choose_strategy(model, strategy)
     words = pretokenize(F.col(text), pretokenizer, added_names(model, use_added))
     if strategy == "fold":
         # without cutting, a piece may equal an added token only by chance of
         # pretokenizer='none'; the fold must not treat it as one then
         m = model if use_added else BpeModel(model.vocab, model.merges, {})
-        return df.withColumn(out, _fold_ids(words, m))
-    udf = encode_pieces_udf(df.sparkSession, model, use_added)
+        ids = _fold_ids(words, m)
+        return df.withColumn(out, pack_ids(ids) if packed else ids)
+    udf = encode_pieces_udf(df.sparkSession, model, use_added, packed)
     return df.withColumn(out, udf(words))
 
 
@@ -297,12 +309,12 @@ def ids_to_text(ids: Column) -> Column:
 
 
 def flatten_pack(encoded: DataFrame, ids: str = "ids") -> DataFrame:
-    """Per batch: all ids in row order, packed into one buffer.
+    """Per batch: all ids (arrays or packed) in row order, packed into one buffer.
 
     A record batch is the reader's unit and bounded by it, so the collected
     group is bounded too. Batches without ids give no buffer.
     """
-    rows = encoded.select("shard", "batch_index", "row_in_batch", pack_ids(ids).alias("packed"))
+    rows = encoded.select("shard", "batch_index", "row_in_batch", packed_column(encoded, ids).alias("packed"))
     packed = F.expr("listagg(packed) within group (order by row_in_batch)")
     return (
         rows.where(F.octet_length("packed") > 0)

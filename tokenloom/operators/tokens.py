@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scalars import int_div, shard_name
-from tokenloom.operators.bpe import pack_ids
+from tokenloom.operators.bpe import packed_column
 from tokenloom.operators.corpus import ORDER
 from tokenloom.operators.ordered import corpus_path, running_total, with_path
 from tokenloom.session import materialize
@@ -16,8 +16,8 @@ BLOCKS_PER_GROUP = 1024
 
 
 def packed_rows(encoded: DataFrame, ids: str = "ids") -> DataFrame:
-    """Corpus order columns and the packed ids of each row (empty for null ids)."""
-    return encoded.select(*ORDER, pack_ids(ids).alias("packed")).withColumn(
+    """Corpus order columns and the packed ids of each row (empty for null ids); ``ids`` may be packed."""
+    return encoded.select(*ORDER, packed_column(encoded, ids).alias("packed")).withColumn(
         "packed", F.coalesce("packed", F.lit(bytearray()))
     )
 

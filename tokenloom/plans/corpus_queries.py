@@ -24,9 +24,9 @@ def text_ids(ids: Column) -> Column:
     return F.array_join(ids, " ")
 
 
-def encoded(spark: SparkSession, sf: str, strategy: str = "arrow") -> DataFrame:
+def encoded(spark: SparkSession, sf: str, strategy: str = "arrow", packed: bool = False) -> DataFrame:
     rows = corpus.nonempty_rows(spread(fx.corpus(spark, sf), key="doc_id"))
-    return bpe.bpe_encode(rows, toy_model(), strategy=strategy)
+    return bpe.bpe_encode(rows, toy_model(), strategy=strategy, packed=packed)
 
 
 def ids_text_sql(name: str = "ids") -> str:
@@ -182,7 +182,7 @@ select shard, batch_index, cast(sum(len(ids)) as bigint) as n_tokens,
   md5(unhex(string_agg({ov.hex_u32('ids')}, '' order by row_in_batch))) as packed_md5
 from encoded group by shard, batch_index""")
 def flatten_pack(spark, sf):
-    return bpe.flatten_pack(encoded(spark, sf)).select(
+    return bpe.flatten_pack(encoded(spark, sf, packed=True)).select(
         "shard", "batch_index", "n_tokens", F.md5("packed").alias("packed_md5"))
 
 
@@ -359,7 +359,7 @@ def _bins(spark, sf, layout: str = "parts") -> str:
     register_sources(spark)
     path = scratch_path(spark, "bins")
     rows = spread(fx.corpus(spark, sf), key="doc_id")
-    tokens.write_token_bins(bpe.bpe_encode(rows, toy_model()), path, layout=layout)
+    tokens.write_token_bins(bpe.bpe_encode(rows, toy_model(), packed=True), path, layout=layout)
     return path
 
 

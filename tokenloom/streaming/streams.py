@@ -315,7 +315,7 @@ def write_token_stream(texts: DataFrame, model: BpeModel, path: str, checkpoint:
     arrive in order; after any restart each row is there once.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        append_token_bins(bpe_encode(batch, model, text), path, epoch)
+        append_token_bins(bpe_encode(batch, model, text, packed=True), path, epoch)
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
