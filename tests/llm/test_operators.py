@@ -207,6 +207,18 @@ def test_repeats_against_brute_force(spark, monkeypatch, limit):
     assert got == sorted(((i, *w) for i, w in enumerate(want)), key=repr)
 
 
+def test_contexts_of_one_anchor_that_share_no_window(spark):
+    """Two windows own the same anchor and differ in the rest: nothing repeats, and nothing fails."""
+    rng = np.random.default_rng(3)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = word(120)
+    df = spark.createDataFrame([(i, word(60) + shared + word(60)) for i in range(8)], "doc_id long, text string")
+    met = repeats._anchor_rows(df.selectExpr("doc_id as k", "length(text) as n", "text"), 200).groupBy("h").agg(F.countDistinct("ctx").alias("c"))
+    assert met.filter("c > 1").count() > 0
+    assert {r["n_removed"] for r in repeats.repeat_report(df, 200).collect()} == {0}
+    assert rows(repeats.remove_repeats(df, 200), "doc_id", "text") == rows(df, "doc_id", "text")
+
+
 def test_remove_repeats_odd(odd, none):
     out = repeats.remove_repeats(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)

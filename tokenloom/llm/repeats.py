@@ -163,7 +163,9 @@ def repeated_starts(
 
 
 def _runs(at: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Covered ranges ``(context, from, to)`` of window starts."""
+    """Covered ranges ``(context, from, to)`` of window starts; none of none."""
+    if not len(at):
+        return at, off, off
     by = np.lexsort((off, at))
     at, off = at[by], off[by]
     new = (np.diff(at, prepend=-1) != 0) | (np.diff(off, prepend=-1 << 40) > length)
