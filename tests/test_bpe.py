@@ -214,3 +214,20 @@ def test_packed_encoding_equals_packed_ids(spark, model):
         both = bpe.bpe_encode(df, model, out="got", strategy=strategy, packed=True).join(lists, "doc_id").collect()
         assert len(both) == len(texts) and all(r.got == r.want for r in both)
         assert [r.got for r in both if r.doc_id == 0] == [None]
+
+
+def test_fold_merges_each_distinct_piece_once(spark, model, monkeypatch):
+    """Rows that repeat, have no key, or hold dots in their names; the merges see no piece twice."""
+    seen = []
+    plain = bpe.materialize
+    monkeypatch.setattr(bpe, "materialize", lambda df, label: seen.append((label, plain(df, label))) or seen[-1][1])
+    rows = [("the end of the end " * 50, 1)] * 3 + [(None, 2), ("", 3), ("the end", None)]
+    df = spark.createDataFrame(rows, "text string, `a.b` int").repartition(3)
+    fold, arrow = (bpe.bpe_encode(df, model, strategy=s) for s in ("fold", "arrow"))
+    assert fold.columns == arrow.columns == ["text", "a.b", "ids"]
+    assert sorted(map(repr, fold.collect())) == sorted(map(repr, arrow.collect()))
+    pieces = dict(seen)["pieces"]
+    assert pieces.count() == pieces.select("_piece").distinct().count() == len({"the", " end", " of", " the", " "})
+    over = bpe.bpe_encode(df, model, out="text", strategy="fold")
+    assert over.columns == ["text", "a.b"] and sorted(map(repr, over.select("text").collect())) == sorted(
+        map(repr, fold.select(F.col("ids").alias("text")).collect()))

@@ -3,8 +3,10 @@
 Two strategies give the same ids:
 
 ``fold``   Catalyst only. Every symbol is one private-use character and each
-           merge is one ``replace`` over the whole text, in rank order. Exact for
-           models that pass :meth:`BpeModel.fold_problem`.
+           merge is one ``replace`` over a piece, in rank order. Each distinct piece
+           of the table is merged once and joined back to its places; a stream, which
+           has no such list, is merged text by text. Exact for models that pass
+           :meth:`BpeModel.fold_problem`.
 ``arrow``  The JVM pre-tokenizes; an Arrow UDF encodes each distinct piece of a
            batch once (task-wide cache) and gathers ids with NumPy. Any model.
 """
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 
 from tokenloom.functions.bytelevel import _LATIN1, byte_symbols, latin1, pretokenize
 from tokenloom.functions.scalars import int_div
+from tokenloom.session import materialize
 from tokenloom.sources.model import BORDER, PRIVATE_BASE, BpeModel, added_names, json_literal
 
 CACHE_WORDS = 1 << 18
@@ -49,7 +52,8 @@ def _fold_symbols(words: Column, model: BpeModel) -> Column:
     return F.array_join(F.transform(words, one), BORDER)
 
 
-def _fold_ids(words: Column, model: BpeModel) -> Column:
+def _fold_merged(words: Column, model: BpeModel) -> Column:
+    """The private-use characters that are left after all merges, without borders."""
     merges = [
         {
             "p": chr(PRIVATE_BASE + model.vocab[l]) + chr(PRIVATE_BASE + model.vocab[r]),
@@ -63,10 +67,31 @@ def _fold_ids(words: Column, model: BpeModel) -> Column:
         start,
         lambda s, m: F.replace(s, m["p"], m["r"]),
     )
-    chars = F.filter(F.split(F.replace(merged, F.lit(BORDER), F.lit("")), ""), lambda c: c != "")
+    return F.replace(merged, F.lit(BORDER), F.lit(""))
+
+
+def _fold_ids(merged: Column) -> Column:
+    chars = F.filter(F.split(merged, ""), lambda c: c != "")
     return F.transform(chars, lambda c: F.ascii(c) - F.lit(PRIVATE_BASE))
 
 
+def _fold_distinct(df: DataFrame, words: Column, model: BpeModel) -> tuple[DataFrame, Column]:
+    """``df``, written once with its columns named by place, and the merged text of every row.
+
+    The merges run once per distinct piece, not once per place: their cost follows the vocabulary,
+    and what grows with the text is one join and one grouping of its pieces.
+    """
+    rows = df.select("*", words, F.monotonically_increasing_id())
+    rows = materialize(rows.toDF(*[f"c{i}" for i in range(len(df.columns))], "_words", "_row"), "fold")
+    pieces = rows.select("_row", F.posexplode("_words").alias("_at", "_piece"))
+    merged = pieces.select("_piece").distinct().select("_piece", _fold_merged(F.array("_piece"), model).alias("_merged"))
+    # the list of distinct pieces has no hot key: hashed by parts, and the places are never sorted by text
+    merged = pieces.join(materialize(merged, "pieces").hint("shuffle_hash"), "_piece").groupBy("_row").agg(
+        F.expr("listagg(_merged) within group (order by _at)").alias("_merged"))
+    out = rows.join(merged, "_row", "left")
+    return out, F.when(F.col("_words").isNotNull(), F.coalesce("_merged", F.lit("")))
+
+
 # -------------------------------------------------------------------- arrow
 def merge_piece(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Merge adjacent pairs, lowest rank first and leftmost first."""
@@ -252,8 +277,14 @@ def bpe_encode(
         # without cutting, a piece may equal an added token only by chance of
         # pretokenizer='none'; the fold must not treat it as one then
         m = model if use_added else BpeModel(model.vocab, model.merges, {})
-        ids = _fold_ids(words, m)
-        return df.withColumn(out, pack_ids(ids) if packed else ids)
+        if df.isStreaming:
+            ids = _fold_ids(_fold_merged(words, m))
+            return df.withColumn(out, pack_ids(ids) if packed else ids)
+        rows, merged = _fold_distinct(df, words, m)
+        ids = _fold_ids(merged)
+        ids = (pack_ids(ids) if packed else ids).alias("_ids")
+        rows = rows.select(*[f"c{i}" for i in range(len(df.columns))], ids)
+        return rows.toDF(*df.columns, "_fold_ids").withColumn(out, F.col("_fold_ids")).drop("_fold_ids")
     udf = encode_pieces_udf(df.sparkSession, model, use_added, packed)
     return df.withColumn(out, udf(words))
 
