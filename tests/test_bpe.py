@@ -231,3 +231,19 @@ def test_fold_merges_each_distinct_piece_once(spark, model, monkeypatch):
     over = bpe.bpe_encode(df, model, out="text", strategy="fold")
     assert over.columns == ["text", "a.b"] and sorted(map(repr, over.select("text").collect())) == sorted(
         map(repr, fold.select(F.col("ids").alias("text")).collect()))
+
+
+def test_batches_are_encoded_in_slices(model, monkeypatch):
+    """What a batch needs beside its ids follows the slice, not the batch; a long row stands alone."""
+    import pyarrow as pa
+
+    unknown = model.added.get("[UNK]")
+    encode = bpe._PieceEncoder(model.vocab, model.merges, model.added, unknown)
+    words = pa.array([["the", " end"]] * 7 + [None, [], [" a"] * 40, None] + [["x"]] * 9, pa.list_(pa.string()))
+    whole, sizes, plain = bpe._encode_batch(words, encode), [], bpe._encode_batch
+    monkeypatch.setattr(bpe, "SLICE_PIECES", 8)
+    monkeypatch.setattr(bpe, "_encode_batch", lambda w, e: sizes.append(len(w.flatten())) or plain(w, e))
+    parts = list(bpe._encode_slices(words, encode))
+    assert pa.concat_arrays(parts).to_pylist() == whole.to_pylist() and len(parts) > 2
+    assert sum(sizes) == len(words.flatten()) and max(sizes) < 40 + 8
+    assert list(bpe._encode_slices(words.slice(0, 0), encode)) == []

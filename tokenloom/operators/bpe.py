@@ -32,6 +32,8 @@ CACHE_WORDS = 1 << 18
 CACHED_WORD_BYTES = 64
 SHORT_PIECE = 48
 NO_RANK = 1 << 62
+# pieces whose ids are gathered in one go
+SLICE_PIECES = 1 << 18
 
 
 # --------------------------------------------------------------------- fold
@@ -174,6 +176,18 @@ class _PieceEncoder:
         return [i for i in ids if i is not None]
 
 
+def _encode_slices(words: pa.ListArray, encode: _PieceEncoder) -> Iterator[pa.ListArray]:
+    """Ids of a batch in runs of rows of about ``SLICE_PIECES`` pieces; a longer row stands alone.
+
+    A batch has rows of any length, and the arrays that gather its ids take some 50 bytes a piece.
+    """
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // SLICE_PIECES
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(words)]):
+        yield _encode_batch(words.slice(a, b - a), encode)
+
+
 def _encode_batch(words: pa.ListArray, encode: _PieceEncoder) -> pa.ListArray:
     pieces = words.flatten().dictionary_encode()
     table = [encode(p) for p in pieces.dictionary.to_pylist()]
@@ -210,8 +224,9 @@ def encode_pieces_udf(spark: SparkSession, model: BpeModel, use_added: bool = Tr
         kept = shared.value
         encode = kept["encoder"] = kept["encoder"] or _PieceEncoder(*kept["model"])
         for words in batches:
-            ids = _encode_batch(words, encode)
-            yield _pack_batch(ids) if packed else ids
+            slices = _encode_slices(words, encode)
+            done = [_pack_batch(ids) if packed else ids for ids in slices]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.binary() if packed else pa.list_(pa.int32()))
 
     # a filter on the ids must not be pushed below a shuffle and encode twice
     return encode_pieces.asNondeterministic()
