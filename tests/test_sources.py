@@ -368,3 +368,33 @@ def test_monitor_csv_of_tables_and_streams(spark, folder):
         api.monitor(endless, 1000, kind="all", csv=f"{folder}/more")
     with pytest.raises(ValueError, match="kind 'all'"):
         api.monitor(table, 1000, csv=f"{folder}/more")
+
+
+def test_blocks_are_encoded_in_one_step(spark, model):
+    """Output and overflow are cuts of the packed ids; no list of ids goes back to Python."""
+    from tokenloom.operators import blocks
+
+    cut = blocks.cut_blocks(frame(spark, corpus_rows()), block_bytes=512, boundary="char")
+    out = blocks.block_tokenize(cut, model, 512)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    ids = bpe.bpe_encode(cut.selectExpr("shard", "block_index", "cast(content as string) as text"), model)
+    want = {(r.shard, r.block_index): b"".join(i.to_bytes(4, "little") for i in r.ids) for r in ids.collect()}
+    got = out.collect()
+    assert len(got) == len(want) and any(len(r.overflow) for r in got)
+    assert all(bytes(r.output)[: 4 * r.kept] + bytes(r.overflow) == want[r.shard, r.block_index] for r in got)
+    assert all(r.n_tokens * 4 == len(want[r.shard, r.block_index]) and len(r.output) == r.capacity for r in got)
+
+
+def test_chunks_are_summed_by_path(spark, folder):
+    """File names are cut from the sums, never from the row of a token."""
+    from tokenloom.plans import corpus_queries
+
+    os.makedirs(f"{folder}/b")
+    for name in ("00001.bin", "00002.bin"):
+        with open(f"{folder}/b/{name}", "wb") as f:
+            f.write(b"".join(i.to_bytes(4, "little") for i in range(5000)))
+    sums = corpus_queries._chunk_sums(spark.read.format("token_bin").load(f"{folder}/b"))
+    got = sorted(map(tuple, sums.select("file", "chunk", "n", "id_sum").collect()))
+    first, rest = sum(range(4096)), sum(range(4096, 5000))
+    assert got == [(f"0000{i}.bin", k, n, t) for i in (1, 2) for k, n, t in ((0, 4096, first), (1, 904, rest))]
+    assert "Aggregate [path" in sums._jdf.queryExecution().optimizedPlan().toString()

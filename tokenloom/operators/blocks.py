@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scalars import int_div
-from tokenloom.operators.bpe import bpe_encode, pack_ids
+from tokenloom.operators.bpe import bpe_encode
 from tokenloom.operators.corpus import row_offsets
 from tokenloom.sources.model import BpeModel
 
@@ -98,19 +98,20 @@ def block_tokenize(
     if block_bytes % SECTOR:
         raise ValueError(f"block_bytes is a multiple of {SECTOR}")
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    enc = bpe_encode(blocks.withColumn("_text", text), model, "_text", "_ids", strategy, **options)
+    # ids stay packed from where they are made: a cut of a block's ids is a cut of its bytes
+    enc = bpe_encode(blocks.withColumn("_text", text), model, "_text", "_ids", strategy, packed=True, **options)
     sector = F.lit(SECTOR)
     capacity = F.when(F.col("block_len") >= block_bytes, F.lit(block_bytes)).otherwise(
         int_div(F.col("block_len") + SECTOR - 1, sector) * sector
     ).cast("int")
-    out = enc.withColumn("capacity", capacity).withColumn("n_tokens", F.size("_ids"))
+    out = enc.withColumn("capacity", capacity).withColumn("n_tokens", int_div(F.octet_length("_ids"), 4).cast("int"))
     out = out.withColumn("kept", F.least(F.col("n_tokens"), int_div(F.col("capacity"), F.lit(4))).cast("int"))
     beyond = F.col("n_tokens") - F.col("kept")
     out = out.withColumn("dropped", beyond if overflow == "drop" else F.lit(0))
     if overflow == "error":
         out = out.where(F.when(beyond > 0, F.raise_error(F.lit("a block has more ids than it can hold"))).otherwise(True))
     elif overflow == "keep":
-        out = out.withColumn("overflow", pack_ids(F.slice("_ids", F.col("kept") + 1, F.greatest(beyond, F.lit(0)))))
-    packed = pack_ids(F.slice("_ids", F.lit(1), F.col("kept")))
+        out = out.withColumn("overflow", F.substr("_ids", F.col("kept") * 4 + 1, beyond * 4))
+    packed = F.substr("_ids", F.lit(1), F.col("kept") * 4)
     out = out.withColumn("output", F.rpad(packed, F.col("capacity"), F.lit(bytearray(b"\0"))))
     return out.drop("_text", "_ids", "content")

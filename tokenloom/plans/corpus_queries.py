@@ -288,13 +288,15 @@ def block_tokenize_all(spark, sf):
 
     def read(suffix):
         ids = spark.read.format("token_bin").option("suffix", suffix).load(path)
+        # a shard's number is cut from the path once per file, not once per token
+        sums = ids.groupBy("path").agg(F.sum("token_id").alias("id_sum"), F.count(F.lit(1)).alias("ids"))
         name = F.element_at(F.split("path", "/"), -1)
-        return ids.select(F.regexp_extract(name, r"^(\d+)", 1).cast("long").alias("shard"), "token_id",
-                          F.lit(suffix).alias("kind"))
+        return sums.select(F.regexp_extract(name, r"^(\d+)", 1).cast("long").alias("shard"), "id_sum",
+                           F.when(F.lit(suffix == ".overflow"), F.col("ids")).otherwise(0).alias("overflow"))
 
     # padding zeros add nothing to the sum; the ids themselves are counted from the table
     sums = read(".bin").union(read(".overflow")).groupBy("shard").agg(
-        F.sum("token_id").alias("id_sum"), F.sum(F.when(F.col("kind") == ".overflow", 1).otherwise(0)).alias("overflow"))
+        F.sum("id_sum").alias("id_sum"), F.sum("overflow").alias("overflow"))
     counts = out.groupBy("shard").agg(F.sum("n_tokens").alias("n_ids"), F.sum("kept").alias("kept"))
     return sums.join(counts, "shard").select("shard", "n_ids", "kept", "id_sum", "overflow")
 
@@ -394,11 +396,16 @@ tokens as (
 select file, pos // {CHUNK} as chunk, count(*) as n, cast(sum(token_id) as bigint) as id_sum,
   cast(sum(token_id * (pos % {CHUNK} + 1)) as bigint) as placed_sum from tokens group by all""")
 def token_bin_scan(spark, sf):
-    scan = spark.read.format("token_bin").load(_bins(spark, sf))
+    return _chunk_sums(spark.read.format("token_bin").load(_bins(spark, sf)))
+
+
+def _chunk_sums(scan: DataFrame) -> DataFrame:
+    """Sums per file and chunk; a file's name is cut from its path once per chunk, not once per token."""
     chunk = scalars.int_div(F.col("pos"), F.lit(CHUNK).cast("long"))
-    return scan.groupBy(_file_name(), chunk.alias("chunk")).agg(
+    sums = scan.groupBy("path", chunk.alias("chunk")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("id_sum"),
         F.sum(F.col("token_id") * (F.col("pos") % CHUNK + 1)).alias("placed_sum"))
+    return sums.select(_file_name(), "chunk", "n", "id_sum", "placed_sum")
 
 
 @query("stream_token_bins", ORACLES["token_bin_scan"])
@@ -414,11 +421,7 @@ def stream_token_bins(spark, sf):
         spread(part, fx.tasks(spark), "batch_index").write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         streams.write_token_stream(stream, toy_model(), out, state).awaitTermination()
-    scan = spark.read.format("token_bin").load(out)
-    chunk = scalars.int_div(F.col("pos"), F.lit(CHUNK).cast("long"))
-    return scan.groupBy(_file_name(), chunk.alias("chunk")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("id_sum"),
-        F.sum(F.col("token_id") * (F.col("pos") % CHUNK + 1)).alias("placed_sum"))
+    return _chunk_sums(spark.read.format("token_bin").load(out))
 
 
 @query("head_tail", f"""with {_TOKEN_ROWS}, sized as (
