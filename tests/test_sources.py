@@ -370,6 +370,20 @@ def test_monitor_csv_of_tables_and_streams(spark, folder):
         api.monitor(table, 1000, csv=f"{folder}/more")
 
 
+def test_shard_of_many_tasks_is_written_in_parts(spark, folder):
+    """No task needs a whole shard; order, nulls and six-digit numbers come back."""
+    df = spark.range(600).selectExpr(
+        "if(id < 500, 7, 100003) as shard", "id div 10 as batch_index", "id % 10 as row_in_batch",
+        "if(id % 7 = 0, null, 'text ' || id) as text")
+    dealt = df.repartitionByRange(6, "shard", "batch_index").sortWithinPartitions("shard", "batch_index", "row_in_batch")
+    dealt.write.format("arrow_ipc").mode("append").options(total=200000, layout="parts").save(f"{folder}/p")
+    assert len(os.listdir(f"{folder}/p/data-00007-of-200000.arrow")) > 3
+    back = spark.read.format("arrow_ipc").load(f"{folder}/p")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    with pytest.raises(Exception, match="layout"):
+        dealt.write.format("arrow_ipc").mode("append").options(total=9, layout="rows").save(f"{folder}/q")
+
+
 def test_blocks_are_encoded_in_one_step(spark, model):
     """Output and overflow are cuts of the packed ids; no list of ids goes back to Python."""
     from tokenloom.operators import blocks

@@ -309,8 +309,9 @@ def shard_identity(spark, sf):
     register_sources(spark)
     shards, bins = scratch_path(spark, "shards"), scratch_path(spark, "bins")
     rows = fx.corpus(spark, sf).withColumn("shard", 99990 + 7 * F.col("shard"))
-    ordered = rows.select("shard", "batch_index", "row_in_batch", "text").repartition("shard").sortWithinPartitions(*corpus.ORDER)
-    ordered.write.format("arrow_ipc").mode("append").option("total", 999999).save(shards)
+    ordered = rows.select("shard", "batch_index", "row_in_batch", "text").repartitionByRange(
+        "shard", "batch_index").sortWithinPartitions(*corpus.ORDER)
+    ordered.write.format("arrow_ipc").mode("append").options(total=999999, layout="parts").save(shards)
     back = spark.read.format("arrow_ipc").option("column", "text").load(shards)
     packed = back.select(*corpus.ORDER, F.coalesce(F.encode("text", "UTF-8"), F.lit(bytearray())).alias("packed"))
     write_positioned(tokens.placed_tokens(materialize(packed, "packed")), bins)

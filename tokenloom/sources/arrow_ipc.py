@@ -55,6 +55,7 @@ class ShardSplit(InputPartition):
     part: int
     parts: int
     range: Range | None = None
+    first: int = 0
 
 
 class ArrowIpcReader(DataSourceReader):
@@ -78,10 +79,16 @@ class ArrowIpcReader(DataSourceReader):
 
     @staticmethod
     def shard_number(path: str) -> int | None:
-        """The number in ``…-<number>[-of-<total>].arrow``; None for other names."""
-        m = re.search(r"-(\d+)(?:-of-\d+)?\.arrow$", path)
+        """The number in ``…-<number>[-of-<total>].arrow``, a file or a folder of parts; None for other names."""
+        m = re.search(r"-(\d+)(?:-of-\d+)?\.arrow(?:/part-\d+\.arrow)?$", path)
         return int(m[1]) if m else None
 
+    @staticmethod
+    def first_batch(path: str) -> int:
+        """The batch that a part of a shard begins with; 0 for a whole shard."""
+        m = re.search(r"\.arrow/part-(\d+)\.arrow$", path)
+        return int(m[1]) if m else 0
+
     def partitions(self):
         splits = []
         known = load_ranges(self.ranges) if self.ranges else {}
@@ -92,10 +99,10 @@ class ArrowIpcReader(DataSourceReader):
                 indexed, ranges = known[path]
                 if indexed != size:
                     raise ValueError(f"{path} has {size} bytes, its ranges were made at {indexed}")
-                splits += [ShardSplit(shard, path, size, i, len(ranges), r) for i, r in enumerate(ranges)]
+                splits += [ShardSplit(shard, path, size, i, len(ranges), r, self.first_batch(path)) for i, r in enumerate(ranges)]
                 continue
             parts = max(1, -(-size // self.split_bytes))
-            splits += [ShardSplit(shard, path, size, part, parts) for part in range(parts)]
+            splits += [ShardSplit(shard, path, size, part, parts, None, self.first_batch(path)) for part in range(parts)]
         return splits
 
     def read(self, split):
@@ -109,7 +116,7 @@ class ArrowIpcReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([split.shard], pa.int64()).take(pa.array([0] * n, pa.int32())),
-                    pa.array([index], pa.int64()).take(pa.array([0] * n, pa.int32())),
+                    pa.array([split.first + index], pa.int64()).take(pa.array([0] * n, pa.int32())),
                     pa.array(range(n), pa.int64()),
                     batch.column(self.column).cast(target),
                 ],
@@ -133,13 +140,20 @@ class ArrowIpcReader(DataSourceReader):
 class ArrowIpcWriter(DataSourceArrowWriter):
     """One shard file per ``shard`` value met by a task, one record batch per ``batch_index``.
 
-    Rows must arrive sorted by shard, batch and row, a shard in one task.
+    Rows must arrive sorted by shard, batch and row.
+
+    ``layout=file``   one file per shard, whose rows must lie in one task.
+    ``layout=parts``  a folder per shard with a file ``part-<first batch>.arrow`` per task that met it, so
+                      that no task holds a shard; the rows of one batch must lie in one task.
     """
 
     def __init__(self, options, overwrite):
         self.root = options["path"]
         self.column = options.get("column", "text")
         self.container = options.get("container", "file")
+        self.layout = options.get("layout", "file")
+        if self.layout not in ("file", "parts"):
+            raise ValueError("layout is 'file' or 'parts'")
         self.total = int(options["total"])
         self.temp = f"{self.root}/_temporary-{uuid.uuid4().hex}"
         filesystem, root = resolve(self.root)
@@ -174,10 +188,13 @@ class ArrowIpcWriter(DataSourceArrowWriter):
                             writer.close(), sink.close()
                         open_shard = key[0]
                         name = f"data-{open_shard:05d}-of-{self.total:05d}.arrow"
-                        sink = filesystem.open_output_stream(f"{temp}/{attempt}-{name}")
+                        made = f"{attempt}-{name}"
+                        if self.layout == "parts":
+                            name = f"{name}/part-{key[1]:020d}.arrow"
+                        sink = filesystem.open_output_stream(f"{temp}/{made}")
                         make = pa.ipc.new_file if self.container == "file" else pa.ipc.new_stream
                         writer = make(sink, pa.schema([pa.field(self.column, text.type)]))
-                        written.append((f"{attempt}-{name}", name))
+                        written.append((made, name))
                     pending_key = key
                 pending.append(text.slice(lo, hi - lo))
         flush()
@@ -192,6 +209,8 @@ class ArrowIpcWriter(DataSourceArrowWriter):
         _, temp = resolve(self.temp)
         for message in messages:
             for made, name in message.files if message else []:
+                if self.layout == "parts":
+                    filesystem.create_dir(f"{root}/{name.rpartition('/')[0]}", recursive=True)
                 filesystem.move(f"{temp}/{made}", f"{root}/{name}")
         filesystem.delete_dir(temp)
 
