@@ -434,6 +434,36 @@ def test_attention_gradients():
             assert (up - down) / (2 * float(step)) == pytest.approx(want[i], rel=0.05, abs=2e-4), name
 
 
+def test_stretches_equal_whole_texts(monkeypatch):
+    """Ids and words as those of the whole texts, at every bound on what is kept, and known stretches are not encoded again."""
+    from tokenloom.llm import stretches
+    from tokenloom.llm.encode import encode
+    from tokenloom.llm.words import split_words, xxh64
+
+    rng = np.random.default_rng(9)
+    bits = [" ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "a", "Bc", "'s", "'ll", "12",
+            "\xe9", "\u4e2d", "\u306e", "!", "...", "<|endoftext|>", "\U0001f600", "\u0301", "x" * 90]
+    groups = [["".join(rng.choice(bits, rng.integers(0, n))) for n in (1, 3, 9, 40, 200, 1)] for _ in range(40)] + [[], ["", " ", ""]]
+    for kept in (1 << 19, 20, 0):
+        monkeypatch.setattr(stretches, "KEPT", kept)
+        mine = stretches.Stretches(None)
+        for texts in groups:
+            raws = [t.encode() for t in texts]
+            w, want = split_words(raws), [encode(t).tolist() for t in texts]
+            ids, n_ids, words, n_words = mine.read(raws)
+            assert ids.tolist() == sum(want, []) and n_ids.tolist() == [len(x) for x in want]
+            assert words.tolist() == xxh64(w.buffer, w.starts, w.ends - w.starts).tolist() and n_words.tolist() == w.counts.tolist()
+            assert len(mine.hashes) == len(mine.rows) <= kept and len(mine.hashes) == len(mine.ids.n) == len(mine.words.n)
+    seen = []
+    monkeypatch.setattr(stretches, "encode", lambda t, v: seen.append(t) or encode(t, v))
+    monkeypatch.setattr(stretches, "KEPT", 1 << 19)
+    mine, raw = stretches.Stretches(None), [b"one two three two one", b"two three" * 50]
+    first = mine.read(raw)
+    seen.clear()
+    again = mine.read(raw)
+    assert "".join(seen) in ("onetwo", "twoone") and all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
 def test_lm_odd(odd, none):
     out = lm_scoring.lm_scores(odd).collect()
     assert len(out) == len(ODD) and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in out)

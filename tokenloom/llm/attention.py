@@ -89,35 +89,45 @@ def _with_block_before(blocks: Blocks, a: int, b: int) -> np.ndarray:
     return np.concatenate([blocks.inputs[max(a - 1, 0)], blocks.inputs[a:b].ravel()])
 
 
-def _exponentials(z: np.ndarray) -> np.ndarray:
-    """Turns the bounded logits ``z`` into their exponentials, in place; gives each row's sum."""
-    np.exp(z, out=z)
-    # a product sums short rows several times faster than a reduction
-    return z @ np.ones(z.shape[-1], np.float32)
-
-
 def _bound(z: np.ndarray) -> np.ndarray:
-    np.minimum(z, _CLIP, out=z)
-    return np.maximum(z, -_CLIP, out=z)
+    return np.clip(z, -_CLIP, _CLIP, out=z)
 
 
 class _ByGroup:
     """Places of blocks in the order of their targets' groups, for one product per group."""
 
     def __init__(self, at: np.ndarray, cls: np.ndarray, n_groups: int):
-        order = np.argsort((cls // GROUP).astype(np.uint8), kind="stable")
-        cls = cls[order]
-        self.at, self.group, self.member = at[order], cls // GROUP, cls % GROUP
-        edges = np.searchsorted(self.group, np.arange(n_groups + 1))
-        self.runs = [(g, slice(edges[g], edges[g + 1])) for g in range(n_groups) if edges[g] < edges[g + 1]]
-
-    def members(self, out: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Logits of the classes of each place's own group."""
-        z = np.empty((len(out), GROUP), np.float32)
+        group = cls // GROUP
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        self.at, self.group = at[order], group[order]
+        width = n_groups + GROUP
+        # of each place's group and member in the flat logits
+        own = np.arange(0, len(at) * width, width) + self.group
+        self.own = own, own + (cls[order] - self.group * (GROUP + 1) + n_groups)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=n_groups))]).tolist()
+        self.runs = [(g, slice(i, j)) for g, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+        # a product sums short rows several times faster than a reduction
+        self.sums = np.zeros((width, 2), np.float32)
+        self.sums[:n_groups, 0] = self.sums[n_groups:, 1] = 1
+
+    def logits(self, out: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Bounded logits of all groups, then of the classes of each place's own group."""
+        z = np.empty((len(out), heads.shape[2]), np.float32)
         for g, run in self.runs:
-            np.matmul(out[run], u[g], out=z[run])
-            z[run] += c[g]
-        return z
+            np.matmul(out[run], heads[g], out=z[run])
+        return _bound(z)
+
+
+def _heads(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Per group, the weights of all groups and of its classes side by side; the last row is added."""
+    first = np.concatenate([p["u"], p["c"][None]])
+    second = np.concatenate([p["ug"], p["cg"][:, None]], axis=1)
+    return np.concatenate([np.broadcast_to(first, (len(second), *first.shape)), second], axis=2)
+
+
+def _hidden(h: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    act = h @ w1
+    return np.maximum(act, 0, out=act)
 
 
 class Attention:
@@ -157,8 +167,13 @@ class Attention:
         ``state`` (empty at first) goes on between calls; ``rates(n)`` is the learning rate after ``n`` blocks of it.
         """
         p = self.p
+        # all weights but the embedding lie in one run, and ``p`` holds views of it
+        names = [k for k in p if k != "emb"]
+        flat, at = np.concatenate([p[k].ravel() for k in names]), 0
+        for k in names:
+            p[k], at = flat[at : at + p[k].size].reshape(p[k].shape), at + p[k].size
         if not state:
-            state |= {"m": {k: np.zeros_like(v) for k, v in p.items()}, "s": {k: np.zeros_like(v) for k, v in p.items()},
+            state |= {"m": np.zeros_like(flat), "s": np.zeros_like(flat), "emb": np.zeros_like(p["emb"]),
                       "t": 0, "blocks": 0, "used": np.zeros(N_IDS, dtype=np.float32)}
         m, s, n = state["m"], state["s"], len(blocks.inputs)
         for _ in range(passes):
@@ -167,14 +182,14 @@ class Attention:
                 grads, ids, rows = self._gradients(blocks, a, b, class_of)
                 state["t"] += 1
                 t, lr = state["t"], np.float32(rates(state["blocks"]) * min(1, state["t"] / 30))
-                for k, g in grads.items():
-                    m[k] += np.float32(0.1) * (g - m[k])
-                    s[k] += np.float32(0.01) * (g * g - s[k])
-                    p[k] -= lr * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.99**t)) + np.float32(1e-8))
+                g = np.concatenate([grads[k].ravel() for k in names])
+                m += np.float32(0.1) * (g - m)
+                s += np.float32(0.01) * (g * g - s)
+                flat -= lr * m / (1 - 0.9**t) / (np.sqrt(s / (1 - 0.99**t)) + np.float32(1e-8))
                 # rows of the embedding move only when they are used
-                seen = s["emb"][ids]
+                seen = state["emb"][ids]
                 seen += np.float32(0.05) * (rows * rows - seen)
-                s["emb"][ids] = seen
+                state["emb"][ids] = seen
                 p["emb"][ids] -= (lr * np.float32(0.3)) * rows / (np.sqrt(seen) + np.float32(1e-7))
                 state["blocks"] += b - a
                 state["used"][ids] += 1
@@ -202,55 +217,67 @@ class Attention:
         return self
 
     def _gradients(self, blocks: Blocks, a: int, b: int, class_of: np.ndarray):
-        p, size = self.p, self.p["emb"].shape[1]
+        p, size, n = self.p, self.p["emb"].shape[1], b - a
         ids = _with_block_before(blocks, a, b)
-        e = p["emb"][ids]
-        qkv = e @ p["qkv"]
-        q = qkv[STRIDE:, :size].reshape(-1, STRIDE, size)
+        e = p["emb"].take(ids, axis=0)
+        # one more column of ones beside the values, and one of rests beside each gradient, save passes
+        qkv = np.ones((len(ids), 3 * size + 1), np.float32)
+        np.matmul(e, p["qkv"], out=qkv[:, :-1])
+        q = qkv[STRIDE:, :size].reshape(n, STRIDE, size)
         k, v = _windows(qkv[:, size : 2 * size]), _windows(qkv[:, 2 * size :])
-        w = attend(q, k, p["rel"][_DELTA_AT] + _MASK, blocks.same[a:b])
-        w /= (w @ np.ones(2 * STRIDE, np.float32))[:, :, None]
-        mixed = np.matmul(w, v).reshape(-1, size)
-        h = e[STRIDE:] + mixed
-        act = h @ p["w1"]
-        act += p["b1"]
-        np.maximum(act, 0, out=act)
+        # attention and its gradient one upon the other, for one product with both
+        both = np.empty((n, 2 * STRIDE, 2 * STRIDE), np.float32)
+        w, d_s = both[:, :STRIDE], both[:, STRIDE:]
+        attend(q, k, p["rel"][_DELTA_AT] + _MASK, blocks.same[a:b], w)
+        share = (1 / (w @ np.ones(2 * STRIDE, np.float32))).reshape(-1, 1)
+        mixed = np.matmul(w, v[:, :, :size]).reshape(-1, size)
+        mixed *= share
+        h = np.ones((n * STRIDE, size + 1), np.float32)
+        np.add(e[STRIDE:], mixed, out=h[:, :size])
+        act = _hidden(h, np.concatenate([p["w1"], p["b1"][None]]))
         at = np.flatnonzero(blocks.real[a:b])
         by = _ByGroup(at, class_of[blocks.targets[a:b].ravel()[at]], self.n_groups)
-        out = (h + act @ p["w2"])[by.at]
-        d1 = out @ p["u"]
-        d1 += p["c"]
-        d2 = by.members(out, p["ug"], p["cg"])
-        row = np.arange(len(at))
-        for d, own in ((d1, by.group), (d2, by.member)):
-            total = _exponentials(_bound(d))
-            d *= (1 / (total * len(at)))[:, None].astype(np.float32)
-            d[row, own] -= np.float32(1 / len(at))
-        g = {"u": out.T @ d1, "c": d1.sum(0), "ug": np.zeros_like(p["ug"]), "cg": np.zeros_like(p["cg"])}
-        d_rows = d1 @ p["u"].T
-        for n, run in by.runs:
-            g["ug"][n], g["cg"][n] = out[run].T @ d2[run], d2[run].sum(0)
-            d_rows[run] += d2[run] @ p["ug"][n].T
-        d_out = np.zeros_like(h)
+        out = act @ np.pad(p["w2"], ((0, 0), (0, 1)))
+        out += h
+        out = out.take(by.at, axis=0)
+        heads = _heads(p)
+        d = by.logits(out, heads)
+        np.exp(d, out=d)
+        scale = 1 / (d @ by.sums * np.float32(len(at)))
+        d[:, : self.n_groups] *= scale[:, :1]
+        d[:, self.n_groups :] *= scale[:, 1:]
+        for own in by.own:
+            d.reshape(-1)[own] -= np.float32(1 / len(at))
+        d_heads, d_rows = np.zeros_like(heads), np.empty((len(at), size), np.float32)
+        for g, run in by.runs:
+            np.matmul(out[run].T, d[run], out=d_heads[g])
+            np.matmul(d[run], heads[g, :-1].T, out=d_rows[run])
+        first, second = d_heads[:, :, : self.n_groups].sum(0), d_heads[:, :, self.n_groups :]
+        g = {"u": first[:-1], "c": first[-1], "ug": second[:, :-1], "cg": second[:, -1]}
+        d_out = np.zeros((n * STRIDE, size), np.float32)
         d_out[by.at] = d_rows
         g["w2"] = act.T @ d_out
         d_act = d_out @ p["w2"].T
         d_act *= act > 0
-        g["w1"], g["b1"] = h.T @ d_act, d_act.sum(0)
-        d_h = d_out + d_act @ p["w1"].T
-        d_mixed = d_h.reshape(-1, STRIDE, size)
-        d_v = w.transpose(0, 2, 1) @ d_mixed
-        d_s = np.matmul(d_mixed, v.transpose(0, 2, 1))
-        d_s -= np.einsum("ij,ij->i", d_h, mixed).reshape(-1, STRIDE, 1)
+        d_w1 = h.T @ d_act
+        g["w1"], g["b1"] = d_w1[:-1], d_w1[-1]
+        d_h = d_act @ p["w1"].T
+        d_h += d_out
+        d_mixed = np.empty_like(h)
+        np.multiply(d_h, share, out=d_mixed[:, :size])
+        d_mixed[:, size] = (d_mixed[:, :size] * mixed) @ np.full(size, -1, np.float32)
+        d_mixed = d_mixed.reshape(n, STRIDE, size + 1)
+        np.matmul(d_mixed, v.transpose(0, 2, 1), out=d_s)
         d_s *= w
         g["rel"] = np.bincount(_DELTA_AT.ravel(), weights=d_s.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-        d_k = d_s.transpose(0, 2, 1) @ q
-        d_qkv = np.zeros_like(qkv)
+        sides = np.zeros((n, 2 * STRIDE, 2 * size), np.float32)
+        sides[:, STRIDE:, :size], sides[:, :STRIDE, size:] = q, d_mixed[:, :, :size]
+        d_kv = np.matmul(both.transpose(0, 2, 1), sides)
+        d_qkv = np.zeros((len(ids), 3 * size), np.float32)
         blocked = d_qkv.reshape(-1, STRIDE, 3 * size)
-        blocked[1:, :, :size] = d_s @ k
-        for place, d in ((size, d_k), (2 * size, d_v)):
-            blocked[:-1, :, place : place + size] += d[:, :STRIDE]
-            blocked[1:, :, place : place + size] += d[:, STRIDE:]
+        np.matmul(d_s, k, out=blocked[1:, :, :size])
+        blocked[1:, :, size:] = d_kv[:, STRIDE:]
+        blocked[:-1, :, size:] += d_kv[:, :STRIDE]
         g["qkv"] = e.T @ d_qkv
         d_e = d_qkv @ p["qkv"].T
         d_e[STRIDE:] += d_h
@@ -258,24 +285,25 @@ class Attention:
         order = np.argsort(short, kind="stable")
         short = short[order]
         first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        return g, short[first].astype(np.int64), np.add.reduceat(d_e[order], first, axis=0)
+        return g, short[first].astype(np.int64), np.add.reduceat(d_e.take(order, axis=0), first, axis=0)
 
     def tables(self) -> dict[str, np.ndarray]:
         """All that scoring gathers per id; some MB, whatever the corpus."""
         p = self.p
         return {
             "all": np.concatenate([p["emb"], p["emb"] @ p["qkv"]], axis=1), "size": p["emb"].shape[1],
-            "rel": p["rel"][_DELTA_AT] + _MASK, **{n: p[n] for n in ("w1", "b1", "w2", "u", "c", "ug", "cg")},
+            "rel": p["rel"][_DELTA_AT] + _MASK, "w1": np.concatenate([p["w1"], p["b1"][None]]),
+            "w2": np.pad(p["w2"], ((0, 0), (0, 1))), "heads": _heads(p),
         }
 
 
-def attend(q: np.ndarray, k: np.ndarray, mask: np.ndarray, same: np.ndarray) -> np.ndarray:
+def attend(q: np.ndarray, k: np.ndarray, mask: np.ndarray, same: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Unnormalised attention of every id to its window; ``mask`` holds positions and what is ahead."""
-    w = np.matmul(q, k.transpose(0, 2, 1))
+    w = np.matmul(q, k.transpose(0, 2, 1), out=out)
     _bound(w)
     w += mask
     np.exp(w, out=w)
-    w[~same, :, :STRIDE] = 0
+    w[np.flatnonzero(~same), :, :STRIDE] = 0
     return w
 
 
@@ -286,24 +314,20 @@ def log10_probability(texts: list[np.ndarray], t: dict, class_of: np.ndarray, in
     per_id = np.zeros(n * STRIDE)
     for a in range(0, n, step):
         b = min(n, a + step)
-        rows = t["all"][_with_block_before(blocks, a, b)]
+        rows = t["all"].take(_with_block_before(blocks, a, b), axis=0)
         q = rows[STRIDE:, size : 2 * size].reshape(-1, STRIDE, size)
         w = attend(q, _windows(rows[:, 2 * size : 3 * size]), t["rel"], blocks.same[a:b])
-        h = np.matmul(w, _windows(rows[:, 3 * size :])).reshape(-1, size)
-        h /= (w.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, np.float32))[:, None]
-        h += rows[STRIDE:, :size]
+        mixed = np.matmul(w, _windows(rows[:, 3 * size :])).reshape(-1, size)
+        mixed /= (w.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, np.float32))[:, None]
+        h = np.ones((len(mixed), size + 1), np.float32)
+        np.add(rows[STRIDE:, :size], mixed, out=h[:, :size])
+        h += _hidden(h, t["w1"]) @ t["w2"]
         at = np.flatnonzero(blocks.real[a:b])
         target = blocks.targets[a:b].ravel()[at]
-        by = _ByGroup(at, class_of[target], len(t["c"]))
-        h = h[by.at]
-        act = h @ t["w1"]
-        act += t["b1"]
-        h += np.maximum(act, 0, out=act) @ t["w2"]
-        z1 = h @ t["u"]
-        z1 += t["c"]
-        z2, row = by.members(h, t["ug"], t["cg"]), np.arange(len(at))
-        lp = _bound(z1)[row, by.group] + _bound(z2)[row, by.member]
-        lp -= np.log(_exponentials(z1) * _exponentials(z2))
+        by = _ByGroup(at, class_of[target], len(t["heads"]))
+        z = by.logits(h.take(by.at, axis=0), t["heads"])
+        lp = z.ravel()[by.own[0]] + z.ravel()[by.own[1]]
+        lp -= np.log((np.exp(z, out=z) @ by.sums).prod(axis=1))
         here = per_id[a * STRIDE : b * STRIDE]
         here[by.at] = lp
         here[at] += in_class[target]

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.attention import BOUND, N_IDS, STRIDE, Attention, classes_by_mass, log10_probability, to_blocks
 from tokenloom.llm.common import is_held_out, slices, texts_of
-from tokenloom.llm.encode import encode, encoder
-from tokenloom.llm.words import split_words, xxh64
+from tokenloom.llm.encode import encoder
+from tokenloom.llm.stretches import stretches
 from tokenloom.session import materialize
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES, READ_BYTES = 6 << 20, 2 << 20  # of a slice, and of what is split and encoded in one go
 SLICE_ROWS = 50_000  # a text's place in its slice fits 16 bits
 # bytes of text per bucket
 BUCKET_BYTES = 32 << 20
@@ -60,15 +60,16 @@ def read_texts(rows: DataFrame, n_buckets: int, vocabulary: str | None) -> DataF
                 for a in range(0, big.num_rows, SLICE_ROWS):
                     part = big.slice(a, SLICE_ROWS)
                     n, number = part.num_rows, number + 1
-                    raw = texts_of(part.column(1))
                     held = part.column(2).to_numpy(zero_copy_only=False)
-                    requests, n_words = _requests(number, raw, held, n_buckets)
+                    read = [stretches(vocabulary).read(texts_of(x.column(1))) for x in slices(part, READ_BYTES)]
+                    ids, n_ids, words, n_words = (np.concatenate(x) for x in zip(*read, strict=True))
+                    requests = _requests(number, words, n_words, held, n_buckets)
                     texts = {
                         "slice": pa.array(np.full(n, number)), "bucket": pa.array(np.full(n, -1, np.int32)),
                         "place": pa.array(np.arange(n, dtype=np.int32)), "doc_id": part.column(0), "held": part.column(2),
                         "n_words": pa.array(n_words.astype(np.int32)), "turn": pa.array(rng.random(n)),
-                        "ids": pa.array([encode(t or "", vocabulary).astype("<u2").tobytes()
-                                         for t in part.column(1).to_pylist()], pa.binary()),
+                        "ids": pa.Array.from_buffers(pa.binary(), n, [
+                            None, pa.py_buffer(np.concatenate([[0], 2 * np.cumsum(n_ids)]).astype(np.int32)), pa.py_buffer(ids)]),
                     }
                     yield pa.RecordBatch.from_arrays(
                         [texts.get(f.name, pa.nulls(n, f.type)) for f in MESSAGE_FIELDS], schema=MESSAGE_FIELDS)
@@ -164,15 +165,13 @@ def fit(ids: DataFrame, model: Attention, class_of: np.ndarray, n_blocks: int) -
     return model
 
 
-def _requests(number: int, texts: list[bytes], held: np.ndarray, n_buckets: int) -> tuple[list[dict], np.ndarray]:
-    """A slice's words by bucket, each word once, with its training count and the texts it is in;
-    and the number of words of each text."""
-    words = split_words(texts)
-    if not len(words.starts):
-        return [], words.counts
-    h = xxh64(words.buffer, words.starts, words.ends - words.starts)
+def _requests(number: int, h: np.ndarray, n_words: np.ndarray, held: np.ndarray, n_buckets: int) -> list[dict]:
+    """A slice's words by bucket, each word once, with its training count and the texts it is in.
+    ``h`` are the hashes of its texts' words, ``n_words`` of each."""
+    if not len(h):
+        return []
     by = np.argsort(h, kind="stable")  # words come text by text, so a word's texts stay in order
-    h, doc = h[by], words.doc[by]
+    h, doc = h[by], np.repeat(np.arange(len(n_words)), n_words)[by]
     pair = np.flatnonzero((np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0) | (np.diff(doc, prepend=-1) != 0))
     times = np.diff(np.append(pair, len(h)))
     h, doc = h[pair], doc[pair]
@@ -197,7 +196,7 @@ def _requests(number: int, texts: list[bytes], held: np.ndarray, n_buckets: int)
                 "train": train[i:j].astype("<u4").tobytes(), "spread": spread[i:j].astype("<u2").tobytes(),
                 "doc": doc[p:q].astype("<u2").tobytes(), "times": times[p:q].astype("<u4").tobytes(),
             })
-    return out, words.counts
+    return out
 
 
 def _answers(table: pa.Table) -> pa.Table:
