@@ -125,6 +125,11 @@ def _heads(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([np.broadcast_to(first, (len(second), *first.shape)), second], axis=2)
 
 
+def _wider(w: np.ndarray) -> np.ndarray:
+    """With one more column, of zeros."""
+    return np.concatenate([w, np.zeros((len(w), 1), np.float32)], axis=1)
+
+
 def _hidden(h: np.ndarray, w1: np.ndarray) -> np.ndarray:
     act = h @ w1
     return np.maximum(act, 0, out=act)
@@ -237,15 +242,13 @@ class Attention:
         act = _hidden(h, np.concatenate([p["w1"], p["b1"][None]]))
         at = np.flatnonzero(blocks.real[a:b])
         by = _ByGroup(at, class_of[blocks.targets[a:b].ravel()[at]], self.n_groups)
-        out = act @ np.pad(p["w2"], ((0, 0), (0, 1)))
+        out = act @ _wider(p["w2"])
         out += h
         out = out.take(by.at, axis=0)
         heads = _heads(p)
         d = by.logits(out, heads)
         np.exp(d, out=d)
-        scale = 1 / (d @ by.sums * np.float32(len(at)))
-        d[:, : self.n_groups] *= scale[:, :1]
-        d[:, self.n_groups :] *= scale[:, 1:]
+        d *= (1 / (d @ by.sums * np.float32(len(at)))) @ by.sums.T
         for own in by.own:
             d.reshape(-1)[own] -= np.float32(1 / len(at))
         d_heads, d_rows = np.zeros_like(heads), np.empty((len(at), size), np.float32)
@@ -293,7 +296,7 @@ class Attention:
         return {
             "all": np.concatenate([p["emb"], p["emb"] @ p["qkv"]], axis=1), "size": p["emb"].shape[1],
             "rel": p["rel"][_DELTA_AT] + _MASK, "w1": np.concatenate([p["w1"], p["b1"][None]]),
-            "w2": np.pad(p["w2"], ((0, 0), (0, 1))), "heads": _heads(p),
+            "w2": _wider(p["w2"]), "heads": _heads(p),
         }
 
 
@@ -327,7 +330,8 @@ def log10_probability(texts: list[np.ndarray], t: dict, class_of: np.ndarray, in
         by = _ByGroup(at, class_of[target], len(t["heads"]))
         z = by.logits(h.take(by.at, axis=0), t["heads"])
         lp = z.ravel()[by.own[0]] + z.ravel()[by.own[1]]
-        lp -= np.log((np.exp(z, out=z) @ by.sums).prod(axis=1))
+        total = np.exp(z, out=z) @ by.sums
+        lp -= np.log(total[:, 0] * total[:, 1])
         here = per_id[a * STRIDE : b * STRIDE]
         here[by.at] = lp
         here[at] += in_class[target]
