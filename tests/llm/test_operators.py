@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, and on odd input."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -207,6 +208,49 @@ def test_repeats_against_brute_force(spark, monkeypatch, limit):
     assert got == sorted(((i, *w) for i, w in enumerate(want)), key=repr)
 
 
+def brute_passages(texts, length):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for w in words:
+        gone = np.zeros(len(w), dtype=bool)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = True
+        out.append((int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum())))
+    return out
+
+
+def test_short_passages_of_many_words_are_reported(spark):
+    """51 words and more that two documents share, all below the 400 bytes that are removed; 50 words are none."""
+    rng = np.random.default_rng(6)
+    own = lambda i, n: " ".join(f"d{i}x{j}" for j in range(n))
+    passages = [" ".join(f"{chr(97 + int(c))}{g}q{j}" for j, c in enumerate(rng.integers(0, 26, n))) for g, n in enumerate((50, 51, 52, 60, 65))]
+    assert max(len(p.encode()) for p in passages) < 400
+    texts = [f"{own(i, 30 + i)} {p} {own(i + 90, 40)}" for p in passages for i in (passages.index(p), passages.index(p) + 5)]
+    texts += [own(50 + i, 80) for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeats.repeat_report(df).collect()}
+    assert [got[i]["n_passage_words"] for i in range(15)] == [0, 0, 51, 51, 52, 52, 60, 60, 65, 65] + [0] * 5
+    assert [got[i]["n_passages"] for i in range(15)] == [0, 0] + [1] * 8 + [0] * 5
+    assert {r["n_removed"] for r in got.values()} == {0}
+
+
+@pytest.mark.parametrize("limit", [1, 20_000])
+def test_passages_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (400, limit))
+    rng = np.random.default_rng(4)
+    gaps = [" ", "\n", "  ", "\t", " \r\n "]
+    word = lambda n: "".join(f"{'abÄ'[rng.integers(3)]}{'' if rng.integers(2) else 'xyz'[rng.integers(3)]}{gaps[rng.integers(5)]}" for _ in range(n))
+    shared = [word(n) for n in (50, 51, 52, 90, 300)]
+    texts = [word(int(rng.integers(0, 120))) + shared[i % 5][: int(rng.integers(90, 700))] + word(int(rng.integers(0, 120))) for i in range(40)]
+    texts += ["a " * 500, "a b " * 200, "a b c" * 90, "", " \n", None, "a " * 50, "b " * 51, "\u00a0".join("ab" * 60), texts[0], "z " + texts[1], "A" + texts[2]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(repeats.repeat_report(df), "doc_id", "n_passage_words", "n_passages")
+    want = brute_passages([(t or "").encode() for t in texts], 51)
+    assert got == sorted(((i, *w) for i, w in enumerate(want)), key=repr)
+
+
 def test_contexts_of_one_anchor_that_share_no_window(spark):
     """Two windows own the same anchor and differ in the rest: nothing repeats, and nothing fails."""
     rng = np.random.default_rng(3)

@@ -16,6 +16,9 @@ A suffix whose neighbour shares ``length`` bytes starts a repeat. Documents of a
 method's sequential external files are left out: a batch of ``ROUND_SIZE`` contexts is bounded,
 so its two sequences (order and common prefixes) stay in memory from round to round, while
 Spark's shuffles and written tables hold what grows with the corpus.
+
+A text is a row of symbols: its bytes, or 64-bit hashes of its words. The second finds passages
+of so many words, however many bytes they have and whatever white space lies between them.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import map_rows, place_names, texts_of
+from tokenloom.llm.words import split_words
 from tokenloom.session import materialize
 
-GRAM = 32
+# symbols hashed to choose an anchor
+GRAM, WORD_GRAM = 32, 8
 # contexts of one anchor that a task orders; more go by window hashes
 MAX_CONTEXTS = 20_000
 # contexts that are ordered in one go
@@ -59,13 +64,16 @@ def _byte_values() -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any range of a buffer from one running sum."""
+    """Hashes of any range of a buffer of bytes or words from one running sum.
+
+    ``room`` is the length of a longer buffer hashed beside it, whose powers serve both.
+    """
 
-    def __init__(self, raw: np.ndarray):
-        size = 1 << max(16, int(len(raw) + 1).bit_length())
+    def __init__(self, raw: np.ndarray, room: int = 0):
+        size = 1 << max(16, int(max(len(raw), room) + 1).bit_length())
         up, self.down = _powers(size)
         with np.errstate(over="ignore"):
-            terms = _byte_values()[raw] * up[: len(raw)]
+            terms = (_byte_values()[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)]
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,22 +84,30 @@ class Rolling:
             return x ^ (x >> np.uint64(32))
 
 
-def anchors_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def symbols_of(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts in a row, and how many each has: bytes, or words as 64-bit hashes."""
+    if not words:
+        return np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64)
+    found = split_words(texts, fold=False)
+    return Rolling(found.buffer).of(found.starts, found.ends), found.counts
+
+
+def anchors_of(texts: list[bytes], length: int, words: bool = False) -> tuple[np.ndarray, ...]:
     """``(text, anchor, first and last owned window, anchor hash, context hash)``, all in one buffer's
     places except the text's index, and the start of every text."""
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    raw, sizes = symbols_of(texts, words)
+    gram = WORD_GRAM if words else GRAM
     starts = np.cumsum(sizes) - sizes
     none = np.zeros(0, dtype=np.int64)
     if len(raw) < length:
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64), starts
-    hashes = Rolling(raw)
-    at = np.arange(len(raw) - GRAM + 1)
-    grams = hashes.of(at, at + GRAM)
+    hashes = Rolling(raw, sum(map(len, texts)) + len(texts))
+    at = np.arange(len(raw) - gram + 1)
+    grams = hashes.of(at, at + gram)
     # order by hash, ties to the left; the low bits hold the place
     bits = np.uint64(max(24, int(len(raw)).bit_length()))
     low = ((grams >> bits) << bits) | at.astype(np.uint64)
-    width, have = length - GRAM + 1, 1
+    width, have = length - gram + 1, 1
     while have < width:
         step = min(have, width - have)
         low = np.minimum(low[:-step], low[step:])
@@ -106,9 +122,9 @@ def anchors_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return doc[p], p, first, last, grams[p], hashes.of(first, last + length), starts
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, p, first, last, h, ctx, starts = anchors_of(texts_of(batch.column(2)), length)
+        doc, p, first, last, h, ctx, starts = anchors_of(texts_of(batch.column(2)), length, words)
         pick = pa.array(doc)
         small = lambda x: pa.array(x.astype(np.int32))
         return pa.RecordBatch.from_arrays(
@@ -121,33 +137,38 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_starts(
-    group: np.ndarray, d0: np.ndarray, d1: np.ndarray, contents: list[bytes], length: int
+    group: np.ndarray, d0: np.ndarray, d1: np.ndarray, contents: list[bytes], length: int, words: bool = False
 ) -> tuple[np.ndarray, np.ndarray]:
     """``(context, offset)`` of every owned window that another context of its group has too.
 
-    ``group`` is sorted. Context ``i`` holds the bytes at offsets ``d0[i]`` to ``d1[i] + length``.
+    ``group`` is sorted. Context ``i`` holds the symbols at offsets ``d0[i]`` to ``d1[i] + length``.
     """
     m = len(contents)
     low, high = int(d0.min()), int(d1.max()) + length
-    pad = 256
-    symbols = np.full((high - low, m), pad, dtype=np.uint16)
-    for i, content in enumerate(contents):
-        a = d0[i] - low
-        symbols[a : a + len(content), i] = np.frombuffer(content, dtype=np.uint8)
+    if words:  # any order of the words will do
+        values, rows = np.unique(np.frombuffer(b"".join(contents), dtype=np.uint64), return_inverse=True)
+        pad, kind = len(values), np.int32
+    else:
+        rows, pad, kind = np.frombuffer(b"".join(contents), dtype=np.uint8), 256, np.uint16
+    symbols = np.full((high - low, m), pad, dtype=kind)
+    ends = np.cumsum(d1 - d0 + length)
+    for i, (a, b) in enumerate(zip(ends - (d1 - d0 + length), ends, strict=True)):
+        symbols[d0[i] - low : d1[i] + length - low, i] = rows[a:b]
     order, common = np.arange(m), np.zeros(m, dtype=np.int32)
     block = np.cumsum(np.diff(group, prepend=group[0]) != 0)
     found_at, found_off = [], []
     for c in range(high - low - 1, -1, -1):
         column = symbols[c][order]  # this round's transform
-        by = np.argsort(block[order] * 257 + column, kind="stable")
-        key = (block[order] * 257 + column)[by]
+        key = block[order] * (pad + 1) + column
+        by = np.argsort(key, kind="stable")
+        key = key[by]
         joins = np.flatnonzero((key[1:] == key[:-1]) & (column[by][1:] != pad))
         fresh = np.zeros(m, dtype=np.int32)
         if len(joins):
             # the smallest common prefix between the two old places, the first one excluded
-            ends = np.column_stack([by[joins] + 1, by[joins + 1] + 1]).ravel()
+            borders = np.column_stack([by[joins] + 1, by[joins + 1] + 1]).ravel()
             padded = np.append(common, 0)
-            fresh[joins + 1] = np.minimum.reduceat(padded, ends)[::2] + 1
+            fresh[joins + 1] = np.minimum.reduceat(padded, borders)[::2] + 1
         order, common = order[by], fresh
         off = c + low
         if off <= 0:
@@ -174,13 +195,13 @@ def _runs(at: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return at[cut], off[cut], off[last] + length
 
 
-def _order_contexts(contexts: DataFrame, length: int) -> DataFrame:
+def _order_contexts(contexts: DataFrame, length: int, words: bool) -> DataFrame:
     """Ranges ``h, ctx, a, b`` from rows ``h, ctx, d0, d1, content`` of anchors of bounded size."""
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, ctx = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         d0, d1 = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-        at, a, b = _runs(*repeated_starts(h, d0, d1, batch.column(4).to_pylist(), length), length)
+        at, a, b = _runs(*repeated_starts(h, d0, d1, batch.column(4).to_pylist(), length, words), length)
         return pa.RecordBatch.from_arrays(
             [pa.array(h[at]), pa.array(ctx[at]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
             names=["h", "ctx", "a", "b"],
@@ -206,14 +227,15 @@ def _order_contexts(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
+def _count_windows(contexts: DataFrame, length: int, words: bool) -> DataFrame:
     """The same ranges for anchors with very many contexts: their windows' hashes are counted."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, offs, hashes = [], [], []
         for i, content in enumerate(batch.column(4).to_pylist()):
-            at = np.arange(len(content) - length + 1)
-            hashes.append(Rolling(np.frombuffer(content, dtype=np.uint8)).of(at, at + length))
+            symbols = np.frombuffer(content, dtype=np.uint64 if words else np.uint8)
+            at = np.arange(len(symbols) - length + 1)
+            hashes.append(Rolling(symbols).of(at, at + length))
             offs.append(at + batch.column(2)[i].as_py())
             rows.append(np.full(len(at), i))
         pick = pa.array(np.concatenate(rows))
@@ -233,15 +255,15 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 
 
 def repeated_spans(
-    texts: DataFrame, length: int = 400, max_contexts: int = MAX_CONTEXTS
+    texts: DataFrame, length: int = 400, max_contexts: int = MAX_CONTEXTS, *, words: bool = False
 ) -> DataFrame:
     """``k, n, spans`` for each distinct text with repeats, from rows ``k, n, text``.
 
     ``spans`` are the byte ranges that repeated windows cover, by start; they may overlap. Rows with equal
     text are occurrences of their own, so all of a text of ``length`` bytes that occurs twice
-    is covered.
+    is covered. With ``words``, ``length`` and ``spans`` count words instead of bytes.
     """
-    anchors = materialize(_anchor_rows(texts, length), "anchors")
+    anchors = materialize(_anchor_rows(texts, length, words), "anchors")
     groups = anchors.groupBy("h").agg(
         F.count(F.lit(1)).alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")
     ).filter("c > 1").drop("c")
@@ -260,10 +282,12 @@ def repeated_spans(
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
-        for text, cs in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        symbols, sizes = symbols_of(texts_of(batch.column(0)), words)
+        for start, cs in zip((np.cumsum(sizes) - sizes).tolist(), batch.column(1).to_pylist(), strict=True):
             for c in cs:
-                a = c["p"] + c["d0"]
-                rows.append((c["h"], c["ctx"], c["d0"], c["d1"], c["m"], text[a : c["p"] + c["d1"] + length]))
+                a = start + c["p"]
+                content = symbols[a + c["d0"] : a + c["d1"] + length].tobytes()
+                rows.append((c["h"], c["ctx"], c["d0"], c["d1"], c["m"], content))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -275,8 +299,8 @@ def repeated_spans(
         "h long, ctx long, d0 int, d1 int, m long, content binary", 1 << 20,
     )
     contents = materialize(contents.dropDuplicates(["h", "ctx"]), "contents")
-    ranges = _order_contexts(contents.filter(F.col("m") <= max_contexts), length).union(
-        _count_windows(contents.filter(F.col("m") > max_contexts), length)
+    ranges = _order_contexts(contents.filter(F.col("m") <= max_contexts), length, words).union(
+        _count_windows(contents.filter(F.col("m") > max_contexts), length, words)
     )
     ranges = materialize(ranges, "ranges")
     # a context seen twice is covered as a whole, as is every one of an anchor without another
@@ -306,38 +330,46 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """Rows of ``docs``, whose columns are named by place, with ``spans`` of the column ``text``."""
+def _with_spans(docs: DataFrame, text: str, length: int, passage: int | None = None) -> DataFrame:
+    """Rows of ``docs``, whose columns are named by place, with ``spans`` of the column ``text``, and
+    with ``passages``, the same in words, if ``passage`` names a number of words."""
     k, n = text_keys(F.coalesce(text, F.lit("")))
     texts = docs.select(k.alias("k"), n.alias("n"), F.col(text).alias("text"))
     spans = repeated_spans(texts, length)
+    if passage:
+        found = repeated_spans(texts, passage, words=True).withColumnRenamed("spans", "passages")
+        spans = spans.join(found, ["k", "n"], "full")
     rows = docs.select(*docs.columns, k.alias("_k"), n.alias("_n"))
     return rows.join(spans, (rows["_k"] == spans["k"]) & (rows["_n"] == spans["n"]), "left").drop("k", "n", "_k", "_n")
 
 
-def repeat_report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
+def repeat_report(docs: DataFrame, length: int = 400, passage: int = 51) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, n_passages`` for every row of ``docs``.
 
     A null text is empty; texts shorter than ``length`` bytes keep all. Repeated rows are
-    repeats of each other. Ids may be null or repeat.
+    repeats of each other. Ids may be null or repeat. The last two columns count the words
+    ``[^\\x20\\x09-\\x0D]+`` covered by ``passage`` words in a row that also start anywhere else, and
+    their maximal runs; nothing is removed for them.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, removed, count, sha = [], [], [], []
-        for text, pieces in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            spans = _spans_of(pieces)
+        n, sha, counts = [], [], []
+        for text, *both in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            spans, passages = map(_spans_of, both)
             n.append(len(text))
-            removed.append(sum(b - a for a, b in spans))
-            count.append(len(spans))
             sha.append(hashlib.sha256(_kept(text, spans)).hexdigest())
-        cols = [pa.array(x, pa.int64()) for x in (n, removed, count)]
+            counts.append([x for runs in (spans, passages) for x in (sum(b - a for a, b in runs), len(runs))])
+        removed, count, words, runs = (pa.array(x, pa.int64()) for x in zip(*counts, strict=True))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *cols, pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            [batch.column(0), pa.array(n, pa.int64()), removed, count, pa.array(sha), words, runs],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"],
         )
 
-    rows = _with_spans(place_names(docs.select("doc_id", "text")), "c1", length)
-    return map_rows(rows.select("c0", "c1", "spans"), run,
-                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", 2 << 20)
+    rows = _with_spans(place_names(docs.select("doc_id", "text")), "c1", length, passage)
+    return map_rows(
+        rows.select("c0", "c1", "spans", "passages"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, "
+        "kept_sha256 string, n_passage_words long, n_passages long", 2 << 20,
+    )
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
