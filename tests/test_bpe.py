@@ -1,6 +1,7 @@
 """Encoding and decoding: both strategies, an outside implementation, edge texts."""
 
 import random
+import re
 
 import pytest
 from conftest import SF
@@ -247,3 +248,31 @@ def test_batches_are_encoded_in_slices(model, monkeypatch):
     assert pa.concat_arrays(parts).to_pylist() == whole.to_pylist() and len(parts) > 2
     assert sum(sizes) == len(words.flatten()) and max(sizes) < 40 + 8
     assert list(bpe._encode_slices(words.slice(0, 0), encode)) == []
+
+
+def test_fold_keeps_places_where_they_are(spark, model):
+    """Rows are neither written, joined nor grouped for the fold, and no row holds its table of pieces."""
+    df = spark.createDataFrame([("the end of the end", 1), (None, 2), ("[CLS]x", None)], "text string, i int")
+    plain = bpe.bpe_encode(df, model, strategy="fold")
+    made = bpe.bpe_encode(df.withColumn("text", F.concat("text", F.lit(" x"))), model, strategy="fold", packed=True)
+    for out in (plain, made, made.where("octet_length(ids) > 0")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        steps = set(re.findall(r"^[ +-]*([A-Z]\w+)", plan, re.M))  # without those of the subquery
+        assert {"Project", "LogicalRDD"} <= steps <= {"Project", "LogicalRDD", "Filter", "ArrowEvalPython"}
+        assert "scalar-subquery" in plan and "AS _slots#" not in plan and plan.count("element_at(") == 1
+
+
+def test_fold_with_few_known_pieces(spark, model, monkeypatch):
+    """The table holds the most frequent pieces up to a number and a length; the ids do not depend on it."""
+    seen, plain = [], bpe.materialize
+    monkeypatch.setattr(bpe, "materialize", lambda df, label: seen.append((label, plain(df, label))) or seen[-1][1])
+    long = "y" * (bpe.CACHED_WORD_BYTES + 1)
+    df = texts(spark, [*EDGE, f" the end the end the {long} {long}", " the end é the"])
+    want = ids_of(bpe.bpe_encode(df, model))
+    for n, known in ((0, set()), (1, {" the"}), (2, {" the", " end"}), (bpe.FOLD_PIECES, None)):
+        monkeypatch.setattr(bpe, "FOLD_PIECES", n)
+        assert ids_of(bpe.bpe_encode(df, model, strategy="fold")) == want
+        got = {r[0] for r in dict(seen)["pieces"].select("_piece").collect()}
+        assert got == known if known is not None else {" the", " end", "é"} & got and not any(long in p for p in got)
+    none = spark.createDataFrame([], "i int, text string")
+    assert ids_of(bpe.bpe_encode(none, model, strategy="fold")) == {}

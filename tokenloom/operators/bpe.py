@@ -3,10 +3,10 @@
 Two strategies give the same ids:
 
 ``fold``   Catalyst only. Every symbol is one private-use character and each
-           merge is one ``replace`` over a piece, in rank order. Each distinct piece
-           of the table is merged once and joined back to its places; a stream, which
-           has no such list, is merged text by text. Exact for models that pass
-           :meth:`BpeModel.fold_problem`.
+           merge is one ``replace`` over a piece, in rank order. The most frequent
+           pieces are merged once and looked up, all others where they stand; a
+           stream, which has no such list, is merged text by text. Exact for models
+           that pass :meth:`BpeModel.fold_problem`.
 ``arrow``  The JVM pre-tokenizes; an Arrow UDF encodes each distinct piece of a
            batch once (task-wide cache) and gathers ids with NumPy. Any model.
 """
@@ -31,6 +31,8 @@ from tokenloom.sources.model import BORDER, PRIVATE_BASE, BpeModel, added_names,
 CACHE_WORDS = 1 << 18
 CACHED_WORD_BYTES = 64
 SHORT_PIECE = 48
+# pieces that the fold merges beforehand; some 100 bytes each, held once by a task
+FOLD_PIECES = 1 << 18
 NO_RANK = 1 << 62
 # pieces whose ids are gathered in one go
 SLICE_PIECES = 1 << 18
@@ -77,21 +79,83 @@ def _fold_ids(merged: Column) -> Column:
     return F.transform(chars, lambda c: F.ascii(c) - F.lit(PRIVATE_BASE))
 
 
-def _fold_distinct(df: DataFrame, words: Column, model: BpeModel) -> tuple[DataFrame, Column]:
-    """``df``, written once with its columns named by place, and the merged text of every row.
+def _fold_piece(piece: Column, model: BpeModel) -> Column:
+    """The ids of one piece; only merges whose product stands in the piece are tried."""
+    back = {s: b for b, s in enumerate(byte_symbols())}
 
-    The merges run once per distinct piece, not once per place: their cost follows the vocabulary,
-    and what grows with the text is one join and one grouping of its pieces.
+    def text(product: str) -> str:
+        try:
+            return bytes(back[s] for s in product).decode("utf-8")
+        except UnicodeDecodeError:
+            return ""  # a part of a character: in every piece
+
+    merges = [
+        {
+            "t": text(l + r),
+            "p": chr(PRIVATE_BASE + model.vocab[l]) + chr(PRIVATE_BASE + model.vocab[r]),
+            "r": chr(PRIVATE_BASE + model.vocab[l + r]),
+        }
+        for l, r in model.merges
+    ]
+    merges = json_literal(merges, "array<struct<t:string,p:string,r:string>>")
+    return _fold_ids(F.aggregate(
+        F.filter(merges, lambda m: F.contains(piece, m["t"])),
+        _fold_symbols(F.array(piece), model),
+        lambda s, m: F.replace(s, m["p"], m["r"]),
+    ))
+
+
+def _fold_pieces(df: DataFrame, words: Column, model: BpeModel) -> tuple[DataFrame, int]:
+    """The most frequent pieces with their ids, ``FOLD_PIECES`` at most, and their number.
+
+    Which ones they are follows from a count of all pieces by halvings of an octave, so that
+    neither a sort nor the driver sees the whole list.
     """
-    rows = df.select("*", words, F.monotonically_increasing_id())
-    rows = materialize(rows.toDF(*[f"c{i}" for i in range(len(df.columns))], "_words", "_row"), "fold")
-    pieces = rows.select("_row", F.posexplode("_words").alias("_at", "_piece"))
-    merged = pieces.select("_piece").distinct().select("_piece", _fold_merged(F.array("_piece"), model).alias("_merged"))
-    # the list of distinct pieces has no hot key: hashed by parts, and the places are never sorted by text
-    merged = pieces.join(materialize(merged, "pieces").hint("shuffle_hash"), "_piece").groupBy("_row").agg(
-        F.expr("listagg(_merged) within group (order by _at)").alias("_merged"))
-    out = rows.join(merged, "_row", "left")
-    return out, F.when(F.col("_words").isNotNull(), F.coalesce("_merged", F.lit("")))
+    pieces = df.select(F.explode(words).alias("_piece")).where(F.octet_length("_piece") <= CACHED_WORD_BYTES)
+    level = F.floor(F.log2("_n") * 8)
+    counted = materialize(pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n")), "counts").withColumn("_level", level)
+    least, kept = 1 << 10, 0
+    for r in sorted(counted.groupBy("_level").count().collect(), reverse=True):
+        if kept + r["count"] > FOLD_PIECES:
+            break
+        least, kept = r["_level"], kept + r["count"]
+    known = counted.where(F.col("_level") >= least).select("_piece", _fold_piece(F.col("_piece"), model).alias("_ids"))
+    return materialize(known, "pieces"), kept
+
+
+def _fold_slots(pieces: DataFrame, n: int) -> DataFrame:
+    """One row with a hash table: ``n`` slots, each a small map of pieces to ids."""
+    entry = F.struct("_piece", "_ids")
+    none = F.lit(None).cast(pieces.select(entry.alias("e")).schema["e"].dataType)
+    filled = pieces.select(_fold_slot(F.col("_piece"), n).alias("_slot"), entry.alias("_entry")).union(
+        pieces.sparkSession.range(n).select(F.col("id").cast("int"), none))
+    slots = filled.groupBy("_slot").agg(F.collect_list("_entry").alias("_entries"))
+    ordered = slots.agg(F.array_sort(F.collect_list(F.struct("_slot", "_entries"))).alias("_slots"))
+    return ordered.select(F.transform("_slots", lambda s: F.map_from_entries(s["_entries"])))
+
+
+def _fold_slot(piece: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(n)).cast("int")
+
+
+def _fold_looked_up(df: DataFrame, words: Column, model: BpeModel) -> tuple[DataFrame, Column]:
+    """``df`` with a column ``_slots``, and the ids of every row without moving it: frequent pieces are looked up, the others merged in place.
+
+    The merges of a frequent piece run once; places are never dealt out, joined or grouped. The
+    table is a cache of bounded size, so that whatever it lacks only costs time.
+    """
+    pieces, kept = _fold_pieces(df, words, model)
+    n = max(1, kept)
+
+    def ids(slots: Column) -> Column:
+        return F.flatten(F.transform(words, lambda w: F.coalesce(
+            F.element_at(F.get(slots, _fold_slot(w, n)), w), _fold_piece(w, model))))
+
+    # A subquery is refused beside a lambda, so it gets a column, and the optimizer puts it in the column's place: no
+    # row may ever hold the table. It does so because the projection below is kept apart by a value that is not
+    # deterministic. The index is always 0; for the same reason no filter on the ids goes below a shuffle.
+    rows = df.withColumn("_part", F.spark_partition_id()).withColumn("_slots", _fold_slots(pieces, n).scalar())
+    return rows, F.get(F.transform(F.array("_slots"), ids), F.least(F.spark_partition_id(), "_part", F.lit(0)))
 
 
 # -------------------------------------------------------------------- arrow
@@ -295,11 +359,9 @@ def bpe_encode(
         if df.isStreaming:
             ids = _fold_ids(_fold_merged(words, m))
             return df.withColumn(out, pack_ids(ids) if packed else ids)
-        rows, merged = _fold_distinct(df, words, m)
-        ids = _fold_ids(merged)
-        ids = (pack_ids(ids) if packed else ids).alias("_ids")
-        rows = rows.select(*[f"c{i}" for i in range(len(df.columns))], ids)
-        return rows.toDF(*df.columns, "_fold_ids").withColumn(out, F.col("_fold_ids")).drop("_fold_ids")
+        rows, ids = _fold_looked_up(df, words, m)
+        rows = rows.withColumn("_fold_ids", ids)
+        return rows.withColumn(out, pack_ids("_fold_ids") if packed else F.col("_fold_ids")).drop("_part", "_slots", "_fold_ids")
     udf = encode_pieces_udf(df.sparkSession, model, use_added, packed)
     return df.withColumn(out, udf(words))
 
